@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mosaiq.llm import bpe_codec, token_counts
+from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, link_trust, prob_minhash, quality_lm, token_counts
 from mosaiq.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,13 +23,40 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_lm.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prob_minhash.classes(table(spark, sf_dir, "documents"))
+
+
+def op5_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence_rules.judged(table(spark, sf_dir, "documents"))
+
+
+def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_trust.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
+    "op2_quality_lm": op2_quality_lm,
+    "op4_prob_minhash": op4_prob_minhash,
+    "op5_crf_langid": op5_crf_langid,
+    "op6_divergence_rules": op6_divergence_rules,
+    "op9_link_trust": op9_link_trust,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_link_trust": link_trust.oracle_sql(),
+}
