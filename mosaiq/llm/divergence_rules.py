@@ -34,7 +34,9 @@ WINDOW = 5
 @dataclass(frozen=True)
 class Limits:
     char_distance: float = 0.25
-    word_distance: float = 0.60
+    #: By chance alone a sample of n words is some 1 / sqrt(n) from its source: the bound is base + slack / sqrt(n).
+    word_base: float = 0.12
+    word_slack: float = 2.6
     min_chars: int = 100
     min_words: int = 50
 
@@ -127,5 +129,5 @@ def judged(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id"
     out = counts.withColumn("rc", F.try_element_at(of(0), F.col("lang"))).withColumn("rw", F.try_element_at(of(1), F.col("lang")))
     out = out.withColumn("char_distance", F.when(F.col("n_chars") >= limits.min_chars, distance(F.col("char_counts"), F.col("rc"))))
     out = out.withColumn("word_distance", F.when(F.col("n_plain") >= limits.min_words, distance(F.col("word_counts"), F.col("rw"))))
-    fine = F.coalesce(F.col("char_distance") <= limits.char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= limits.word_distance, F.lit(True))
+    fine = F.coalesce(F.col("char_distance") <= limits.char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= limits.word_base + limits.word_slack / F.sqrt("n_plain"), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), "char_distance", "word_distance")

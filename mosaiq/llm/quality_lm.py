@@ -6,9 +6,9 @@ documents dealt by a hash of their ids.  Each block asks once for each distinct
 joins run over distinct 4-grams of blocks, not over characters; the answers, one log probability for each, meet the
 block's texts again, and every whole text gets its perplexity.
 
-A document is kept if its perplexity is at most the threshold of its language: a high quantile of the trusted
-documents' perplexities in that language times a margin (of all trusted documents, where a language has fewer than
-``min_trusted``).  Null texts and texts without a character other than white space are not kept, and their perplexity
+The mean of few log probabilities is noisy, so a perplexity is first divided by exp(slack / sqrt(n)), n the number of
+4-grams.  A document is kept if this is at most the threshold of its language: a high quantile of the trusted documents'
+in that language times a margin (of all trusted documents, where a language has fewer than ``min_trusted``).  Null texts and texts without a character other than white space are not kept, and their perplexity
 is null.  Without any trusted text nothing else is rejected.  Rows with equal ids are scored one by one; rows with a
 null id are never trusted.  Control characters count as spaces; characters beyond the basic plane are folded onto the
 private-use area.  Other columns are ignored.
@@ -34,6 +34,7 @@ PIECE = 1_000_000
 class Limits:
     quantile: float = 0.995
     margin: float = 1.1
+    slack: float = 5.0
     min_trusted: int = 20
     block_bytes: int = 8_000_000
 
@@ -177,12 +178,13 @@ def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     """``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``threshold``, ``kept`` of every document."""
     trusted = trusted_ids(labels)
     scores = perplexities(docs, trusted, limits)
+    scores = scores.withColumn("adjusted", F.col("perplexity") * F.exp(-limits.slack / F.sqrt("n_grams")))
     good = scores.filter("perplexity is not null").join(trusted, "doc_id", "left_semi")
-    quantile = F.percentile_approx("perplexity", limits.quantile, 10_000)
+    quantile = F.percentile_approx("adjusted", limits.quantile, 10_000)
     by_language = good.filter("lang is not null").groupBy("lang").agg(quantile.alias("of_language"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_trusted).drop("n")
     of_all = good.agg(quantile.alias("q")).first()["q"]
     threshold = F.coalesce("of_language", F.lit(of_all).cast("double")) * limits.margin
     out = scores.join(by_language, "lang", "left").withColumn("threshold", threshold)
     if of_all is None:
         return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", (F.col("n_grams") > 1).alias("kept"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(False)).alias("kept"))
