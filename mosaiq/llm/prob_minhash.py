@@ -6,10 +6,11 @@ a component keeps its first arrival.  Two texts agree in a component with the pr
 their weights.  A shingle's process stops as soon as its next arrival is later than all kept ones.
 
 Texts that are equal word for word are one *text class* first, so only one of them is banded and compared.  Within a
-band's bucket no pairs of all members are made: every text is compared with the bucket's first, and components of
-the verified links are found; then texts of *different* components that share a bucket are compared too, so the
-classes are those of all links between candidates.  A link is a probability Jaccard similarity of 0.8 or more,
-computed from the texts themselves.
+band's bucket no pairs of all members are made.  The bucket's most central text (the one that shares buckets with most
+texts; of an original and its edited copies, the original) is compared with all members, and components of the verified
+links are found.  Then the next most central texts of components that have not led the bucket are compared with all
+members of other components, round by round, until a round finds no link.  A link is a probability Jaccard similarity
+of 0.8 or more, computed from the texts themselves.  So the pairs of a round grow with the buckets, not their squares.
 
 Null texts and texts without a word have no shingle and are classes of their own.  Rows with equal ids are one
 document; rows with a null id are left out.  Other columns are ignored.  Ties are broken by the least id.
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
@@ -32,6 +33,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 BAND_ROWS = 5
+#: Leaders of a bucket in each round after the first.
+LEADERS = 3
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +156,36 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_column: str =
     return both.select("u", "v", "tu", "tv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
+def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """``node``, ``component`` of the texts that have a link; firsts has ``doc_id``, ``bands``."""
+    buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
+    sizes = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = materialise(buckets.join(sizes, "bucket"))
+    central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
+    members = materialise(members.drop("n").join(central, "doc_id"))
+    rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id"))
+    links = tried = led = parts = None
+    while True:
+        if parts is None:
+            able = placed = members.withColumn("part", F.col("doc_id"))
+        else:
+            placed = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", "central", F.coalesce("component", "doc_id").alias("part"))
+            mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
+            placed = materialise(placed.join(mixed, "bucket"))
+            able = placed.join(led.join(placed, ["bucket", "doc_id"]).select("bucket", "part").distinct(), ["bucket", "part"], "left_anti")
+        leaders = materialise(able.withColumn("r", rank).filter(F.col("r") <= (1 if parts is None else LEADERS)).select("bucket", F.col("doc_id").alias("leader"), F.col("part").alias("leading")))
+        pairs = placed.join(leaders, "bucket").filter(F.col("part") != F.col("leading")).select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
+        pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
+        found = materialise(verify(pairs, docs, threshold, id_column, text).select("u", "v"))
+        links = found if links is None else links.unionByName(found)
+        if found.isEmpty():
+            return parts if parts is not None else materialise(components(links))
+        parts = materialise(components(links))
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        now_led = leaders.select("bucket", F.col("leader").alias("doc_id"))
+        led = now_led if led is None else led.unionByName(now_led)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``doc_id``, ``class_id`` (the least id of the class), ``text_class_id`` (the least id with the same words) of
     every document."""
@@ -160,26 +193,7 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     with released_shuffles(spark):
         sketches = materialise(sketch(docs, id_column, text))
         firsts = materialise(sketches.filter(F.col("text_class").isNotNull()).groupBy("text_class").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("text_class", "f.*"))
-        buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
-        leaders = buckets.groupBy("bucket").agg(F.min("doc_id").alias("u"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-        members = materialise(buckets.join(leaders, "bucket").select("bucket", "u", F.col("doc_id").alias("v")))
-        tried = materialise(members.filter(F.col("u") != F.col("v")).select("u", "v").distinct())
-        links = materialise(verify(tried, docs.dropDuplicates([id_column]) if _repeats(docs, id_column) else docs, threshold, id_column, text))
-        parts = materialise(components(links))
-
-        # texts that share a bucket but, so far, no component
-        placed = members.join(parts, members["v"] == parts["node"], "left").select("bucket", F.col("v").alias("doc_id"), F.coalesce("component", "v").alias("part"))
-        mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter(F.col("a") != F.col("b")).select("bucket")
-        placed = materialise(placed.join(mixed, "bucket"))
-        held = placed.select("bucket", "part").distinct()
-        crossed = held.alias("x").join(held.alias("y"), F.expr("x.bucket = y.bucket and x.part < y.part")).select(F.col("x.bucket").alias("bucket"), F.col("x.part").alias("pu"), F.col("y.part").alias("pv"))
-        more = crossed.join(placed.select("bucket", F.col("part").alias("pu"), F.col("doc_id").alias("u")), ["bucket", "pu"]).join(placed.select("bucket", F.col("part").alias("pv"), F.col("doc_id").alias("v")), ["bucket", "pv"])
-        more = more.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(tried, ["u", "v"], "left_anti")
-        more = materialise(more)
-        if not more.isEmpty():
-            found = verify(more, docs.dropDuplicates([id_column]) if _repeats(docs, id_column) else docs, threshold, id_column, text)
-            parts = materialise(components(links.select("u", "v").unionByName(found.select("u", "v"))))
-
+        parts = linked_parts(firsts, docs.dropDuplicates([id_column]) if _repeats(docs, id_column) else docs, threshold, id_column, text)
         of_text = firsts.join(parts, firsts["doc_id"] == parts["node"], "left").select("text_class", F.col("doc_id").alias("text_class_id"), F.coalesce("component", "doc_id").alias("class_id"))
     placed = sketches.select("doc_id", "text_class").join(of_text, "text_class", "left")
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class_id", "doc_id").alias("text_class_id"))
