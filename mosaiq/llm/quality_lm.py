@@ -16,6 +16,7 @@ private-use area.  Other columns are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ from mosaiq.llm.common import block_count, materialise, released_shuffles, row_k
 ORDER = 4
 BEGIN, END = "\x01", "\x02"
 PIECE = 1_000_000
+#: Thresholds of at most so many languages are broadcast.
+MOST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,28 @@ def _pieces(texts: list[str]):
 def _dealt(docs: DataFrame, trusted: DataFrame, blocks: int, id_column: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     key = lambda c, t: F.pmod(row_key(c, t), F.lit(blocks)).cast("int")
     dealt = docs.select(key(F.col(id_column), F.col(text)).alias("block"), F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    return dealt, trusted.select(key(F.col("doc_id"), F.lit(None).cast("string")).alias("block"), "doc_id")
+    return dealt.mapInArrow(_bundles, "block int, bundle binary"), trusted.select(key(F.col("doc_id"), F.lit(None).cast("string")).alias("block"), "doc_id")
+
+
+def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block in a batch as one compressed Arrow stream: the shuffle moves less than half of the text."""
+    options = pa.ipc.IpcWriteOptions(compression="zstd")
+    for batch in batches:
+        block = batch.column(0).to_numpy()
+        order = np.argsort(block, kind="stable")
+        rows = pa.Table.from_batches([batch]).drop_columns(["block"]).take(pa.array(order))
+        found, at = np.unique(block[order], return_index=True)
+        bundles = []
+        for a, z in zip(at.tolist(), [*at.tolist()[1:], len(order)], strict=True):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema, options=options) as writer:
+                writer.write_table(rows.slice(a, z - a))
+            bundles.append(sink.getvalue().to_pybytes())
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(bundles, pa.binary())], names=["block", "bundle"])
+
+
+def _unbundled(bundles: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(b.as_py()).read_all() for b in bundles["bundle"]])
 
 
 def asked_grams(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
@@ -77,6 +101,8 @@ def asked_grams(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
     def run(texts: pa.Table, good: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({"block": pa.array([], pa.int32()), "gram": pa.array([], pa.int64()), "trusted": pa.array([], pa.int64())})
+        block = np.int32(texts["block"][0].as_py())
+        texts = _unbundled(texts)
         ids, good_ids = texts["doc_id"].to_pylist(), set(good["doc_id"].to_pylist())
         strings = [t or "" for t in texts["text"].to_pylist()]
         kept: list[tuple[np.ndarray, np.ndarray]] = []
@@ -87,8 +113,7 @@ def asked_grams(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
             kept.append((unique, np.bincount(inverse, weight, len(unique))))
         grams, inverse = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([k[1] for k in kept]), len(grams)).astype(np.int64)
-        block = np.full(len(grams), texts["block"][0].as_py(), np.int32)
-        return pa.table({"block": block, "gram": grams, "trusted": counts})
+        return pa.table({"block": np.full(len(grams), block), "gram": grams, "trusted": counts})
 
     return dealt.groupBy("block").cogroup(trusted.groupBy("block")).applyInArrow(run, "block int, gram long, trusted long")
 
@@ -137,11 +162,12 @@ def log_probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
     return out.select("gram", F.log("p").alias("logp"))
 
 
-def scored(dealt: DataFrame, answers: DataFrame) -> DataFrame:
-    """``doc_id``, ``lang``, ``n_grams``, ``logp`` (sum) of each document; answers has ``block``, ``gram``, ``logp``."""
-    kind = dealt.schema["doc_id"].dataType.simpleString()
+def scored(dealt: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
+    """``doc_id`` (of this kind), ``lang``, ``n_grams``, ``logp`` (sum) of each document; answers has ``block``, ``gram``,
+    ``logp``."""
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        texts = _unbundled(texts)
         strings = [t or "" for t in texts["text"].to_pylist()]
         grams, logp = known["gram"].to_numpy(), known["logp"].to_numpy(zero_copy_only=False)
         order = np.argsort(grams)
@@ -167,7 +193,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, limits: Limits = Limits(),
         counts = asked.filter("trusted > 0").groupBy("gram").agg(F.sum("trusted").alias("c"))
         known = materialise(log_probabilities(counts, asked.select("gram").distinct()))
         answers = asked.select("block", "gram").join(known, "gram")
-        return materialise(scored(dealt, answers).select("doc_id", "lang", "n_grams", F.exp(-F.col("logp") / F.col("n_grams")).alias("perplexity")))
+        return materialise(scored(dealt, answers, docs.schema[id_column].dataType.simpleString()).select("doc_id", "lang", "n_grams", F.exp(-F.col("logp") / F.col("n_grams")).alias("perplexity")))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -175,7 +201,7 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``threshold``, ``kept`` of every document."""
+    """``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``adjusted``, ``threshold``, ``kept`` of every document."""
     trusted = trusted_ids(labels)
     scores = perplexities(docs, trusted, limits)
     scores = scores.withColumn("adjusted", F.col("perplexity") * F.exp(-limits.slack / F.sqrt("n_grams")))
@@ -184,7 +210,10 @@ def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     by_language = good.filter("lang is not null").groupBy("lang").agg(quantile.alias("of_language"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_trusted).drop("n")
     of_all = good.agg(quantile.alias("q")).first()["q"]
     threshold = F.coalesce("of_language", F.lit(of_all).cast("double")) * limits.margin
+    by_language = materialise(by_language)
+    if by_language.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
+        by_language = F.broadcast(by_language)
     out = scores.join(by_language, "lang", "left").withColumn("threshold", threshold)
     if of_all is None:
-        return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", (F.col("n_grams") > 1).alias("kept"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "threshold", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(False)).alias("kept"))
+        return out.select("doc_id", "lang", "n_grams", "perplexity", "adjusted", "threshold", (F.col("n_grams") > 1).alias("kept"))
+    return out.select("doc_id", "lang", "n_grams", "perplexity", "adjusted", "threshold", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(False)).alias("kept"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, link_trust, prob_minhash, quality_lm, token_counts
-from mosaiq.llm.common import table
+from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, prob_minhash, quality_lm, token_counts, warc
+from mosaiq.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,14 @@ def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_lm.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_dir(spark) + "/warc"
+    warc.write(table(spark, sf_dir, "pages"), path)
+    read = warc.read(spark, path)
+    number = lambda c: F.col(c).cast("long").alias(c)
+    return read.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "n_segments", "problem")
+
+
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prob_minhash.classes(table(spark, sf_dir, "documents"))
 
@@ -39,6 +48,14 @@ def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.judged(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
+def op8_latent_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latent_decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_link_trust(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_trust.judged(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
@@ -50,13 +67,17 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_lm": op2_quality_lm,
+    "op3_warc": op3_warc,
     "op4_prob_minhash": op4_prob_minhash,
     "op5_crf_langid": op5_crf_langid,
     "op6_divergence_rules": op6_divergence_rules,
+    "op7_licenses": op7_licenses,
+    "op8_latent_decontam": op8_latent_decontam,
     "op9_link_trust": op9_link_trust,
     "op10_bpe_codec": op10_bpe_codec,
 }
 
 ORACLE: dict[str, str] = {
+    "op7_licenses": licenses.oracle_sql(),
     "op9_link_trust": link_trust.oracle_sql(),
 }
