@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from mosaiq.plans import collections, rasters, tables
+from mosaiq.plans.common import Query
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-FLAGSHIP = ""
+for _plans in (tables.plans, rasters.plans, collections.plans):
+    QUERIES |= _plans.queries
+    ORACLE |= _plans.oracle
+FLAGSHIP = "group_mean_join_back"
