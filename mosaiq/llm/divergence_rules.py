@@ -131,3 +131,34 @@ def judged(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id"
     out = out.withColumn("word_distance", F.when(F.col("n_plain") >= limits.min_words, distance(F.col("word_counts"), F.col("rw"))))
     fine = F.coalesce(F.col("char_distance") <= limits.char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= limits.word_base + limits.word_slack / F.sqrt("n_plain"), F.lit(True))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & fine).alias("kept"), "char_distance", "word_distance")
+
+
+def oracle_sql(limits: Limits = Limits()) -> str:
+    """Counts and verdict in SQL."""
+    blank = "[^\\x20\\x09-\\x0D]"
+    listed = "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in sorted(COMMON_WORDS.items())) + "}"
+    gone = lambda x: f"length(t) - length(regexp_replace(t, '{x}', '', 'g'))"
+    term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2.0 * {a} / ({a} + {b})) ELSE 0 END"
+    far = lambda c, r: f"CASE WHEN list_sum({c}) > 0 THEN sqrt(greatest(0.0, list_sum([0.5 * ({term(f'({c}[i] / list_sum({c}))', f'({r}[i] / list_sum({r}))')} + {term(f'({r}[i] / list_sum({r}))', f'({c}[i] / list_sum({c}))')}) FOR i IN range(1, len({c}) + 1)]))) END"
+    return f"""
+WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{blank}+') AS w, regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+') AS plain FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) >= 5)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT range AS k FROM range(5)) GROUP BY doc_id),
+lin AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{blank}') GROUP BY doc_id),
+f AS (SELECT d.doc_id AS doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone("[#*$%&|<>]")} AS n_symbols, coalesce(lin.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+  length(t) AS n_chars, len(plain) AS n_plain, {gone(chr(92) + "p{Ll}+")} AS c_lower, {gone(chr(92) + "p{Lu}+")} AS c_upper, {gone(chr(92) + "p{Nd}+")} AS c_digit, {gone("[.,;:!?''" + chr(34) + "()-]")} AS c_point,
+  [len(list_filter(plain, lambda p: p = x)) FOR x IN ({listed})[lang]] AS common
+  FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN lin ON d.doc_id = lin.doc_id),
+c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  [c_lower, c_upper, c_digit, c_point, n_symbols, n_chars - word_chars, greatest(0, word_chars - c_lower - c_upper - c_digit - c_point - n_symbols)] AS cc,
+  CASE WHEN common IS NOT NULL THEN list_append(common, greatest(0, n_plain - list_sum(common))) END AS wc FROM f),
+u AS (SELECT lang, unnest(range(1, 8)) AS i, unnest(cc) AS v, 'c' AS k FROM c WHERE wc IS NOT NULL AND NOT base_failed AND n_plain >= {limits.min_words}
+  UNION ALL SELECT lang, unnest(range(1, len(wc) + 1)), unnest(wc), 'w' FROM c WHERE wc IS NOT NULL AND NOT base_failed AND n_plain >= {limits.min_words}),
+s AS (SELECT lang, k, i, sum(v)::DOUBLE AS v FROM u GROUP BY ALL),
+r AS (SELECT lang, list(v ORDER BY i) FILTER (k = 'c') AS rc, list(v ORDER BY i) FILTER (k = 'w') AS rw FROM s GROUP BY lang),
+j AS (SELECT c.*, CASE WHEN n_chars >= {limits.min_chars} THEN {far("cc", "rc")} END AS cd, CASE WHEN n_plain >= {limits.min_words} THEN {far("wc", "rw")} END AS wd FROM c LEFT JOIN r ON c.lang = r.lang)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND coalesce(cd <= {limits.char_distance}, true) AND coalesce(wd <= {limits.word_base} + {limits.word_slack} / sqrt(n_plain), true) AS kept, round(cd, 6) AS char_distance, round(wd, 6) AS word_distance
+FROM j
+"""

@@ -33,7 +33,8 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     warc.write(table(spark, sf_dir, "pages"), path)
     read = warc.read(spark, path)
     number = lambda c: F.col(c).cast("long").alias(c)
-    return read.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"), "n_segments", "problem")
+    sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).alias("payload_digest")
+    return read.select(number("page_id"), "payload_bytes", sound, "record_type", number("refers_to"))
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,7 +46,8 @@ def op5_crf_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_divergence_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return divergence_rules.judged(table(spark, sf_dir, "documents"))
+    found = divergence_rules.judged(table(spark, sf_dir, "documents"))
+    return found.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,6 +80,8 @@ QUERIES: dict[str, Query] = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_warc": warc.oracle_sql(),
+    "op6_divergence_rules": divergence_rules.oracle_sql(),
     "op7_licenses": licenses.oracle_sql(),
     "op9_link_trust": link_trust.oracle_sql(),
 }

@@ -216,3 +216,17 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["page_id", "payload", "payload_bytes", "payload_digest", "record_type", "refers_to", "n_segments", "problem"])
 
     return whole.unionByName(joined).mapInArrow(finish, "page_id string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to string, n_segments int, problem string")
+
+
+def oracle_sql() -> str:
+    """The registered query's rows in SQL: all payloads count (``min_revisit`` 0)."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+    parts = [f"('0x' || substr(h, {5 * g + 1}, 5))::BIGINT >> {15 - 5 * k} & 31" for g in range(8) for k in range(4)]
+    base32 = " || ".join(f"substr('{letters}', ({x})::INT + 1, 1)" for x in parts)
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS h FROM pages),
+k AS (SELECT h, max(page_id) AS kept FROM p GROUP BY h)
+SELECT page_id, CAST(octet_length(encode(body)) AS BIGINT) AS payload_bytes, {base32} AS payload_digest,
+  CASE WHEN page_id = kept THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> kept THEN kept END AS refers_to
+FROM p JOIN k USING (h)
+"""
