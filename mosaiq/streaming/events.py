@@ -9,7 +9,8 @@ STATS = {"n": lambda v: F.count(F.lit(1)), "total": F.sum, "least": F.min, "grea
 
 
 def _watermarked(events: DataFrame, time: str, late: str) -> DataFrame:
-    return events.withWatermark(time, late) if events.isStreaming else events
+    """A stream with its watermark, for which the time must have a zone: the session's is taken."""
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late) if events.isStreaming else events
 
 
 def tumbling(events: DataFrame, width: str, keys: list[str], time: str = "ts", value: str = "value", late: str = "1 hour") -> DataFrame:
@@ -32,7 +33,7 @@ def sessions(events: DataFrame, gap: str, keys: list[str], time: str = "ts", val
 def deduplicated(events: DataFrame, keys: list[str], time: str = "ts", late: str = "1 hour") -> DataFrame:
     """The first event of each key; in a stream, within the watermark."""
     if events.isStreaming:
-        return events.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+        return _watermarked(events, time, late).dropDuplicatesWithinWatermark(keys)
     rest = [c for c in events.columns if c not in keys and c != time]
     first = events.groupBy(*keys).agg(F.min(F.struct(time, *rest)).alias("f"))
     return first.select(*keys, *[F.col(f"f.{c}").alias(c) for c in (time, *rest)])
