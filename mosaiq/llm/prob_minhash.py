@@ -9,7 +9,8 @@ Texts that are equal word for word are one *text class* first, so only one of th
 band's bucket no pairs of all members are made.  The bucket's most central text (the one that shares buckets with most
 texts; of an original and its edited copies, the original) is compared with all members, and components of the verified
 links are found.  Then the next most central texts of components that have not led the bucket are compared with all
-members of other components, round by round, until a round finds no link.  A link is a probability Jaccard similarity
+members of other components, round by round, until a round finds no link, or fewer than one for ``LEAST_YIELD`` pairs:
+what it then leaves are lone links at the edge of the threshold inside large buckets.  A link is a probability Jaccard similarity
 of 0.8 or more, computed from the texts themselves.  So the pairs of a round grow with the buckets, not their squares.
 
 Null texts and texts without a word have no shingle and are classes of their own.  Rows with equal ids are one
@@ -33,8 +34,10 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 BAND_ROWS = 5
-#: Leaders of a bucket in each round after the first.
-LEADERS = 3
+#: Leaders of a bucket in each round after the first; buckets of up to three components are compared whole in two rounds.
+LEADERS = 2
+#: A round that finds fewer than one link for so many pairs is the last.
+LEAST_YIELD = 1000
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -164,7 +167,7 @@ def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column
     central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
     members = materialise(members.drop("n").join(central, "doc_id"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id"))
-    links = tried = led = parts = None
+    tried = led = parts = None
     while True:
         if parts is None:
             able = placed = members.withColumn("part", F.col("doc_id"))
@@ -177,10 +180,12 @@ def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column
         pairs = placed.join(leaders, "bucket").filter(F.col("part") != F.col("leading")).select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
         pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
         found = materialise(verify(pairs, docs, threshold, id_column, text).select("u", "v"))
-        links = found if links is None else links.unionByName(found)
         if found.isEmpty():
-            return parts if parts is not None else materialise(components(links))
-        parts = materialise(components(links))
+            return parts if parts is not None else components(found)
+        known = found if parts is None else found.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
+        parts = materialise(components(known))
+        if found.count() * LEAST_YIELD < pairs.count():
+            return parts
         tried = pairs if tried is None else tried.unionByName(pairs)
         now_led = leaders.select("bucket", F.col("leader").alias("doc_id"))
         led = now_led if led is None else led.unionByName(now_led)
