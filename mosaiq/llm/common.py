@@ -6,7 +6,7 @@ import math
 import uuid
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -70,3 +70,18 @@ def block_count(total_bytes: int, block_bytes: int) -> int:
 def row_key(id_col, text_col):
     """A hash that spreads rows evenly: by id, and by text where the id is null."""
     return F.xxhash64(F.coalesce(F.xxhash64(id_col) * id_col.isNotNull().cast("long"), F.lit(0)), F.when(id_col.isNull(), text_col))
+
+
+#: Rows of a table that is broadcast after its size has been checked.
+MOST_BROADCAST = 10_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table with a broadcast hint if it has at most MOST_BROADCAST rows."""
+    df = materialise(df)
+    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+
+
+def hash_share(column: str) -> Column:
+    """A hash of a column as a number from 0 to 1."""
+    return F.pmod(F.xxhash64(column), F.lit(1 << 30)) / float(1 << 30)

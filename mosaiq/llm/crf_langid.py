@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
+from mosaiq.llm.common import hash_share, small
 
 TABLE_BITS = 16
 SEGMENT = 64
@@ -273,8 +274,11 @@ def training_sample(docs: DataFrame, sampling: Sampling = Sampling(), id_column:
     """At most ``docs_per_language`` documents of each label, those with the least hash of their id, and the first
     ``chars_per_doc`` characters of each; held-out documents never."""
     able = docs.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
+    # of a frequent label, only some twice as many ids as are wanted come to its window
+    counts = small(able.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
+    few = able.select(id_column, label).join(counts, label).filter(hash_share(id_column) <= 2.0 * sampling.docs_per_language / F.col("n") + 1e-9).drop("n")
     rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column))
-    ids = [r[0] for r in able.select(id_column, label).withColumn("r", rank).filter(F.col("r") <= sampling.docs_per_language).select(id_column).collect()]
+    ids = [r[0] for r in few.withColumn("r", rank).filter(F.col("r") <= sampling.docs_per_language).select(id_column).collect()]
     if not ids:
         return [], []
     rows = able.filter(F.col(id_column).isin(ids) & F.col(text).isNotNull()).select(F.substring(text, 1, sampling.chars_per_doc).alias("t"), F.col(label).alias("l"), F.col(id_column).alias("i"))
