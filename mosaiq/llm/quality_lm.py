@@ -24,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import block_count, materialise, released_shuffles, row_key, text_bytes
+from mosaiq.llm.common import block_count, materialise, released_shuffles, row_key, small, text_bytes
 
 ORDER = 4
 BEGIN, END = "\x01", "\x02"
 PIECE = 1_000_000
-#: Thresholds of at most so many languages are broadcast.
-MOST_LANGUAGES = 10_000
 
 
 @dataclass(frozen=True)
@@ -210,9 +208,7 @@ def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     by_language = good.filter("lang is not null").groupBy("lang").agg(quantile.alias("of_language"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_trusted).drop("n")
     of_all = good.agg(quantile.alias("q")).first()["q"]
     threshold = F.coalesce("of_language", F.lit(of_all).cast("double")) * limits.margin
-    by_language = materialise(by_language)
-    if by_language.limit(MOST_LANGUAGES + 1).count() <= MOST_LANGUAGES:
-        by_language = F.broadcast(by_language)
+    by_language = small(by_language)
     out = scores.join(by_language, "lang", "left").withColumn("threshold", threshold)
     if of_all is None:
         return out.select("doc_id", "lang", "n_grams", "perplexity", "adjusted", "threshold", (F.col("n_grams") > 1).alias("kept"))
