@@ -178,17 +178,21 @@ def k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _STATS = "count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS greatest"
-_ROUNDED = {"total": F.round("total", 4)}
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumn("total", F.round("total", 4))
+
 
 
 @plans.add("events_tumbling", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) AS window_start, event_type, {_STATS} FROM events GROUP BY ALL")
 def events_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.tumbling(table(spark, sf_dir, "events"), "1 hour", ["event_type"]).withColumns(_ROUNDED)
+    return _rounded(windows.tumbling(table(spark, sf_dir, "events"), "1 hour", ["event_type"]))
 
 
 @plans.add("events_sliding", f"SELECT time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR * k AS window_start, event_type, {_STATS} FROM events, (SELECT range AS k FROM range(2)) GROUP BY ALL")
 def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sliding(table(spark, sf_dir, "events"), "2 hours", "1 hour", ["event_type"]).withColumns(_ROUNDED)
+    return _rounded(windows.sliding(table(spark, sf_dir, "events"), "2 hours", "1 hour", ["event_type"]))
 
 
 @plans.add(
@@ -197,7 +201,7 @@ def events_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT min(ts) AS session_start, user_id, count(*) AS n, round(sum(value), 4) AS total FROM s GROUP BY user_id, k""",
 )
 def events_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows.sessions(table(spark, sf_dir, "events"), "6 hours", ["user_id"]).withColumns(_ROUNDED)
+    return _rounded(windows.sessions(table(spark, sf_dir, "events"), "6 hours", ["user_id"]))
 
 
 @plans.add("events_deduplicated", "SELECT user_id, event_type, arg_min(event_id, (ts, event_id)) AS event_id, min(ts) AS ts FROM events GROUP BY ALL")
