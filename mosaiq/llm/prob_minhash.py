@@ -8,10 +8,15 @@ their weights.  A shingle's process stops as soon as its next arrival is later t
 Texts that are equal word for word are one *text class* first, so only one of them is banded and compared.  Within a
 band's bucket no pairs of all members are made.  The bucket's most central text (the one that shares buckets with most
 texts; of an original and its edited copies, the original) is compared with all members, and components of the verified
-links are found.  Then the next most central texts of components that have not led the bucket are compared with all
-members of other components, round by round, until a round finds no link, or fewer than one for ``LEAST_YIELD`` pairs:
-what it then leaves are lone links at the edge of the threshold inside large buckets.  A link is a probability Jaccard similarity
-of 0.8 or more, computed from the texts themselves.  So the pairs of a round grow with the buckets, not their squares.
+links are found.  What is left is settled by an exact prefix filter (``open_pairs``): texts of buckets whose other members
+are still in several components list their shingles, rarest first, as far as a link can have its first common shingle
+there, and texts of different components that meet in such a shingle are compared.  Every pair of a bucket is then of
+one component, or compared, or too far apart by that bound; nothing is stopped early.  A link is a probability Jaccard
+similarity of 0.8 or more, computed from the texts themselves.
+
+The bound: let a and b be the odds (share by weight, divided by the rest) of what each of two texts has outside the other.
+Their similarity is at most 1 / (1 + a + b), as each common shingle adds a concave, homogeneous function of its two
+shares.  In any order of the shingles, all that a text has before the first common one is outside the other text.
 
 Null texts and texts without a word have no shingle and are classes of their own.  Rows with equal ids are one
 document; rows with a null id are left out.  Other columns are ignored.  Ties are broken by the least id.
@@ -34,10 +39,8 @@ SHINGLE = 5
 THRESHOLD = 0.8
 BANDS = 20
 BAND_ROWS = 5
-#: Leaders of a bucket in each round after the first; buckets of up to three components are compared whole in two rounds.
-LEADERS = 2
-#: A round that finds fewer than one link for so many pairs is the last.
-LEAST_YIELD = 1000
+#: Counters of the shingles' frequencies; they only order the shingles, so that two may share one.
+SLOT_BITS = 18
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +162,69 @@ def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_column: str =
     return both.select("u", "v", "tu", "tv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
 
 
+def _frequencies(texts: DataFrame) -> np.ndarray:
+    """How many of the texts have a shingle of each slot; each task sums its own, the result has a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << SLOT_BITS, np.int64)
+        for batch in batches:
+            for _, _, data, offsets in wordhash.pieces(batch.column(1), 1_000_000):
+                total += np.bincount(_slots(weighted_shingles(data, offsets)[0]), minlength=len(total))
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["slot", "n"])
+
+    rows = texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(1 << SLOT_BITS, np.int64)
+    out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    return out
+
+
+def _slots(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+
+
+def most_odds(threshold: float) -> float:
+    """The most that the odds of what two linked texts have outside each other can sum up to."""
+    return 1.0 / (threshold - 1e-9) - 1.0 + 1e-9
+
+
+def prefix(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, frequencies: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, row, odds of the weight before it, of each row's shingles in which a link can have its first common one."""
+    order = np.lexsort((hashes, frequencies[_slots(hashes)], rows))
+    hashes, rows, weights = hashes[order], rows[order], weights[order]
+    before = np.cumsum(weights) - weights
+    first = np.searchsorted(rows, rows)
+    before = before - before[first]
+    total = np.bincount(rows, weights)[rows] if len(rows) else before
+    odds = before / (total - before)
+    keep = odds <= most
+    return hashes[keep], rows[keep], odds[keep]
+
+
+def open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
+    """The pairs ``u``, ``v`` of texts (``id``, ``t``, ``part``) of different parts that can be linked."""
+    most, kind = most_odds(threshold), texts.schema["id"].dataType.simpleString()
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts.select("id", "t")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, z, data, offsets in wordhash.pieces(batch.column(1), 1_000_000):
+                hashes, rows, odds = prefix(*weighted_shingles(data, offsets), shared.value, most)
+                ids, parts = (batch.column(k).slice(a, z - a).take(pa.array(rows, pa.int64())) for k in (0, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), ids, parts, pa.array(odds, pa.float64())], names=["shingle", "id", "part", "odds"])
+
+    entries = materialise(texts.select("id", "t", "part").mapInArrow(run, f"shingle long, id {kind}, part {kind}, odds double"))
+    # parts meet first, so the texts of one part are never paired with each other
+    heads = entries.groupBy("shingle", "part").agg(F.min("odds").alias("least"))
+    mixed = heads.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
+    heads = materialise(heads.join(mixed, "shingle"))
+    low, high = (heads.select("shingle", F.col("part").alias(f"part_{k}"), F.col("least").alias(f"least_{k}")) for k in "ab")
+    couples = low.join(high, "shingle").filter((F.col("part_a") < F.col("part_b")) & (F.col("least_a") + F.col("least_b") <= most))
+    one, other = (entries.select("shingle", F.col("part").alias(f"part_{k}"), F.col("id").alias(f"id_{k}"), F.col("odds").alias(f"odds_{k}")) for k in "ab")
+    met = couples.join(one, ["shingle", "part_a"]).filter(F.col("odds_a") + F.col("least_b") <= most).join(other, ["shingle", "part_b"]).filter(F.col("odds_a") + F.col("odds_b") <= most)
+    return met.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
+
+
 def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``node``, ``component`` of the texts that have a link; firsts has ``doc_id``, ``bands``."""
     buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
@@ -167,28 +233,21 @@ def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column
     central = members.groupBy("doc_id").agg(F.sum("n").alias("central"))
     members = materialise(members.drop("n").join(central, "doc_id"))
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id"))
-    tried = led = parts = None
-    while True:
-        if parts is None:
-            able = placed = members.withColumn("part", F.col("doc_id"))
-        else:
-            placed = members.join(parts, members["doc_id"] == parts["node"], "left").select("bucket", "doc_id", "central", F.coalesce("component", "doc_id").alias("part"))
-            mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-            placed = materialise(placed.join(mixed, "bucket"))
-            able = placed.join(led.join(placed, ["bucket", "doc_id"]).select("bucket", "part").distinct(), ["bucket", "part"], "left_anti")
-        leaders = materialise(able.withColumn("r", rank).filter(F.col("r") <= (1 if parts is None else LEADERS)).select("bucket", F.col("doc_id").alias("leader"), F.col("part").alias("leading")))
-        pairs = placed.join(leaders, "bucket").filter(F.col("part") != F.col("leading")).select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct()
-        pairs = materialise(pairs if tried is None else pairs.join(tried, ["u", "v"], "left_anti"))
-        found = materialise(verify(pairs, docs, threshold, id_column, text).select("u", "v"))
-        if found.isEmpty():
-            return parts if parts is not None else components(found)
-        known = found if parts is None else found.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v")))
-        parts = materialise(components(known))
-        if found.count() * LEAST_YIELD < pairs.count():
-            return parts
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        now_led = leaders.select("bucket", F.col("leader").alias("doc_id"))
-        led = now_led if led is None else led.unionByName(now_led)
+    leaders = materialise(members.withColumn("r", rank).filter("r = 1").select("bucket", F.col("doc_id").alias("leader")))
+    led = members.join(leaders, "bucket").filter(F.col("doc_id") != F.col("leader"))
+    tried = materialise(led.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct())
+    found = materialise(verify(tried, docs, threshold, id_column, text).select("u", "v"))
+    parts = materialise(components(found))
+    # the pairs that are neither compared nor of one component are of members that do not lead their bucket
+    placed = materialise(led.select("bucket", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")))
+    mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
+    unsettled = materialise(placed.join(mixed, "bucket").select(F.col("doc_id").alias("id"), "part").distinct())
+    if unsettled.isEmpty():
+        return parts
+    texts = materialise(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).join(unsettled, "id").select("id", "t", "part"))
+    pairs = materialise(open_pairs(texts, threshold).join(tried, ["u", "v"], "left_anti"))
+    more = verify(pairs, docs, threshold, id_column, text).select("u", "v")
+    return components(more.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc_id", text: str = "text") -> DataFrame:

@@ -101,6 +101,24 @@ def test_classes_are_those_of_all_pairs(spark):
     assert prob_minhash.classes(docs.limit(0)).count() == 0
 
 
+def test_every_link_of_a_crowded_bucket_is_found(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    texts = [[word() for _ in range(100)] for _ in range(20)]
+    for _ in range(3):  # copies of copies: only neighbours in this order are linked
+        drift = [word() for _ in range(100)]
+        for k in range(8):
+            texts.append(list(drift))
+            for at in (5 + 12 * k, 11 + 12 * k):
+                drift[at] = word()
+    rows = list(enumerate(" ".join(t) for t in texts[:1] + r.sample(texts[1:], len(texts) - 1)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    parts = prob_minhash.linked_parts(docs.select("doc_id", F.array(F.lit(1).cast("long")).alias("bands")), docs, 0.8)
+    got = {i: i for i, _ in rows} | {r["node"]: r["component"] for r in parts.collect()}
+    assert got == brute_classes(rows)
+    assert len(set(got.values())) == 23
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
