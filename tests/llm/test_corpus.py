@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -150,6 +151,34 @@ def test_leaks_are_found_and_clean_text_left_alone(spark):
     assert latent_decontam.leaks(docs.limit(0), bench).count() == 0 and latent_decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_paraphrases_are_found_as_far_as_the_confirmation_reaches():
+    import numpy as np
+
+    r, ld, settings = random.Random(5), latent_decontam, latent_decontam.Settings()
+    words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(6000)]
+    items = [[r.choice(words) for _ in range(n)] for n in range(9, 60, 2)]
+    texts = []
+    for i in range(len(items) * 3):
+        copy, n = list(items[i // 3]), len(items[i // 3])
+        for k in r.sample(range(max(1, n - 8)), min(max(1, n - 8), int(n * (0.3, 0.4, 0.5)[i % 3]))):
+            copy[k] = r.choice(words)
+        texts.append(" ".join([r.choice(words) for _ in range(r.randint(0, 300))] + copy + [r.choice(words) for _ in range(r.randint(0, 300))]))
+    hashed = lambda ts: ld.text_words(*ld.wordhash.buffers(pa.array(ts)))
+    held, found = hashed([" ".join(x) for x in items]), hashed(texts)
+    held = [held.hashes[a:z] for a, z in zip(held.bounds[:-1], held.bounds[1:], strict=True)]
+    basis = np.random.default_rng(1).standard_normal((ld.BUCKETS, 64)) / 8
+    index = ld.indexed(basis, np.ones(ld.BUCKETS), list(range(len(items))), held)
+    wanted = {}
+    for i, w in enumerate(held):  # every window against every item of its size
+        item, size = ld.prepared(w, settings), int(index.window[i])
+        for row, start in zip(*(x.tolist() for x in ld.windows_of(found.bounds, size)), strict=True):
+            low, high = max(found.bounds[row], start - size // 4), min(found.bounds[row + 1], start + size + size // 4)
+            if share := ld.confirm(item, found.hashes[low:high].tolist(), settings):
+                wanted[row, i] = max(share, wanted.get((row, i), 0))
+    got = ld.search(*ld.wordhash.buffers(pa.array(texts)), index, settings)
+    assert {k: v[1] for k, v in got.items()} == wanted and len(wanted) > 50
+
+
 def test_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(50):
