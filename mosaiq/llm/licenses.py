@@ -7,11 +7,16 @@ names are returned sorted.
 
 Null and empty texts, and texts without a letter or digit, have the digest of the empty text and match nothing.  Rows
 are handled one by one: repeated rows keep their number, other columns are ignored, an empty table gives an empty
-result.  The table of known texts is fixed, so it is small however large the documents are.
+result.  Known are the fixed texts of this module, the longer whole texts of the folder ``license_texts``, and those of a
+table that the caller may add; each is small however large the documents are.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,20 +90,37 @@ def canonical(text: Column) -> Column:
     return F.trim(F.regexp_replace(t, r"[^\p{L}\p{N}]+", " "))
 
 
-def known_digests(spark: SparkSession) -> DataFrame:
-    """``digest``, ``license_id`` of the known texts."""
-    rows = spark.createDataFrame(KNOWN, "license_id string, text string")
-    return rows.select(F.sha2(canonical(F.col("text")), 256).alias("digest"), "license_id").distinct()
+def whole_texts() -> list[tuple[str, str]]:
+    """The longer licences by identifier: whole, and without what follows the end of their terms."""
+    found = []
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        text = path.read_text(encoding="utf-8")
+        found.append((path.stem, text))
+        if end := re.search(r"END OF TERMS AND CONDITIONS", text):
+            found.append((path.stem, text[: end.end()]))
+    return found
+
+
+def known_digests(spark: SparkSession, further: DataFrame | None = None) -> dict[str, str]:
+    """The identifier of each digest of a known text; further ones have ``license_id``, ``text``.  Of the identifiers of
+    one text the least is taken."""
+    # an Arrow table becomes a local relation, so no executor handles it
+    texts = pa.table(dict(zip(("license_id", "text"), map(list, zip(*KNOWN, *whole_texts(), strict=True)), strict=True)))
+    rows = spark.createDataFrame(texts)
+    if further is not None:
+        rows = rows.unionByName(further.select("license_id", "text").filter("license_id is not null"))
+    rows = rows.select(canonical(F.col("text")).alias("form"), "license_id").filter("form <> ''").select(F.sha2("form", 256).alias("digest"), "license_id")
+    return dict(sorted(((r["digest"], r["license_id"]) for r in rows.collect()), reverse=True))
 
 
-def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_column: str = "doc_id", text: str = "text", further: DataFrame | None = None) -> DataFrame:
     """``doc_id``, ``digest`` of the whole text, ``license_id`` if the whole text is a known one, ``notices``: sorted
-    names of the known texts among its lines that speak of a licence (null for none)."""
+    names of the known texts among its lines that speak of a licence (null for none).  further: more known texts."""
     spark = docs.sparkSession
-    known = known_digests(spark)
+    table = known_digests(spark, further)
+    known = spark.createDataFrame(pa.table({"digest": list(table.keys()), "license_id": list(table.values())}))
     lines = F.filter(F.split(F.col(text), "\n", -1), lambda x: x.rlike(NOTICE))
     # the known texts are few, so the lines are looked up in a literal of them
-    table = known.agg(F.map_from_entries(F.collect_list(F.struct("digest", "license_id"))).alias("m")).first()["m"]
     lookup = F.create_map(*[F.lit(x) for pair in sorted(table.items()) for x in pair])
     names = F.array_sort(F.array_distinct(F.filter(F.transform(lines, lambda x: F.try_element_at(lookup, F.sha2(canonical(x), 256))), lambda x: x.isNotNull())))
     names = F.when(F.col(text).rlike(NOTICE), names)

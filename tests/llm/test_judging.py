@@ -149,6 +149,21 @@ def test_licences_by_canonical_digest(spark):
     assert licenses.scan(docs.limit(0)).count() == 0
 
 
+def test_whole_licence_texts_and_further_ones(spark):
+    texts = dict(reversed(licenses.whole_texts()))
+    assert {"Apache-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "CC0-1.0", "Unlicense"} <= texts.keys()
+    apache = texts["Apache-2.0"]
+    cut = apache[: apache.index("APPENDIX")]
+    rows = [(1, apache), (2, cut), (3, texts["GPL-3.0"].upper().replace("\n", "\r\n ")), (4, apache + " More."), (5, "House terms, 1st edition."), (6, "x\nHouse licence"), (7, "")]
+    rows += [(10 + i, t) for i, t in enumerate(texts.values())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    further = spark.createDataFrame([("House", "HOUSE TERMS 1st edition"), ("House", "house license"), ("None", ""), ("None", None)], "license_id string, text string")
+    got = {r["doc_id"]: r for r in licenses.scan(docs, further=further).collect()}
+    assert [got[i]["license_id"] for i in range(1, 8)] == ["Apache-2.0", "Apache-2.0", "GPL-3.0", None, "House", None, None]
+    assert got[6]["notices"] == "House" and [got[10 + i]["license_id"] for i in range(len(texts))] == list(texts)
+    assert licenses.scan(docs).filter("license_id = 'House'").isEmpty()
+
+
 def test_trust_spreads_over_links(spark):
     link = lambda *hosts: "".join(f'<a href="https://{h}/x">l</a>' for h in hosts)
     rows = [
