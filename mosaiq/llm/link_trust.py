@@ -4,7 +4,8 @@ A rule has a host and a path; it fits a URL whose host is the rule's or below it
 rule's, and the longest fitting rule decides.  Where no rule fits, the host decides: hosts with allowed pages are
 trusted seeds, hosts with blocked pages are distrusted ones, each weighted by its pages.  Personalised PageRank carries
 trust along links and, over reversed links, distrust to those that link to blocked hosts.  A host whose distrust
-exceeds its trust is blocked.
+exceeds its trust is blocked.  Rank spreads until no host is newly reached and none changes by more than ``TOLERANCE`` of
+its rank, ``ROUNDS`` times at least; the SQL has just those.
 
 Links are the absolute and scheme-relative ``href`` targets of a page, counted for each pair of different hosts; rank
 that reaches a host without links is not carried on.  Null URLs and URLs without ``://`` have an empty host and path; an
@@ -22,6 +23,7 @@ from mosaiq.llm.common import materialise, released_shuffles
 RULES = [("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block")]
 DAMPING = 0.85
 ROUNDS = 12
+TOLERANCE = 1e-9
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 URL = r"(?s)\A.*?://([^/?#]*)([^?#]*)"
 HREF = r"(?i)\bhref\s*=\s*[\"']?(?:https?:)?//([^/?#\"'<>\s]+)"
@@ -50,17 +52,23 @@ def host_edges(pages: DataFrame) -> DataFrame:
 
 
 def propagate(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``host``, ``rank`` by personalised PageRank; edges has ``src``, ``dst``, ``weight``, seeds ``host``, ``seed``."""
+    """``host``, ``rank`` by personalised PageRank, after so many rounds and as many more as it takes to settle; edges has
+    ``src``, ``dst``, ``weight``, seeds ``host``, ``seed``."""
     out = edges.groupBy("src").agg(F.sum("weight").alias("total"))
     steps = materialise(edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("total")).alias("share")))
     base = seeds.select("host", (F.col("seed") * (1 - damping)).alias("rank"))
-    rank = base
-    for k in range(rounds):
+    rank, before, k = base, None, 0
+    while True:
         moved = steps.join(rank, steps["src"] == rank["host"]).select(F.col("dst").alias("host"), (F.col("rank") * F.col("share") * damping).alias("rank"))
-        rank = moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % 4 == 3:
-            rank = materialise(rank)
-    return rank
+        rank, k = moved.unionByName(base).groupBy("host").agg(F.sum("rank").alias("rank")), k + 1
+        if k % 4:
+            continue
+        rank = materialise(rank)
+        if k >= rounds and before is not None:
+            both = rank.join(before.select("host", F.col("rank").alias("old")), "host", "left")
+            if both.filter(F.abs(F.col("rank") - F.coalesce("old", F.lit(0.0))) > TOLERANCE * F.col("rank")).isEmpty():
+                return rank
+        before = rank
 
 
 def host_scores(hosts: DataFrame, edges: DataFrame) -> DataFrame:

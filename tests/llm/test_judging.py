@@ -197,3 +197,11 @@ def test_trust_spreads_over_links(spark):
     for i in (1, 2, 3, 4, 5):
         assert got[i]["trust"] == pytest.approx(trust.get(got[i]["host"], 0)) and got[i]["distrust"] == pytest.approx(distrust.get(got[i]["host"], 0))
     assert link_trust.judged(pages.limit(0)).count() == 0
+
+
+def test_distrust_reaches_hosts_far_upstream(spark):
+    hosts = [f"h{i}.net" for i in range(20)] + ["bad.com"]
+    rows = [(i, f"http://{a}/p", f'<a href="https://{b}/x">l</a>') for i, (a, b) in enumerate(zip(hosts, hosts[1:]))] + [(20, "http://bad.com/de/1", ""), (21, "http://apart.net/", "")]
+    got = {r["page_id"]: r for r in link_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i]["verdict"] for i in range(22)] == ["block"] * 21 + ["allow"]
+    assert all(got[i]["distrust"] == pytest.approx((1 - link_trust.DAMPING) * link_trust.DAMPING ** (20 - i)) for i in range(21))
