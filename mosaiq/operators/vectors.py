@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -13,12 +14,24 @@ from pyspark.sql import functions as F
 def nearest(queries: DataFrame, items: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", most_queries: int = 20_000) -> DataFrame:
     """The k nearest items (other than itself) of each query: ``query``, ``item``, ``distance``, ``rank``.
 
-    A stated set of queries against all rows in blocks: queries are collected up to ``most_queries`` and go to every
-    task, which keeps k candidates of its own rows for each; only those meet.  A larger set is refused.
+    Queries against all rows in blocks: each block of up to ``most_queries`` goes to every task, which keeps k candidates of
+    its own rows for each; only those meet.  The rows are read once for each block.
     """
-    rows = queries.select(id_column, vector).limit(most_queries + 1).collect()
-    if len(rows) > most_queries:
-        raise ValueError(f"more than {most_queries} queries; split them")
+    blocks, rows = [], []
+    for row in queries.select(id_column, vector).toLocalIterator():
+        rows.append(row)
+        if len(rows) == most_queries:
+            blocks.append(_candidates(rows, items, k, id_column, vector))
+            rows = []
+    if rows or not blocks:
+        blocks.append(_candidates(rows, items, k, id_column, vector))
+    found = reduce(DataFrame.unionByName, blocks)
+    ranked = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "item"))), 1, k).alias("a"))
+    return ranked.select("query", F.posexplode("a").alias("rank", "s")).select("query", "s.item", "s.distance", (F.col("rank") + 1).cast("long").alias("rank"))
+
+
+def _candidates(rows: list, items: DataFrame, k: int, id_column: str, vector: str) -> DataFrame:
+    """``query``, ``item``, ``distance``: the k nearest items of each task for each of the collected queries."""
     ids = np.array([r[0] for r in rows], np.int64)
     points = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
     shared = items.sparkSession.sparkContext.broadcast((ids, points))
@@ -41,9 +54,7 @@ def nearest(queries: DataFrame, items: DataFrame, k: int, id_column: str = "vec_
         out = pd.DataFrame({"query": q, "item": best_i.ravel(), "distance": best_d.ravel()})
         yield out[np.isfinite(out["distance"])]
 
-    found = items.select(id_column, vector).mapInPandas(scan, "query long, item long, distance double")
-    ranked = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "item"))), 1, k).alias("a"))
-    return ranked.select("query", F.posexplode("a").alias("rank", "s")).select("query", "s.item", "s.distance", (F.col("rank") + 1).cast("long").alias("rank"))
+    return items.select(id_column, vector).mapInPandas(scan, "query long, item long, distance double")
 
 
 def smooth_distances(neighbours: DataFrame, steps: int = 64, tolerance: float = 1e-5) -> DataFrame:

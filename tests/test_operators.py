@@ -126,3 +126,11 @@ def test_streams_give_what_batches_give(spark, tmp_path):
     key = lambda r: (r["window_start"], r["event_type"])
     batch = {key(r): r["n"] for r in events.tumbling(source, "1 day", ["event_type"]).collect()}
     assert {key(r): r["n"] for r in spark.table("tumbled").collect()} == batch
+
+
+def test_neighbours_of_more_queries_than_a_block(spark):
+    rows = spark.createDataFrame([(i, [float(i * i % 37), float(i % 11)]) for i in range(40)], "vec_id long, embedding array<double>")
+    whole = sorted(vectors.nearest(rows, rows, 3).collect())
+    assert len(whole) == 120
+    for most in (7, 8, 40):
+        assert sorted(vectors.nearest(rows, rows.repartition(3), 3, most_queries=most).collect()) == whole
