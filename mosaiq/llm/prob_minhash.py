@@ -8,31 +8,42 @@ their weights.  A shingle's process stops as soon as its next arrival is later t
 Texts that are equal word for word are one *text class* first, so only one of them is banded and compared.  Within a
 band's bucket no pairs of all members are made.  The bucket's most central text (the one that shares buckets with most
 texts; of an original and its edited copies, the original) is compared with all members, and components of the verified
-links are found.  What is left is settled by an exact prefix filter (``open_pairs``): texts of buckets whose other members
-are still in several components list their shingles, rarest first, as far as a link can have its first common shingle
-there, and texts of different components that meet in such a shingle are compared.  Every pair of a bucket is then of
-one component, or compared, or too far apart by that bound; nothing is stopped early.  A link is a probability Jaccard
-similarity of 0.8 or more, computed from the texts themselves.
-
-The bound: let a and b be the odds (share by weight, divided by the rest) of what each of two texts has outside the other.
+links are found.  What is left are pairs of different components in one bucket, and each is compared unless one of two
+exact filters rules it out; nothing is stopped early.  A link is a probability Jaccard similarity of 0.8 or more, computed
+from the texts themselves.
+
+Where both texts are like the bucket's central text (``NEAR``), they are told apart by what each changes in it
+(``changed_pairs``).  Let D be the shingles that only one of a text and the central one has.  Two texts that share s of
+their D differ in at least |D1| + |D2| - 2 s shingles, and the larger weights of all shingles add up to the central
+text's weight and what either text adds to it at most; a link allows differences of a fifth of that.  So s is bounded
+from below, and texts of different components meet only if their rarest changes leave room for s common ones.  Copies of
+one source that were edited independently share few changes, so a large group of them leaves few pairs.
+
+Of the other pairs one text is unlike the central one, so the other is less than NEAR + 0.2 similar to it (1 - similarity is
+a metric, as similarity is the probability that hashes agree).  Such texts list their shingles, rarest first, as far as a
+link can have its first common shingle there, and texts of different components that meet in one are compared
+(``open_pairs``).
+
+The bound there: let a and b be the odds (share by weight, divided by the rest) of what each of two texts has outside the other.
 Their similarity is at most 1 / (1 + a + b), as each common shingle adds a concave, homogeneous function of its two
 shares.  In any order of the shingles, all that a text has before the first common one is outside the other text.
 
 Null texts and texts without a word have no shingle and are classes of their own.  Rows with equal ids are one
-document; rows with a null id are left out.  Other columns are ignored.  Ties are broken by the least id.
+document, whose text is the least of theirs; rows with a null id are left out.  Other columns are ignored.  Ties are broken
+by the least id.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import materialise, released_shuffles
+from mosaiq.llm.common import materialise, released_shuffles, small
 from mosaiq.llm.components import components
 
 SHINGLE = 5
@@ -41,6 +52,8 @@ BANDS = 20
 BAND_ROWS = 5
 #: Counters of the shingles' frequencies; they only order the shingles, so that two may share one.
 SLOT_BITS = 18
+#: Texts that are so similar to their bucket's central text are told apart by their changes of it.
+NEAR = 0.5
 
 
 def weighted_shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -138,42 +151,61 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
     return docs.filter(F.col(id_column).isNotNull()).select(id_column, text).mapInArrow(run, f"doc_id {kind}, text_class binary, bands array<long>")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, threshold: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The pairs ``u``, ``v`` whose texts are similar enough, with ``similarity``."""
+def _with_texts(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
+    """Pairs ``u``, ``v`` with the texts ``tu``, ``tv`` of both; only texts of some pair are moved."""
+    ids = small(pairs.select(F.explode(F.array("u", "v")).alias("id")).distinct())
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).join(ids, "id", "left_semi")
+    return pairs.join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u")
+
+
+def _row_shingles(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sorted hashes and weights of each row's shingles."""
+    out = []
+    for a, z, data, offsets in wordhash.pieces(column, 1_000_000):
+        hashes, rows, weights = weighted_shingles(data, offsets)
+        at = np.searchsorted(rows, np.arange(z - a + 1))
+        out += [(hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]) for i in range(z - a)]
+    return out
+
 
-    texts = docs.select(F.col(id_column).alias("id"), F.col(text).alias("t"))
-    both = pairs.join(texts.select(F.col("id").alias("v"), F.col("t").alias("tv")), "v").join(texts.select(F.col("id").alias("u"), F.col("t").alias("tu")), "u")
+def verify(pairs: DataFrame, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+    """The pairs ``u``, ``v`` with the ``similarity`` of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = []
-            for column in (batch.column(2), batch.column(3)):
-                each = []
-                for a, z, data, offsets in wordhash.pieces(column, 1_000_000):
-                    hashes, rows, weights = weighted_shingles(data, offsets)
-                    at = np.searchsorted(rows, np.arange(z - a + 1))
-                    each += [(hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]) for i in range(z - a)]
-                parts.append(each)
-            found = np.array([similarity(a, b) for a, b in zip(*parts, strict=True)])
-            keep = pa.array(found >= threshold - 1e-9)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "similarity"]).filter(keep)
+            found = [similarity(a, b) for a, b in zip(_row_shingles(batch.column(2)), _row_shingles(batch.column(3)), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return both.select("u", "v", "tu", "tv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
+    return _with_texts(pairs, docs, id_column, text).select("u", "v", "tu", "tv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
+
+
+def linked(threshold: float) -> Column:
+    return F.col("similarity") >= threshold - 1e-9
+
+
+def _text_shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    for _, _, data, offsets in wordhash.pieces(column, 1_000_000):
+        yield weighted_shingles(data, offsets)[0]
+
 
+def _listed_shingles(column: pa.Array) -> Iterator[np.ndarray]:
+    yield column.flatten().to_numpy().view(np.uint64)
 
-def _frequencies(texts: DataFrame) -> np.ndarray:
-    """How many of the texts have a shingle of each slot; each task sums its own, the result has a fixed size."""
+
+def _frequencies(rows: DataFrame, shingles: Callable[[pa.Array], Iterator[np.ndarray]]) -> np.ndarray:
+    """How many of the rows of one column have a shingle of each slot; each task sums its own, the result has a fixed
+    size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for batch in batches:
-            for _, _, data, offsets in wordhash.pieces(batch.column(1), 1_000_000):
-                total += np.bincount(_slots(weighted_shingles(data, offsets)[0]), minlength=len(total))
+            for hashes in shingles(batch.column(0)):
+                total += np.bincount(_slots(hashes), minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["slot", "n"])
 
-    rows = texts.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -204,7 +236,7 @@ def prefix(hashes: np.ndarray, rows: np.ndarray, weights: np.ndarray, frequencie
 def open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``u``, ``v`` of texts (``id``, ``t``, ``part``) of different parts that can be linked."""
     most, kind = most_odds(threshold), texts.schema["id"].dataType.simpleString()
-    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts.select("id", "t")))
+    shared = texts.sparkSession.sparkContext.broadcast(_frequencies(texts.select("t"), _text_shingles))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,6 +257,67 @@ def open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
     return met.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct()
 
 
+def changes(central: tuple[np.ndarray, np.ndarray], own: tuple[np.ndarray, np.ndarray], threshold: float) -> tuple[np.ndarray, float, float]:
+    """The shingles that only one of two texts has; their number less a fifth of what ``own`` adds in weight, and a fifth
+    of the weight of ``central`` (a fifth is 1 - threshold)."""
+    (hc, wc), (ho, wo) = central, own
+    common, ic, io = np.intersect1d(hc, ho, assume_unique=True, return_indices=True)
+    more = wo.sum() - wo[io].sum() + np.maximum(wo[io] - wc[ic], 0).sum()
+    part = 1.0 - threshold + 1e-9
+    d = np.setxor1d(hc, ho, assume_unique=True)
+    return d, len(d) - part * more, part * wc.sum()
+
+
+def changed_pairs(near: DataFrame, docs: DataFrame, threshold: float, id_column: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The pairs ``u``, ``v`` of different parts that their changes of one ``leader`` do not tell apart; and the leaders
+    of which a text has more weight of repeated shingles than these counts allow for.
+
+    near has ``leader``, ``id``, ``part``, ``similarity``.  A pair needs (extra1 + extra2 - room) / 2 common changes; one of
+    two texts of different parts is not linked to the leader, so its extra is beyond the room."""
+    kind = docs.schema[id_column].dataType.simpleString()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [changes(c, o, threshold) for o, c in zip(_row_shingles(batch.column(4)), _row_shingles(batch.column(5)), strict=True)]
+            bounds = np.cumsum([0, *(len(f[0]) for f in found)])
+            flat = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
+            lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat.view(np.int64), pa.int64()))
+            extra, room = (pa.array([f[k] for f in found], pa.float64()) for k in (1, 2))
+            yield pa.RecordBatch.from_arrays([lists, *batch.columns[:4], extra, room], names=["changed", "leader", "id", "part", "linked", "extra", "room"])
+
+    pairs = near.select(F.col("id").alias("u"), F.col("leader").alias("v"), "part", linked(threshold).alias("linked"))
+    both = _with_texts(pairs, docs, id_column, text).select("v", "u", "part", "linked", "tu", "tv")
+    found = materialise(both.mapInArrow(compare, f"changed array<long>, leader {kind}, id {kind}, part {kind}, linked boolean, extra double, room double"))
+    loose = found.filter("extra < 0 or (not linked and extra <= room)").select("leader").distinct()
+    shared = docs.sparkSession.sparkContext.broadcast(_frequencies(found.select("changed"), _listed_shingles))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lengths, flat = np.diff(batch.column(0).offsets.to_numpy()), batch.column(0).flatten().to_numpy().view(np.uint64)
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            order = np.lexsort((flat, shared.value[_slots(flat)], row))
+            left = lengths[row] - (np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths))
+            extra, room = (batch.column(k).to_numpy() for k in (5, 6))
+            least = (extra - np.where(batch.column(4).to_numpy(zero_copy_only=False), 0.0, room)) / 2 - 1e-6
+            keep = np.flatnonzero(left >= np.maximum(least, 1)[row])
+            rows = pa.array(row[keep], pa.int64())
+            columns = [batch.column(k).take(rows) for k in (1, 2, 3, 5, 6)]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64), pa.int64()), pa.array(left[keep], pa.int64()), *columns], names=["shingle", "room_left", "leader", "id", "part", "extra", "room"])
+
+    entries = materialise(found.mapInArrow(heads, f"shingle long, room_left long, leader {kind}, id {kind}, part {kind}, extra double, room double"))
+    place = ["leader", "shingle"]
+    tops = entries.groupBy(*place, "part").agg(F.max("room_left").alias("most"), F.min("extra").alias("least"), F.max("room").alias("room"))
+    mixed = tops.groupBy(*place).agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select(*place)
+    tops = materialise(tops.join(mixed, place))
+    meets = lambda a, b, x, y: F.least(a, b) >= (F.col(x) + F.col(y) - F.col("room")) / 2 - 1e-6
+    one = tops.select(*place, F.col("part").alias("part_a"), F.col("most").alias("most_a"), F.col("least").alias("least_a"), "room")
+    two = tops.select(*place, F.col("part").alias("part_b"), F.col("most").alias("most_b"), F.col("least").alias("least_b"))
+    couples = one.join(two, place).filter((F.col("part_a") < F.col("part_b")) & meets("most_a", "most_b", "least_a", "least_b"))
+    a, b = (entries.select(*place, F.col("part").alias(f"part_{k}"), F.col("id").alias(f"id_{k}"), F.col("room_left").alias(f"left_{k}"), F.col("extra").alias(f"extra_{k}")) for k in "ab")
+    met = couples.join(a, [*place, "part_a"]).filter(meets("left_a", "most_b", "extra_a", "least_b")).join(b, [*place, "part_b"]).filter(meets("left_a", "left_b", "extra_a", "extra_b"))
+    return met.select(F.least("id_a", "id_b").alias("u"), F.greatest("id_a", "id_b").alias("v")).distinct(), loose
+
+
 def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """``node``, ``component`` of the texts that have a link; firsts has ``doc_id``, ``bands``."""
     buckets = firsts.select("doc_id", F.explode("bands").alias("bucket"))
@@ -235,18 +328,23 @@ def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column
     rank = F.row_number().over(Window.partitionBy("bucket").orderBy(F.col("central").desc(), "doc_id"))
     leaders = materialise(members.withColumn("r", rank).filter("r = 1").select("bucket", F.col("doc_id").alias("leader")))
     led = members.join(leaders, "bucket").filter(F.col("doc_id") != F.col("leader"))
-    tried = materialise(led.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct())
-    found = materialise(verify(tried, docs, threshold, id_column, text).select("u", "v"))
-    parts = materialise(components(found))
+    tried = materialise(verify(led.select(F.least("doc_id", "leader").alias("u"), F.greatest("doc_id", "leader").alias("v")).distinct(), docs, id_column, text))
+    parts = materialise(components(tried.filter(linked(threshold)).select("u", "v")))
     # the pairs that are neither compared nor of one component are of members that do not lead their bucket
-    placed = materialise(led.select("bucket", "doc_id").join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "doc_id", F.coalesce("component", "doc_id").alias("part")))
+    placed = materialise(led.select("bucket", "doc_id", "leader").join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "leader", F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("part")))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-    unsettled = materialise(placed.join(mixed, "bucket").select(F.col("doc_id").alias("id"), "part").distinct())
+    unsettled = placed.join(mixed, "bucket").select("leader", "id", "part").distinct()
+    unsettled = unsettled.withColumn("u", F.least("id", "leader")).withColumn("v", F.greatest("id", "leader"))
+    unsettled = materialise(unsettled.join(tried, ["u", "v"]).select("leader", "id", "part", "similarity"))
     if unsettled.isEmpty():
         return parts
-    texts = materialise(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).join(unsettled, "id").select("id", "t", "part"))
-    pairs = materialise(open_pairs(texts, threshold).join(tried, ["u", "v"], "left_anti"))
-    more = verify(pairs, docs, threshold, id_column, text).select("u", "v")
+    changed, loose = changed_pairs(unsettled.filter(F.col("similarity") >= NEAR), docs, threshold, id_column, text)
+    far = unsettled.filter(F.col("similarity") < NEAR).select("leader").distinct()
+    unlike = unsettled.filter(F.col("similarity") < NEAR + 1.0 - threshold + 1e-6).join(far, "leader", "left_semi").unionByName(unsettled.join(loose, "leader", "left_semi"))
+    unlike = small(unlike.select("id", "part").distinct())
+    texts = materialise(docs.select(F.col(id_column).alias("id"), F.col(text).alias("t")).join(unlike, "id").select("id", "t", "part"))
+    pairs = materialise(open_pairs(texts, threshold).unionByName(changed).distinct().join(tried.select("u", "v"), ["u", "v"], "left_anti"))
+    more = verify(pairs, docs, id_column, text).filter(linked(threshold)).select("u", "v")
     return components(more.unionByName(parts.select(F.col("node").alias("u"), F.col("component").alias("v"))))
 
 
@@ -254,10 +352,12 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     """``doc_id``, ``class_id`` (the least id of the class), ``text_class_id`` (the least id with the same words) of
     every document."""
     spark = docs.sparkSession
+    if _repeats(docs, id_column):
+        docs = materialise(docs.groupBy(id_column).agg(F.min(text).alias(text)))
     with released_shuffles(spark):
         sketches = materialise(sketch(docs, id_column, text))
         firsts = materialise(sketches.filter(F.col("text_class").isNotNull()).groupBy("text_class").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("text_class", "f.*"))
-        parts = linked_parts(firsts, docs.dropDuplicates([id_column]) if _repeats(docs, id_column) else docs, threshold, id_column, text)
+        parts = linked_parts(firsts, docs, threshold, id_column, text)
         of_text = firsts.join(parts, firsts["doc_id"] == parts["node"], "left").select("text_class", F.col("doc_id").alias("text_class_id"), F.coalesce("component", "doc_id").alias("class_id"))
     placed = sketches.select("doc_id", "text_class").join(of_text, "text_class", "left")
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class_id", "doc_id").alias("text_class_id"))
@@ -270,7 +370,11 @@ def _repeats(docs: DataFrame, id_column: str) -> bool:
 
 
 def deduplicate(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents with one, that of the least id, of each class; rows with a null id stay as they are."""
+    """The documents with one, that of the least id, of each class; rows with a null id stay as they are.  Of rows with
+    one id that with the least text stays."""
     keep = classes(docs, id_column=id_column, text=text).filter(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias(id_column)).distinct()
-    kept = docs.dropDuplicates([id_column]) if _repeats(docs.filter(F.col(id_column).isNotNull()), id_column) else docs
+    kept = docs.filter(F.col(id_column).isNotNull())
+    if _repeats(docs, id_column):
+        first = Window.partitionBy(id_column).orderBy(F.col(text).asc_nulls_last(), F.xxhash64(*docs.columns))
+        kept = kept.withColumn("_row", F.row_number().over(first)).filter("_row = 1")
     return kept.join(keep, id_column, "left_semi").select(*docs.columns).unionByName(docs.filter(F.col(id_column).isNull()))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from mosaiq.llm import bpe_codec, components, latent_decontam, prob_minhash, quality_lm, warc
+from mosaiq.llm import bpe_codec, components, latent_decontam, prob_minhash, quality_lm, warc, wordhash
 from mosaiq.llm.common import shared_dir
 from mosaiq.llm.queries import byte_vocabulary
 
@@ -120,6 +120,79 @@ def test_every_link_of_a_crowded_bucket_is_found(spark):
     assert len(set(got.values())) == 23
 
 
+def _classes_by_all_pairs(texts):
+    """The least index of each text's class, by comparing all pairs."""
+    shingles = []
+    for t in texts:
+        data, offsets = wordhash.buffers(pa.array([t], pa.string()))
+        hashes, _, weights = prob_minhash.weighted_shingles(data, offsets)
+        shingles.append((hashes, weights))
+    found = list(range(len(texts)))
+
+    def root(i):
+        while found[i] != i:
+            i = found[i]
+        return i
+
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(shingles[i][0]) and len(shingles[j][0]) and prob_minhash.similarity(shingles[i], shingles[j]) >= 0.8 - 1e-9:
+                a, b = sorted((root(i), root(j)))
+                found[b], links = a, links + 1
+    return [root(i) for i in range(len(texts))], links
+
+
+def test_pairs_inside_a_crowd_of_like_texts_are_all_found(spark):
+    """150 pairs at about 0.82 whose members are about 0.75 from everything else, in one bucket with one leader."""
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(400)]
+    texts = [" ".join(base)]
+    for k in range(150):
+        one = list(base)
+        for place in rng.sample(range(0, 395, 6), 8):
+            one[place] = f"x{k}_{place}"
+        other = list(one)
+        for place in rng.sample(range(3, 395, 6), 7):
+            other[place] = f"y{k}_{place}"
+        texts += [" ".join(one), " ".join(other)]
+    want, links = _classes_by_all_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    parts = prob_minhash.linked_parts(docs.select("doc_id", F.array(F.lit(1).cast("long")).alias("bands")), docs, 0.8)
+    got = {r["node"]: r["component"] for r in parts.collect()}
+    assert links >= 150
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_changes_rule_out_no_link(spark):
+    """Repeated words, so that weights differ, and texts near and far from the leader."""
+    rng = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [rng.choice(["a", "b", "c", f"w{rng.randrange(60)}"]) for _ in range(60)]
+        for _ in range(14):
+            own = list(base)
+            for _ in range(rng.randrange(0, 5)):
+                own[rng.randrange(60)] = rng.choice(["a", "b", f"w{rng.randrange(60)}"])
+            texts.append(" ".join(own * rng.choice([1, 1, 1, 2])))
+    texts = sorted(set(texts))
+    want, _ = _classes_by_all_pairs(texts)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    parts = prob_minhash.linked_parts(docs.select("doc_id", F.array(F.lit(1).cast("long")).alias("bands")), docs, 0.8)
+    got = {r["node"]: r["component"] for r in parts.collect()}
+    assert [got.get(i, i) for i in range(len(texts))] == want
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    long = " ".join(f"l{i % 5000}" for i in range(60_000))
+    rows = [(1, "b " * 20), (1, "a " * 20), (1, None), (2, "a " * 20), (3, long), (4, long + " end"), (None, "a a")]
+    docs = spark.createDataFrame(rows, "doc_id int, text string")
+    got = {r["doc_id"]: r["class_id"] for r in prob_minhash.classes(docs).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 4: 3}
+    kept = prob_minhash.deduplicate(docs).collect()
+    assert sorted((r["doc_id"] or 0, len(r["text"])) for r in kept) == [(0, 3), (1, 40), (3, len(long))]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 160)] + [(200, 200)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
