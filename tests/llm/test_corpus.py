@@ -3,6 +3,7 @@
 import gzip
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -224,8 +225,41 @@ def test_leaks_are_found_and_clean_text_left_alone(spark):
     assert latent_decontam.leaks(docs.limit(0), bench).count() == 0 and latent_decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def windows_of(bounds, size):
+    """Rows and first words of windows of ``size`` words, a quarter apart; the last of a row ends with it."""
+    stride, words = max(1, size // 4), np.diff(bounds)
+    n = np.where(words > 0, 1 + np.maximum(0, -(-(words - size) // stride)), 0)
+    row = np.repeat(np.arange(len(words)), n)
+    step = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+    return row, bounds[row] + np.minimum(step * stride, np.maximum(0, words[row] - size))
+
+
+def test_leaks_among_few_or_equal_documents_and_frequent_words(spark):
+    r = random.Random(7)
+    item = " ".join(f"w{i}" for i in range(30))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    alone = spark.createDataFrame([(5, item)], "doc_id long, text string")
+    assert [x["item_id"] for x in latent_decontam.leaks(alone, bench).collect()] == [1]
+    everywhere = spark.createDataFrame([(i, " ".join(f"v{r.randrange(9999)}" for _ in range(60)) + " " + item) for i in range(50)], "doc_id long, text string")
+    assert latent_decontam.leaks(everywhere, bench).count() == 50
+    common = [f"c{i}" for i in range(40)]
+    frequent = " ".join(r.choice(common) for _ in range(25))
+    bench = spark.createDataFrame([(2, frequent)], "item_id long, text string")
+    rare = lambda: " ".join(f"r{r.randrange(10**6)}" for _ in range(20))
+    rows = [(i, f"{rare()} {frequent} {rare()}") for i in range(50)] + [(100 + i, " ".join(common)) for i in range(200)]
+    rows.append((999, " ".join(rare() for _ in range(5000)) + " " + frequent))  # a very long one
+    got = {x["doc_id"] for x in latent_decontam.leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {*range(50), 999}
+
+
+def test_items_in_blocks_are_found_as_at_once(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i + k}" for k in range(40))) for i in range(0, 300, 10)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(f"w{i + k}" for k in range(5, 25))) for i in range(0, 300, 30)], "item_id long, text string")
+    got = [{(x["doc_id"], x["item_id"]) for x in latent_decontam.leaks(docs, bench, latent_decontam.Settings(block_items=n)).collect()} for n in (3, 1000)]
+    assert got[0] == got[1] and {(i, i) for i in range(0, 300, 30)} <= got[0]
+
+
 def test_paraphrases_are_found_as_far_as_the_confirmation_reaches():
-    import numpy as np
 
     r, ld, settings = random.Random(5), latent_decontam, latent_decontam.Settings()
     words = ["".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(6000)]
@@ -244,7 +278,7 @@ def test_paraphrases_are_found_as_far_as_the_confirmation_reaches():
     wanted = {}
     for i, w in enumerate(held):  # every window against every item of its size
         item, size = ld.prepared(w, settings), int(index.window[i])
-        for row, start in zip(*(x.tolist() for x in ld.windows_of(found.bounds, size)), strict=True):
+        for row, start in zip(*(x.tolist() for x in windows_of(found.bounds, size)), strict=True):
             low, high = max(found.bounds[row], start - size // 4), min(found.bounds[row + 1], start + size + size // 4)
             if share := ld.confirm(item, found.hashes[low:high].tolist(), settings):
                 wanted[row, i] = max(share, wanted.get((row, i), 0))
@@ -260,8 +294,7 @@ def test_longest_common_subsequence():
         for i, x in enumerate(a):
             for j, y in enumerate(b):
                 table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
-        import numpy as np
-
+    
         assert latent_decontam.common_subsequence(latent_decontam.masks(np.array(a)), len(a), b) == table[-1][-1]
 
 
