@@ -128,13 +128,31 @@ _THRESHOLDS = {
 }
 
 
+_RUN = _HIST + ", p AS (SELECT *, n / (sum(n) OVER (PARTITION BY image))::DOUBLE AS p FROM h), c AS (SELECT image, v, p, sum(p) OVER u AS p0, sum(p) OVER e - sum(p) OVER u AS p1, sum(p * p) OVER u AS q0, sum(p * p) OVER e - sum(p * p) OVER u AS q1, sum(sqrt(p)) OVER u AS r0, sum(sqrt(p)) OVER e - sum(sqrt(p)) OVER u AS r1, sum(p * ln(p)) OVER u AS e0, sum(p * ln(p)) OVER e - sum(p * ln(p)) OVER u AS e1, sum(n) OVER u AS cu, sum(n) OVER e AS total, n, sum(p * v) OVER u AS s0, sum(p * v) OVER e - sum(p * v) OVER u AS s1, sum(p * v * v) OVER u AS z0, sum(p * v * v) OVER e - sum(p * v * v) OVER u AS z1, lead(v) OVER (PARTITION BY image ORDER BY v) AS after FROM p WINDOW u AS (PARTITION BY image ORDER BY v ROWS UNBOUNDED PRECEDING), e AS (PARTITION BY image))"
+_ARGMIN = " SELECT image, arg_min(v, (round({k}, 9), v)) AS threshold FROM {t} WHERE {k} IS NOT NULL GROUP BY image"
+_SIG = "(CASE WHEN z{k} / p{k} - (s{k} / p{k}) ** 2 > 1e-9 THEN p{k} * ln(z{k} / p{k} - (s{k} / p{k}) ** 2) - 2 * p{k} * ln(p{k}) END)"
+_RENYI = {"half": "2 * ln(r0 * r1 / sqrt(p0 * p1))", "one": "ln(p0) - e0 / p0 + ln(p1) - e1 / p1", "two": "-ln(q0 * q1 / (p0 * p1) ** 2)"}
+_THRESHOLDS |= {
+    "rosin": _THRESHOLDS["triangle"],
+    "li": _RUN + ", k AS (SELECT image, v, -(CASE WHEN s0 > 0 THEN s0 * ln(s0 / p0) ELSE 0 END + CASE WHEN s1 > 0 THEN s1 * ln(s1 / p1) ELSE 0 END) AS k FROM c WHERE cu < total)" + _ARGMIN.format(k="k", t="k"),
+    "minerror": _RUN + f", k AS (SELECT image, v, 1 + {_SIG.format(k=0)} + {_SIG.format(k=1)} AS k FROM c WHERE cu < total)" + _ARGMIN.format(k="k", t="k"),
+    "percentile": _RUN + _ARGMIN.format(k="abs(cu / total - 0.5)", t="c"),
+    "yen": _RUN + ", k AS (SELECT image, v, ln(q0 * q1) - 2 * ln(p0 * p1) AS k FROM c WHERE q1 > 1e-15)" + _ARGMIN.format(k="k", t="k"),
+    "moments": _RUN + ", m AS (SELECT image, sum(p * v) AS m1, sum(p * v ** 2) AS m2, sum(p * v ** 3) AS m3 FROM p GROUP BY image), k AS (SELECT image, m1, (m1 * m3 - m2 * m2) / (m2 - m1 * m1) AS c0, (m1 * m2 - m3) / (m2 - m1 * m1) AS c1 FROM m), d AS (SELECT image, ((-c1 + sqrt(c1 * c1 - 4 * c0)) / 2 - m1) / sqrt(c1 * c1 - 4 * c0) AS dark FROM k) SELECT c.image AS image, min(v) AS threshold FROM c JOIN d ON c.image = d.image WHERE round(cu / total - dark, 9) > 0 GROUP BY c.image",
+    "ij1": _RUN + ", k AS (SELECT *, (s0 / p0 + s1 / p1) / 2 AS mid FROM c WHERE cu < total) SELECT image, CAST(floor(round(arg_min(mid, v), 9) + 0.5) AS BIGINT) AS threshold FROM k WHERE after + 1 > mid GROUP BY image",
+    "huang": _RUN + ", s AS (SELECT image, max(v) - min(v) AS span FROM h GROUP BY image), f AS (SELECT c.image AS image, c.v AS v, h.n AS n, total, 1 / (1 + abs(h.v - CASE WHEN h.v <= c.v THEN s0 / p0 ELSE s1 / p1 END) / span) AS b FROM c JOIN h ON c.image = h.image JOIN s ON s.image = c.image WHERE cu < total), k AS (SELECT image, v, sum(n * CASE WHEN b < 1 - 1e-12 THEN -b * ln(b) - (1 - b) * ln(1 - b) ELSE 0 END) / any_value(total) AS k FROM f GROUP BY image, v)" + _ARGMIN.format(k="k", t="k"),
+    "shanbhag": _RUN + ", k AS (SELECT c.image AS image, c.v AS v, abs(sum(CASE WHEN d.v <= c.v THEN -d.n / c.cu * ln(1 - 0.5 * (d.cu - d.n) / c.cu) END) - sum(CASE WHEN d.v > c.v THEN -d.n / (c.total - c.cu) * ln(1 - 0.5 * (c.total - d.cu) / (c.total - c.cu)) END)) / 2 AS k FROM c JOIN c AS d ON c.image = d.image WHERE c.cu < c.total GROUP BY c.image, c.v)" + _ARGMIN.format(k="k", t="k"),
+    "renyi": _RUN + ", b AS (SELECT image, " + ", ".join(f"arg_max({{'v': v, 'p': p0}}, (round({f}, 9), -v)) AS {k}" for k, f in _RENYI.items()) + " FROM c WHERE p1 > 1e-12 AND q1 > 1e-15 GROUP BY image), t AS (SELECT image, list_sort([half, one, two]) AS t FROM b), g AS (SELECT image, t[1].v AS v1, t[2].v AS v2, t[3].v AS v3, t[1].p AS x1, t[3].p AS x3, (t[2].v - t[1].v <= 5) AS low, (t[3].v - t[2].v <= 5) AS high FROM t) SELECT image, CAST(floor(round(v1 * (x1 + 0.25 * (x3 - x1) * CASE WHEN low = high THEN 1 WHEN low THEN 0 ELSE 3 END) + 0.25 * v2 * (x3 - x1) * CASE WHEN low = high THEN 2 ELSE 1 END + v3 * (1 - x3 + 0.25 * (x3 - x1) * CASE WHEN low = high THEN 1 WHEN low THEN 3 ELSE 0 END), 9)) AS BIGINT) AS threshold FROM g",
+}
+
+
 def _threshold(name: str) -> None:
-    @plans.add(f"threshold_{name}", _THRESHOLDS[name])
+    @plans.add(f"threshold_{name}", _THRESHOLDS.get(name))
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return thresholds.METHODS[name](thresholds.histogram(lines_raster(spark, sf_dir)))
 
 
-for _name in _THRESHOLDS:
+for _name in thresholds.METHODS:
     _threshold(_name)
 
 _MASK = f"{RASTER}, mu AS (SELECT image, floor(avg(v)) + 2 AS t FROM px GROUP BY image), mask AS (SELECT px.image AS image, y, x, CAST(v > t AS BIGINT) AS v FROM px JOIN mu ON px.image = mu.image)"
