@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from mosaiq.plans import collections, rasters, tables
+from mosaiq.plans import collections, filters, rasters, regions, tables
 from mosaiq.plans.common import Query
 
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
-for _plans in (tables.plans, rasters.plans, collections.plans):
+for _plans in (tables.plans, rasters.plans, filters.plans, regions.plans, collections.plans):
     QUERIES |= _plans.queries
     ORACLE |= _plans.oracle
 FLAGSHIP = "group_mean_join_back"

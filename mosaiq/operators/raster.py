@@ -88,8 +88,8 @@ def black_hat(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) ->
 
 
 def convolve(pixels: DataFrame, kernel: dict[tuple[int, int], float]) -> DataFrame:
-    """Weighted sum over the neighbourhood; outside the image is 0."""
-    steps = F.array(*[F.struct(F.lit(-dy).alias("dy"), F.lit(-dx).alias("dx"), F.lit(float(k)).alias("k")) for (dy, dx), k in kernel.items() if k])
+    """Each pixel gets the weight at an offset times the pixel that lies so far before it; outside the image is 0."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(float(k)).alias("k")) for (dy, dx), k in kernel.items() if k])
     moved = pixels.select("image", "y", "x", "v", F.explode(steps).alias("o"))
     moved = moved.select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("v") * F.col("o.k")).alias("v"))
     return moved.groupBy(*AT).agg(F.sum("v").alias("v")).join(pixels.select(*AT), AT, "left_semi").select(*AT, "v")
