@@ -18,7 +18,7 @@ nothing could be learned.  Rows are predicted one by one: repeated rows, ties an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import hash_share, small
+from mosaiq.llm.common import small
 
 TABLE_BITS = 16
 SEGMENT = 64
@@ -39,6 +39,8 @@ class Sampling:
     """Bounds of what the model is fitted on."""
 
     docs_per_language: int = 250
+    #: Labels beyond this number are an error: the model and its sample grow with them.
+    most_languages: int = 200
     chars_per_doc: int = 1500
     lexicon_words: int = 20_000
     batches: int = 160
@@ -271,24 +273,28 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, sampling: Sampling = Sampling(), id_column: str = "doc_id", text: str = "text", label: str = "lang") -> tuple[list[str], list[str]]:
-    """At most ``docs_per_language`` documents of each label, those with the least hash of their id, and the first
-    ``chars_per_doc`` characters of each; held-out documents never."""
-    able = docs.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & ~held_out(F.col(id_column)))
-    # of a frequent label, only some twice as many ids as are wanted come to its window
-    counts = small(able.groupBy(label).agg(F.count(F.lit(1)).alias("n")))
-    few = able.select(id_column, label).join(counts, label).filter(hash_share(id_column) <= 2.0 * sampling.docs_per_language / F.col("n") + 1e-9).drop("n")
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(id_column), id_column))
-    ids = [r[0] for r in few.withColumn("r", rank).filter(F.col("r") <= sampling.docs_per_language).select(id_column).collect()]
-    if not ids:
-        return [], []
-    rows = able.filter(F.col(id_column).isin(ids) & F.col(text).isNotNull()).select(F.substring(text, 1, sampling.chars_per_doc).alias("t"), F.col(label).alias("l"), F.col(id_column).alias("i"))
-    found = sorted(rows.collect(), key=lambda r: (r["l"], r["i"], r["t"]))
+    """At most ``docs_per_language`` documents of each label, those with the least hash of id and text, and
+    ``chars_per_doc`` characters from anywhere in each; held-out documents never.  Equal rows count once."""
+    able = docs.filter(F.col(label).isNotNull() & F.col(id_column).isNotNull() & F.col(text).isNotNull() & ~held_out(F.col(id_column)))
+    able = able.select(F.col(id_column).alias("i"), F.col(label).alias("l"), F.col(text).alias("t"), F.xxhash64(id_column, text).alias("h"))
+    counts = small(able.groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+    if counts.limit(sampling.most_languages + 1).count() > sampling.most_languages:
+        raise ValueError(f"more than {sampling.most_languages} labels")
+    # of a frequent label, only some twice as many rows as are wanted come to its window
+    share = F.pmod(F.col("h"), F.lit(1 << 30)) / float(1 << 30)
+    few = able.select("l", "i", "h").join(counts, "l").filter(share <= 2.0 * sampling.docs_per_language / F.col("n") + 1e-9).select("l", "i", "h").distinct()
+    rank = F.row_number().over(Window.partitionBy("l").orderBy("h", "i"))
+    drawn = few.withColumn("r", rank).filter(F.col("r") <= sampling.docs_per_language).select("l", "i", "h")
+    start = F.pmod(F.col("h"), F.greatest(F.length("t") - sampling.chars_per_doc, F.lit(0)) + 1) + 1
+    rows = able.join(small(drawn), ["l", "i", "h"], "left_semi").select("l", "i", "h", F.substring("t", start.cast("int"), F.lit(sampling.chars_per_doc)).alias("t"))
+    found = rows.groupBy("l", "i", "h").agg(F.min("t").alias("t")).collect()
+    found = sorted(found, key=lambda r: (r["l"], r["i"], r["h"]))
     return [r["t"] for r in found], [r["l"] for r in found]
 
 
-def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str = "text", carried: Sequence[str] = ()) -> DataFrame:
     """``held_out``, ``lang_pred``, ``score``, ``n_words``, ``n_switches`` (neighbouring words of different
-    languages) for every whole text."""
+    languages) for every whole text, row by row; columns to be carried along are named ``_0``, ``_1`` ..."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # tables of a fixed size for each language
 
@@ -316,10 +322,13 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
                     change = (state[1:] != state[:-1]) & (row[1:] == row[:-1])
                     switches = np.bincount(row[1:][change], minlength=rows)
                 columns = [batch.column(0).slice(a, z - a), batch.column(1).slice(a, z - a), pa.array(names[best], pa.string()), pa.array(score, pa.float64()), pa.array(n, pa.int64()), pa.array(switches, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "held_out", "lang_pred", "score", "n_words", "n_switches"])
+                columns += [batch.column(k).slice(a, z - a) for k in range(3, batch.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_column, "held_out", "lang_pred", "score", "n_words", "n_switches", *(f"_{k}" for k in range(len(carried)))])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, held_out(F.col(id_column)).alias("held_out"), text).mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words long, n_switches long")
+    more = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))
+    rows = docs.select(id_column, held_out(F.col(id_column)).alias("held_out"), text, *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)])
+    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words long, n_switches long" + more)
 
 
 def _ascii_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -331,3 +340,11 @@ def _ascii_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 def identify(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
     """Fit on the sample and predict every document."""
     return predict(docs, fit(*training_sample(docs, sampling), sampling))
+
+
+def with_language(docs: DataFrame, least_score: float, sampling: Sampling = Sampling()) -> DataFrame:
+    """The rows, all columns as they are, whose text has a language with a score of at least so much; each row by itself,
+    whether or not its id is null or repeated."""
+    found = predict(docs, fit(*training_sample(docs, sampling), sampling), carried=docs.columns)
+    found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])

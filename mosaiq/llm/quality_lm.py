@@ -68,7 +68,7 @@ def _pieces(texts: list[str]):
 
 def _dealt(docs: DataFrame, trusted: DataFrame, blocks: int, id_column: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     key = lambda c, t: F.pmod(row_key(c, t), F.lit(blocks)).cast("int")
-    dealt = docs.select(key(F.col(id_column), F.col(text)).alias("block"), F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    dealt = docs.select(key(F.col(id_column), F.col(text)).alias("block"), F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     return dealt.mapInArrow(_bundles, "block int, bundle binary"), trusted.select(key(F.col("doc_id"), F.lit(None).cast("string")).alias("block"), "doc_id")
 
 
@@ -161,8 +161,8 @@ def log_probabilities(counts: DataFrame, asked: DataFrame) -> DataFrame:
 
 
 def scored(dealt: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
-    """``doc_id`` (of this kind), ``lang``, ``n_grams``, ``logp`` (sum) of each document; answers has ``block``, ``gram``,
-    ``logp``."""
+    """``doc_id`` (of this kind), ``lang``, ``text_hash``, ``n_grams`` (0 for a blank text), ``logp`` (sum) of each document;
+    answers has ``block``, ``gram``, ``logp``."""
 
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         texts = _unbundled(texts)
@@ -176,13 +176,14 @@ def scored(dealt: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
             counts[a:z] = np.bincount(row, minlength=z - a)
             sums[a:z] = np.bincount(row, logp[np.searchsorted(grams, asked)], z - a)
         blank = np.array([not t.strip() for t in strings], bool)
-        return pa.table({"doc_id": texts["doc_id"].combine_chunks(), "lang": texts["lang"].combine_chunks(), "n_grams": counts, "logp": pa.array(sums, pa.float64(), mask=blank | np.isnan(sums))})
+        counts[blank] = 0
+        return pa.table({"doc_id": texts["doc_id"].combine_chunks(), "lang": texts["lang"].combine_chunks(), "text_hash": texts["text_hash"].combine_chunks(), "n_grams": counts, "logp": pa.array(sums, pa.float64(), mask=blank | np.isnan(sums))})
 
-    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, lang string, n_grams long, logp double")
+    return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, lang string, text_hash long, n_grams long, logp double")
 
 
 def perplexities(docs: DataFrame, trusted: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """``doc_id``, ``lang``, ``n_grams``, ``perplexity`` (a written table); trusted has the ``doc_id`` of good documents."""
+    """``doc_id``, ``lang``, ``text_hash``, ``n_grams``, ``perplexity`` (a written table); trusted has the ``doc_id`` of good documents."""
     spark = docs.sparkSession
     with released_shuffles(spark):
         blocks = block_count(text_bytes(docs, text), limits.block_bytes)
@@ -191,7 +192,7 @@ def perplexities(docs: DataFrame, trusted: DataFrame, limits: Limits = Limits(),
         counts = asked.filter("trusted > 0").groupBy("gram").agg(F.sum("trusted").alias("c"))
         known = materialise(log_probabilities(counts, asked.select("gram").distinct()))
         answers = asked.select("block", "gram").join(known, "gram")
-        return materialise(scored(dealt, answers, docs.schema[id_column].dataType.simpleString()).select("doc_id", "lang", "n_grams", F.exp(-F.col("logp") / F.col("n_grams")).alias("perplexity")))
+        return materialise(scored(dealt, answers, docs.schema[id_column].dataType.simpleString()).select("doc_id", "lang", "text_hash", "n_grams", F.exp(-F.col("logp") / F.nullif("n_grams", F.lit(0))).alias("perplexity")))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -199,10 +200,10 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """``doc_id``, ``lang``, ``n_grams``, ``perplexity``, ``adjusted``, ``threshold``, ``kept`` of every document."""
+    """``doc_id``, ``lang``, ``text_hash``, ``n_grams``, ``perplexity``, ``adjusted``, ``threshold``, ``kept`` of every document."""
     trusted = trusted_ids(labels)
     scores = perplexities(docs, trusted, limits)
-    scores = scores.withColumn("adjusted", F.col("perplexity") * F.exp(-limits.slack / F.sqrt("n_grams")))
+    scores = scores.withColumn("adjusted", F.col("perplexity") * F.exp(-limits.slack / F.sqrt(F.nullif("n_grams", F.lit(0)))))
     good = scores.filter("perplexity is not null").join(trusted, "doc_id", "left_semi")
     quantile = F.percentile_approx("adjusted", limits.quantile, 10_000)
     by_language = good.filter("lang is not null").groupBy("lang").agg(quantile.alias("of_language"), F.count(F.lit(1)).alias("n")).filter(F.col("n") >= limits.min_trusted).drop("n")
@@ -211,5 +212,13 @@ def judged(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Dat
     by_language = small(by_language)
     out = scores.join(by_language, "lang", "left").withColumn("threshold", threshold)
     if of_all is None:
-        return out.select("doc_id", "lang", "n_grams", "perplexity", "adjusted", "threshold", (F.col("n_grams") > 1).alias("kept"))
-    return out.select("doc_id", "lang", "n_grams", "perplexity", "adjusted", "threshold", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(False)).alias("kept"))
+        return out.select("doc_id", "lang", "text_hash", "n_grams", "perplexity", "adjusted", "threshold", (F.col("n_grams") > 1).alias("kept"))
+    return out.select("doc_id", "lang", "text_hash", "n_grams", "perplexity", "adjusted", "threshold", F.coalesce(F.col("adjusted") <= F.col("threshold"), F.lit(False)).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """The rows, all columns as they are, that ``judged`` keeps.  Rows of one id are told apart by language and text; equal
+    ones, and those with a null id, have one verdict."""
+    good = judged(docs, labels, limits).filter("kept").select(F.col("doc_id").alias("_id"), F.col("lang").alias("_lang"), F.col("text_hash").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("lang").eqNullSafe(F.col("_lang")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(good, same, "left_semi").select(*docs.columns)

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import bpe, wordhash
+from mosaiq.llm.common import materialise
 
 #: Lengths that share one block of the suffix sums.
 BLOCK = 1024
@@ -95,4 +96,5 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFrame:
-    return suffix_sums(histogram(encoded_lengths(docs, vocabulary, text)))
+    """Suffix sums over the written histogram, so that texts are encoded once."""
+    return suffix_sums(materialise(histogram(encoded_lengths(docs, vocabulary, text))))

@@ -321,3 +321,28 @@ def test_pipeline_is_its_stages_one_after_another(spark):
     got = corpus_pipeline.run(spark, sf).collect()
     wanted = bpe_codec.digests(at, byte_vocabulary()).collect()
     assert sorted(got) == sorted(wanted)
+
+
+def test_stages_have_defined_rows_for_odd_input(spark):
+    """Null and repeated ids, null and blank texts, equal rows and a column with a clashing name."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("kept", F.lit("x")).withColumn("_0", F.lit(7))
+    clean = docs.filter("lang is not null and length(text) > 300").orderBy("doc_id").limit(3)
+    first = clean.first()
+    same = spark.createDataFrame([(first["doc_id"], " \n", "en", "s", 2, "x", 7), (first["doc_id"], None, None, None, None, "x", 7)], docs.schema)
+    nameless = clean.withColumn("doc_id", F.lit(None).cast(docs.schema["doc_id"].dataType))
+    odd = docs.unionByName(nameless).unionByName(nameless).unionByName(same).select(docs.columns)
+    stages = dict(corpus_pipeline.STAGES)
+    sf = "/root/testdata/sf0.001"
+    for name in ("language", "quality"):
+        kept = stages[name](spark, odd, sf)
+        assert kept.columns == docs.columns
+        rows = kept.filter("doc_id is null").count()
+        plain = stages[name](spark, docs, sf).join(clean.select("doc_id"), "doc_id", "left_semi").count()
+        assert rows == 2 * plain  # as their namesakes with an id
+        assert kept.filter(F.col("text").isNull() | (F.trim(F.regexp_replace("text", "\\s", "")) == "")).count() == 0
+    kept = stages["near_duplicates"](spark, odd, sf)
+    assert kept.filter("doc_id is null").count() == 6 and kept.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").count() == 0
+    assert stages["decontamination"](spark, odd, sf).filter("doc_id is null").count() == 6
+    assert stages["encoding"](spark, odd, sf).count() == odd.count()
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name

@@ -205,3 +205,38 @@ def test_distrust_reaches_hosts_far_upstream(spark):
     got = {r["page_id"]: r for r in link_trust.judged(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert [got[i]["verdict"] for i in range(22)] == ["block"] * 21 + ["allow"]
     assert all(got[i]["distrust"] == pytest.approx((1 - link_trust.DAMPING) * link_trust.DAMPING ** (20 - i)) for i in range(21))
+
+
+def test_posteriors_are_those_of_all_label_paths():
+    import itertools
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    states = 3
+    model = crf_langid.Model(["a", "b", "c"], *(np.zeros((states, 1), np.float32) for _ in range(3)), rng.normal(size=states), rng.normal(size=(states, states)))
+    lengths = [1, 2, 5, 0, 7]
+    bounds = np.concatenate([[0], np.cumsum(lengths)])
+    scores = rng.normal(size=(bounds[-1], states)).astype(np.float32)
+    got = crf_langid.posteriors(model, scores, bounds)
+    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+        want, total = np.zeros((z - a, states)), 0.0
+        for path in itertools.product(range(states), repeat=int(z - a)):
+            if path:
+                weight = np.exp(model.start[path[0]] + sum(scores[a + t, k] for t, k in enumerate(path)) + sum(model.step[i, j] for i, j in itertools.pairwise(path)))
+                total += weight
+                for t, k in enumerate(path):
+                    want[t, k] += weight
+        if z > a:
+            assert np.allclose(got[a:z], want / total, atol=1e-4)
+
+
+def test_the_sample_has_its_bound_of_rows(spark):
+    """One id that is repeated, equal and different rows of it, and too many labels."""
+    a, b = [i for i in range(20) if zlib.crc32(str(i).encode()) % 3 != 1][:2]
+    rows = [(a, f"word{i} text of one id", "en") for i in range(600)] + [(a, "the same row", "en")] * 600 + [(b, "un texte", "fr"), (None, "no id", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    texts, labels = crf_langid.training_sample(docs, crf_langid.Sampling(docs_per_language=50))
+    assert labels.count("en") <= 50 and len(set(texts)) == len(texts) and labels.count("fr") == 1 and "en" in labels
+    with pytest.raises(ValueError):
+        crf_langid.training_sample(docs, crf_langid.Sampling(most_languages=1))
