@@ -17,34 +17,36 @@ from mosaiq.llm.queries import byte_vocabulary
 LEAST_LANGUAGE_SCORE = 0.4
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose id is among ids."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language: not ``und``, and not below the least score."""
-    found = crf_langid.identify(docs)
-    return _only(docs, found.filter((F.col("lang_pred") != crf_langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)))
+    """Documents with a language: not ``und``, and not below the least score.
+
+    Row by row: null and repeated ids and further columns do not matter; null texts and texts without a letter go."""
+    return crf_langid.with_language(docs, LEAST_LANGUAGE_SCORE)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose perplexity their language's threshold admits."""
-    return _only(docs, quality_lm.judged(docs, table(spark, sf_dir, "labels")).filter("kept"))
+    """Documents whose perplexity their language's threshold admits.
+
+    Each row by its own text, also where its id is null or repeated; null and blank texts go."""
+    return quality_lm.kept_rows(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies."""
+    """One document, that of the least id, of each group of near copies.
+
+    Rows with a null id stay; of rows with one id that with the least text is taken.  Null and blank texts are alike to none."""
     return prob_minhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
+    """Documents that leak no benchmark item.
+
+    Rows with a null id stay, as no leak is told of them; all rows of an id go if one of them leaks."""
     return latent_decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of what is left."""
+    """Token counts and digests of what is left, row by row; a null text counts as empty."""
     return bpe_codec.digests(docs, byte_vocabulary())
 
 
