@@ -10,9 +10,11 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators.ranks import ranked
+
 VARIABLE = re.compile(r"\{(\w+):([dc]+\+?)\}")
 
 
@@ -59,7 +61,7 @@ class FilePattern:
         hit, out = name.rlike(self.regex), {}
         for i, v in enumerate(self.variables, 1):
             got = F.when(hit, F.regexp_extract(name, self.regex, i))
-            out[v.name] = got.cast("long") if v.numeric else got
+            out[v.name] = got.try_cast("long") if v.numeric else got
         return out
 
     def parse(self, files: DataFrame, column: str = "file") -> DataFrame:
@@ -80,8 +82,7 @@ class FilePattern:
 def letters_to_numbers(files: DataFrame, variable: str) -> DataFrame:
     """A letter variable as its rank: shorter values first, then alphabetical, from 0."""
     values = files.select(variable).distinct()
-    rank = F.dense_rank().over(Window.orderBy(F.length(variable), variable)) - 1  # distinct values only
-    return files.join(values.withColumn(f"{variable}_rank", rank.cast("long")), variable)
+    return files.join(ranked(values, [F.length(variable), F.col(variable)], f"{variable}_rank"), variable)
 
 
 def rename(files: DataFrame, source: FilePattern, target: FilePattern, column: str = "file") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.iteration import written
+
 
 def runs(mask: DataFrame) -> DataFrame:
     """Foreground runs along rows: ``image, y, x0, x1``."""
@@ -12,34 +14,49 @@ def runs(mask: DataFrame) -> DataFrame:
     return mask.filter("v > 0").withColumn("i", island).groupBy("image", "y", "i").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("i")
 
 
-def components(mask: DataFrame, width: int, connectivity: int = 1, rounds: int = 200) -> DataFrame:
+def components(mask: DataFrame, width: int, connectivity: int = 1, rounds: int = 60) -> DataFrame:
     """Label of every foreground pixel: the first pixel of its component, row by row, counted from 1.
 
-    Runs are joined with overlapping runs of the next row (with ``connectivity`` 2 diagonal ones too); the least run of
-    each component spreads over these few edges, doubling its reach each round.  Each round is written to the checkpoint
-    folder.
+    Runs are joined with overlapping runs of the next row (with ``connectivity`` 2 diagonal ones too); the least run of each
+    component is found over these few edges by large-star and small-star steps, which need few rounds however long a
+    component is.  Nothing is returned that has not settled.
     """
     reach = connectivity - 1
-    spark = mask.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")
-    r = runs(mask).withColumn("id", F.col("y") * width + F.col("x0") + 1).checkpoint()
+    r = written(runs(mask).withColumn("id", F.col("y") * width + F.col("x0") + 1))
+    if not r.filter((F.col("x0") < 0) | (F.col("x1") >= width)).isEmpty():
+        raise ValueError(f"the raster is wider than {width}")
     below = r.select("image", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("v"))
-    touch = r.join(below, ["image", "y"]).filter((F.col("b0") <= F.col("x1") + reach) & (F.col("b1") >= F.col("x0") - reach)).select("image", F.col("id").alias("u"), "v")
-    edges = touch.unionByName(touch.select("image", F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
-    labels = r.select("image", F.col("id").alias("u"), F.col("id").alias("label"))
-    before = None
+    touch = r.join(below, ["image", "y"]).filter((F.col("b0") <= F.col("x1") + reach) & (F.col("b1") >= F.col("x0") - reach))
+    labels = least_linked(touch.select("image", F.col("id").alias("u"), "v"), rounds)
+    placed = r.join(labels.select("image", F.col("node").alias("id"), "least"), ["image", "id"], "left")
+    return placed.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.coalesce("least", "id").alias("label"))
+
+
+def _star(edges: DataFrame, larger: bool) -> DataFrame:
+    """Ties every larger neighbour of a node to the least node near it, or every smaller neighbour and the node itself."""
+    if larger:
+        both = edges.unionByName(edges.select("image", F.col("v").alias("u"), F.col("u").alias("v")))
+    else:
+        both = edges.select("image", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+    least = both.groupBy("image", "u").agg(F.min("v").alias("m")).select("image", "u", F.least("u", "m").alias("m"))
+    tied = both.join(least, ["image", "u"])
+    if larger:
+        out = tied.filter("v > u").select("image", F.col("v").alias("u"), F.col("m").alias("v"))
+    else:
+        out = tied.select("image", F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("image", "u", F.col("m").alias("v")))
+    return out.filter("u <> v").distinct()
+
+
+def least_linked(edges: DataFrame, rounds: int = 60) -> DataFrame:
+    """``image, node, least`` of every node that has an edge ``u``, ``v``: the least node that it is tied to."""
+    edges = written(edges.select("image", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
     for _ in range(rounds):
-        near = edges.join(labels.select("image", F.col("u").alias("v"), "label"), ["image", "v"]).select("image", "u", "label")
-        least = near.unionByName(labels).groupBy("image", "u").agg(F.min("label").alias("label"))
-        jump = labels.select("image", F.col("u").alias("label"), F.col("label").alias("to"))
-        labels = least.join(jump, ["image", "label"]).select("image", "u", F.least("label", "to").alias("label")).checkpoint()
-        total = labels.agg(F.sum("label").alias("s")).first()["s"]
-        if total == before:
-            break
-        before = total
-    placed = r.join(labels, (r["image"] == labels["image"]) & (r["id"] == labels["u"])).select(r["image"], "y", "x0", "x1", "label")
-    return placed.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), "label")
+        ends = edges.select("image", F.col("u").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("below")).unionByName(edges.select("image", F.col("v").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("below")))
+        if ends.groupBy("image", "n").agg(F.sum("up").alias("up"), F.max("below").alias("below")).filter("up > 1 or (up = 1 and below = 1)").isEmpty():
+            tops = edges.select("image", F.col("v").alias("node"), F.col("v").alias("least")).distinct()
+            return edges.select("image", F.col("u").alias("node"), F.col("v").alias("least")).unionByName(tops)
+        edges = written(_star(_star(edges, True), False))
+    raise RuntimeError(f"components did not settle within {rounds} rounds")
 
 
 def relabel(labels: DataFrame) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mosaiq.operators.ranks import ranked
+
 #: The line format (fixed value).
 LINE = r"^file: (.*?); corr: (-?[0-9.]+); position: \((-?[0-9]+), (-?[0-9]+)\); grid: \((-?[0-9]+), (-?[0-9]+)\);?$"
 FIELDS = [("file", "string"), ("corr", "double"), ("pos_x", "long"), ("pos_y", "long"), ("grid_x", "long"), ("grid_y", "long")]
@@ -30,10 +32,7 @@ def write(vector: DataFrame, path: str) -> None:
 
 def montage(files: DataFrame, row: str, column: str, height: int, width: int, spacing: int = 0) -> DataFrame:
     """Grid places from two variables: their dense ranks, times the tile size and spacing."""
-    ranks = {}
-    for name, variable in (("grid_y", row), ("grid_x", column)):
-        values = files.select(variable).distinct()
-        ranks[variable] = values.withColumn(name, (F.dense_rank().over(Window.orderBy(variable)) - 1).cast("long"))
+    ranks = {variable: ranked(files.filter(F.col(variable).isNotNull()).select(variable).distinct(), [variable], name) for name, variable in (("grid_y", row), ("grid_x", column))}
     out = files.join(ranks[row], row).join(ranks[column], column)
     return out.withColumns({"pos_y": F.col("grid_y") * (height + spacing), "pos_x": F.col("grid_x") * (width + spacing)})
 
