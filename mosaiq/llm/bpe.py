@@ -28,7 +28,7 @@ WHITE[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
 MAY_BE_WHITE = np.zeros(256, bool)
 MAY_BE_WHITE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: So many chunks are held by a Python worker before it starts anew.
-CACHED = 2_000_000
+CACHED = 1_000_000
 
 
 def byte_names() -> dict[int, str]:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from mosaiq.llm import bpe, wordhash
+from mosaiq.llm.common import freed
 
 
 def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -28,7 +29,7 @@ def encode(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: st
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, z - a), lists], names=[id_column, "ids"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")
+    return docs.select(id_column, text).mapInArrow(freed(run), f"`{id_column}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> DataFrame:
@@ -41,7 +42,7 @@ def decode(encoded: DataFrame, vocabulary: str, id_column: str = "doc_id") -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[id_column, "text"])
 
     kind = encoded.schema[id_column].dataType.simpleString()
-    return encoded.select(id_column, "ids").mapInArrow(run, f"`{id_column}` {kind}, text string")
+    return encoded.select(id_column, "ids").mapInArrow(freed(run), f"`{id_column}` {kind}, text string")
 
 
 def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
@@ -65,4 +66,4 @@ def digests(docs: DataFrame, vocabulary: str, id_column: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays(columns, names=[id_column, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.select(id_column, text).mapInArrow(run, f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select(id_column, text).mapInArrow(freed(run), f"`{id_column}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")

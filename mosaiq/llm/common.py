@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import uuid
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,6 +75,24 @@ def row_key(id_col, text_col):
     return F.xxhash64(F.coalesce(F.xxhash64(id_col) * id_col.isNotNull().cast("long"), F.lit(0)), F.when(id_col.isNull(), text_col))
 
 
+def freed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, whose worker gives its free memory back when it ends: workers are used again by later stages."""
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            free_memory()
+
+    return runs
+
+
+def free_memory() -> None:
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of the GNU library
+        trim(0)
+
+
 #: Rows of a table that is broadcast after its size has been checked.
 MOST_BROADCAST = 10_000
 

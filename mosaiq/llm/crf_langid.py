@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import small
+from mosaiq.llm.common import freed, small
 
 TABLE_BITS = 16
 SEGMENT = 64
@@ -328,7 +328,7 @@ def predict(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str
     kind = docs.schema[id_column].dataType.simpleString()
     more = "".join(f", _{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(carried))
     rows = docs.select(id_column, held_out(F.col(id_column)).alias("held_out"), text, *[F.col(f"`{c}`").alias(f"_{k}") for k, c in enumerate(carried)])
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words long, n_switches long" + more)
+    return rows.mapInArrow(freed(run), f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words long, n_switches long" + more)
 
 
 def _ascii_letters(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -343,8 +343,10 @@ def identify(docs: DataFrame, sampling: Sampling = Sampling()) -> DataFrame:
 
 
 def with_language(docs: DataFrame, least_score: float, sampling: Sampling = Sampling()) -> DataFrame:
-    """The rows, all columns as they are, whose text has a language with a score of at least so much; each row by itself,
-    whether or not its id is null or repeated."""
-    found = predict(docs, fit(*training_sample(docs, sampling), sampling), carried=docs.columns)
-    found = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
-    return found.select(*[F.col(f"_{k}").alias(c) for k, c in enumerate(docs.columns)])
+    """The rows, all columns as they are, whose text has a language with a score of at least so much; each row by its own
+    text, whether or not its id is null or repeated."""
+    hashed = docs.select(F.col("doc_id"), F.col("text"), F.xxhash64("text").alias("hash"))
+    found = predict(hashed, fit(*training_sample(docs, sampling), sampling), carried=["hash"])
+    good = found.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score)).select(F.col("doc_id").alias("_id"), F.col("_0").alias("_hash")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash"))
+    return docs.join(good, same, "left_semi").select(*docs.columns)

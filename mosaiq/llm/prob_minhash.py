@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import materialise, released_shuffles, small
+from mosaiq.llm.common import freed, materialise, released_shuffles, small
 from mosaiq.llm.components import components
 
 SHINGLE = 5
@@ -131,7 +131,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z, data, offsets in wordhash.pieces(batch.column(1), 1_000_000):
+            for a, z, data, offsets in wordhash.pieces(batch.column(1)):
                 n = z - a
                 found = wordhash.words(data, offsets)
                 counts = np.diff(found.bounds)
@@ -148,7 +148,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> Da
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, n), classes, lists], names=["doc_id", "text_class", "bands"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return docs.filter(F.col(id_column).isNotNull()).select(id_column, text).mapInArrow(run, f"doc_id {kind}, text_class binary, bands array<long>")
+    return docs.filter(F.col(id_column).isNotNull()).select(id_column, text).mapInArrow(freed(run), f"doc_id {kind}, text_class binary, bands array<long>")
 
 
 def _with_texts(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) -> DataFrame:
@@ -161,23 +161,30 @@ def _with_texts(pairs: DataFrame, docs: DataFrame, id_column: str, text: str) ->
 def _row_shingles(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sorted hashes and weights of each row's shingles."""
     out = []
-    for a, z, data, offsets in wordhash.pieces(column, 1_000_000):
+    for a, z, data, offsets in wordhash.pieces(column):
         hashes, rows, weights = weighted_shingles(data, offsets)
         at = np.searchsorted(rows, np.arange(z - a + 1))
         out += [(hashes[at[i] : at[i + 1]], weights[at[i] : at[i + 1]]) for i in range(z - a)]
     return out
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Batches of few rows, as the shingles of all rows of one are held at once."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, rows):
+            yield batch.slice(a, rows)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """The pairs ``u``, ``v`` with the ``similarity`` of their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [similarity(a, b) for a, b in zip(_row_shingles(batch.column(2)), _row_shingles(batch.column(3)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.float64())], names=["u", "v", "similarity"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return _with_texts(pairs, docs, id_column, text).select("u", "v", "tu", "tv").mapInArrow(run, f"u {kind}, v {kind}, similarity double")
+    return _with_texts(pairs, docs, id_column, text).select("u", "v", "tu", "tv").mapInArrow(freed(run), f"u {kind}, v {kind}, similarity double")
 
 
 def linked(threshold: float) -> Column:
@@ -185,7 +192,7 @@ def linked(threshold: float) -> Column:
 
 
 def _text_shingles(column: pa.Array) -> Iterator[np.ndarray]:
-    for _, _, data, offsets in wordhash.pieces(column, 1_000_000):
+    for _, _, data, offsets in wordhash.pieces(column):
         yield weighted_shingles(data, offsets)[0]
 
 
@@ -205,7 +212,7 @@ def _frequencies(rows: DataFrame, shingles: Callable[[pa.Array], Iterator[np.nda
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["slot", "n"])
 
-    rows = rows.mapInArrow(run, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    rows = rows.mapInArrow(freed(run), "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(1 << SLOT_BITS, np.int64)
     out[rows["slot"].to_numpy()] = rows["n"].to_numpy()
     return out
@@ -240,12 +247,12 @@ def open_pairs(texts: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, z, data, offsets in wordhash.pieces(batch.column(1), 1_000_000):
+            for a, z, data, offsets in wordhash.pieces(batch.column(1)):
                 hashes, rows, odds = prefix(*weighted_shingles(data, offsets), shared.value, most)
                 ids, parts = (batch.column(k).slice(a, z - a).take(pa.array(rows, pa.int64())) for k in (0, 2))
                 yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64), pa.int64()), ids, parts, pa.array(odds, pa.float64())], names=["shingle", "id", "part", "odds"])
 
-    entries = materialise(texts.select("id", "t", "part").mapInArrow(run, f"shingle long, id {kind}, part {kind}, odds double"))
+    entries = materialise(texts.select("id", "t", "part").mapInArrow(freed(run), f"shingle long, id {kind}, part {kind}, odds double"))
     # parts meet first, so the texts of one part are never paired with each other
     heads = entries.groupBy("shingle", "part").agg(F.min("odds").alias("least"))
     mixed = heads.groupBy("shingle").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("shingle")
@@ -277,7 +284,7 @@ def changed_pairs(near: DataFrame, docs: DataFrame, threshold: float, id_column:
     kind = docs.schema[id_column].dataType.simpleString()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches):
             found = [changes(c, o, threshold) for o, c in zip(_row_shingles(batch.column(4)), _row_shingles(batch.column(5)), strict=True)]
             bounds = np.cumsum([0, *(len(f[0]) for f in found)])
             flat = np.concatenate([f[0] for f in found]) if found else np.zeros(0, np.uint64)
@@ -287,7 +294,7 @@ def changed_pairs(near: DataFrame, docs: DataFrame, threshold: float, id_column:
 
     pairs = near.select(F.col("id").alias("u"), F.col("leader").alias("v"), "part", linked(threshold).alias("linked"))
     both = _with_texts(pairs, docs, id_column, text).select("v", "u", "part", "linked", "tu", "tv")
-    found = materialise(both.mapInArrow(compare, f"changed array<long>, leader {kind}, id {kind}, part {kind}, linked boolean, extra double, room double"))
+    found = materialise(both.mapInArrow(freed(compare), f"changed array<long>, leader {kind}, id {kind}, part {kind}, linked boolean, extra double, room double"))
     loose = found.filter("extra < 0 or (not linked and extra <= room)").select("leader").distinct()
     shared = docs.sparkSession.sparkContext.broadcast(_frequencies(found.select("changed"), _listed_shingles))
 
@@ -304,7 +311,7 @@ def changed_pairs(near: DataFrame, docs: DataFrame, threshold: float, id_column:
             columns = [batch.column(k).take(rows) for k in (1, 2, 3, 5, 6)]
             yield pa.RecordBatch.from_arrays([pa.array(flat[order][keep].view(np.int64), pa.int64()), pa.array(left[keep], pa.int64()), *columns], names=["shingle", "room_left", "leader", "id", "part", "extra", "room"])
 
-    entries = materialise(found.mapInArrow(heads, f"shingle long, room_left long, leader {kind}, id {kind}, part {kind}, extra double, room double"))
+    entries = materialise(found.mapInArrow(freed(heads), f"shingle long, room_left long, leader {kind}, id {kind}, part {kind}, extra double, room double"))
     place = ["leader", "shingle"]
     tops = entries.groupBy(*place, "part").agg(F.max("room_left").alias("most"), F.min("extra").alias("least"), F.max("room").alias("room"))
     mixed = tops.groupBy(*place).agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select(*place)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import block_count, materialise, released_shuffles, row_key, small, text_bytes
+from mosaiq.llm.common import block_count, free_memory, freed, materialise, released_shuffles, row_key, small, text_bytes
 
 ORDER = 4
 BEGIN, END = "\x01", "\x02"
@@ -69,7 +69,7 @@ def _pieces(texts: list[str]):
 def _dealt(docs: DataFrame, trusted: DataFrame, blocks: int, id_column: str, text: str, lang: str) -> tuple[DataFrame, DataFrame]:
     key = lambda c, t: F.pmod(row_key(c, t), F.lit(blocks)).cast("int")
     dealt = docs.select(key(F.col(id_column), F.col(text)).alias("block"), F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    return dealt.mapInArrow(_bundles, "block int, bundle binary"), trusted.select(key(F.col("doc_id"), F.lit(None).cast("string")).alias("block"), "doc_id")
+    return dealt.mapInArrow(freed(_bundles), "block int, bundle binary"), trusted.select(key(F.col("doc_id"), F.lit(None).cast("string")).alias("block"), "doc_id")
 
 
 def _bundles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,6 +109,7 @@ def asked_grams(dealt: DataFrame, trusted: DataFrame) -> DataFrame:
             weight = np.array([i is not None and i in good_ids for i in ids[a:z]])[row]
             unique, inverse = np.unique(grams, return_inverse=True)
             kept.append((unique, np.bincount(inverse, weight, len(unique))))
+        free_memory()
         grams, inverse = np.unique(np.concatenate([k[0] for k in kept]), return_inverse=True)
         counts = np.bincount(inverse, np.concatenate([k[1] for k in kept]), len(grams)).astype(np.int64)
         return pa.table({"block": np.full(len(grams), block), "gram": grams, "trusted": counts})
@@ -177,6 +178,7 @@ def scored(dealt: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
             sums[a:z] = np.bincount(row, logp[np.searchsorted(grams, asked)], z - a)
         blank = np.array([not t.strip() for t in strings], bool)
         counts[blank] = 0
+        free_memory()
         return pa.table({"doc_id": texts["doc_id"].combine_chunks(), "lang": texts["lang"].combine_chunks(), "text_hash": texts["text_hash"].combine_chunks(), "n_grams": counts, "logp": pa.array(sums, pa.float64(), mask=blank | np.isnan(sums))})
 
     return dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(run, f"doc_id {kind}, lang string, text_hash long, n_grams long, logp double")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import bpe, wordhash
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import freed, materialise
 
 #: Lengths that share one block of the suffix sums.
 BLOCK = 1024
@@ -33,7 +33,7 @@ def encoded_lengths(docs: DataFrame, vocabulary: str, text: str = "text") -> Dat
                 _, bounds, _, _ = encoder.encode_rows(data, offsets)
                 yield pa.RecordBatch.from_arrays([pa.array(bounds[1:] - bounds[:-1], pa.int64())], names=["length"])
 
-    return docs.select(text).mapInArrow(lengths, "length long")
+    return docs.select(text).mapInArrow(freed(lengths), "length long")
 
 
 def histogram(lengths: DataFrame) -> DataFrame:
