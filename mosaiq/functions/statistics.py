@@ -27,6 +27,7 @@ METHODS: dict[str, Callable[[str | Column], Column]] = {
     "count": lambda x: F.count(_c(x)),
     "var": lambda x: F.var_pop(_c(x)),
     "std": lambda x: F.stddev_pop(_c(x)),
+    #: Keeps a group's distinct values in one buffer: for small groups; ``tables.quantile`` is for any.
     "median": lambda x: F.percentile(_c(x), 0.5),
     "skewness": skewness,
     "kurtosis": kurtosis,

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators import tables
 from mosaiq.operators.iteration import written
 
 
@@ -91,12 +92,17 @@ def properties(labels: DataFrame) -> DataFrame:
 
 
 def intensities(labels: DataFrame, pixels: DataFrame) -> DataFrame:
-    """Mean, extremes, median, spread and entropy (bits) of each object's values."""
+    """Mean, extremes, median, spread, skewness, kurtosis (3 for a normal one), entropy (bits) and mode (the least of equal
+    ones) of each object's values; both moments are 0 where all values are equal."""
     both = labels.filter("label > 0").join(pixels, ["image", "y", "x"])
-    first = both.groupBy("image", "label").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.percentile("v", 0.5).alias("median"), F.stddev_pop("v").alias("std"))
+    first = both.groupBy("image", "label").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"), F.stddev_pop("v").alias("std"), F.skewness("v").alias("skewness"), F.kurtosis("v").alias("kurtosis"))
+    middle = tables.quantile(both, ["image", "label"], "v", {"median": 0.5})
     counts = both.groupBy("image", "label", "v").agg(F.count(F.lit(1)).alias("n"))
     entropy = counts.groupBy("image", "label").agg((F.log2(F.sum("n")) - F.sum(F.col("n") * F.log2("n")) / F.sum("n")).alias("entropy"))
-    return first.join(entropy, ["image", "label"])
+    mode = counts.groupBy("image", "label").agg(F.max(F.struct("n", (-F.col("v")).alias("k")))["k"].alias("k")).select("image", "label", (-F.col("k")).alias("mode"))
+    even = F.col("std") > 0
+    out = first.join(middle, ["image", "label"]).join(entropy, ["image", "label"]).join(mode, ["image", "label"])
+    return out.withColumns({"skewness": F.when(even, F.col("skewness")).otherwise(0.0), "kurtosis": F.when(even, F.col("kurtosis") + 3).otherwise(0.0)})
 
 
 def neighbours(labels: DataFrame, distance: int) -> DataFrame:
@@ -108,12 +114,54 @@ def neighbours(labels: DataFrame, distance: int) -> DataFrame:
     return sizes(labels).join(found, ["image", "label"], "left").select("image", "label", F.coalesce("n", F.lit(0)).alias("neighbours"))
 
 
-def feret(labels: DataFrame, step: int = 10) -> DataFrame:
+def feret(labels: DataFrame, step: int = 1) -> DataFrame:
     """Least and greatest width of each object over directions ``step`` degrees apart, pixels taken as squares."""
-    degrees = F.explode(F.sequence(F.lit(0), F.lit(180 - step), F.lit(step))).alias("a")
+    degrees = F.explode(F.sequence(F.lit(step), F.lit(180), F.lit(step))).alias("a")
     # the ends of an object's runs along a row are all that can be extreme
     ends = labels.filter("label > 0").groupBy("image", "label", "y").agg(F.min("x").alias("a0"), F.max("x").alias("a1")).select("image", "label", "y", F.explode(F.array_distinct(F.array("a0", "a1"))).alias("x"))
     t = F.radians(F.col("a"))
     width = F.max(F.col("x") * F.cos(t) + F.col("y") * F.sin(t)) - F.min(F.col("x") * F.cos(t) + F.col("y") * F.sin(t))
     each = ends.select("image", "label", "y", "x", degrees).groupBy("image", "label", "a").agg((width + F.abs(F.cos(F.first(t))) + F.abs(F.sin(F.first(t)))).alias("w"))
     return each.groupBy("image", "label").agg(F.min("w").alias("feret_min"), F.max("w").alias("feret_max"))
+
+
+def orientation(labels: DataFrame) -> DataFrame:
+    """``image, label, degrees``: the angle of each object's longer axis, from its second moments; 0 where they are round."""
+    m = labels.filter("label > 0").groupBy("image", "label").agg(*[(f * F.count(F.lit(1))).alias(k) for k, f in (("uyy", F.var_pop("x")), ("uxx", F.var_pop("y")), ("uxy", F.covar_pop("y", "x")))])
+    m = m.withColumns({k: F.round(k, 9) for k in ("uyy", "uxx", "uxy")})
+    root = F.sqrt((F.col("uyy") - F.col("uxx")) * (F.col("uyy") - F.col("uxx")) + 4 * F.col("uxy") * F.col("uxy"))
+    steep = F.col("uyy") > F.col("uxx")
+    top = F.when(steep, F.col("uyy") - F.col("uxx") + root).otherwise(2 * F.col("uxy"))
+    bottom = F.when(steep, 2 * F.col("uxy")).otherwise(F.col("uxx") - F.col("uyy") + root)
+    angle = F.when((top == 0) & (bottom == 0), 0.0).when(bottom == 0, -90.0).otherwise(-F.degrees(F.atan(top / F.when(bottom != 0, bottom))))
+    return m.select("image", "label", angle.alias("degrees"))
+
+
+def _beside(labels: DataFrame, offsets: list[tuple[int, int]]) -> DataFrame:
+    """Each pixel of an object and the offsets at which the same object goes on."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets])
+    return labels.filter("label > 0").select("image", "label", "y", "x", F.explode(steps).alias("o")).select("image", "label", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (-F.col("o.dy")).alias("dy"), (-F.col("o.dx")).alias("dx"))
+
+
+def perimeter(labels: DataFrame) -> DataFrame:
+    """``image, label, perimeter``: border pixels weighted by how the border goes on: 1 straight on, the root of 2 across,
+    half of both where it turns."""
+    place = ["image", "label", "y", "x"]
+    own = labels.filter("label > 0").select(*place)
+    around = _beside(labels, [(-1, 0), (1, 0), (0, -1), (0, 1)]).join(own, place, "left_semi").groupBy(*place).agg(F.count(F.lit(1)).alias("n"))
+    border = own.join(around.filter("n = 4"), place, "left_anti")
+    near = _beside(border, [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]).join(border, place, "left_semi")
+    weight = F.when(F.abs("dy") + F.abs("dx") == 1, 2).otherwise(10)
+    code = border.join(near.groupBy(*place).agg(F.sum(weight).alias("c")), place, "left").select(*place, (1 + F.coalesce("c", F.lit(0))).alias("c"))
+    root = 2.0**0.5
+    length = F.when(F.col("c").isin(5, 7, 15, 17, 25, 27), 1.0).when(F.col("c").isin(21, 33), root).when(F.col("c").isin(13, 23), (1 + root) / 2).otherwise(0.0)
+    return code.groupBy("image", "label").agg(F.sum(length).alias("perimeter"))
+
+
+def euler(labels: DataFrame) -> DataFrame:
+    """``image, label, euler``: parts less holes of each object (diagonal neighbours tied), from its 2 x 2 windows."""
+    corners = _beside(labels, [(0, 0), (0, 1), (1, 0), (1, 1)]).groupBy("image", "label", "y", "x").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dy") + F.col("dx")).alias("s"), F.max(F.abs(F.col("dy") - F.col("dx"))).alias("apart"), F.min(F.abs(F.col("dy") - F.col("dx"))).alias("least"))
+    one, three = F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 3)
+    across = F.count_if((F.col("n") == 2) & ((F.col("least") == 1) & (F.col("s") == -2) | (F.col("apart") == 0)))
+    return corners.groupBy("image", "label").agg(((one - three - 2 * across) / 4).cast("long").alias("euler"))
+

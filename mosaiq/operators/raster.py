@@ -6,6 +6,8 @@ never collected into one task.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,18 +55,30 @@ def cross(radius: int) -> list[tuple[int, int]]:
     return [(dy, dx) for dy, dx in square(radius) if not dy or not dx]
 
 
-def _neighbourhood(pixels: DataFrame, offsets: list[tuple[int, int]], how: Column) -> DataFrame:
-    """An aggregate of ``v`` over the pixels of the image near each pixel; what lies outside is left out."""
-    out = spread(pixels.withColumn("v", F.col("v")), offsets).groupBy(*AT).agg(how.alias("v"))
-    return out.join(pixels.select(*AT), AT, "left_semi").select(*AT, "v")
+def _square_radius(offsets: list[tuple[int, int]]) -> int | None:
+    r = max(abs(dy) for dy, _ in offsets)
+    return r if sorted(offsets) == sorted(square(r)) else None
+
+
+def _neighbourhood(pixels: DataFrame, offsets: list[tuple[int, int]], **how: Callable[[Column | str], Column]) -> DataFrame:
+    """Aggregates of ``v`` over the pixels of a dense image near each pixel; what lies outside is left out.
+
+    A square is a window along rows and then one along columns; other shapes are exploded."""
+    if (r := _square_radius(offsets)) is not None:
+        across = Window.partitionBy("image", "y").orderBy("x").rangeBetween(-r, r)
+        down = Window.partitionBy("image", "x").orderBy("y").rangeBetween(-r, r)
+        rows = pixels.select(*AT, *[f("v").over(across).alias(k) for k, f in how.items()])
+        return rows.select(*AT, *[f(k).over(down).alias(k) for k, f in how.items()])
+    out = spread(pixels, offsets).groupBy(*AT).agg(*[f("v").alias(k) for k, f in how.items()])
+    return out.join(pixels.select(*AT), AT, "left_semi").select(*AT, *how)
 
 
 def dilate(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> DataFrame:
-    return _neighbourhood(pixels, offsets, F.max("v"))
+    return _neighbourhood(pixels, offsets, v=F.max)
 
 
 def erode(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> DataFrame:
-    return _neighbourhood(pixels, offsets, F.min("v"))
+    return _neighbourhood(pixels, offsets, v=F.min)
 
 
 def opened(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> DataFrame:
@@ -76,7 +90,7 @@ def closed(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> Dat
 
 
 def gradient(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> DataFrame:
-    return _neighbourhood(pixels, offsets, F.max("v") - F.min("v"))
+    return _neighbourhood(pixels, offsets, high=F.max, low=F.min).select(*AT, (F.col("high") - F.col("low")).alias("v"))
 
 
 def top_hat(pixels: DataFrame, offsets: list[tuple[int, int]] = square(1)) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.functions import distances, patterns
+from mosaiq.functions import distances, patterns, special
 from mosaiq.operators import features, vectors
 from mosaiq.plans.common import Plans, table
 from mosaiq.sources import vectors as stitching
@@ -153,10 +153,12 @@ def smooth_neighbour_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.smooth_distances(_neighbours(spark, sf_dir))
 
 
-@plans.add("fuzzy_union", _KNN + ", w AS (SELECT query, item, 1.0 / rank AS w FROM k WHERE rank <= 5), b AS (SELECT query, item, w AS a, 0 AS b FROM w UNION ALL SELECT item, query, 0, w FROM w), s AS (SELECT query, item, max(a) AS a, max(b) AS b FROM b GROUP BY ALL) SELECT query, item, round((a + b - a * b)::DOUBLE, 6) AS weight FROM s")
+@plans.add("fuzzy_union", _KNN + ", r AS (SELECT query, min(distance) AS rho FROM k WHERE rank <= 5 AND distance > 0 GROUP BY query), w AS (SELECT k.query AS query, item, CASE WHEN distance <= rho THEN 1 ELSE exp(-(distance - rho) / 0.7) END AS w FROM k JOIN r ON k.query = r.query WHERE rank <= 5), b AS (SELECT query, item, w AS a, 0 AS b FROM w UNION ALL SELECT item, query, 0, w FROM w), s AS (SELECT query, item, max(a) AS a, max(b) AS b FROM b GROUP BY ALL) SELECT query, item, round((a + b - a * b)::DOUBLE, 4) AS weight FROM s")
 def fuzzy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights = _neighbours(spark, sf_dir).select("query", "item", (F.lit(1.0) / F.col("rank")).alias("weight"))
-    return vectors.fuzzy_union(weights).withColumn("weight", F.round("weight", 6))
+    near = _neighbours(spark, sf_dir)
+    rho = near.filter("distance > 0").groupBy("query").agg(F.min("distance").alias("rho"))
+    weights = near.join(rho, "query").select("query", "item", special.membership(F.col("distance"), F.col("rho"), F.lit(0.7)).alias("weight"))
+    return vectors.fuzzy_union(weights).withColumn("weight", F.round("weight", 4))
 
 
 @plans.add("covariance", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e AS a JOIN e AS b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")

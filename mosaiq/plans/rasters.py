@@ -219,12 +219,12 @@ def region_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add(
     "region_intensity",
-    _LABELS + ", b AS (SELECT lab.image AS image, label, px.v AS v FROM lab JOIN px USING (image, y, x)), c AS (SELECT image, label, v, count(*) AS n FROM b GROUP BY ALL), h AS (SELECT image, label, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY ALL) "
-    "SELECT b.image AS image, b.label AS label, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS greatest, round(quantile_cont(v::DOUBLE, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, round(any_value(entropy), 6) AS entropy FROM b JOIN h ON b.image = h.image AND b.label = h.label GROUP BY ALL",
+    _LABELS + ", b AS (SELECT lab.image AS image, label, px.v AS v FROM lab JOIN px USING (image, y, x)), c AS (SELECT image, label, v, count(*) AS n FROM b GROUP BY ALL), h AS (SELECT image, label, log2(sum(n)) - sum(n * log2(n)) / sum(n) AS entropy FROM c GROUP BY ALL), q AS (SELECT image, label, arg_max(v, (n, -v)) AS m FROM c GROUP BY ALL), d AS (SELECT image, label, v - avg(v) OVER (PARTITION BY image, label) AS d FROM b), k AS (SELECT d.image AS image, d.label AS label, any_value(m) AS m, CASE WHEN avg(d ** 2) > 1e-12 THEN avg(d ** 3) / avg(d ** 2) ** 1.5 ELSE 0 END AS sk, CASE WHEN avg(d ** 2) > 1e-12 THEN avg(d ** 4) / avg(d ** 2) ** 2 ELSE 0 END AS ku FROM d JOIN q ON q.image = d.image AND q.label = d.label GROUP BY ALL) "
+    "SELECT b.image AS image, b.label AS label, round(avg(v), 6) AS mean, min(v) AS least, max(v) AS greatest, round(quantile_cont(v::DOUBLE, 0.5), 6) AS median, round(stddev_pop(v), 6) AS std, round(any_value(entropy), 6) AS entropy, any_value(m) AS mode, round(any_value(sk), 5) AS skewness, round(any_value(ku), 5) AS kurtosis FROM b JOIN k ON b.image = k.image AND b.label = k.label JOIN h ON b.image = h.image AND b.label = h.label GROUP BY ALL",
 )
 def region_intensity(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = objects.intensities(_labels(spark, sf_dir), lines_raster(spark, sf_dir))
-    return found.withColumns({c: F.round(c, 6) for c in ("mean", "median", "std", "entropy")})
+    return found.withColumns({c: F.round(c, 6) for c in ("mean", "median", "std", "entropy")} | {c: F.round(c, 5) for c in ("skewness", "kurtosis")})
 
 
 @plans.add("region_neighbours", _LABELS + ", p AS (SELECT a.image AS image, a.label AS label, count(DISTINCT b.label) AS n FROM lab AS a JOIN lab AS b ON a.image = b.image AND a.label <> b.label AND abs(a.y - b.y) <= 2 AND abs(a.x - b.x) <= 2 GROUP BY ALL) SELECT DISTINCT lab.image AS image, lab.label AS label, coalesce(n, 0) AS neighbours FROM lab LEFT JOIN p ON lab.image = p.image AND lab.label = p.label")
@@ -232,6 +232,38 @@ def region_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.neighbours(_labels(spark, sf_dir), 2)
 
 
-@plans.add("feret_diameters", _LABELS + ", w AS (SELECT image, label, a, max(x * cos(radians(a)) + y * sin(radians(a))) - min(x * cos(radians(a)) + y * sin(radians(a))) + abs(cos(radians(a))) + abs(sin(radians(a))) AS w FROM lab, (SELECT range * 10 AS a FROM range(18)) GROUP BY image, label, a) SELECT image, label, round(min(w), 5) AS feret_min, round(max(w), 5) AS feret_max FROM w GROUP BY image, label")
+@plans.add("feret_diameters", _LABELS + ", w AS (SELECT image, label, a, max(x * cos(radians(a)) + y * sin(radians(a))) - min(x * cos(radians(a)) + y * sin(radians(a))) + abs(cos(radians(a))) + abs(sin(radians(a))) AS w FROM lab, (SELECT range + 1 AS a FROM range(180)) GROUP BY image, label, a) SELECT image, label, round(min(w), 5) AS feret_min, round(max(w), 5) AS feret_max FROM w GROUP BY image, label")
 def feret_diameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects.feret(_labels(spark, sf_dir)).withColumns({c: F.round(c, 5) for c in ("feret_min", "feret_max")})
+
+
+#: Objects as blocks of a grid cut by a mask, for measures that need no components.
+_BLOCKS = f"WITH {RASTER}, lab AS (SELECT image, y, x, (y // 8) * 3 + x // 8 + 1 AS label FROM px WHERE v % 5 >= 1)"
+
+
+def _blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines_raster(spark, sf_dir).filter("v % 5 >= 1").select("image", "y", "x", (F.floor(F.col("y") / 8) * 3 + F.floor(F.col("x") / 8) + 1).alias("label"))
+
+
+@plans.add("region_orientation", _BLOCKS + ", m AS (SELECT image, label, round(var_pop(x) * count(*), 9) AS uyy, round(var_pop(y) * count(*), 9) AS uxx, round(covar_pop(y, x) * count(*), 9) AS uxy FROM lab GROUP BY ALL), t AS (SELECT image, label, CASE WHEN uyy > uxx THEN uyy - uxx + sqrt((uyy - uxx) ** 2 + 4 * uxy ** 2) ELSE 2 * uxy END AS n, CASE WHEN uyy > uxx THEN 2 * uxy ELSE uxx - uyy + sqrt((uyy - uxx) ** 2 + 4 * uxy ** 2) END AS d FROM m) SELECT image, label, round(CASE WHEN n = 0 AND d = 0 THEN 0 WHEN d = 0 THEN -90 ELSE -degrees(atan(n / d)) END, 5) AS degrees FROM t")
+def region_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects.orientation(_blocks(spark, sf_dir)).withColumn("degrees", F.round("degrees", 5))
+
+
+@plans.add(
+    "region_perimeter",
+    _BLOCKS + ", bo AS (SELECT a.image AS image, a.label AS label, a.y AS y, a.x AS x FROM lab AS a LEFT JOIN lab AS b ON a.image = b.image AND a.label = b.label AND abs(a.y - b.y) + abs(a.x - b.x) = 1 GROUP BY ALL HAVING count(b.y) < 4), "
+    "co AS (SELECT a.image AS image, a.label AS label, a.y AS y, a.x AS x, 1 + sum(CASE abs(a.y - b.y) + abs(a.x - b.x) WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 10 END) AS c FROM bo AS a JOIN bo AS b ON a.image = b.image AND a.label = b.label AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1 GROUP BY ALL) "
+    "SELECT image, label, round(sum(CASE WHEN c IN (5, 7, 15, 17, 25, 27) THEN 1 WHEN c IN (21, 33) THEN sqrt(2) WHEN c IN (13, 23) THEN (1 + sqrt(2)) / 2 ELSE 0 END), 6) AS perimeter FROM co GROUP BY image, label",
+)
+def region_perimeter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects.perimeter(_blocks(spark, sf_dir)).withColumn("perimeter", F.round("perimeter", 6))
+
+
+@plans.add(
+    "region_euler",
+    _BLOCKS + ", g AS (SELECT l.image AS image, l.label AS label, l.y + o.y AS y, l.x + o.x AS x, sum(CASE WHEN o.y = 0 AND o.x = 0 THEN 1 ELSE 0 END) AS a, sum(CASE WHEN o.y = 0 AND o.x = 1 THEN 1 ELSE 0 END) AS b, sum(CASE WHEN o.y = 1 AND o.x = 0 THEN 1 ELSE 0 END) AS c, sum(CASE WHEN o.y = 1 AND o.x = 1 THEN 1 ELSE 0 END) AS d FROM lab AS l, (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) AS o(y, x) GROUP BY ALL) "
+    "SELECT image, label, CAST((count(*) FILTER (a + b + c + d = 1) - count(*) FILTER (a + b + c + d = 3) - 2 * count(*) FILTER (a + b + c + d = 2 AND (a = d))) / 4 AS BIGINT) AS euler FROM g GROUP BY image, label",
+)
+def region_euler(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return objects.euler(_blocks(spark, sf_dir))

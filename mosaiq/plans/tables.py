@@ -25,10 +25,8 @@ FROM k JOIN m ON k."group" = m."group" """,
 def group_mean_join_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice")
     key = F.regexp_extract(F.concat_ws("-", "l_returnflag", "l_linestatus"), "^[A-Z]", 0)
-    joined = tables.group_mean_join_back(lines, key, ["l_quantity", "l_extendedprice"])
-    bounds = joined.groupBy("group").agg(F.min("l_extendedprice").alias("lo"), F.max("l_extendedprice").alias("hi"))
-    joined = joined.join(bounds, "group")
-    return joined.select("l_orderkey", "l_linenumber", "group", F.round("l_quantity_mean", 6).alias("quantity_mean"), F.round("l_extendedprice_mean", 4).alias("price_mean"), statistics.levels("l_extendedprice", "lo", "hi").alias("level"))
+    joined = tables.group_mean_join_back(lines, key, ["l_quantity", "l_extendedprice"], bounds=["l_extendedprice"])
+    return joined.select("l_orderkey", "l_linenumber", "group", F.round("l_quantity_mean", 6).alias("quantity_mean"), F.round("l_extendedprice_mean", 4).alias("price_mean"), statistics.levels("l_extendedprice", "l_extendedprice_min", "l_extendedprice_max").alias("level"))
 
 
 _MOMENTS = """WITH c AS (SELECT *, avg({c}) OVER (PARTITION BY {k}) AS mu FROM {t}), m AS (SELECT {k}, count({c}) AS n, avg(({c} - mu) ** 2) AS m2, avg(({c} - mu) ** 3) AS m3, avg(({c} - mu) ** 4) AS m4 FROM c GROUP BY {k}) """
@@ -195,7 +193,8 @@ def correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add("percentile_range", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.9) - quantile_cont(l_extendedprice, 0.1), 4) AS spread FROM lineitem GROUP BY 1")
 def percentile_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy("l_returnflag").agg(F.round(F.percentile("l_extendedprice", 0.9) - F.percentile("l_extendedprice", 0.1), 4).alias("spread"))
+    found = tables.quantile(table(spark, sf_dir, "lineitem"), ["l_returnflag"], "l_extendedprice", {"low": 0.1, "high": 0.9})
+    return found.select("l_returnflag", F.round(F.col("high") - F.col("low"), 4).alias("spread"))
 
 
 @plans.add(
@@ -297,11 +296,11 @@ def match_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unmatched(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@plans.add("match_substring", "WITH w AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS word FROM part) SELECT word, min(p_partkey) AS p_partkey FROM w GROUP BY 1")
+@plans.add("match_substring", "WITH n AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 5) AS name FROM part WHERE p_partkey % 3 = 0) SELECT name, min(p_partkey) AS p_partkey FROM n JOIN part ON contains(p_name, name) GROUP BY name")
 def match_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
-    words = parts.select(F.explode(F.split("p_name", " ")).alias("word")).distinct()
-    return matching.by_substring(words, parts, "word", "p_name", "p_partkey", r"[^ ]+")
+    name = F.substring("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (2 + F.col("p_partkey") % 5).cast("int"))
+    return matching.by_substring(parts.filter("p_partkey % 3 = 0").select(name.alias("name")).distinct(), parts, "name", "p_name", "p_partkey")
 
 
 @plans.add(
