@@ -34,7 +34,7 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.read(spark, path)
     number = lambda c: F.col(c).cast("long").alias(c)
     sound = F.when(F.col("problem").isNull(), F.col("payload_digest")).alias("payload_digest")
-    return read.select(number("page_id"), "payload_bytes", sound, "record_type", number("refers_to"))
+    return read.select(number("page_id"), "payload_bytes", sound, "record_type", number("refers_to"), "n_segments", "problem")
 
 
 def op4_prob_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

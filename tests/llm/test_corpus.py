@@ -48,6 +48,46 @@ def test_damage_is_told(spark, tmp_path):
     assert warc.dechunked(warc.chunked(b"", 7)) == b""
 
 
+def test_archives_of_others_are_read(spark, tmp_path):
+    """Other identifiers, records without a payload, a member for each record, and damage in the middle."""
+    end, page = b"\r\n\r\n", b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+
+    def record(kind, name, block, **fields):
+        head = {"WARC-Type": kind, "WARC-Record-ID": f"<urn:uuid:{name}>"} | {k.replace("_", "-"): v for k, v in fields.items()} | {"Content-Length": str(len(block))}
+        return b"WARC/1.0\r\n" + b"".join(f"{k}: {v}\r\n".encode() for k, v in head.items()) + b"\r\n" + block + end
+
+    whole = page + b"<p>first half, second half"
+    records = [
+        record("warcinfo", "0", b"software: other"),
+        record("request", "1", b"GET / HTTP/1.1\r\n\r\n"),
+        record("response", "a-b:c", page + b"<html>one", WARC_Payload_Digest="sha1:" + warc.digest(b"<html>one")),
+        record("response", "long", whole[:60], WARC_Segment_Number="1"),
+        record("continuation", "long-2", whole[60:], WARC_Segment_Number="2", WARC_Segment_Origin_ID="<urn:uuid:long>", WARC_Segment_Total_Length=str(len(whole))),
+        record("response", "md5", page + b"two", WARC_Payload_Digest="md5:xyz"),
+        record("revisit", "again", b"", WARC_Refers_To="<urn:uuid:md5>"),
+    ]
+    for name, content in (("plain", b"".join(records)), ("members", b"".join(map(gzip.compress, records)))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content)
+        got = {r["record_id"]: r for r in warc.read(spark, str(tmp_path / name)).collect()}
+        assert set(got) == {"urn:uuid:a-b:c", "urn:uuid:long", "urn:uuid:md5", "urn:uuid:again"} and not any(r["problem"] for r in got.values())
+        assert got["urn:uuid:a-b:c"]["payload"] == b"<html>one" and got["urn:uuid:long"]["payload"] == whole[len(page) :] and got["urn:uuid:long"]["n_segments"] == 2
+        assert got["urn:uuid:again"]["refers_to"] == "urn:uuid:md5" and got["urn:uuid:md5"]["page_id"] is None
+    hurt = list(records)
+    hurt[2] = hurt[2].replace(b"Content-Length: ", b"Content-Length: 9")
+    members = [gzip.compress(r) for r in records]
+    members[2] = members[2][:25] + b"\0\0\0\0\0\0" + members[2][31:]
+    for name, content in (("hurt", b"".join(hurt)), ("hurt-members", b"".join(members))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "a.warc").write_bytes(content)
+        rows = warc.read(spark, str(tmp_path / name)).collect()
+        assert {r["record_id"] for r in rows if not r["problem"]} == {"urn:uuid:long", "urn:uuid:md5", "urn:uuid:again"} and any(r["problem"] for r in rows)
+    named = spark.createDataFrame([("a:b", "u", "x" * 50), ("a:b:7", "u", "x" * 50), ("c", None, "y")], "page_id string, url string, html string")
+    warc.write(named, str(tmp_path / "named"))
+    got = {r["page_id"]: r for r in warc.read(spark, str(tmp_path / "named")).collect()}
+    assert set(got) == {"a:b", "a:b:7", "c"} and got["a:b"]["refers_to"] == "a:b:7"
+
+
 def near_copies(n_groups=12, seed=3):
     r = random.Random(seed)
     words = ["w%d" % i for i in range(3000)]
