@@ -165,3 +165,18 @@ def assemble(tiles: DataFrame, vector: DataFrame) -> DataFrame:
     """Tiles put at their places; where they overlap, the last in the vector's order shows."""
     placed = tiles.join(vector, tiles["image"] == vector["file"]).select((F.col("y") + F.col("pos_y")).alias("y"), (F.col("x") + F.col("pos_x")).alias("x"), F.struct("line", "v").alias("s"))
     return placed.groupBy("y", "x").agg(F.max("s")["v"].alias("v"))
+
+
+def pyramid(pixels: DataFrame, levels: int, tile: int) -> DataFrame:
+    """``level, ty, tx, image, y, x, v``: an image and its halves, each level cut into tiles, as they are stored."""
+    out, now = None, pixels
+    for level in range(levels):
+        tiled = now.select(F.lit(level).cast("long").alias("level"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"), *AT, "v")
+        out = tiled if out is None else out.unionByName(tiled)
+        now = pyramid_mean(now)
+    return out
+
+
+def write_pyramid(tiles: DataFrame, path: str) -> None:
+    """A folder for each level and tile."""
+    tiles.write.partitionBy("level", "ty", "tx").parquet(path)

@@ -44,12 +44,14 @@ def _candidates(rows: list, items: DataFrame, k: int, id_column: str, vector: st
                 continue
             there = frame[id_column].to_numpy()
             block = np.stack(frame[vector].to_numpy()).astype(np.float64)
-            for a in range(0, len(ids), 512):
-                d = np.sqrt(((points[a : a + 512, None, :] - block[None, :, :]) ** 2).sum(axis=2)) if len(block) * points.shape[1] < 200_000 else np.sqrt(np.maximum((points[a : a + 512] ** 2).sum(1)[:, None] + (block**2).sum(1)[None] - 2 * points[a : a + 512] @ block.T, 0))
-                d[ids[a : a + 512, None] == there[None, :]] = np.inf
-                all_d, all_i = np.concatenate([best_d[a : a + 512], d], axis=1), np.concatenate([best_i[a : a + 512], np.broadcast_to(there, d.shape)], axis=1)
+            width = max(1, 4_000_000 // max(1, points.shape[1] * len(block)))  # queries whose differences fit some 32 MB
+            for a in range(0, len(ids), width):
+                part = slice(a, a + width)
+                d = np.sqrt(((points[part, None, :] - block[None, :, :]) ** 2).sum(axis=2))
+                d[ids[part, None] == there[None, :]] = np.inf
+                all_d, all_i = np.concatenate([best_d[part], d], axis=1), np.concatenate([best_i[part], np.broadcast_to(there, d.shape)], axis=1)
                 order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d[a : a + 512], best_i[a : a + 512] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
+                best_d[part], best_i[part] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
         q = np.repeat(ids, k)
         out = pd.DataFrame({"query": q, "item": best_i.ravel(), "distance": best_d.ravel()})
         yield out[np.isfinite(out["distance"])]
@@ -124,8 +126,8 @@ def assign(df: DataFrame, centres: list[list[float]], vector: str = "embedding")
     return df.withColumn("_m", F.array_min(F.array(*each))).select(*df.columns, "_m.cluster", "_m.distance")
 
 
-def k_means(df: DataFrame, k: int, rounds: int = 10, vector: str = "embedding", id_column: str = "vec_id") -> list[list[float]]:
-    """Centres after so many rounds from the k rows of least hash; each task sums its rows for each centre."""
+def k_means(df: DataFrame, k: int, rounds: int = 300, vector: str = "embedding", id_column: str = "vec_id") -> list[list[float]]:
+    """Centres that have settled, from the k rows of least hash; each task sums its rows for each centre."""
     start = df.select(vector).orderBy(F.xxhash64(id_column)).limit(k).collect()
     centres = np.array([r[0] for r in start], np.float64)
 
@@ -145,7 +147,17 @@ def k_means(df: DataFrame, k: int, rounds: int = 10, vector: str = "embedding",
             sums[r["c"]] += r["s"]
             counts[r["c"]] += r["n"]
         moved = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], centres)
-        if np.allclose(moved, centres):
-            break
-        centres = moved
-    return centres.tolist()
+        settled, centres = np.allclose(moved, centres), moved
+        if settled:
+            return centres.tolist()
+    raise RuntimeError(f"the centres did not settle within {rounds} rounds")
+
+
+def whitened_k_means(df: DataFrame, k: int, vector: str = "embedding", id_column: str = "vec_id") -> list[list[float]]:
+    """Centres found with each component divided by its standard deviation, given in the components' own sizes and ordered
+    by their norms."""
+    sizes = df.agg(F.max(F.size(vector)).alias("n")).first()["n"] or 0
+    spread = [x or 1.0 for x in df.agg(*[F.stddev_pop(F.get(vector, F.lit(i))).alias(str(i)) for i in range(sizes)]).first()]
+    scaled = df.select(id_column, F.zip_with(vector, F.array(*map(F.lit, spread)), lambda x, s: x / s).alias(vector))
+    centres = np.array(k_means(scaled, k, vector=vector, id_column=id_column)) * np.array(spread)
+    return centres[np.argsort(np.linalg.norm(centres, axis=1), kind="stable")].tolist()

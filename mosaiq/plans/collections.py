@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.functions import distances, patterns, special
-from mosaiq.operators import features, vectors
+from mosaiq.functions import distances, distogram, patterns, special
+from mosaiq.operators import features, reshape, tables, vectors
 from mosaiq.plans.common import Plans, table
+from mosaiq.sources import files
 from mosaiq.sources import vectors as stitching
 from mosaiq.streaming import events as windows
 
@@ -85,11 +89,46 @@ def feature_rectangles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("s_suppkey", feature.alias("f")).select("s_suppkey", ring(0, 0).alias("x0"), ring(0, 1).alias("y0"), ring(2, 0).alias("x1"), ring(2, 1).alias("y1"), F.col("f.properties.string")["name"].alias("name"), F.col("f.properties.numeric")["balance"].alias("balance"))
 
 
-@plans.add("feature_collections", "SELECT s_nationkey, 'FeatureCollection' AS type, count(*) AS n FROM supplier GROUP BY 1")
-def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+_COLLECTION = "SELECT s_nationkey, 'FeatureCollection' AS type, s_name AS name, s_suppkey::DOUBLE AS x, s_nationkey::DOUBLE AS y FROM supplier"
+
+
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
     feature = features.point_feature(F.col("s_suppkey"), F.col("s_nationkey"), {"name": F.col("s_name")}, {})
-    documents = features.collections(table(spark, sf_dir, "supplier").select("s_nationkey", feature.alias("feature")), "s_nationkey")
-    return documents.select("s_nationkey", F.get_json_object("json", "$.type").alias("type"), F.json_array_length(F.get_json_object("json", "$.features")).cast("long").alias("n"))
+    return features.collections(table(spark, sf_dir, "supplier").select("s_nationkey", feature.alias("feature")), "s_nationkey")
+
+
+def _told(documents: DataFrame, *keys: str) -> DataFrame:
+    """What the features of JSON documents say."""
+    kind = "type string, features array<struct<geometry: struct<coordinates: array<double>>, properties: struct<string: map<string, string>>>>"
+    read = documents.select(*keys, F.from_json("json", kind).alias("d")).select(*keys, "d.type", F.explode("d.features").alias("f"))
+    return read.select(*keys, "type", F.col("f.properties.string")["name"].alias("name"), F.col("f.geometry.coordinates")[0].alias("x"), F.col("f.geometry.coordinates")[1].alias("y"))
+
+
+@plans.add("feature_collections", _COLLECTION)
+def feature_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(_collections(spark, sf_dir), "s_nationkey")
+
+
+@plans.add("merge_documents", _COLLECTION.replace("s_nationkey, ", "s_nationkey % 3 AS part, ", 1))
+def merge_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = _collections(spark, sf_dir)
+    return _told(documents.groupBy((F.col("s_nationkey") % 3).alias("part")).agg(features.merged(documents).alias("json")), "part")
+
+
+@plans.add("pyramid_scales", "WITH s AS (SELECT s_suppkey, s_suppkey * 37 % 900 + 1 AS w, s_suppkey * 53 % 700 + 1 AS h FROM supplier), l AS (SELECT *, CAST(ceil(round(log2(greatest(w, h, 3)), 9)) AS BIGINT) AS n FROM s), e AS (SELECT *, unnest(range(n + 1)) AS i FROM l) SELECT s_suppkey, CAST(n - i AS VARCHAR) AS key, CAST(ceil(w / 2 ** i) AS BIGINT) AS width, CAST(ceil(h / 2 ** i) AS BIGINT) AS height, 0.5::DOUBLE * 2 ** i AS resolution FROM e")
+def pyramid_scales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w, h = (F.col("s_suppkey") * 37 % 900 + 1).cast("long"), (F.col("s_suppkey") * 53 % 700 + 1).cast("long")
+    levels = table(spark, sf_dir, "supplier").select("s_suppkey", F.explode(features.scales(w, h, F.lit(3), F.lit(0.5))).alias("s"))
+    return levels.select("s_suppkey", "s.key", F.col("s.size")[0].alias("width"), F.col("s.size")[1].alias("height"), F.col("s.resolution")[0].alias("resolution"))
+
+
+@plans.add("tile_document", "SELECT s_nationkey, '3.0.0' AS version, min(s_suppkey)::DOUBLE AS x0, max(s_suppkey)::DOUBLE AS x1, (min(s_suppkey) + max(s_suppkey)) / 2 AS middle, 'Number' AS kind FROM supplier GROUP BY 1")
+def tile_document(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = lambda f, c: f(c).cast("double")
+    bounds = table(spark, sf_dir, "supplier").groupBy("s_nationkey").agg(F.array(d(F.min, "s_suppkey"), d(F.min, "s_acctbal"), d(F.max, "s_suppkey"), d(F.max, "s_acctbal")).alias("b"))
+    documents = bounds.select("s_nationkey", features.tile_document(F.col("b"), {"name": "String", "balance": "Number"}).alias("json"))
+    number = lambda path: F.get_json_object("json", path).cast("double")
+    return documents.select("s_nationkey", F.get_json_object("json", "$.tilejson").alias("version"), number("$.bounds[0]").alias("x0"), number("$.bounds[2]").alias("x1"), number("$.center[1]").alias("middle"), F.get_json_object("json", "$.vector_layers[0].fields.balance").alias("kind"))
 
 
 _PAIR = "WITH p AS (SELECT a.vec_id AS vec_id, a.embedding::DOUBLE[] AS a, b.embedding::DOUBLE[] AS b FROM embeddings AS a JOIN embeddings AS b ON b.vec_id = a.vec_id + 1), z AS (SELECT vec_id, unnest(a) AS x, unnest(b) AS y FROM p) SELECT vec_id, round({f}, 6) AS distance FROM z GROUP BY vec_id"
@@ -179,6 +218,39 @@ def k_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.assign(rows, vectors.k_means(rows, 8)).select("vec_id", "cluster", "distance")
 
 
+@plans.add("assign_clusters", "WITH c AS (SELECT vec_id AS c, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id < 6), d AS (SELECT v.vec_id AS vec_id, c, list_distance(v.embedding::DOUBLE[], e) AS d FROM embeddings AS v, c) SELECT vec_id, arg_min(c, (round(d, 9), c)) AS cluster, round(min(d), 4) AS distance FROM d GROUP BY vec_id")
+def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    centres = [list(r[0]) for r in rows.filter("vec_id < 6").orderBy("vec_id").select("embedding").collect()]
+    return vectors.assign(rows, centres).select("vec_id", "cluster", F.round("distance", 4).alias("distance"))
+
+
+@plans.add("project_directions", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, round(sum(x * (i % 3 - 1)), 6) AS pc1, round(sum(x * (0.5 - i % 2)), 6) AS pc2 FROM e GROUP BY vec_id")
+def project_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Projection on given directions, written as a table of numbers and read again."""
+    directions = np.array([[i % 3 - 1, 0.5 - i % 2] for i in range(64)], float)
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+    files.write(vectors.project(rows, directions).select("vec_id", "pc1", "pc2"), folder, "csv")
+    return files.read_matrix(spark, folder).select(F.col("vec_id").cast("long").alias("vec_id"), F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
+
+
+@plans.add("sampled_neighbours", _KNN.replace("ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id AND ('0x' || substr(md5(b.vec_id || '-1'), 1, 8))::BIGINT % 100 < 30") + " SELECT query, item, round(distance, 4) AS distance, rank FROM k WHERE rank <= 5")
+def sampled_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.nearest(rows.filter("vec_id % 50 = 0"), reshape.hashed_sample(rows, "vec_id", 30, 1), 5).withColumn("distance", F.round("distance", 4))
+
+
+@plans.add("sketch_quantiles", "SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, true AS near FROM lineitem GROUP BY 1")
+def sketch_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of each group: number and ends are exact, the median is within a twentieth of the range."""
+    rows = table(spark, sf_dir, "lineitem")
+    exact = tables.quantile(rows, ["l_returnflag"], "l_extendedprice", {"median": 0.5})
+    found = distogram.sketches(rows, "l_returnflag", "l_extendedprice", shares={"middle": 0.5}).join(exact, "l_returnflag")
+    near = F.abs(F.col("middle") - F.col("median")) < 0.05 * (F.col("high") - F.col("low"))
+    return found.select("l_returnflag", F.round(F.aggregate("n", F.lit(0.0), lambda a, x: a + x), 6).alias("n"), "low", "high", near.alias("near"))
+
+
 _STATS = "count(*) AS n, round(sum(value), 4) AS total, min(value) AS least, max(value) AS greatest"
 
 

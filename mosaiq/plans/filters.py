@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -191,3 +192,12 @@ _CROSSINGS = " + ".join(f"CASE WHEN ({a[1]} > y) <> ({b[1]} > y) AND x < ({b[0]}
 def polygon_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     ring = F.array(*[F.array(F.lit(a), F.lit(b)) for a, b in _RING])
     return lines_raster(spark, sf_dir).select("image", "y", "x", filters.in_polygon(ring).cast("long").alias("v"))
+
+
+@plans.add("pyramid_tiles", P + ", h AS (SELECT image, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM px GROUP BY ALL), q AS (SELECT image, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM h GROUP BY ALL), a AS (SELECT 0 AS level, * FROM px UNION ALL SELECT 1, * FROM h UNION ALL SELECT 2, * FROM q) SELECT CAST(level AS BIGINT) AS level, y // 5 AS ty, x // 5 AS tx, count(*) AS n, CAST(sum(v) AS BIGINT) AS total FROM a GROUP BY ALL")
+def pyramid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tiles of three levels, written and read again."""
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/pyramid-{uuid.uuid4().hex}"
+    raster.write_pyramid(raster.pyramid(lines_raster(spark, sf_dir), 3, 5), folder)
+    tiles = spark.read.schema("image string, y long, x long, v long, level long, ty long, tx long").parquet(folder)
+    return tiles.groupBy("level", "ty", "tx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
