@@ -127,9 +127,14 @@ def assign(df: DataFrame, centres: list[list[float]], vector: str = "embedding")
 
 
 def k_means(df: DataFrame, k: int, rounds: int = 300, vector: str = "embedding", id_column: str = "vec_id") -> list[list[float]]:
-    """Centres that have settled, from the k rows of least hash; each task sums its rows for each centre."""
-    start = df.select(vector).orderBy(F.xxhash64(id_column)).limit(k).collect()
-    centres = np.array([r[0] for r in start], np.float64)
+    """Centres that have settled; each task sums its rows for each centre.  They start from the 64 k rows of least hash, of
+    which each next one is drawn by its squared distance to those before it."""
+    start = np.array([r[0] for r in df.select(vector).orderBy(F.xxhash64(id_column)).limit(64 * k).collect()], np.float64)
+    chance, picked = np.random.default_rng(0), [0]
+    while len(picked) < min(k, len(start)):
+        far = ((start[:, None] - start[picked][None]) ** 2).sum(axis=2).min(axis=1)
+        picked.append(int(chance.choice(len(start), p=far / far.sum())) if far.sum() > 0 else len(picked))
+    centres = start[picked]
 
     def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums, counts = np.zeros_like(centres), np.zeros(len(centres))

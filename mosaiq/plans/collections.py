@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import distances, distogram, patterns, special
-from mosaiq.operators import features, reshape, tables, vectors
+from mosaiq.operators import clustering, features, reshape, tables, vectors
 from mosaiq.plans.common import Plans, table
 from mosaiq.sources import files
 from mosaiq.sources import vectors as stitching
@@ -225,6 +225,19 @@ def assign_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.assign(rows, centres).select("vec_id", "cluster", F.round("distance", 4).alias("distance"))
 
 
+@plans.add("density_clusters")
+def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which cluster a point is in depends on all others at every density, which SQL cannot say."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"x{i}") for i in range(4)])
+    return clustering.density_clusters(rows, [f"x{i}" for i in range(4)], 3, ["label"]).select("vec_id", "label", "cluster")
+
+
+@plans.add("unmix_channels")
+def unmix_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("embedding"))
+    return clustering.unmixed(rows, 3, percent=40).select("vec_id", "cluster", "strength")
+
+
 @plans.add("project_directions", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) SELECT vec_id, round(sum(x * (i % 3 - 1)), 6) AS pc1, round(sum(x * (0.5 - i % 2)), 6) AS pc2 FROM e GROUP BY vec_id")
 def project_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Projection on given directions, written as a table of numbers and read again."""

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.functions import distogram, extend, names, special
-from mosaiq.operators import filters, objects, ranks, regions, reshape, tables, thresholds, vectors
+from mosaiq.operators import clustering, filters, objects, ranks, regions, reshape, tables, thresholds, vectors
 from mosaiq.sources import files
 
 
@@ -159,3 +159,42 @@ def test_ellipse_and_filled_holes(spark):
     picture = ["1111", "1001", "1111", "0000"]
     mask = spark.createDataFrame([("i", y, x, int(c)) for y, line in enumerate(picture) for x, c in enumerate(line)], "image string, y long, x long, v long")
     assert filters.holes_filled(mask, 4, 4).filter("v > 0").count() == 12
+
+
+def test_density_clusters_and_noise(spark):
+    rng = np.random.default_rng(2)
+    blobs = np.concatenate([rng.normal((0, 0), 0.3, (60, 2)), rng.normal((10, 10), 0.5, (80, 2)), rng.normal((0, 12), 0.2, (40, 2)), [[5.0, 5.0], [20.0, -9.0], [-9.0, 25.0]]])
+    labels = clustering.density_labels(blobs, 5)
+    assert len(set(labels[labels >= 0].tolist())) == 3 and (labels[-2:] == -1).all()
+    for a, z in ((0, 60), (60, 140), (140, 180)):
+        inside = labels[a:z][labels[a:z] >= 0]
+        assert len(set(inside.tolist())) == 1 and len(inside) > 0.8 * (z - a)
+    df = spark.createDataFrame(pd.DataFrame({"g": ["a"] * 100 + ["b"] * 83, "x": blobs[:, 0], "y": blobs[:, 1]}))
+    got = clustering.density_clusters(df, ["x", "y"], 5, ["g"])
+    assert got.count() == 183 and got.columns == ["g", "x", "y", "cluster"] and got.agg(F.min("cluster")).first()[0] == 0
+    assert clustering.density_clusters(df, ["x", "y"], 5, outlier=1).agg(F.min("cluster")).first()[0] == 1
+    with pytest.raises(ValueError):
+        clustering.density_clusters(df, ["x", "y"], 5, ["g"], most_rows=90)
+
+
+def test_a_spanning_tree_is_the_least(spark):
+    rng = np.random.default_rng(8)
+    points = rng.random((40, 3))
+    core = clustering.core_distances(points, 3)
+    reach = np.maximum(np.sqrt(((points[:, None] - points[None]) ** 2).sum(axis=2)), np.maximum(core[:, None], core[None]))
+    found, total = list(range(40)), 0.0
+    for d, i, j in sorted((reach[i, j], i, j) for i in range(40) for j in range(i)):
+        if found[i] != found[j]:
+            total, old = total + d, found[j]
+            found = [found[i] if f == old else f for f in found]
+    assert np.isclose(clustering.spanning_tree(points, core)[:, 2].sum(), total)
+
+
+def test_unmixing_tells_channels_apart(spark):
+    rng = np.random.default_rng(7)
+    points = np.concatenate([rng.normal(c, 0.2, (200, 2)) for c in ((0, 0), (8, 1), (2, 9))])
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r for r in clustering.unmixed(df, 2, percent=60).collect()}
+    for a in (0, 200, 400):
+        assert len({got[i]["cluster"] for i in range(a, a + 200)}) == 1
+    assert got[0]["cluster"] == 0 and abs(got[300]["strength"] - np.linalg.norm(points[300])) < 1e-9
