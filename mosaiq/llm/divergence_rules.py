@@ -1,31 +1,26 @@
 """Quality rules with distribution divergence, in DataFrame functions only.
 
 Base rules look at words, symbols and repetition.  The method then compares two histograms of each text with
-references of its language by Jensen-Shannon distance: classes of characters, and common words of the language
-against all other words.  The references are summed over all documents of the language that pass the base rules.
+references of its language by Jensen-Shannon distance: classes of characters, and the common words of the language
+against all other words.  Common words and references are learnt: from all documents of the language that pass the base
+rules and have ``min_words`` words, the most frequent words and the summed histograms.
 A text too short for a stable histogram (``min_words``) is not judged by its words, and one below ``min_chars`` not by
-its characters; nor is a text whose language has no list of common words or no reference.
+its characters; nor is a text without a language, or of one that no such document is in.
 
 Null texts count as empty: every count is 0, ``base_failed`` is true and ``kept`` false.  Rows are judged one by one, so
-repeated rows keep their number; an empty table gives an empty result; other columns are ignored.
+repeated rows keep their number; an empty table gives an empty result; other columns are ignored.  Of words that are
+equally frequent the least is the more common.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import materialise
+from mosaiq.llm.common import materialise, small
 
-#: Frequent words of each language.
-COMMON_WORDS = {
-    "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine"],
-    "en": ["the", "of", "and", "to", "in", "a", "is", "that", "it", "for", "was", "on", "with", "as", "be", "by", "this", "are"],
-    "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "una", "su", "para", "es"],
-    "fr": ["de", "la", "le", "et", "les", "des", "en", "un", "du", "une", "que", "est", "pour", "qui", "dans", "par", "au", "sur"],
-}
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -39,15 +34,16 @@ class Limits:
     word_slack: float = 2.6
     min_chars: int = 100
     min_words: int = 50
+    #: Words of each language that have bins of their own.
+    common_words: int = 18
 
 
-def base_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The counts of the contract for each text, and its two histograms (null where there is no reference list)."""
+def base_counts(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
+    """The counts of the contract for each text, its histogram of characters, and its words if it is judged by them."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"))
     out = out.withColumn("w", F.regexp_extract_all("t", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
     lines = F.filter(F.split("t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    listed = F.create_map(*[x for k, v in COMMON_WORDS.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
     out = out.select(
         "doc_id",
         "lang",
@@ -59,7 +55,6 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         lines.alias("lines"),
         F.when(F.size("w") >= WINDOW, F.transform(F.sequence(F.lit(0), F.size("w") - WINDOW), lambda i: F.xxhash64(*[F.get("w", i + k) for k in range(WINDOW)]))).alias("h"),
         F.regexp_extract_all(F.lower("t"), F.lit(r"\p{L}+"), F.lit(0)).alias("plain"),
-        F.try_element_at(listed, F.col("lang")).alias("listed"),
     )
     out = out.withColumn("s", F.when(F.size(F.array_distinct("h")) < F.size("h"), F.sort_array(F.transform("h", lambda x, i: F.struct(x.alias("h"), i.alias("i"))))))
     same = lambda x, j: F.coalesce(F.get("s", j)["h"] == x["h"], F.lit(False))
@@ -80,12 +75,11 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         F.regexp_count("t", F.lit(r"\p{Nd}")).cast("long").alias("c_digit"),
         F.regexp_count("t", F.lit(r"[.,;:!?'\"()-]")).cast("long").alias("c_point"),
         F.size("plain").cast("long").alias("n_plain"),
-        F.transform("listed", lambda x: (F.size("plain") - F.size(F.array_remove("plain", x))).cast("long")).alias("common"),
+        F.when(F.col("lang").isNotNull() & (F.size("plain") >= limits.min_words), F.col("plain")).alias("plain"),
     )
     space = F.col("n_chars") - F.col("word_chars")
     known = ("c_lower", "c_upper", "c_digit", "c_point", "n_symbols")
     rest = F.greatest(F.lit(0), F.col("word_chars") - sum((F.col(c) for c in known), F.lit(0)))
-    total = F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.select(
         "doc_id",
         "lang",
@@ -98,17 +92,34 @@ def base_counts(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
         "n_plain",
         ((F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))).alias("base_failed"),
         F.array(*[F.col(c) for c in known], space, rest).alias("char_counts"),
-        F.when(F.col("common").isNotNull(), F.concat("common", F.array(F.greatest(F.lit(0), F.col("n_plain") - total)))).alias("word_counts"),
+        "plain",
     )
 
 
-def references(counts: DataFrame, limits: Limits = Limits()) -> dict[str, tuple[list[int], list[int]]]:
-    """Summed histograms of each listed language (never more than the lists have)."""
-    good = counts.filter(F.col("word_counts").isNotNull() & ~F.col("base_failed") & (F.col("n_plain") >= limits.min_words))
-    bins = {"char_counts": 7, "word_counts": 1 + max(map(len, COMMON_WORDS.values()))}
-    sums = [F.sum(F.get(c, F.lit(i))).alias(f"{c}{i}") for c, n in bins.items() for i in range(n)]
-    found = good.groupBy("lang").agg(*sums).collect()
-    return {r["lang"]: tuple([r[f"{c}{i}"] for i in range(n if c == "char_counts" else len(COMMON_WORDS[r["lang"]]) + 1)] for c, n in bins.items()) for r in found}
+def common_words(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``lang, listed``: the most frequent words of each language, summed in each task before they meet."""
+    words = counts.filter(~F.col("base_failed")).select("lang", F.explode("plain").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
+    top = words.withColumn("r", rank).filter(F.col("r") <= limits.common_words)
+    return top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("listed"))
+
+
+def with_word_counts(counts: DataFrame, listed: DataFrame) -> DataFrame:
+    """Counts with ``word_counts``: how often each listed word occurs, and how many other words there are."""
+    common = F.transform("listed", lambda x: (F.size("plain") - F.size(F.array_remove("plain", x))).cast("long"))
+    out = counts.join(listed, "lang", "left").withColumn("common", F.when(F.col("plain").isNotNull(), common))
+    rest = F.col("n_plain") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
+    return out.withColumn("word_counts", F.when(F.col("common").isNotNull(), F.concat("common", F.array(rest)))).drop("plain", "listed", "common")
+
+
+def references(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
+    """``lang, rc, rw``: the shares of the summed histograms of each language."""
+    good = counts.filter(F.col("word_counts").isNotNull() & ~F.col("base_failed"))
+    bins = {"char_counts": 7, "word_counts": 1 + limits.common_words}
+    sums = {c: [F.sum(F.get(c, F.lit(i))) for i in range(n)] for c, n in bins.items()}
+    found = good.groupBy("lang").agg(*[F.filter(F.array(*x), lambda v: v.isNotNull()).alias(c) for c, x in sums.items()])
+    share = lambda c: F.transform(c, lambda x: x / F.greatest(F.lit(1), F.aggregate(c, F.lit(0).cast("long"), lambda a, y: a + y)))
+    return found.select("lang", share("char_counts").alias("rc"), share("word_counts").alias("rw"))
 
 
 def distance(counts: Column, reference: Column) -> Column:
@@ -122,11 +133,9 @@ def distance(counts: Column, reference: Column) -> Column:
 
 def judged(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, distances and verdict of every document."""
-    counts = materialise(base_counts(docs, id_column, text, lang))
-    known = references(counts, limits)
-    share = lambda c: F.array(*[F.lit(x / max(1, sum(c))) for x in c])
-    of = lambda k: F.create_map(*[x for name, both in sorted(known.items()) for x in (F.lit(name), share(both[k]))]) if known else F.lit(None).cast("map<string,array<double>>")
-    out = counts.withColumn("rc", F.try_element_at(of(0), F.col("lang"))).withColumn("rw", F.try_element_at(of(1), F.col("lang")))
+    counts = materialise(base_counts(docs, limits, id_column, text, lang))
+    counts = materialise(with_word_counts(counts, small(common_words(counts, limits))))
+    out = counts.join(small(references(counts, limits)), "lang", "left")
     out = out.withColumn("char_distance", F.when(F.col("n_chars") >= limits.min_chars, distance(F.col("char_counts"), F.col("rc"))))
     out = out.withColumn("word_distance", F.when(F.col("n_plain") >= limits.min_words, distance(F.col("word_counts"), F.col("rw"))))
     fine = F.coalesce(F.col("char_distance") <= limits.char_distance, F.lit(True)) & F.coalesce(F.col("word_distance") <= limits.word_base + limits.word_slack / F.sqrt("n_plain"), F.lit(True))
@@ -136,7 +145,6 @@ def judged(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id"
 def oracle_sql(limits: Limits = Limits()) -> str:
     """Counts and verdict in SQL."""
     blank = "[^\\x20\\x09-\\x0D]"
-    listed = "MAP {" + ", ".join(f"'{k}': {v!r}" for k, v in sorted(COMMON_WORDS.items())) + "}"
     gone = lambda x: f"length(t) - length(regexp_replace(t, '{x}', '', 'g'))"
     term = lambda a, b: f"CASE WHEN {a} > 0 THEN {a} * log2(2.0 * {a} / ({a} + {b})) ELSE 0 END"
     far = lambda c, r: f"CASE WHEN list_sum({c}) > 0 THEN sqrt(greatest(0.0, list_sum([0.5 * ({term(f'({c}[i] / list_sum({c}))', f'({r}[i] / list_sum({r}))')} + {term(f'({r}[i] / list_sum({r}))', f'({c}[i] / list_sum({c}))')}) FOR i IN range(1, len({c}) + 1)]))) END"
@@ -148,13 +156,16 @@ cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, (SELECT range AS k F
 lin AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '{blank}') GROUP BY doc_id),
 f AS (SELECT d.doc_id AS doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, length(array_to_string(w, '')) AS word_chars, {gone("[#*$%&|<>]")} AS n_symbols, coalesce(lin.n, 0) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
   length(t) AS n_chars, len(plain) AS n_plain, {gone(chr(92) + "p{Ll}+")} AS c_lower, {gone(chr(92) + "p{Lu}+")} AS c_upper, {gone(chr(92) + "p{Nd}+")} AS c_digit, {gone("[.,;:!?''" + chr(34) + "()-]")} AS c_point,
-  [len(list_filter(plain, lambda p: p = x)) FOR x IN ({listed})[lang]] AS common
+  CASE WHEN lang IS NOT NULL AND len(plain) >= {limits.min_words} THEN plain END AS plain
   FROM d LEFT JOIN cov ON d.doc_id = cov.doc_id LEFT JOIN lin ON d.doc_id = lin.doc_id),
-c AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
-  [c_lower, c_upper, c_digit, c_point, n_symbols, n_chars - word_chars, greatest(0, word_chars - c_lower - c_upper - c_digit - c_point - n_symbols)] AS cc,
-  CASE WHEN common IS NOT NULL THEN list_append(common, greatest(0, n_plain - list_sum(common))) END AS wc FROM f),
-u AS (SELECT lang, unnest(range(1, 8)) AS i, unnest(cc) AS v, 'c' AS k FROM c WHERE wc IS NOT NULL AND NOT base_failed AND n_plain >= {limits.min_words}
-  UNION ALL SELECT lang, unnest(range(1, len(wc) + 1)), unnest(wc), 'w' FROM c WHERE wc IS NOT NULL AND NOT base_failed AND n_plain >= {limits.min_words}),
+b AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+  [c_lower, c_upper, c_digit, c_point, n_symbols, n_chars - word_chars, greatest(0, word_chars - c_lower - c_upper - c_digit - c_point - n_symbols)] AS cc FROM f),
+wo AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest(plain) AS word FROM b WHERE NOT base_failed) GROUP BY ALL),
+li AS (SELECT lang, list(word ORDER BY r) AS listed FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, word) AS r FROM wo) WHERE r <= {limits.common_words} GROUP BY lang),
+m AS (SELECT b.*, CASE WHEN plain IS NOT NULL AND listed IS NOT NULL THEN [len(list_filter(plain, lambda p: p = x)) FOR x IN listed] END AS common FROM b LEFT JOIN li ON li.lang = b.lang),
+c AS (SELECT *, CASE WHEN common IS NOT NULL THEN list_append(common, n_plain - list_sum(common)) END AS wc FROM m),
+u AS (SELECT lang, unnest(range(1, 8)) AS i, unnest(cc) AS v, 'c' AS k FROM c WHERE wc IS NOT NULL AND NOT base_failed
+  UNION ALL SELECT lang, unnest(range(1, len(wc) + 1)), unnest(wc), 'w' FROM c WHERE wc IS NOT NULL AND NOT base_failed),
 s AS (SELECT lang, k, i, sum(v)::DOUBLE AS v FROM u GROUP BY ALL),
 r AS (SELECT lang, list(v ORDER BY i) FILTER (k = 'c') AS rc, list(v ORDER BY i) FILTER (k = 'w') AS rw FROM s GROUP BY lang),
 j AS (SELECT c.*, CASE WHEN n_chars >= {limits.min_chars} THEN {far("cc", "rc")} END AS cd, CASE WHEN n_plain >= {limits.min_words} THEN {far("wc", "rw")} END AS wd FROM c LEFT JOIN r ON c.lang = r.lang)

@@ -137,6 +137,18 @@ def test_rules_keep_clean_text(spark):
     assert sum(clean) / len(clean) > 0.99 and sum(r["kept"] for r in got if r["quality"] == 0) < 0.7 * sum(r["quality"] == 0 for r in got)
 
 
+def test_common_words_are_learnt_for_any_language(spark):
+    import random
+
+    r = random.Random(6)
+    common, rare = [f"k{c}" for c in "abcdefgh"], [c * 3 + d for c in "mnopqrst" for d in "uvwxyz"]
+    text = lambda: " ".join(r.choice(common) if r.random() < 0.7 else r.choice(rare) for _ in range(200))
+    rows = [(i, text(), "xx") for i in range(60)] + [(100, " ".join(r.choice(rare) for _ in range(200)), "xx"), (101, " ".join(r.choice(rare) for _ in range(200)), None), (102, text(), "yy")]
+    got = {x["doc_id"]: x for x in divergence_rules.judged(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert all(got[i]["kept"] for i in range(60)) and not got[100]["kept"] and not got[100]["base_failed"]
+    assert got[101]["kept"] and got[101]["word_distance"] is None and got[102]["kept"] and got[102]["word_distance"] == 0.0
+
+
 def test_licences_by_canonical_digest(spark):
     mit = "The MIT Licence (MIT)\n\nCopyright (c) 2019 Some One\n\n" + licenses.MIT_GRANT.upper().replace("\n\n", "\n   ")
     rows = [(1, mit), (2, "prose\nReleased under the M.I.T. license\nlicensed under the apache licence, version 2.0"), (3, licenses.MIT_GRANT + " And more."), (4, None), (5, ""), (6, "--"), (1, mit)]
