@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from mosaiq.functions import distogram, extend, names, special
 from mosaiq.operators import clustering, filters, objects, ranks, regions, reshape, tables, thresholds, vectors
 from mosaiq.sources import files
+from mosaiq.streaming import resume
 
 
 def two_humps(spark):
@@ -198,3 +199,19 @@ def test_unmixing_tells_channels_apart(spark):
     for a in (0, 200, 400):
         assert len({got[i]["cluster"] for i in range(a, a + 200)}) == 1
     assert got[0]["cluster"] == 0 and abs(got[300]["strength"] - np.linalg.norm(points[300])) < 1e-9
+
+
+def test_fetching_goes_on_where_it_ended(spark, tmp_path):
+    target, state = str(tmp_path / "rows"), str(tmp_path / "state")
+    rows = [("2024-01-01", 1), ("2024-01-02", 2)]
+    source = lambda: spark.createDataFrame(rows, "day string, id long")
+    assert resume.last_fetched(spark, state) is None and resume.fetch(source(), "day", target, state) == 2
+    assert resume.fetch(source(), "day", target, state) == 0
+    rows += [("2024-01-03", 3), ("2024-01-02", 4)]
+    assert resume.fetch(source(), "day", target, state) == 1 and resume.last_fetched(spark, state) == "2024-01-03"
+    assert sorted(r["id"] for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+    folder = str(tmp_path / "files")
+    for part, ids in enumerate(([1, 2, 2], [3])):
+        spark.createDataFrame([(i,) for i in ids], "id long").coalesce(1).write.mode("append").json(folder)
+        resume.follow(spark, folder, "id long", str(tmp_path / "out"), str(tmp_path / "done"), ["id"])
+        assert spark.read.parquet(str(tmp_path / "out")).count() == (2, 3)[part]
