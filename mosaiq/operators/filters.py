@@ -301,3 +301,37 @@ def in_polygon(ring: Column) -> Column:
     above = lambda p: F.element_at(p, 2) > F.col("y")
     cross = lambda a, b: F.col("x") < (F.element_at(b, 1) - F.element_at(a, 1)) * (F.col("y") - F.element_at(a, 2)) / F.when(F.element_at(b, 2) != F.element_at(a, 2), F.element_at(b, 2) - F.element_at(a, 2)) + F.element_at(a, 1)
     return F.size(F.filter(edges, lambda e: (above(e["a"]) != above(e["b"])) & cross(e["a"], e["b"]))) % 2 == 1
+
+
+def ball(radius: int) -> dict[tuple[int, int], float]:
+    """Heights of the upper half of a ball over the places below it."""
+    return {(dy, dx): math.sqrt(radius * radius - dy * dy - dx * dx) for dy in range(-radius, radius + 1) for dx in range(-radius, radius + 1) if dy * dy + dx * dx <= radius * radius}
+
+
+def _over_ball(pixels: DataFrame, radius: int, lowered: bool) -> DataFrame:
+    """The greatest height that lets a ball centred at each place stay below the image, or how far up balls of such heights
+    reach."""
+    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(h).alias("h")) for (dy, dx), h in ball(radius).items()])
+    moved = pixels.select("image", "y", "x", "v", F.explode(steps).alias("o"))
+    moved = moved.select("image", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), (F.col("v") - F.col("o.h") if lowered else F.col("v") + F.col("o.h")).alias("v"))
+    return moved.groupBy(*AT).agg((F.min("v") if lowered else F.max("v")).alias("v")).join(pixels.select(*AT), AT, "left_semi").select(*AT, "v")
+
+
+def without_background(pixels: DataFrame, radius: int) -> DataFrame:
+    """The image above the surface that a ball rolled below it touches."""
+    surface = _over_ball(_over_ball(pixels, radius, True), radius, False).withColumnRenamed("v", "_s")
+    return pixels.join(surface, AT).select(*AT, (F.col("v") - F.col("_s")).alias("v"))
+
+
+def autocrop(pixels: DataFrame, width: int, threshold: float, bins: int = 32) -> DataFrame:
+    """``image, y1, x1, y2, x2``: from each side, the first place where the entropy of rows or columns changes by the
+    threshold; an edge without one stays where it is."""
+    out = pixels.groupBy("image").agg(F.max("y").alias("_y"), F.max("x").alias("_x"))
+    for axis in ("y", "x"):
+        strips = bin_entropy(pixels, ["image", axis], bins)
+        for side in ("1", "2"):
+            turned = strips if side == "1" else strips.join(out.select("image", f"_{axis}"), "image").select("image", (F.col(f"_{axis}") - F.col(axis)).alias(axis), "entropy")
+            hit = first_spike(smoothed_gradients(turned, ["image"], axis, "entropy", width), ["image"], axis, "entropy", threshold).select("image", F.col(axis).alias("_hit"))
+            at = F.coalesce("_hit", F.lit(0)).cast("long")
+            out = out.join(hit, "image", "left").withColumn(f"{axis}{side}", at if side == "1" else F.col(f"_{axis}") - at).drop("_hit")
+    return out.select("image", "y1", "x1", "y2", "x2")

@@ -107,6 +107,24 @@ def _lucy(n: int) -> str:
 
 
 _add("deconvolve_richardson_lucy", _lucy(3), lambda d: filters.richardson_lucy(d, _BLUR, 3), 6)
+_BALL = ", ".join(f"({dy}, {dx}, {h!r}::DOUBLE)" for (dy, dx), h in filters.ball(3).items())
+_OVER = "SELECT p.image AS image, p.y AS y, p.x AS x, {f} AS v FROM {t} AS p, (VALUES " + _BALL + ") AS w(dy, dx, h) JOIN {t} AS q ON q.image = p.image AND q.y = p.y - dy AND q.x = p.x - dx GROUP BY ALL"
+_add("rolling_ball", P + ", a AS (" + _OVER.format(f="min(q.v - h)", t="px") + "), b AS (" + _OVER.format(f="max(q.v + h)", t="a") + ") SELECT px.image AS image, px.y AS y, px.x AS x, round(px.v - b.v, 6) AS v FROM px JOIN b USING (image, y, x)", lambda d: filters.without_background(d, 3), 6)
+_SPIKE = "SELECT image, min({a}) AS hit FROM {t} WHERE round(gradient, 9) >= 0.02 GROUP BY image"
+
+
+def _crop_sql() -> str:
+    """Both axes from both sides: the same steps over strips that are numbered from either end."""
+    parts = []
+    for a in "yx":
+        parts.append(f"e{a} AS (SELECT image, {a}, min(v) AS a, max(v) AS b FROM px GROUP BY image, {a}), bn{a} AS (SELECT px.image AS image, px.{a} AS {a}, least(floor((v - e.a) * 32 / (CASE WHEN b > e.a THEN b - e.a ELSE 1 END)), 31) AS bin, count(*) AS n FROM px JOIN e{a} AS e ON e.image = px.image AND e.{a} = px.{a} GROUP BY ALL), t{a}1 AS (SELECT image, {a} AS y, ln(sum(n)) - sum(n * ln(n)) / sum(n) AS entropy FROM bn{a} GROUP BY image, {a}), t{a}2 AS (SELECT image, {_END} - y AS y, entropy FROM t{a}1)")
+        for k in "12":
+            t = f"{a}{k}"
+            parts.append(f"p{t} AS ({_WINDOW.format(o='entropy', c='entropy', t='t' + t)}), q{t} AS (SELECT image, y, lead(entropy) OVER (PARTITION BY image ORDER BY y) - entropy AS step FROM p{t}), r{t} AS (SELECT * FROM q{t} WHERE step IS NOT NULL), g{t} AS ({_WINDOW.format(o='gradient', c='step', t='r' + t)}), s{t} AS ({_SPIKE.format(a='y', t='g' + t)})")
+    ends = ", ".join(f"CAST(coalesce(s{a}1.hit, 0) AS BIGINT) AS {a}1, CAST({_END} - coalesce(s{a}2.hit, 0) AS BIGINT) AS {a}2" for a in "yx")
+    return P + ", " + ", ".join(parts) + f" SELECT i.image AS image, {ends} FROM (SELECT DISTINCT image FROM px) AS i " + " ".join(f"LEFT JOIN s{a}{k} ON s{a}{k}.image = i.image" for a in "yx" for k in "12")
+
+
 _add("value_bounds", P + " SELECT image, max(v) AS greatest, min(v) AS least, min(v) FILTER (v > 0) AS least_above_0 FROM px GROUP BY image", filters.value_bounds)
 _add("without_blank", P + " SELECT image, y, x, CASE WHEN image = 'N' THEN 1 ELSE v END AS v FROM px WHERE image <> 'N'", lambda d: filters.without_blank(d.withColumn("v", F.when(F.col("image") == "N", 1).otherwise(F.col("v")))))
 _add("exact_tiles", P + " SELECT image, y // 7 AS ty, x // 7 AS tx FROM px GROUP BY ALL HAVING count(*) = 49", lambda d: filters.exact_tiles(d, 7))
@@ -201,3 +219,6 @@ def pyramid_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     raster.write_pyramid(raster.pyramid(lines_raster(spark, sf_dir), 3, 5), folder)
     tiles = spark.read.schema("image string, y long, x long, v long, level long, ty long, tx long").parquet(folder)
     return tiles.groupBy("level", "ty", "tx").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total"))
+
+
+_add("autocrop", _crop_sql(), lambda d: filters.autocrop(d, 4, 0.02))
