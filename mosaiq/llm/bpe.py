@@ -42,10 +42,18 @@ def byte_names() -> dict[int, str]:
     return named
 
 
+def expect_byte_level(spec: dict) -> None:
+    """An error if a vocabulary file asks for other steps before the merges than those of this module."""
+    cut = spec.get("pre_tokenizer") or {}
+    if spec.get("normalizer") is not None or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space") or not cut.get("use_regex", True) or spec["model"].get("type", "BPE") != "BPE":
+        raise ValueError("not a byte-level vocabulary without a normaliser and with the usual cuts")
+
+
 class Bpe:
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        expect_byte_level(spec)
         vocab = spec["model"]["vocab"]
         names = byte_names()
         back = {v: k for k, v in names.items()}

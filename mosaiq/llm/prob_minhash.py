@@ -340,7 +340,7 @@ def linked_parts(firsts: DataFrame, docs: DataFrame, threshold: float, id_column
     # the pairs that are neither compared nor of one component are of members that do not lead their bucket
     placed = materialise(led.select("bucket", "doc_id", "leader").join(parts, F.col("doc_id") == F.col("node"), "left").select("bucket", "leader", F.col("doc_id").alias("id"), F.coalesce("component", "doc_id").alias("part")))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("a"), F.max("part").alias("b")).filter("a <> b").select("bucket")
-    unsettled = placed.join(mixed, "bucket").select("leader", "id", "part").distinct()
+    unsettled = placed.join(small(mixed), "bucket").select("leader", "id", "part").distinct()
     unsettled = unsettled.withColumn("u", F.least("id", "leader")).withColumn("v", F.greatest("id", "leader"))
     unsettled = materialise(unsettled.join(tried, ["u", "v"]).select("leader", "id", "part", "similarity"))
     if unsettled.isEmpty():

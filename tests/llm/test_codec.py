@@ -89,3 +89,11 @@ def test_token_counts_answer_every_limit(spark, known):
     middle = token_counts.quantiles(token_counts.suffix_sums(hist), [0.5]).first()["length"]
     assert sum(x <= middle for x in n) >= len(n) / 2 > sum(x < middle for x in n)
     assert token_counts.token_counts(docs.limit(0), byte_vocabulary()).count() == 0
+
+
+def test_other_kinds_of_vocabulary_are_refused():
+    plain = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE"}}
+    bpe.expect_byte_level(plain)
+    for other in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": None}, {"pre_tokenizer": plain["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": {"type": "Unigram"}}):
+        with pytest.raises(ValueError):
+            bpe.expect_byte_level(plain | other)
