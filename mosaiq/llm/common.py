@@ -7,6 +7,7 @@ import math
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,11 +21,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The folder of the scratch block that is open, if any.
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor and the driver can reach.
 
-    Only where the cluster names none (tests), one in the warehouse folder is used instead.
+    Only where the cluster names none (tests), one in the warehouse folder is used instead.  Within a scratch block it lies
+    in the block's folder.
     """
+    if held := _scratch.get():
+        return f"{held}/{uuid.uuid4().hex}"
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         base = spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
@@ -61,6 +69,32 @@ def materialise(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that are written within this block go when it ends, but for those of ``lasting``."""
+    folder = shared_dir(spark)
+    before = _scratch.set(folder)
+    try:
+        yield
+    finally:
+        _scratch.reset(before)
+        remove(spark, folder)
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """Written outside any scratch block, so that it outlives all tables that it was made from."""
+    before = _scratch.set(None)
+    try:
+        return materialise(df)
+    finally:
+        _scratch.reset(before)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a text column (0 for none)."""
     return docs.agg(F.sum(F.octet_length(column).cast("long")).alias("n")).first()["n"] or 0

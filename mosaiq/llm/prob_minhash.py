@@ -43,7 +43,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import freed, materialise, released_shuffles, small
+from mosaiq.llm.common import freed, lasting, materialise, released_shuffles, scratch, small
 from mosaiq.llm.components import components
 
 SHINGLE = 5
@@ -364,7 +364,8 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD, id_column: str = "doc
     with released_shuffles(spark):
         sketches = materialise(sketch(docs, id_column, text))
         firsts = materialise(sketches.filter(F.col("text_class").isNotNull()).groupBy("text_class").agg(F.min(F.struct("doc_id", "bands")).alias("f")).select("text_class", "f.*"))
-        parts = linked_parts(firsts, docs, threshold, id_column, text)
+        with scratch(spark):
+            parts = lasting(linked_parts(firsts, docs, threshold, id_column, text))
         of_text = firsts.join(parts, firsts["doc_id"] == parts["node"], "left").select("text_class", F.col("doc_id").alias("text_class_id"), F.coalesce("component", "doc_id").alias("class_id"))
     placed = sketches.select("doc_id", "text_class").join(of_text, "text_class", "left")
     return placed.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("text_class_id", "doc_id").alias("text_class_id"))

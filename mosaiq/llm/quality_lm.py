@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mosaiq.llm.common import block_count, free_memory, freed, materialise, released_shuffles, row_key, small, text_bytes
+from mosaiq.llm.common import block_count, free_memory, freed, lasting, materialise, released_shuffles, row_key, scratch, small, text_bytes
 
 ORDER = 4
 BEGIN, END = "\x01", "\x02"
@@ -187,14 +187,14 @@ def scored(dealt: DataFrame, answers: DataFrame, kind: str) -> DataFrame:
 def perplexities(docs: DataFrame, trusted: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """``doc_id``, ``lang``, ``text_hash``, ``n_grams``, ``perplexity`` (a written table); trusted has the ``doc_id`` of good documents."""
     spark = docs.sparkSession
-    with released_shuffles(spark):
+    with released_shuffles(spark), scratch(spark):
         blocks = block_count(text_bytes(docs, text), limits.block_bytes)
         dealt, good = _dealt(docs, trusted, blocks, id_column, text, lang)
         asked = materialise(asked_grams(dealt, good))
         counts = asked.filter("trusted > 0").groupBy("gram").agg(F.sum("trusted").alias("c"))
         known = materialise(log_probabilities(counts, asked.select("gram").distinct()))
         answers = asked.select("block", "gram").join(known, "gram")
-        return materialise(scored(dealt, answers, docs.schema[id_column].dataType.simpleString()).select("doc_id", "lang", "text_hash", "n_grams", F.exp(-F.col("logp") / F.nullif("n_grams", F.lit(0))).alias("perplexity")))
+        return lasting(scored(dealt, answers, docs.schema[id_column].dataType.simpleString()).select("doc_id", "lang", "text_hash", "n_grams", F.exp(-F.col("logp") / F.nullif("n_grams", F.lit(0))).alias("perplexity")))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
