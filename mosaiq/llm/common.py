@@ -56,16 +56,13 @@ def released_shuffles(spark: SparkSession):
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def materialise(df: DataFrame, *, partition_by: str | None = None) -> DataFrame:
+def materialise(df: DataFrame, *, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there, and a lost
     executor costs no more than a reread."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with released_shuffles(spark):
-        writer = df.write
-        if partition_by:
-            writer = writer.partitionBy(partition_by)
-        writer.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -39,7 +39,8 @@ class Limits:
 
 
 def base_counts(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
-    """The counts of the contract for each text, its histogram of characters, and its words if it is judged by them."""
+    """The counts of the contract for each text, its histogram of characters, and its words (one text, as that takes less room) if it is
+    judged by them."""
     t = F.coalesce(F.col(text), F.lit(""))
     out = docs.select(F.col(id_column).alias("doc_id"), F.col(lang).alias("lang"), t.alias("t"))
     out = out.withColumn("w", F.regexp_extract_all("t", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
@@ -75,7 +76,7 @@ def base_counts(docs: DataFrame, limits: Limits = Limits(), id_column: str = "do
         F.regexp_count("t", F.lit(r"\p{Nd}")).cast("long").alias("c_digit"),
         F.regexp_count("t", F.lit(r"[.,;:!?'\"()-]")).cast("long").alias("c_point"),
         F.size("plain").cast("long").alias("n_plain"),
-        F.when(F.col("lang").isNotNull() & (F.size("plain") >= limits.min_words), F.col("plain")).alias("plain"),
+        F.when(F.col("lang").isNotNull() & (F.size("plain") >= limits.min_words), F.array_join("plain", " ")).alias("plain"),
     )
     space = F.col("n_chars") - F.col("word_chars")
     known = ("c_lower", "c_upper", "c_digit", "c_point", "n_symbols")
@@ -98,7 +99,7 @@ def base_counts(docs: DataFrame, limits: Limits = Limits(), id_column: str = "do
 
 def common_words(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """``lang, listed``: the most frequent words of each language, summed in each task before they meet."""
-    words = counts.filter(~F.col("base_failed")).select("lang", F.explode("plain").alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    words = counts.filter(~F.col("base_failed")).select("lang", F.explode(F.split("plain", " ")).alias("word")).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "word"))
     top = words.withColumn("r", rank).filter(F.col("r") <= limits.common_words)
     return top.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "word"))), lambda x: x["word"]).alias("listed"))
@@ -107,7 +108,7 @@ def common_words(counts: DataFrame, limits: Limits = Limits()) -> DataFrame:
 def with_word_counts(counts: DataFrame, listed: DataFrame) -> DataFrame:
     """Counts with ``word_counts``: how often each listed word occurs, and how many other words there are."""
     common = F.transform("listed", lambda x: (F.size("plain") - F.size(F.array_remove("plain", x))).cast("long"))
-    out = counts.join(listed, "lang", "left").withColumn("common", F.when(F.col("plain").isNotNull(), common))
+    out = counts.join(listed, "lang", "left").withColumn("plain", F.split("plain", " ")).withColumn("common", F.when(F.col("plain").isNotNull(), common))
     rest = F.col("n_plain") - F.aggregate("common", F.lit(0).cast("long"), lambda a, x: a + x)
     return out.withColumn("word_counts", F.when(F.col("common").isNotNull(), F.concat("common", F.array(rest)))).drop("plain", "listed", "common")
 
@@ -133,7 +134,7 @@ def distance(counts: Column, reference: Column) -> Column:
 
 def judged(docs: DataFrame, limits: Limits = Limits(), id_column: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Counts, distances and verdict of every document."""
-    counts = materialise(base_counts(docs, limits, id_column, text, lang))
+    counts = materialise(base_counts(docs, limits, id_column, text, lang), compression="zstd")
     counts = materialise(with_word_counts(counts, small(common_words(counts, limits))))
     out = counts.join(small(references(counts, limits)), "lang", "left")
     out = out.withColumn("char_distance", F.when(F.col("n_chars") >= limits.min_chars, distance(F.col("char_counts"), F.col("rc"))))
