@@ -7,10 +7,9 @@ columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from mosaiq.llm import bpe_codec, crf_langid, latent_decontam, prob_minhash, quality_lm
-from mosaiq.llm.common import materialise, table
+from mosaiq.llm.common import lasting, scratch, table
 from mosaiq.llm.queries import byte_vocabulary
 
 #: A document whose words share no language this far is rejected.
@@ -63,8 +62,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again before the next."""
+    """All stages over documents; each result is written and read again before the next, and what the stage wrote on the way
+    to it goes."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            docs = lasting(stage(spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
