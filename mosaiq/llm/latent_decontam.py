@@ -2,7 +2,7 @@
 
 Passages are vectors of hashed words weighted by inverse document frequency; the frequencies are counted over all
 documents.  A randomised singular value decomposition, whose products run in Spark, gives the latent space: it is
-fitted on every benchmark item and a bounded sample of document passages (``Settings``).  All documents are then
+fitted on every benchmark item and every passage of every document, each word in one passage.  All documents are then
 searched: windows a little longer than an item are compared with it by cosine, both within the latent space and over
 the full norm of the window (relative to the item's own share in that space).  A candidate is confirmed by the longest common subsequence of words: most of the item's words, in order; or half of them
 if the item's answer (its last words) is there as well.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mosaiq.llm import wordhash
-from mosaiq.llm.common import block_count, freed, hash_share, materialise
+from mosaiq.llm.common import block_count, free_memory, freed, materialise, scratch
 
 BUCKET_BITS = 16
 BUCKETS = 1 << BUCKET_BITS
@@ -42,9 +42,8 @@ class Settings:
     rank: int = 128
     oversample: int = 16
     power_steps: int = 1
-    #: Bound of the passages of documents that the latent space is fitted on, beside all items.
-    sample_docs: int = 1000
-    sample_words: int = 40
+    #: Most words of the passages that documents are cut into to fit the latent space; an item is one passage.
+    passage_words: int = 40
     cosine: float = 0.55
     common: float = 0.7
     common_with_answer: float = 0.5
@@ -123,24 +122,51 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[np.ndarray, int]:
-    """In how many documents each bucket of words occurs, and how many documents have a word.  Each task sums its
-    documents first; the result has a fixed size."""
+def bucketed(rows: DataFrame, text: str = "text") -> DataFrame:
+    """The buckets of each row's words, two bytes each: what the fit reads several times."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for _, _, data, offsets in wordhash.pieces(batch.column(0)):
+            for a, z, data, offsets in wordhash.pieces(batch.column(0)):
                 found = text_words(data, offsets)
-                pairs = np.sort(found.row * BUCKETS + buckets(found.hashes))
+                parts = [None, pa.py_buffer((2 * found.bounds).astype(np.int32)), pa.py_buffer(buckets(found.hashes).astype(np.uint16))]
+                yield pa.RecordBatch.from_arrays([pa.Array.from_buffers(pa.binary(), z - a, parts)], names=["words"])
+
+    return rows.select(text).mapInArrow(freed(run), "words binary")
+
+
+def bucket_pieces(column: pa.Array, most: int = 150_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets and bounds of the rows of ``bucketed``, for runs of whole rows of about ``most`` words; a longer row stands
+    alone."""
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1] // 2 if len(column) else np.zeros(1, np.int64)
+    found = np.frombuffer(data, np.uint16, bounds[-1]) if bounds[-1] else np.zeros(0, np.uint16)
+    i = 0
+    while i < len(column):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + most, "right")) - 1)
+        yield found[bounds[i] : bounds[j]].astype(np.int64), bounds[i : j + 1] - bounds[i]
+        i = j
+
+
+def document_frequencies(words: DataFrame) -> tuple[np.ndarray, int]:
+    """In how many rows of ``bucketed`` each bucket of words occurs, and how many have a word.  Each task sums its rows
+    first; the result has a fixed size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(BUCKETS, np.int64), 0
+        for batch in batches:
+            for found, bounds in bucket_pieces(batch.column(0)):
+                length = np.diff(bounds)
+                pairs = np.sort(np.repeat(np.arange(len(length)), length) * BUCKETS + found)
                 first = np.ones(len(pairs), bool)
                 first[1:] = pairs[1:] != pairs[:-1]
                 total += np.bincount(pairs[first] % BUCKETS, minlength=BUCKETS)
-                n += int((np.diff(found.bounds) > 0).sum())
+                n += int((length > 0).sum())
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(total[some], n), pa.int64())], names=["bucket", "n"])
 
-    rows = docs.select(text).mapInArrow(freed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    rows = words.mapInArrow(freed(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     at, n = rows["bucket"].to_numpy(), rows["n"].to_numpy()
     out = np.zeros(BUCKETS, np.int64)
     out[at[at >= 0]] = n[at >= 0]
@@ -152,70 +178,122 @@ def idf(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
     return np.log((2.0 + n_docs) / (1.0 + frequencies))
 
 
-def weighted_passages(passages: DataFrame, weights: np.ndarray) -> DataFrame:
-    """Each passage as distinct buckets and unit-length TF-IDF weights."""
-    shared = passages.sparkSession.sparkContext.broadcast(weights)
+#: Passages that are multiplied at once (as a power of 2), and terms whose sums stand in one row.
+CHUNK_BITS = 4
+PART_TERMS = 64
+#: Different words of rows, summed over rows, for which a task is worth its sums over all terms (38 MB).
+TASK_WORDS = 4_000_000
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+@dataclass
+class Passages:
+    """TF-IDF weights of passages, each of unit length, in chunks of 1 << CHUNK_BITS passages.  Chunk c has the terms
+    ``terms[columns[c]:columns[c + 1]]``, and of its matrix the entries ``at[c]`` to ``at[c + 1]`` of ``row`` (passage in the
+    chunk), ``column`` (place in ``terms``) and ``weight``."""
+
+    row: np.ndarray
+    column: np.ndarray
+    weight: np.ndarray
+    at: np.ndarray
+    terms: np.ndarray
+    columns: np.ndarray
+
+    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a, z, low, high in zip(self.at[:-1].tolist(), self.at[1:].tolist(), self.columns[:-1].tolist(), self.columns[1:].tolist(), strict=True):
+            matrix = np.zeros((1 << CHUNK_BITS, high - low), np.float32)
+            matrix[self.row[a:z], self.column[a:z] - low] = self.weight[a:z]
+            yield matrix, self.terms[low:high]
+
+
+def passages(found: np.ndarray, bounds: np.ndarray, most_words: int, weights: np.ndarray) -> Passages:
+    """All words of some rows in passages of at most ``most_words``, of nearly one length within a row."""
+    length = np.diff(bounds)
+    n = -(-length // most_words)
+    row = np.repeat(np.arange(len(length)), length)
+    passage = (np.cumsum(n) - n)[row] + (np.arange(len(found)) - bounds[row]) * n[row] // length[row]
+    inner = (1 << CHUNK_BITS) - 1
+    # sorted by chunk, term and passage
+    key, count = np.unique((((passage >> CHUNK_BITS) << BUCKET_BITS | found) << CHUNK_BITS) | passage & inner, return_counts=True)
+    chunk, term, inside = key >> (BUCKET_BITS + CHUNK_BITS), (key >> CHUNK_BITS) % BUCKETS, key & inner
+    weight, passage = count * weights[term], chunk << CHUNK_BITS | inside
+    weight /= np.maximum(np.sqrt(np.bincount(passage, weight * weight)), 1e-12)[passage]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] >> CHUNK_BITS != key[:-1] >> CHUNK_BITS
+    column = np.cumsum(new) - 1
+    at = np.searchsorted(chunk, np.arange(-(-int(n.sum()) >> CHUNK_BITS) + 1))
+    return Passages(inside, column, weight.astype(np.float32), at, term[new], np.append(column, new.sum())[at])
+
+
+def _gram_times(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A^T (A right) for the matrix A of all passages of the tables (of ``bucketed``, with the most words of a passage), over
+    the known terms: partial sums of each task, then of each part of the terms."""
+    spark, width = tables[0][0].sparkSession, right.shape[1]
+    place = np.zeros(BUCKETS, np.int64)
+    place[known] = np.arange(len(known))
+    shared = spark.sparkContext.broadcast((weights, place, right))
+    schema = "part int, v binary"
+
+    def partial(most_words: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, place, right = shared.value
+        total = np.zeros_like(right)
         for batch in batches:
-            for _, _, data, offsets in wordhash.pieces(batch.column(0)):
-                found = text_words(data, offsets)
-                terms, values = [], []
-                for a, z in zip(found.bounds[:-1], found.bounds[1:], strict=True):
-                    at, count = np.unique(buckets(found.hashes[a:z]), return_counts=True)
-                    w = count * shared.value[at]
-                    terms.append(at)
-                    values.append(w / max(np.sqrt((w * w).sum()), 1e-12))
-                yield pa.RecordBatch.from_arrays([pa.array(terms, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))], names=["terms", "weights"])
+            for found, bounds in bucket_pieces(batch.column(0)):
+                for matrix, terms in passages(found, bounds, most_words, weights).chunks():
+                    terms = place[terms]
+                    total[terms] += matrix.T @ (matrix @ right[terms])
+        for a in range(0, len(total), PART_TERMS):
+            if (part := total[a : a + PART_TERMS]).any():
+                yield pa.RecordBatch.from_arrays([pa.array([a // PART_TERMS], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "v"])
 
-    return passages.mapInArrow(freed(run), "terms array<int>, weights array<double>")
+    def summed(part: pa.Table) -> pa.Table:
+        total = functools.reduce(lambda t, v: t + np.frombuffer(v.as_buffer(), np.float32), part["v"], np.float64(0))
+        return pa.table({"part": part["part"].slice(0, 1), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
+
+    sums = [rows.mapInArrow(freed(functools.partial(partial, most_words)), schema) for rows, most_words in tables]
+    rows = materialise(functools.reduce(DataFrame.unionByName, sums).groupBy("part").applyInArrow(summed, schema)).toArrow()
+    shared.destroy()
+    out = np.zeros_like(right)
+    for part, v in zip(rows["part"].to_pylist(), rows["v"], strict=True):
+        out[part * PART_TERMS : (part + 1) * PART_TERMS] = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, width)
+    return out
 
 
-def _gram_times(passages: DataFrame, known: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A^T (A right) for the passages' matrix A, over the known terms: partial sums of each task, then of each term."""
-    shared, width = passages.sparkSession.sparkContext.broadcast((known, right.astype(np.float32))), right.shape[1]
+def _tall_gram(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """left^T right in double precision, without a copy of the two."""
+    return sum(left[a : a + 4096].T.astype(np.float64) @ right[a : a + 4096] for a in range(0, len(left), 4096))
 
-    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, right = shared.value
-        total = np.zeros(right.shape)
-        for batch in batches:
-            for at, w in zip(batch.column(0), batch.column(1), strict=True):
-                at, w = np.searchsorted(known, at.values.to_numpy()), w.values.to_numpy()
-                total[at] += w[:, None] * (w @ right[at])[None, :]
-        some = np.flatnonzero(np.abs(total).sum(axis=1))
-        for a in range(0, len(some), 4096):
-            rows = some[a : a + 4096]
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1) * width, pa.int32()), pa.array(total[rows].ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays([pa.array(rows // 2048, pa.int32()), pa.array(rows, pa.int32()), lists], names=["part", "term", "v"])
 
-    def summed(part: pa.Table) -> pa.Table:
-        terms, inverse = np.unique(part["term"].to_numpy(), return_inverse=True)
-        total = np.zeros((len(terms), width))
-        np.add.at(total, inverse, part["v"].combine_chunks().flatten().to_numpy().reshape(-1, width))
-        return pa.table({"part": np.full(len(terms), terms[0] // 2048, np.int32), "term": pa.array(terms, pa.int32()), "v": pa.ListArray.from_arrays(pa.array(np.arange(len(terms) + 1) * width, pa.int32()), pa.array(total.ravel()))})
-
-    schema = "part int, term int, v array<double>"
-    rows = passages.mapInArrow(freed(partial), schema).groupBy("part").applyInArrow(summed, schema).toArrow()
-    out = np.zeros(right.shape)
-    if rows.num_rows:
-        out[rows["term"].to_numpy()] = rows["v"].combine_chunks().flatten().to_numpy().reshape(-1, width)
+def _turned(tall: np.ndarray, by: np.ndarray) -> np.ndarray:
+    out = np.empty((len(tall), by.shape[1]), np.float32)
+    for a in range(0, len(tall), 4096):
+        out[a : a + 4096] = tall[a : a + 4096].astype(np.float64) @ by
     return out
 
 
-def latent_terms(passages: DataFrame, settings: Settings = Settings(), seed: int = 11) -> np.ndarray:
-    """The leading right singular vectors of the passages' matrix (all buckets by rank), by a randomised
-    decomposition; passages are few enough (``Settings``) that their terms fit the driver."""
-    known = np.sort(passages.select(F.explode("terms").alias("t")).distinct().toArrow()["t"].to_numpy())
-    out = np.zeros((BUCKETS, settings.rank))
+def _whitening(gram: np.ndarray, least: float) -> np.ndarray:
+    """B with B^T gram B = 1 for the directions above ``least`` of the largest, the largest first."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    some = np.flatnonzero(values > max(least * values[-1], 0))[::-1]
+    return vectors[:, some] / np.sqrt(values[some])
+
+
+def latent_terms(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known: np.ndarray, settings: Settings = Settings(), seed: int = 11) -> np.ndarray:
+    """The leading right singular vectors of the matrix of all passages (all buckets by rank), by a randomised
+    decomposition: of Y = A^T A q, with q^T Y, comes the Nystroem form Y (q^T Y)^-1 Y^T of A^T A.  What meets at the driver has
+    a fixed size: buckets by rank."""
     width = min(settings.rank + settings.oversample, len(known))
     if not width:
-        return out
-    q = np.random.default_rng(seed).standard_normal((len(known), width))
-    for _ in range(settings.power_steps + 1):
-        q, _ = np.linalg.qr(_gram_times(passages, known, q))
-    small = q.T @ _gram_times(passages, known, q)  # (A q)^T (A q)
-    values, vectors = np.linalg.eigh((small + small.T) / 2)
-    found = q @ vectors[:, np.argsort(-values)[: settings.rank]]
+        return np.zeros((BUCKETS, settings.rank), np.float32)
+    q = np.random.default_rng(seed).standard_normal((len(known), width), np.float32)
+    for step in range(settings.power_steps + 1):
+        if step:
+            q = _turned(y, _whitening(_tall_gram(y, y), 1e-10))  # orthonormal columns
+            del y
+        y = _gram_times(tables, weights, known, q)
+    y = _turned(y, _whitening(_tall_gram(q, y), 1e-6))  # A^T A is y y^T
+    del q
+    found = _turned(y, _whitening(_tall_gram(y, y), 1e-10)[:, : settings.rank])
+    out = np.zeros((BUCKETS, settings.rank), np.float32)
     out[known, : found.shape[1]] = found
     return out
 
@@ -225,18 +303,24 @@ def window_size(n_words: np.ndarray) -> np.ndarray:
     return np.ceil(8 * 1.5 ** np.ceil(np.log(np.maximum(n_words * 1.25 / 8, 1)) / np.log(1.5))).astype(np.int64)
 
 
+def fitted(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), text: str = "text") -> tuple[np.ndarray, np.ndarray]:
+    """The latent space of all documents and items, and the weights of all buckets."""
+    with scratch(docs.sparkSession):
+        words, held = materialise(bucketed(docs, text)), materialise(bucketed(items))
+        frequencies, n_docs = document_frequencies(words)
+        weights = idf(frequencies, n_docs)
+        of_items, _ = document_frequencies(held)
+        words, held = (rows.coalesce(block_count(int(n.sum()), TASK_WORDS)) for rows, n in ((words, frequencies), (held, of_items)))
+        known = np.flatnonzero(frequencies + of_items)
+        basis = latent_terms([(words, settings.passage_words), (held, np.iinfo(np.int32).max)], weights, known, settings)
+    free_memory()
+    return basis, weights
+
+
 def build_indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings = Settings(), id_column: str = "doc_id", text: str = "text") -> Iterator[Index]:
     """The items in blocks of some ``block_items``, all with one latent space."""
-    frequencies, n_docs = document_frequencies(docs, text)
-    weights = idf(frequencies, n_docs)
-    words = F.split(F.col(text), r"\s+")
-    at = F.pmod(F.xxhash64(id_column), F.greatest(F.size("words") - settings.sample_words, F.lit(0)) + 1)
-    # some twice as many documents as are wanted, by a hash of the id, so few rows meet however many there are
-    some = docs.filter(F.col(text).isNotNull() & (hash_share(id_column) <= 2.0 * settings.sample_docs / max(n_docs, 1)))
-    sample = some.select(id_column, words.alias("words")).select(F.xxhash64(id_column).alias("h"), F.array_join(F.slice("words", (at + 1).cast("int"), settings.sample_words), " ").alias("text"))
-    sample = sample.orderBy("h", "text").limit(settings.sample_docs).select("text")
     items = materialise(benchmark.filter("item_id is not null and text is not null").select("item_id", "text"))
-    basis = latent_terms(materialise(weighted_passages(items.select("text").unionByName(sample).repartition(8), weights)), settings)
+    basis, weights = fitted(docs.select(text), items.select("text"), settings, text)
     blocks = block_count(items.count(), settings.block_items)
     for k in range(blocks):
         rows = items.filter(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
@@ -262,11 +346,12 @@ def rare_words(weights: np.ndarray, item_words: list[np.ndarray], settings: Sett
 
 
 def indexed(basis: np.ndarray, weights: np.ndarray, item_ids: list, item_words: list[np.ndarray], settings: Settings = Settings()) -> Index:
-    known = np.flatnonzero(np.abs(basis).sum(axis=1) > 0)
+    known = np.flatnonzero(basis.any(axis=1))
     at = np.full(BUCKETS, len(known))
     at[known] = np.arange(len(known))
     terms = np.zeros((len(known) + 1, basis.shape[1]), np.float32)
-    terms[:-1] = basis[known] * weights[known, None]
+    terms[:-1] = basis[known]
+    terms[:-1] *= weights[known, None]
     vectors = np.array([terms[at[buckets(w)]].sum(axis=0) for w in item_words]).reshape(len(item_words), terms.shape[1])
     full = np.sqrt([(weights[buckets(w)] ** 2).sum() for w in item_words])[:, None]
     # window . vector / norm of the window = cosine / cosine of the item with itself

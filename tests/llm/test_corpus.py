@@ -265,6 +265,37 @@ def test_leaks_are_found_and_clean_text_left_alone(spark):
     assert latent_decontam.leaks(docs.limit(0), bench).count() == 0 and latent_decontam.leaks(docs, bench.limit(0)).count() == 0
 
 
+def test_the_latent_space_is_that_of_all_passages_of_all_documents(spark):
+    r, ld = random.Random(11), latent_decontam
+    topics = [[f"t{k}w{i}" for i in range(40)] for k in range(5)]
+    share = (30, 16, 8, 4, 2)  # uneven, so that the leading directions are far apart
+    about = r.choices(range(5), share, k=1500)
+    rows = [(i, " ".join(r.choice(topics[r.choice((k, k, k, 0))]) for _ in range(r.choice((3, 30, 200))))) for i, k in enumerate(about)]
+    rows += [(2000 + i, " ".join([r.choice(topics[0]) for _ in range(300)] + [f"last{i}" for _ in range(60)])) for i in range(3)] + [(3000, None), (3001, " ")]
+    items = [" ".join(r.choice(topics[k]) for _ in range(50)) for k in range(5)]
+    settings = ld.Settings(rank=3, oversample=1000)  # as many directions as there are words: an exact decomposition
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    (index,) = ld.build_indexes(docs.repartition(3), bench, settings)
+
+    def hashed(text):
+        return ld.buckets(ld.text_words(*wordhash.buffers(pa.array([text]))).hashes)
+
+    held = [hashed(t) for _, t in rows if t and t.strip()]
+    frequencies = np.bincount(np.concatenate([np.unique(x) for x in held]), minlength=ld.BUCKETS)
+    weights = ld.idf(frequencies, len(held))
+    assert np.allclose(index.weights, weights)
+    known = np.unique(np.concatenate([*held, *map(hashed, items)]))
+    assert (index.at[known] < len(index.terms) - 1).all()  # no word of any document is outside the space
+    lines = [hashed(t) for t in items]
+    for x in held:
+        n = -(-len(x) // 40)
+        lines += [x[[j * n // len(x) == k for j in range(len(x))]] for k in range(n)]
+    matrix = np.array([np.bincount(np.searchsorted(known, x), minlength=len(known)) * weights[known] for x in lines])
+    wanted = np.linalg.svd(matrix / np.linalg.norm(matrix, axis=1)[:, None], full_matrices=False)[2][:3]
+    got = index.terms[index.at[known]] / weights[known, None]
+    assert np.linalg.norm(wanted @ got, 2) < 1.001 and np.linalg.svd(wanted @ got, compute_uv=False).min() > 0.999
+
+
 def windows_of(bounds, size):
     """Rows and first words of windows of ``size`` words, a quarter apart; the last of a row ends with it."""
     stride, words = max(1, size // 4), np.diff(bounds)
