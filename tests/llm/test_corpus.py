@@ -394,6 +394,16 @@ def test_pipeline_is_its_stages_one_after_another(spark):
     assert sorted(got) == sorted(wanted)
 
 
+def test_pipeline_fits_its_latent_space_on_all_words_of_its_documents(spark, monkeypatch):
+    sf, made, indexed = "/root/testdata/sf0.001", [], latent_decontam.indexed
+    monkeypatch.setattr(latent_decontam, "indexed", lambda *a: made.append(indexed(*a)) or made[-1])
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    corpus_pipeline.decontamination(spark, docs, sf)
+    found = latent_decontam.text_words(*wordhash.buffers(pa.array([r["text"] for r in docs.collect()], pa.string())))
+    (index,) = made
+    assert (index.at[latent_decontam.buckets(found.hashes)] < len(index.terms) - 1).all()
+
+
 def test_stages_have_defined_rows_for_odd_input(spark):
     """Null and repeated ids, null and blank texts, equal rows and a column with a clashing name."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").withColumn("kept", F.lit("x")).withColumn("_0", F.lit(7))
