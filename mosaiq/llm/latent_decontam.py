@@ -225,8 +225,9 @@ def passages(found: np.ndarray, bounds: np.ndarray, most_words: int, weights: np
 
 
 def _gram_times(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """A^T (A right) for the matrix A of all passages of the tables (of ``bucketed``, with the most words of a passage), over
-    the known terms: partial sums of each task, then of each part of the terms."""
+    """Puts A^T (A right) in the place of ``right`` and returns right^T A^T A right, for the matrix A of all passages of the
+    tables (of ``bucketed``, with the most words of a passage) over the known terms: partial sums of each task, then of each
+    part of the terms.  The driver takes one partition of these parts at a time and holds no second matrix."""
     spark, width = tables[0][0].sparkSession, right.shape[1]
     place = np.zeros(BUCKETS, np.int64)
     place[known] = np.arange(len(known))
@@ -250,24 +251,30 @@ def _gram_times(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known:
         return pa.table({"part": part["part"].slice(0, 1), "v": pa.array([total.astype(np.float32).tobytes()], pa.binary())})
 
     sums = [rows.mapInArrow(freed(functools.partial(partial, most_words)), schema) for rows, most_words in tables]
-    rows = materialise(functools.reduce(DataFrame.unionByName, sums).groupBy("part").applyInArrow(summed, schema)).toArrow()
+    rows = materialise(functools.reduce(DataFrame.unionByName, sums).groupBy("part").applyInArrow(summed, schema))
     shared.destroy()
-    out = np.zeros_like(right)
-    for part, v in zip(rows["part"].to_pylist(), rows["v"], strict=True):
-        out[part * PART_TERMS : (part + 1) * PART_TERMS] = np.frombuffer(v.as_buffer(), np.float32).reshape(-1, width)
-    return out
+    gram, absent = np.zeros((width, width)), set(range(0, len(right), PART_TERMS))
+    for part, v in rows.toLocalIterator():
+        a = part * PART_TERMS
+        product = np.frombuffer(v, np.float32).reshape(-1, width)
+        gram += right[a : a + PART_TERMS].T.astype(np.float64) @ product
+        right[a : a + PART_TERMS] = product
+        absent.remove(a)
+    for a in absent:
+        right[a : a + PART_TERMS] = 0
+    return gram
 
 
-def _tall_gram(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """left^T right in double precision, without a copy of the two."""
-    return sum(left[a : a + 4096].T.astype(np.float64) @ right[a : a + 4096] for a in range(0, len(left), 4096))
+def _tall_gram(tall: np.ndarray) -> np.ndarray:
+    """tall^T tall in double precision, without a copy."""
+    return sum(tall[a : a + 4096].T.astype(np.float64) @ tall[a : a + 4096] for a in range(0, len(tall), 4096))
 
 
 def _turned(tall: np.ndarray, by: np.ndarray) -> np.ndarray:
-    out = np.empty((len(tall), by.shape[1]), np.float32)
+    """tall by, in the place of ``tall``."""
     for a in range(0, len(tall), 4096):
-        out[a : a + 4096] = tall[a : a + 4096].astype(np.float64) @ by
-    return out
+        tall[a : a + 4096, : by.shape[1]] = tall[a : a + 4096].astype(np.float64) @ by
+    return tall[:, : by.shape[1]]
 
 
 def _whitening(gram: np.ndarray, least: float) -> np.ndarray:
@@ -284,15 +291,13 @@ def latent_terms(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known
     width = min(settings.rank + settings.oversample, len(known))
     if not width:
         return np.zeros((BUCKETS, settings.rank), np.float32)
-    q = np.random.default_rng(seed).standard_normal((len(known), width), np.float32)
-    for step in range(settings.power_steps + 1):
-        if step:
-            q = _turned(y, _whitening(_tall_gram(y, y), 1e-10))  # orthonormal columns
-            del y
-        y = _gram_times(tables, weights, known, q)
-    y = _turned(y, _whitening(_tall_gram(q, y), 1e-6))  # A^T A is y y^T
-    del q
-    found = _turned(y, _whitening(_tall_gram(y, y), 1e-10)[:, : settings.rank])
+    y = np.random.default_rng(seed).standard_normal((len(known), width), np.float32)
+    gram = _gram_times(tables, weights, known, y)
+    for _ in range(settings.power_steps):
+        y = np.ascontiguousarray(_turned(y, _whitening(_tall_gram(y), 1e-10)))  # orthonormal columns
+        gram = _gram_times(tables, weights, known, y)
+    y = _turned(y, _whitening(gram, 1e-6))  # A^T A is y y^T
+    found = _turned(y, _whitening(_tall_gram(y), 1e-10)[:, : settings.rank])
     out = np.zeros((BUCKETS, settings.rank), np.float32)
     out[known, : found.shape[1]] = found
     return out
@@ -350,8 +355,10 @@ def indexed(basis: np.ndarray, weights: np.ndarray, item_ids: list, item_words:
     at = np.full(BUCKETS, len(known))
     at[known] = np.arange(len(known))
     terms = np.zeros((len(known) + 1, basis.shape[1]), np.float32)
-    terms[:-1] = basis[known]
-    terms[:-1] *= weights[known, None]
+    for a in range(0, len(known), 4096):
+        some = known[a : a + 4096]
+        terms[a : a + len(some)] = basis[some]
+        terms[a : a + len(some)] *= weights[some, None]
     vectors = np.array([terms[at[buckets(w)]].sum(axis=0) for w in item_words]).reshape(len(item_words), terms.shape[1])
     full = np.sqrt([(weights[buckets(w)] ** 2).sum() for w in item_words])[:, None]
     # window . vector / norm of the window = cosine / cosine of the item with itself

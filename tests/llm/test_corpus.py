@@ -2,6 +2,7 @@
 
 import gzip
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -296,6 +297,19 @@ def test_the_latent_space_is_that_of_all_passages_of_all_documents(spark):
     assert np.linalg.norm(wanted @ got, 2) < 1.001 and np.linalg.svd(wanted @ got, compute_uv=False).min() > 0.999
 
 
+def test_the_driver_holds_one_matrix_of_the_latent_space(spark):
+    r, ld = random.Random(12), latent_decontam
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(400))) for i in range(250)]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, rows[0][1][:200])], "item_id long, text string")
+    tracemalloc.start()
+    basis, weights = ld.fitted(docs.select("text"), bench)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    settings, known = ld.Settings(), int(basis.any(axis=1).sum())
+    matrix = known * (settings.rank + settings.oversample) * 4
+    assert known > 45_000 and most < basis.nbytes + 1.5 * matrix
+
+
 def windows_of(bounds, size):
     """Rows and first words of windows of ``size`` words, a quarter apart; the last of a row ends with it."""
     stride, words = max(1, size // 4), np.diff(bounds)
