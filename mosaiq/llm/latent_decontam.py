@@ -93,12 +93,25 @@ class Index:
     def vocabulary(self) -> np.ndarray:
         return np.unique(np.concatenate(self.item_words))
 
+    @functools.cached_property
+    def in_vocabulary(self) -> np.ndarray:
+        """Of each bucket, whether a word of the vocabulary is in it."""
+        out = np.zeros(BUCKETS, bool)
+        out[buckets(self.vocabulary)] = True
+        return out
+
+    @functools.cached_property
+    def rare_place(self) -> np.ndarray:
+        """The place in ``rare.words`` of each word of the vocabulary, or -1."""
+        at = np.minimum(np.searchsorted(self.rare.words, self.vocabulary), len(self.rare.words) - 1)
+        return np.where(self.rare.words[at] == self.vocabulary, at, -1)
+
     @functools.cached_property
     def holds(self) -> np.ndarray:
         """How often items have words of the vocabulary, by ``place_of``.  Of two pairs that share a place the larger number
         stands, which only lets through a candidate more."""
         n = sum(map(len, self.item_words))
-        out = np.zeros(1 << max(16, (16 * n).bit_length()), np.int32)
+        out = np.zeros(1 << max(16, (16 * n).bit_length(), min(22, (64 * n).bit_length())), np.int32)
         for i, w in enumerate(self.item_words):
             words, count = np.unique(w, return_counts=True)
             np.maximum.at(out, self.place_of(np.array([i]), np.searchsorted(self.vocabulary, words)[None, :], len(out))[0], count.astype(np.int32))
@@ -179,7 +192,7 @@ def idf(frequencies: np.ndarray, n_docs: int) -> np.ndarray:
 
 
 #: Passages that are multiplied at once (as a power of 2), and terms whose sums stand in one row.
-CHUNK_BITS = 4
+CHUNK_BITS = 3
 PART_TERMS = 64
 #: Different words of rows, summed over rows, for which a task is worth its sums over all terms (38 MB).
 TASK_WORDS = 4_000_000
@@ -198,11 +211,12 @@ class Passages:
     terms: np.ndarray
     columns: np.ndarray
 
-    def chunks(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def chunks(self) -> Iterator[tuple[np.ndarray, slice]]:
+        """The matrix of each chunk, and where its terms stand in ``terms``."""
         for a, z, low, high in zip(self.at[:-1].tolist(), self.at[1:].tolist(), self.columns[:-1].tolist(), self.columns[1:].tolist(), strict=True):
             matrix = np.zeros((1 << CHUNK_BITS, high - low), np.float32)
             matrix[self.row[a:z], self.column[a:z] - low] = self.weight[a:z]
-            yield matrix, self.terms[low:high]
+            yield matrix, slice(low, high)
 
 
 def passages(found: np.ndarray, bounds: np.ndarray, most_words: int, weights: np.ndarray) -> Passages:
@@ -239,12 +253,18 @@ def _gram_times(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known:
         total = np.zeros_like(right)
         for batch in batches:
             for found, bounds in bucket_pieces(batch.column(0)):
-                for matrix, terms in passages(found, bounds, most_words, weights).chunks():
-                    terms = place[terms]
-                    total[terms] += matrix.T @ (matrix @ right[terms])
-        for a in range(0, len(total), PART_TERMS):
-            if (part := total[a : a + PART_TERMS]).any():
-                yield pa.RecordBatch.from_arrays([pa.array([a // PART_TERMS], pa.int32()), pa.array([part.tobytes()], pa.binary())], names=["part", "v"])
+                held = passages(found, bounds, most_words, weights)
+                terms = place[held.terms]
+                lines = np.empty((int(np.diff(held.columns).max(initial=0)), right.shape[1]), np.float32)  # of one chunk
+                for matrix, here in held.chunks():
+                    part = np.take(right, terms[here], axis=0, out=lines[: here.stop - here.start], mode="clip")
+                    np.matmul(matrix.T, matrix @ part, out=part)
+                    part += np.take(total, terms[here], axis=0, mode="clip")
+                    total[terms[here]] = part
+        for a in range(0, len(total), 16 * PART_TERMS):
+            parts = {k // PART_TERMS: total[k : k + PART_TERMS] for k in range(a, min(a + 16 * PART_TERMS, len(total)), PART_TERMS)}
+            parts = {k: part.tobytes() for k, part in parts.items() if part.any()}
+            yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array(list(parts.values()), pa.binary())], names=["part", "v"])
 
     def summed(part: pa.Table) -> pa.Table:
         total = functools.reduce(lambda t, v: t + np.frombuffer(v.as_buffer(), np.float32), part["v"], np.float64(0))
@@ -317,6 +337,7 @@ def fitted(docs: DataFrame, items: DataFrame, settings: Settings = Settings(), t
         of_items, _ = document_frequencies(held)
         words, held = (rows.coalesce(block_count(int(n.sum()), TASK_WORDS)) for rows, n in ((words, frequencies), (held, of_items)))
         known = np.flatnonzero(frequencies + of_items)
+        known = known[np.argsort(-(frequencies + of_items)[known], kind="stable")]  # what is read most stands together
         basis = latent_terms([(words, settings.passage_words), (held, np.iinfo(np.int32).max)], weights, known, settings)
     free_memory()
     return basis, weights
@@ -383,22 +404,45 @@ def masks(words: np.ndarray) -> dict[int, int]:
     return out
 
 
+def _ordering(numbers: np.ndarray) -> np.ndarray:
+    """A stable order of numbers from 0; small kinds of numbers are sorted by their digits, which is faster."""
+    return np.argsort(numbers.astype(np.uint16) if len(numbers) and numbers.max() < 1 << 16 else numbers, kind="stable")
+
+
+def together(place: np.ndarray, row: np.ndarray, item: np.ndarray, least: np.ndarray, reach: np.ndarray) -> np.ndarray:
+    """Which of the words at ``place`` (ascending), each rare for an item, can be in a window with enough of them: those with
+    ``least`` of their item, themselves included, within ``reach`` words of one row."""
+    order = _ordering(item)
+    place, row, item = place[order], row[order], item[order]
+    last = np.arange(len(item)) + least[item] - 1
+    first = np.flatnonzero(last < len(item))
+    last = last[first]
+    close = (item[last] == item[first]) & (row[last] == row[first]) & (place[last] - place[first] < reach[item[first]])
+    runs = np.bincount(first[close], minlength=len(item) + 1) - np.bincount(last[close] + 1, minlength=len(item) + 1)
+    return order[np.cumsum(runs[:-1]) > 0]
+
+
 def rare_windows(found: wordhash.Words, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each size: rows, first words and items of the windows that hold enough of an item's words, a quarter beyond
     included."""
     rare = index.rare
-    at = np.minimum(np.searchsorted(rare.words, found.hashes), len(rare.words) - 1)
-    place = np.flatnonzero(rare.words[at] == found.hashes)
-    n = np.diff(rare.bounds)[at[place]]
-    item = rare.items[np.repeat(rare.bounds[at[place]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    known = np.flatnonzero(index.in_vocabulary[buckets(found.hashes)])
+    at = np.minimum(np.searchsorted(index.vocabulary, found.hashes[known]), len(index.vocabulary) - 1)
+    same = index.vocabulary[at] == found.hashes[known]
+    known, at = known[same], at[same]
+    word = np.zeros(len(found.hashes) + 1, np.int64)
+    word[known] = at
+    at = index.rare_place[at]
+    place, at = known[at >= 0], at[at >= 0]
+    n = np.diff(rare.bounds)[at]
+    item = rare.items[np.repeat(rare.bounds[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
     place = np.repeat(place, n)
+    some = together(place, found.row[place], item, rare.least, index.window + 2 * (index.window // 4))
+    place, item = place[some], item[some]
     size = index.window[item]
-    word = np.minimum(np.searchsorted(index.vocabulary, found.hashes), len(index.vocabulary) - 1)
-    known = np.flatnonzero(index.vocabulary[word] == found.hashes)
-    word = np.append(word, 0)
     # where the word stood last in its text; a word that no item has counts as if it stood there just before
     before = np.full(len(word), len(word))
-    order = known[np.lexsort((known, word[known], found.row[known]))]
+    order = known[_ordering(word[known])]
     same = (word[order[1:]] == word[order[:-1]]) & (found.row[order[1:]] == found.row[order[:-1]])
     before[order] = np.concatenate([[-1], np.where(same, order[:-1], -1)]) if len(order) else order
     for k in np.unique(size).tolist():
@@ -422,8 +466,9 @@ def rare_windows(found: wordhash.Words, index: Index) -> Iterator[tuple[int, np.
             part = slice(a, a + 4096)
             spot = low[part, None] + np.arange(k + 2 * (k // 4))[None, :]
             spot = np.where(spot < high[part, None], spot, len(word) - 1)
-            row_of, at = np.nonzero(before[spot] < low[part, None])
-            counts = index.holds[index.place_of(items[part], word[spot], len(index.holds))[row_of, at]]
+            at = np.flatnonzero(before[spot] < low[part, None])
+            row_of = at // spot.shape[1]
+            counts = index.holds[index.place_of(items[part][row_of], word[spot.ravel()[at]][:, None], len(index.holds))[:, 0]]
             keep[part] = np.bincount(row_of, counts, len(spot)) >= rare.need[items[part]]
         yield k, row[keep], first[keep], items[keep]
 

@@ -371,6 +371,23 @@ def test_paraphrases_are_found_as_far_as_the_confirmation_reaches():
     assert {k: v[1] for k, v in got.items()} == wanted and len(wanted) > 50
 
 
+def test_only_rare_words_that_stand_together_are_looked_at():
+    r = np.random.default_rng(3)
+    least, reach = r.integers(1, 6, 12), r.integers(3, 40, 12)
+    for n in (0, 1, 40, 600):
+        hits = np.unique(np.stack([r.integers(0, 2000, n), r.integers(0, 12, n)], axis=1), axis=0)  # of places and items
+        place, item = hits[:, 0], hits[:, 1]
+        row = place // 150
+        wanted = []
+        for k in range(len(place)):
+            own = np.flatnonzero((item == item[k]) & (row == row[k]))
+            near = [own[(place[own] >= place[a]) & (place[own] < place[a] + reach[item[k]])] for a in own]
+            wanted.append(any(k in x and len(x) >= least[item[k]] for x in near))
+        got = latent_decontam.together(place, row, item, least, reach)
+        assert sorted(got.tolist()) == np.flatnonzero(wanted).tolist()
+    assert 0 < len(got) < len(place)
+
+
 def test_longest_common_subsequence():
     r = random.Random(2)
     for _ in range(50):
