@@ -8,8 +8,8 @@ the full norm of the window (relative to the item's own share in that space).  A
 if the item's answer (its last words) is there as well.
 
 A paraphrase that fulfils this can have any cosine, as its window is longer than the item and its words differ in weight.
-So windows are candidates, too, that hold enough of an item's rare words (``RareWords``), and enough of its words at all.
-No window that can be confirmed holds fewer, so the result is that of confirming every window against every item of its
+So windows are candidates, too, that hold enough of an item's rare words (``RareWords``), and enough of its words at all:
+so many as confirm a leak without the answer, or fewer and enough of the answer.  No window that can be confirmed holds fewer, so the result is that of confirming every window against every item of its
 size.  For the same reason only windows that hold enough of some item's words are projected into the latent space.
 
 Null or empty texts and items match nothing.  An item of fewer than ``min_words`` words counts only if all its words
@@ -58,16 +58,22 @@ class Settings:
 class RareWords:
     """For each item its rarest words, and how many of them every window holds that can be confirmed.
 
-    If a leak holds ``need`` of an item's n words, at most n - need are missing, so ``least`` or more of its n - need +
-    ``least`` rarest are there.  ``words`` is sorted; the items that have ``words[k]`` among these are
-    ``items[bounds[k]:bounds[k + 1]]``."""
+    A leak holds ``need[1]`` of an item's words, or ``need[0]`` of them and ``need[2]`` of its answer's.  Of n words at most
+    n - need are missing; so of some different ones all but as many as can be missing are there: ``least``, in the same order.
+    ``words`` is sorted; the items that have ``words[k]`` among these are ``items[bounds[k]:bounds[k + 1]]``, and ``in_answer``
+    tells whether it is in the item's answer."""
 
     words: np.ndarray
     bounds: np.ndarray
     items: np.ndarray
+    in_answer: np.ndarray
     least: np.ndarray
     need: np.ndarray
 
+    @staticmethod
+    def enough(bound: np.ndarray, words: np.ndarray, answers: np.ndarray) -> np.ndarray:
+        return (words >= bound[1]) | (words >= bound[0]) & (answers >= bound[2])
+
 
 @dataclass
 class Index:
@@ -101,20 +107,22 @@ class Index:
         return out
 
     @functools.cached_property
-    def rare_place(self) -> np.ndarray:
-        """The place in ``rare.words`` of each word of the vocabulary, or -1."""
-        at = np.minimum(np.searchsorted(self.rare.words, self.vocabulary), len(self.rare.words) - 1)
-        return np.where(self.rare.words[at] == self.vocabulary, at, -1)
+    def in_rare(self) -> np.ndarray:
+        """Of each bucket, whether a word of ``rare`` is in it."""
+        out = np.zeros(BUCKETS, bool)
+        out[buckets(self.rare.words)] = True
+        return out
 
     @functools.cached_property
     def holds(self) -> np.ndarray:
-        """How often items have words of the vocabulary, by ``place_of``.  Of two pairs that share a place the larger number
-        stands, which only lets through a candidate more."""
+        """How often items (first line) and their answers (second line) have words of the vocabulary, by ``place_of``.  Of two
+        pairs that share a place the larger number stands, which only lets through a candidate more."""
         n = sum(map(len, self.item_words))
-        out = np.zeros(1 << max(16, (16 * n).bit_length(), min(22, (64 * n).bit_length())), np.int32)
+        out = np.zeros((2, 1 << max(16, (16 * n).bit_length(), min(22, (64 * n).bit_length()))), np.int32)
         for i, w in enumerate(self.item_words):
-            words, count = np.unique(w, return_counts=True)
-            np.maximum.at(out, self.place_of(np.array([i]), np.searchsorted(self.vocabulary, words)[None, :], len(out))[0], count.astype(np.int32))
+            for line, some in zip(out, (w, answer_of(w, self.settings)), strict=True):
+                words, count = np.unique(some, return_counts=True)
+                np.maximum.at(line, self.place_of(np.array([i]), np.searchsorted(self.vocabulary, words)[None, :], len(line))[0], count.astype(np.int32))
         return out
 
     @staticmethod
@@ -122,13 +130,43 @@ class Index:
         return (items[:, None] * 2654435761 + words * 40503) & (size - 1)
 
 
-def text_words(data: np.ndarray, offsets: np.ndarray) -> wordhash.Words:
-    """Words of letters, digits and non-ASCII characters, in lower case."""
-    return wordhash.words(wordhash.lower_utf8(data), offsets, NOT_WORD)
+#: Longest word, in bytes, that is hashed by eight bytes at once.
+LANE_BYTES = 32
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-NOT_WORD = np.ones(256, bool)
-NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
+def text_words(data: np.ndarray, offsets: np.ndarray) -> wordhash.Words:
+    """Words of letters, digits and non-ASCII characters, in lower case (ASCII and Latin-1, as ``wordhash.lower_utf8``)."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    lower = padded[: len(data)]
+    np.bitwise_or(data, (data - np.uint8(65) < 26).view(np.uint8) << 5, out=lower)
+    if (lead := data[:-1] == 0xC3).any():
+        lower[1:] += (lead & (data[1:] - np.uint8(0x80) <= 0x1E) & (data[1:] != 0x97)).view(np.uint8) << 5
+    inside = (lower - np.uint8(97) < 26) | (lower - np.uint8(48) < 10) | (lower >= 128)
+    first, last = inside.copy(), inside.copy()
+    first[1:] = inside[1:] > inside[:-1]
+    last[:-1] = inside[:-1] > inside[1:]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(data))]  # no word crosses a row
+    first[edges], last[edges - 1] = inside[edges], inside[edges - 1]
+    start = np.flatnonzero(first)
+    length = np.flatnonzero(last) + 1 - start
+    bounds = np.searchsorted(start, offsets)
+    return wordhash.Words(_word_hashes(padded, start, length), np.repeat(np.arange(len(offsets) - 1), np.diff(bounds)), start, length, bounds)
+
+
+def _word_hashes(padded: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Hashes of words; eight bytes follow the last.  Those of up to eight bytes are all different, as no word has a byte 0."""
+    lanes = np.ndarray(len(padded) - 7, "<u8", padded, strides=(1,))
+    out = wordhash.mix64(lanes[start] & _FIRST_BYTES[np.minimum(length, 8)])
+    longer = np.flatnonzero((length > 8) & (length <= LANE_BYTES))
+    for k in range(8, LANE_BYTES, 8):
+        lane = lanes[start[longer] + k] & _FIRST_BYTES[np.minimum(length[longer] - k, 8)]
+        out[longer] = wordhash.mix64(out[longer] + lane)
+        longer = longer[length[longer] > k + 8]
+    longest = np.flatnonzero(length > LANE_BYTES)
+    out[longest] = wordhash.span_hashes(padded, start[longest], length[longest])
+    return out
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -255,11 +293,11 @@ def _gram_times(tables: list[tuple[DataFrame, int]], weights: np.ndarray, known:
             for found, bounds in bucket_pieces(batch.column(0)):
                 held = passages(found, bounds, most_words, weights)
                 terms = place[held.terms]
-                lines = np.empty((int(np.diff(held.columns).max(initial=0)), right.shape[1]), np.float32)  # of one chunk
+                lines, sums = np.empty((2, int(np.diff(held.columns).max(initial=0)), right.shape[1]), np.float32)  # of one chunk
                 for matrix, here in held.chunks():
                     part = np.take(right, terms[here], axis=0, out=lines[: here.stop - here.start], mode="clip")
                     np.matmul(matrix.T, matrix @ part, out=part)
-                    part += np.take(total, terms[here], axis=0, mode="clip")
+                    part += np.take(total, terms[here], axis=0, out=sums[: here.stop - here.start], mode="clip")
                     total[terms[here]] = part
         for a in range(0, len(total), 16 * PART_TERMS):
             parts = {k // PART_TERMS: total[k : k + PART_TERMS] for k in range(a, min(a + 16 * PART_TERMS, len(total)), PART_TERMS)}
@@ -356,19 +394,43 @@ def build_indexes(docs: DataFrame, benchmark: DataFrame, settings: Settings = Se
         yield indexed(basis, weights, [rows[i]["item_id"] for i in keep], [found.hashes[found.bounds[i] : found.bounds[i + 1]] for i in keep], settings)
 
 
+def answer_of(words: np.ndarray, settings: Settings) -> np.ndarray:
+    """The last words of an item."""
+    return words[max(0, len(words) - settings.answer_words) :]
+
+
+def fewest(share: float, n: int) -> int:
+    """The least number that can be ``share`` of n."""
+    return math.ceil(share * n - 1e-9)
+
+
+def sure(counts: np.ndarray, missing: int) -> int:
+    """How many different words are there at least if ``missing`` of all that are counted are not."""
+    return len(counts) - int(np.searchsorted(np.cumsum(np.sort(counts)), missing, "right"))
+
+
 def rare_words(weights: np.ndarray, item_words: list[np.ndarray], settings: Settings) -> RareWords:
-    words, items, least, needed = [], [], np.ones(len(item_words), np.int64), np.ones(len(item_words), np.int64)
+    words, items, in_answer, least, needed = [], [], [], [], []
     for i, w in enumerate(item_words):
-        n = len(w)
-        need = n if n < settings.min_words else max(1, math.ceil(settings.common_with_answer * n))
-        needed[i], least[i] = need, max(1, need // 3)
-        rarest = np.unique(w[np.lexsort((w, -weights[buckets(w)]))][: n - need + least[i]])
-        words.append(rarest)
-        items.append(np.full(len(rarest), i))
-    words, items = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((words, np.uint64), (items, np.int64)))
+        n, answer = len(w), answer_of(w, settings)
+        if n < settings.min_words:
+            need = (n, n, len(answer))
+        else:
+            shares = (settings.common_with_answer, max(settings.common, settings.common_with_answer))
+            need = (*(max(1, fewest(x, n)) for x in shares), fewest(settings.answer_share, len(answer)))
+        own, count = np.unique(w, return_counts=True)
+        rarest = np.lexsort((own, -weights[buckets(own)]))[: n - need[0] + max(1, need[0] // 3)]
+        own, count = own[rarest], count[rarest]
+        of_answer = (answer[None, :] == own[:, None]).sum(axis=1)
+        words.append(own)
+        items.append(np.full(len(own), i))
+        in_answer.append(of_answer > 0)
+        least.append((sure(count, n - need[0]), sure(count, n - need[1]), sure(of_answer[of_answer > 0], len(answer) - need[2])))
+        needed.append(need)
+    words, items, in_answer = (np.concatenate(x) if x else np.zeros(0, kind) for x, kind in ((words, np.uint64), (items, np.int64), (in_answer, bool)))
     order = np.argsort(words, kind="stable")
     distinct, first = np.unique(words[order], return_index=True)
-    return RareWords(distinct, np.append(first, len(words)), items[order], least, needed)
+    return RareWords(distinct, np.append(first, len(words)), items[order], in_answer[order], *(np.array(x, np.int64).reshape(-1, 3).T for x in (least, needed)))
 
 
 def indexed(basis: np.ndarray, weights: np.ndarray, item_ids: list, item_words: list[np.ndarray], settings: Settings = Settings()) -> Index:
@@ -423,54 +485,71 @@ def together(place: np.ndarray, row: np.ndarray, item: np.ndarray, least: np.nda
 
 
 def rare_windows(found: wordhash.Words, index: Index) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each size: rows, first words and items of the windows that hold enough of an item's words, a quarter beyond
-    included."""
-    rare = index.rare
-    known = np.flatnonzero(index.in_vocabulary[buckets(found.hashes)])
-    at = np.minimum(np.searchsorted(index.vocabulary, found.hashes[known]), len(index.vocabulary) - 1)
-    same = index.vocabulary[at] == found.hashes[known]
-    known, at = known[same], at[same]
-    word = np.zeros(len(found.hashes) + 1, np.int64)
-    word[known] = at
-    at = index.rare_place[at]
-    place, at = known[at >= 0], at[at >= 0]
+    """Of each size: rows, first words and items of the windows that hold enough of an item's words and of its answer's, a
+    quarter beyond included."""
+    rare, n_items = index.rare, len(index.item_ids)
+    place = np.flatnonzero(index.in_rare[buckets(found.hashes)])
+    at = np.minimum(np.searchsorted(rare.words, found.hashes[place]), len(rare.words) - 1)
+    same = rare.words[at] == found.hashes[place]
+    place, at = place[same], at[same]
     n = np.diff(rare.bounds)[at]
-    item = rare.items[np.repeat(rare.bounds[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    entry = np.repeat(rare.bounds[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))  # a word of an item
     place = np.repeat(place, n)
-    some = together(place, found.row[place], item, rare.least, index.window + 2 * (index.window // 4))
-    place, item = place[some], item[some]
+    some = together(place, found.row[place], rare.items[entry], rare.least[0], index.window + 2 * (index.window // 4))
+    some.sort()
+    place, entry = place[some], entry[some]
+    item = rare.items[entry]
     size = index.window[item]
-    # where the word stood last in its text; a word that no item has counts as if it stood there just before
-    before = np.full(len(word), len(word))
-    order = known[_ordering(word[known])]
-    same = (word[order[1:]] == word[order[:-1]]) & (found.row[order[1:]] == found.row[order[:-1]])
-    before[order] = np.concatenate([[-1], np.where(same, order[:-1], -1)]) if len(order) else order
+    # where the word stood last, or -1
+    order = np.argsort(entry, kind="stable")
+    before = np.full(len(place), -1)
+    same = entry[order[1:]] == entry[order[:-1]]
+    before[order[1:][same]] = place[order[:-1][same]]
     for k in np.unique(size).tolist():
-        here, i = place[size == k], item[size == k]
+        of_size = np.flatnonzero(size == k)
+        here, i, previous, in_answer = place[of_size], item[of_size], before[of_size], rare.in_answer[entry[of_size]]
         stride, row = max(1, k // 4), found.row[here]
-        length = found.bounds[row + 1] - found.bounds[row]
-        q, last = here - found.bounds[row], -(-np.maximum(0, length - k) // stride)
-        keys = []
-        for back in range(-2, k // stride + 3):  # windows that may reach to the word
+        begin, length = found.bounds[row], found.bounds[row + 1] - found.bounds[row]
+        q, previous, last = here - begin, previous - begin, -(-np.maximum(0, length - k) // stride)
+        keys, of_answer = [], []
+        for back in range(-2, k // stride + 3):  # windows that may reach to the word, and to no earlier place of it
             step = q // stride - back
             start = np.minimum(step * stride, np.maximum(0, length - k))
-            reached = np.flatnonzero((step >= 0) & (step <= last) & (start - k // 4 <= q) & (q < start + k + k // 4))
-            keys.append((found.bounds[row[reached]] + start[reached]) * len(index.item_ids) + i[reached])
-        keys, count = np.unique(np.concatenate(keys), return_counts=True)
-        enough = count >= rare.least[keys % len(index.item_ids)]
-        first, items = keys[enough] // len(index.item_ids), keys[enough] % len(index.item_ids)
-        row = found.row[first]
-        low, high = np.maximum(found.bounds[row], first - k // 4), np.minimum(found.bounds[row + 1], first + k + k // 4)
+            low = np.maximum(0, start - k // 4)
+            reached = np.flatnonzero((step >= 0) & (step <= last) & (low <= q) & (previous < low) & (q < start + k + k // 4))
+            keys.append((begin[reached] + start[reached]) * n_items + i[reached])
+            of_answer.append(in_answer[reached])
+        keys, of_answer = np.concatenate(keys), np.concatenate(of_answer)
+        keys = np.sort(keys * 2 + of_answer)
+        new = np.flatnonzero(np.append(True, keys[1:] >> 1 != keys[:-1] >> 1)[: len(keys)])
+        count, answers = np.diff(new, append=len(keys)), np.add.reduceat(keys & 1, new)
+        keys = keys[new] >> 1
+        keys = keys[rare.enough(rare.least[:, keys % n_items], count, answers)]
+        first, items = keys // n_items, keys % n_items
         keep = np.zeros(len(first), bool)
         for a in range(0, len(first), 4096):
             part = slice(a, a + 4096)
-            spot = low[part, None] + np.arange(k + 2 * (k // 4))[None, :]
-            spot = np.where(spot < high[part, None], spot, len(word) - 1)
-            at = np.flatnonzero(before[spot] < low[part, None])
-            row_of = at // spot.shape[1]
-            counts = index.holds[index.place_of(items[part][row_of], word[spot.ravel()[at]][:, None], len(index.holds))[:, 0]]
-            keep[part] = np.bincount(row_of, counts, len(spot)) >= rare.need[items[part]]
-        yield k, row[keep], first[keep], items[keep]
+            keep[part] = rare.enough(rare.need[:, items[part]], *held_words(found, index, first[part], k, items[part]))
+        yield k, found.row[first[keep]], first[keep], items[keep]
+
+
+def held_words(found: wordhash.Words, index: Index, first: np.ndarray, size: int, items: np.ndarray) -> list[np.ndarray]:
+    """How many words of its item, and of the item's answer, each window of ``size`` holds, a quarter beyond included: each
+    word of the window counts as often as the item or the answer has it."""
+    row = found.row[first]
+    low, high = np.maximum(found.bounds[row], first - size // 4), np.minimum(found.bounds[row + 1], first + size + size // 4)
+    n = high - low
+    window = np.repeat(np.arange(len(first)), n)
+    hashes = found.hashes[np.repeat(low - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+    some = np.flatnonzero(index.in_vocabulary[buckets(hashes)])
+    window, hashes = window[some], hashes[some]
+    word = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
+    same = index.vocabulary[word] == hashes
+    pairs = np.sort(window[same] * len(index.vocabulary) + word[same])
+    pairs = pairs[np.append(True, pairs[1:] != pairs[:-1])[: len(pairs)]]
+    window, word = pairs // len(index.vocabulary), pairs % len(index.vocabulary)
+    at = index.place_of(items[window], word[:, None], index.holds.shape[1])[:, 0]
+    return [np.bincount(window, line[at], len(first)) for line in index.holds]
 
 
 @dataclass
@@ -483,7 +562,7 @@ class Item:
 
 def prepared(words: np.ndarray, settings: Settings) -> Item:
     held = masks(words)
-    return Item(words, held, masks(words[-min(settings.answer_words, len(words)) :]), {w: m.bit_count() for w, m in held.items()})
+    return Item(words, held, masks(answer_of(words, settings)), {w: m.bit_count() for w, m in held.items()})
 
 
 def confirm(item: Item, words: list[int], settings: Settings) -> float:

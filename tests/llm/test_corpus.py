@@ -371,6 +371,43 @@ def test_paraphrases_are_found_as_far_as_the_confirmation_reaches():
     assert {k: v[1] for k, v in got.items()} == wanted and len(wanted) > 50
 
 
+def test_only_windows_that_can_be_confirmed_are_candidates():
+    r, ld, settings = random.Random(6), latent_decontam, latent_decontam.Settings()
+    words = [f"w{i}" for i in range(400)]
+    items = [r.sample(words, 40) for _ in range(30)] + [r.choices(words[:12], k=40) for _ in range(10)]  # the last with repeated words
+    texts = [" ".join(["x"] * 30 + (item[:24] if few else item[:16] + item[-8:]) + ["y"] * 30) for item in items for few in (True, False)]
+    hashed = lambda ts: ld.text_words(*ld.wordhash.buffers(pa.array(ts)))
+    held, found = hashed([" ".join(x) for x in items]), hashed(texts)
+    held = [held.hashes[a:z] for a, z in zip(held.bounds[:-1], held.bounds[1:], strict=True)]
+    index = ld.indexed(np.ones((ld.BUCKETS, 2)), np.ones(ld.BUCKETS), list(range(len(items))), held)
+    got, wanted = set(), set()
+    for _, rows, _, able in ld.rare_windows(found, index):
+        got |= set(zip(rows.tolist(), able.tolist(), strict=True))
+    for row in range(len(texts)):
+        there = set(found.hashes[found.bounds[row] : found.bounds[row + 1]].tolist())
+        for i, w in enumerate(held):
+            all_words, answer = (np.isin(x, list(there)).sum() for x in (w, w[-settings.answer_words :]))
+            if all_words >= settings.common * len(w) or all_words >= settings.common_with_answer * len(w) and answer >= settings.answer_share * settings.answer_words:
+                wanted.add((row, i))
+    # 24 of 40 words without the answer confirm nothing, and with it they do
+    assert got == wanted and {(2 * i + 1, i) for i in range(30)} == {(row, i) for row, i in got if row < 60}
+
+
+def test_words_of_texts_are_told_apart():
+    r = random.Random(9)
+    letters = "abzABZ09\u00e9\u00c9\u00d7\u4e2d"
+    words = ["".join(r.choice(letters) for _ in range(r.choice((1, 2, 7, 8, 9, 16, 17, 30, 33, 200)))) for _ in range(500)]
+    words += [w[:-1] + r.choice(letters) for w in words]
+    lower = lambda w: "".join(c.lower() if ord(c) < 256 else c for c in w)
+    texts = [" -".join(words[a : a + 7]) for a in range(0, 1000, 7)] + ["", None, ".", "ab"]
+    found = latent_decontam.text_words(*wordhash.buffers(pa.array(texts)))
+    wanted = [lower(w) for w in words] + ["ab"]
+    assert found.row.tolist() == [i // 7 for i in range(1000)] + [len(texts) - 1]
+    assert found.length.tolist() == [len(w.encode()) for w in wanted]
+    assert len(set(found.hashes.tolist())) == len(set(wanted)) == len(set(zip(found.hashes.tolist(), wanted, strict=True)))
+    assert not len(latent_decontam.text_words(*wordhash.buffers(pa.array([None], pa.string()))).hashes)
+
+
 def test_only_rare_words_that_stand_together_are_looked_at():
     r = np.random.default_rng(3)
     least, reach = r.integers(1, 6, 12), r.integers(3, 40, 12)
