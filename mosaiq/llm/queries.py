@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, prob_minhash, quality_lm, token_counts, warc
+from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, periodic_runs, prob_minhash, quality_lm, token_counts, warc
 from mosaiq.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,22 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.strongest())
+    line = lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])
+    lines = F.array_join(F.transform("runs", lambda x: F.concat(line(x), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_lm": op2_quality_lm,
@@ -77,6 +93,7 @@ QUERIES: dict[str, Query] = {
     "op8_latent_decontam": op8_latent_decontam,
     "op9_link_trust": op9_link_trust,
     "op10_bpe_codec": op10_bpe_codec,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE: dict[str, str] = {
