@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe_codec, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, periodic_runs, prob_minhash, quality_lm, token_counts, warc
+from mosaiq.llm import bpe_codec, chat_format, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, periodic_runs, prob_minhash, quality_lm, token_counts, warc
 from mosaiq.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -82,6 +82,20 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = chat_format.read_conversations(chat_format.format_conversations(chat_format.hostile(table(spark, sf_dir, "conversations"))))
+    joined = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")
+    learnt = F.array_join("learnt", "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(joined, 256).alias("turns_sha256"),
+        F.length(learnt).cast("long").alias("loss_chars"),
+        F.sha2(learnt, 256).alias("loss_sha256"),
+        "formatted_chars",
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_counts": op1_token_counts,
     "op2_quality_lm": op2_quality_lm,
@@ -94,6 +108,7 @@ QUERIES: dict[str, Query] = {
     "op9_link_trust": op9_link_trust,
     "op10_bpe_codec": op10_bpe_codec,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_format": op13_chat_format,
 }
 
 ORACLE: dict[str, str] = {
@@ -101,4 +116,5 @@ ORACLE: dict[str, str] = {
     "op6_divergence_rules": divergence_rules.oracle_sql(),
     "op7_licenses": licenses.oracle_sql(),
     "op9_link_trust": link_trust.oracle_sql(),
+    "op13_chat_format": chat_format.oracle_sql(),
 }
