@@ -56,13 +56,13 @@ def released_shuffles(spark: SparkSession):
             spark.conf.set(SHUFFLE_CLEANUP, before)
 
 
-def materialise(df: DataFrame, *, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: lineage ends there, and a lost
-    executor costs no more than a reread."""
+def materialise(df: DataFrame, *, compression: str = "snappy", by: list[str] | None = None) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder (in a folder for each value of ``by``) and read it back: lineage
+    ends there, and a lost executor costs no more than a reread."""
     spark = df.sparkSession
     path = shared_dir(spark)
     with released_shuffles(spark):
-        df.write.option("compression", compression).parquet(path)
+        df.write.option("compression", compression).parquet(path, partitionBy=by)
     return spark.read.schema(df.schema).parquet(path)
 
 

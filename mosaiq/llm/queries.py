@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.llm import bpe_codec, chat_format, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, periodic_runs, prob_minhash, quality_lm, token_counts, warc
+from mosaiq.llm import bpe_codec, chat_format, crf_langid, divergence_rules, latent_decontam, licenses, link_trust, periodic_runs, prefix_trie, prob_minhash, quality_lm, token_counts, warc
 from mosaiq.llm.common import shared_dir, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,6 +66,10 @@ def op10_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.digests(table(spark, sf_dir, "documents"), byte_vocabulary())
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.shared_beginnings(table(spark, sf_dir, "conversations"))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = periodic_runs.find(periodic_runs.planted(table(spark, sf_dir, "documents"))).withColumn("best", periodic_runs.strongest())
     line = lambda x: F.concat_ws(",", x["start"], x["length"], x["period"])
@@ -107,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_latent_decontam": op8_latent_decontam,
     "op9_link_trust": op9_link_trust,
     "op10_bpe_codec": op10_bpe_codec,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_chat_format": op13_chat_format,
 }
@@ -116,5 +121,6 @@ ORACLE: dict[str, str] = {
     "op6_divergence_rules": divergence_rules.oracle_sql(),
     "op7_licenses": licenses.oracle_sql(),
     "op9_link_trust": link_trust.oracle_sql(),
+    "op11_prefix_trie": prefix_trie.oracle_sql(),
     "op13_chat_format": chat_format.oracle_sql(),
 }
