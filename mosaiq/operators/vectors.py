@@ -1,9 +1,8 @@
-"""Feature vectors: exact neighbours, fuzzy graphs, principal components, k-means."""
+"""Feature vectors: fuzzy graphs over neighbours, principal components, k-means."""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -11,54 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def nearest(queries: DataFrame, items: DataFrame, k: int, id_column: str = "vec_id", vector: str = "embedding", most_queries: int = 20_000) -> DataFrame:
-    """The k nearest items (other than itself) of each query: ``query``, ``item``, ``distance``, ``rank``.
-
-    Queries against all rows in blocks: each block of up to ``most_queries`` goes to every task, which keeps k candidates of
-    its own rows for each; only those meet.  The rows are read once for each block.
-    """
-    blocks, rows = [], []
-    for row in queries.select(id_column, vector).toLocalIterator():
-        rows.append(row)
-        if len(rows) == most_queries:
-            blocks.append(_candidates(rows, items, k, id_column, vector))
-            rows = []
-    if rows or not blocks:
-        blocks.append(_candidates(rows, items, k, id_column, vector))
-    found = reduce(DataFrame.unionByName, blocks)
-    ranked = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "item"))), 1, k).alias("a"))
-    return ranked.select("query", F.posexplode("a").alias("rank", "s")).select("query", "s.item", "s.distance", (F.col("rank") + 1).cast("long").alias("rank"))
-
-
-def _candidates(rows: list, items: DataFrame, k: int, id_column: str, vector: str) -> DataFrame:
-    """``query``, ``item``, ``distance``: the k nearest items of each task for each of the collected queries."""
-    ids = np.array([r[0] for r in rows], np.int64)
-    points = np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1)
-    shared = items.sparkSession.sparkContext.broadcast((ids, points))
-
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids, points = shared.value
-        best_d, best_i = np.full((len(ids), k), np.inf), np.full((len(ids), k), -1)
-        for frame in frames:
-            if not len(frame):
-                continue
-            there = frame[id_column].to_numpy()
-            block = np.stack(frame[vector].to_numpy()).astype(np.float64)
-            width = max(1, 4_000_000 // max(1, points.shape[1] * len(block)))  # queries whose differences fit some 32 MB
-            for a in range(0, len(ids), width):
-                part = slice(a, a + width)
-                d = np.sqrt(((points[part, None, :] - block[None, :, :]) ** 2).sum(axis=2))
-                d[ids[part, None] == there[None, :]] = np.inf
-                all_d, all_i = np.concatenate([best_d[part], d], axis=1), np.concatenate([best_i[part], np.broadcast_to(there, d.shape)], axis=1)
-                order = np.lexsort((all_i, all_d), axis=1)[:, :k]
-                best_d[part], best_i[part] = np.take_along_axis(all_d, order, 1), np.take_along_axis(all_i, order, 1)
-        q = np.repeat(ids, k)
-        out = pd.DataFrame({"query": q, "item": best_i.ravel(), "distance": best_d.ravel()})
-        yield out[np.isfinite(out["distance"])]
-
-    return items.select(id_column, vector).mapInPandas(scan, "query long, item long, distance double")
-
-
 def smooth_distances(neighbours: DataFrame, steps: int = 64, tolerance: float = 1e-5) -> DataFrame:
     """Local scale of each query: ``rho`` the nearest positive distance, ``sigma`` so that the memberships
     exp(-(d - rho) / sigma) sum to log2 of the number of neighbours.  The bisection runs in the JVM."""

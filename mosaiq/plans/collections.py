@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import distances, distogram, patterns, special
-from mosaiq.operators import clustering, features, reshape, tables, vectors
+from mosaiq.operators import clustering, features, neighbours, reshape, tables, vectors
 from mosaiq.plans.common import Plans, table
 from mosaiq.sources import files
 from mosaiq.sources import vectors as stitching
@@ -176,7 +176,7 @@ def distance_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectors.nearest(rows.filter("vec_id % 50 = 0"), rows, 5)
+    return neighbours.nearest(rows.filter("vec_id % 50 = 0"), rows, 5)
 
 
 _KNN = "WITH d AS (SELECT a.vec_id AS query, b.vec_id AS item, list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS distance FROM embeddings AS a JOIN embeddings AS b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), k AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY distance, item) AS rank FROM d)"
@@ -187,6 +187,12 @@ def nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _neighbours(spark, sf_dir).withColumn("distance", F.round("distance", 4))
 
 
+@plans.add("neighbour_graph")
+def neighbour_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearly the nearest, which SQL cannot say; the tests measure how many of them are found."""
+    return neighbours.neighbour_graph(table(spark, sf_dir, "embeddings"), 5)
+
+
 @plans.add("smooth_neighbour_scale")
 def smooth_neighbour_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.smooth_distances(_neighbours(spark, sf_dir))
@@ -251,7 +257,7 @@ def project_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plans.add("sampled_neighbours", _KNN.replace("ON a.vec_id <> b.vec_id", "ON a.vec_id <> b.vec_id AND ('0x' || substr(md5(b.vec_id || '-1'), 1, 8))::BIGINT % 100 < 30") + " SELECT query, item, round(distance, 4) AS distance, rank FROM k WHERE rank <= 5")
 def sampled_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    return vectors.nearest(rows.filter("vec_id % 50 = 0"), reshape.hashed_sample(rows, "vec_id", 30, 1), 5).withColumn("distance", F.round("distance", 4))
+    return neighbours.nearest(rows.filter("vec_id % 50 = 0"), reshape.hashed_sample(rows, "vec_id", 30, 1), 5).withColumn("distance", F.round("distance", 4))
 
 
 @plans.add("sketch_quantiles", "SELECT l_returnflag, CAST(count(*) AS DOUBLE) AS n, min(l_extendedprice) AS low, max(l_extendedprice) AS high, true AS near FROM lineitem GROUP BY 1")

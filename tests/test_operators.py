@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.functions.patterns import FilePattern, rename
-from mosaiq.operators import matching, objects, raster, tables, vectors
+from mosaiq.operators import matching, neighbours, objects, raster, tables, vectors
 from mosaiq.plans.predicates import compile_predicate
 from mosaiq.sources import vectors as stitching
 from mosaiq.streaming import events
@@ -83,11 +83,11 @@ def test_neighbours_are_exact(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(60, 5))
     rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {(r["query"], r["rank"]): r["item"] for r in vectors.nearest(rows.filter("vec_id < 9"), rows.repartition(4), 3).collect()}
+    got = {(r["query"], r["rank"]): r["item"] for r in neighbours.nearest(rows.filter("vec_id < 9"), rows.repartition(4), 3).collect()}
     d = np.linalg.norm(x[:9, None] - x[None], axis=2)
     d[np.arange(9), np.arange(9)] = np.inf
     assert got == {(q, k + 1): int(np.argsort(d[q])[k]) for q in range(9) for k in range(3)}
-    sigma = vectors.smooth_distances(vectors.nearest(rows.filter("vec_id < 9"), rows, 8)).collect()
+    sigma = vectors.smooth_distances(neighbours.nearest(rows.filter("vec_id < 9"), rows, 8)).collect()
     for r in sigma:
         near = np.sort(d[r["query"]])[:8]
         assert np.exp(-np.maximum(near - r["rho"], 0) / r["sigma"]).sum() == pytest.approx(3, abs=1e-4)
@@ -130,7 +130,7 @@ def test_streams_give_what_batches_give(spark, tmp_path):
 
 def test_neighbours_of_more_queries_than_a_block(spark):
     rows = spark.createDataFrame([(i, [float(i * i % 37), float(i % 11)]) for i in range(40)], "vec_id long, embedding array<double>")
-    whole = sorted(vectors.nearest(rows, rows, 3).collect())
+    whole = sorted(neighbours.nearest(rows, rows, 3).collect())
     assert len(whole) == 120
     for most in (7, 8, 40):
-        assert sorted(vectors.nearest(rows, rows.repartition(3), 3, most_queries=most).collect()) == whole
+        assert sorted(neighbours.nearest(rows, rows.repartition(3), 3, most_queries=most).collect()) == whole
