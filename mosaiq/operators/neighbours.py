@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.operators.iteration import written
+from mosaiq.operators.iteration import saved
 from mosaiq.operators.ranks import ranked
 from mosaiq.operators.skew import looked_up
 
@@ -103,16 +103,16 @@ def neighbour_graph(items: DataFrame, k: int, id_column: str = "vec_id", vector:
     number of them, by hash; the joins of vectors split such rows off.  Not settled within the rounds is an error.  Ids must be distinct;
     rows with a null vector are left out.
     """
-    points = written(items.select(F.col(id_column).cast("long").alias("c"), F.col(vector).cast("array<float>").alias("v")).filter("c is not null and v is not null"))
+    points = saved(items.select(F.col(id_column).cast("long").alias("c"), F.col(vector).cast("array<float>").alias("v")).filter("c is not null and v is not null"))
     n = points.count()
     width = max(how.width, k)
-    numbered = written(ranked(points.select("c"), ["c"]).select("c", "rank"))
+    numbered = saved(ranked(points.select("c"), ["c"]).select("c", "rank"))
     picks = F.explode(F.transform(F.sequence(F.lit(1), F.lit(width)), lambda j: F.pmod(F.xxhash64(F.col("c"), j), F.lit(max(n, 1)))))
     start = numbered.select(F.col("c").alias("q"), picks.alias("rank")).join(numbered, "rank").select("q", "c").unionByName(numbered.select(F.col("c").alias("q"), "c"))
     near = start.distinct().withColumn("fresh", F.lit(True))
     lists = None
     for turn in range(how.rounds + 1):
-        near = written(near)
+        near = saved(near)
         if lists is None:
             bounds = points.withColumn("bound", F.lit(float("inf")))
         else:
@@ -124,7 +124,7 @@ def neighbour_graph(items: DataFrame, k: int, id_column: str = "vec_id", vector:
             met = met.unionByName(lists.withColumn("fresh", F.lit(False)))
         best = met.groupBy("query", "item").agg(F.min("distance").alias("distance"), F.min("fresh").alias("fresh"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "item"))
-        now = written(best.withColumn("rank", rank).filter(F.col("rank") <= width))
+        now = saved(best.withColumn("rank", rank).filter(F.col("rank") <= width))
         changed = now.filter("fresh").count()
         lists = now.select("query", "item", "distance")
         if changed <= how.settled * n * width:

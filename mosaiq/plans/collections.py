@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import distances, distogram, patterns, special
-from mosaiq.operators import clustering, features, neighbours, reshape, tables, vectors
+from mosaiq.operators import clustering, density, features, neighbours, reshape, tables, vectors
 from mosaiq.plans.common import Plans, table
 from mosaiq.sources import files
 from mosaiq.sources import vectors as stitching
@@ -238,6 +238,13 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clustering.density_clusters(rows, [f"x{i}" for i in range(4)], 3, ["label"]).select("vec_id", "label", "cluster")
 
 
+@plans.add("density_spread")
+def density_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As above, over all components and rows at once and many tasks; the tests cut the whole tree from the top."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", *[F.get("embedding", F.lit(i)).alias(f"x{i}") for i in range(64)])
+    return density.spread_labels(rows, [f"x{i}" for i in range(64)], 5, "vec_id")
+
+
 @plans.add("unmix_channels")
 def unmix_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("embedding"))
