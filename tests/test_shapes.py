@@ -68,7 +68,7 @@ def test_regular_polygons_score_most(spark):
     df = spark.createDataFrame(rows, "image string, label long, area double, perimeter double, neighbours long, solidity double, feret_min double, feret_max double")
     got = {r.label: r for r in shapes.polygonality(df).collect()}
     # all estimates of a hexagon's area agree; of 14 of its size one, from the apothem of the hull, is 3 / 4 of the others
-    size = (78 + 10 * 0.75 + 3 * (1 - 1 / 3)) / 91
+    size = (78 + 10 * (1 - 1 / 3) + 3 * 0.75) / 91
     assert abs(got[1].polygonality - 10) < 1e-9 and abs(got[1].hexagonality - 5 * (1 + size)) < 1e-9
     assert got[2].polygonality is None and got[3].hexagonality is None
     assert abs(got[4].polygonality - 10) < 1e-9 and got[4].hexagonality < 9.5
