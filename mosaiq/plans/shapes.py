@@ -1,11 +1,11 @@
-"""Queries over distances, watersheds, outlines and hulls, on rasters that grow with their table."""
+"""Queries over distances, watersheds, outlines, hulls, flows and textures, on rasters that grow with their table."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.operators import objects, shapes, watershed
+from mosaiq.operators import flows, objects, shapes, textures, watershed
 from mosaiq.plans.common import GROWN, Plans, grown_raster
 
 plans = Plans()
@@ -102,3 +102,83 @@ def region_polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
     on = ["image", "label"]
     parts = shapes.solidity(labels).join(objects.perimeter(labels), on).join(objects.neighbours(labels, 1), on).join(objects.feret(labels), on)
     return shapes.polygonality(parts).select(*on, *[F.round(c, 4).alias(c) for c in ("polygonality", "hexagonality", "hexagonality_sd")])
+
+
+@plans.add("median_pixels", _BLOCKS + ", m AS (SELECT image, label, median(y) AS my, median(x) AS mx FROM lab GROUP BY ALL), o AS (SELECT lab.*, row_number() OVER (PARTITION BY lab.image, lab.label ORDER BY (y - my) ** 2 + (x - mx) ** 2, y, x) AS k FROM lab JOIN m ON m.image = lab.image AND m.label = lab.label) SELECT image, label, y, x FROM o WHERE k = 1")
+def median_pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flows.median_pixels(_blocks(spark, sf_dir))
+
+
+@plans.add("flow_fields")
+def flow_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heat goes on until it has come everywhere, which SQL cannot say; the tests do it pixel by pixel."""
+    return flows.flow_fields(_blocks(spark, sf_dir))
+
+
+@plans.add("labels_of_flows")
+def labels_of_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Positions follow the field, which SQL cannot say; the tests go from labels to fields and back."""
+    _, side = _mask(spark, sf_dir)
+    return flows.labels_of_flows(flows.flow_fields(_blocks(spark, sf_dir)), side, side)
+
+
+_LEVELS = 4
+_TONES = f""", en AS (SELECT lab.image AS image, label, min(px.v) AS least, max(px.v) AS most FROM lab JOIN px ON px.image = lab.image AND px.y = lab.y AND px.x = lab.x GROUP BY ALL),
+tn AS (SELECT lab.image AS image, lab.label AS label, lab.y AS y, lab.x AS x, CASE WHEN most > least THEN least(CAST(floor((px.v - least) * {_LEVELS} / (most - least)) AS BIGINT) + 1, {_LEVELS}) ELSE 1 END AS g
+  FROM lab JOIN px ON px.image = lab.image AND px.y = lab.y AND px.x = lab.x JOIN en ON en.image = lab.image AND en.label = lab.label)"""
+
+
+def _tones(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, int]:
+    pixels, side = grown_raster(spark, sf_dir)
+    return textures.toned(_blocks(spark, sf_dir), pixels, _LEVELS), side
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    """A little more than each value, so that halves round alike however they were summed."""
+    return df.withColumns({c: F.round(F.col(c) + 1e-9, 6) for c, kind in df.dtypes if kind == "double"})
+
+
+@plans.add(
+    "texture_cooccurrence",
+    _BLOCKS + _TONES + """, dr(angle, dy, dx) AS (VALUES (0, 0, 1), (45, -1, 1), (90, -1, 0), (135, -1, -1)),
+h AS (SELECT a.image AS image, a.label AS label, angle, a.g AS i, b.g AS j FROM tn AS a CROSS JOIN dr JOIN tn AS b ON b.image = a.image AND b.label = a.label AND b.y = a.y + dy AND b.x = a.x + dx),
+p AS (SELECT image, label, angle, i, j, count(*) / sum(count(*)) OVER (PARTITION BY image, label, angle) AS p FROM (SELECT * FROM h UNION ALL SELECT image, label, angle, j, i FROM h) GROUP BY image, label, angle, i, j),
+s AS (SELECT image, label, angle, sum((i - j) ** 2 * p) AS contrast, sum(abs(i - j) * p) AS dissimilarity, sum(p / (1 + (i - j) ** 2)) AS homogeneity, sum(p * p) AS energy, -sum(p * log2(p)) AS entropy, sum(i * p) AS m, sum(i * i * p) AS q, sum(i * j * p) AS r FROM p GROUP BY ALL)
+SELECT image, label, angle, round(contrast + 1e-9, 6) AS contrast, round(dissimilarity + 1e-9, 6) AS dissimilarity, round(homogeneity + 1e-9, 6) AS homogeneity, round(energy + 1e-9, 6) AS energy, round(entropy + 1e-9, 6) AS entropy, round(CASE WHEN q - m * m > 1e-12 THEN (r - m * m) / (q - m * m) ELSE 1 END + 1e-9, 6) AS correlation FROM s""",
+)
+def texture_cooccurrence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(textures.cooccurrence(_tones(spark, sf_dir)[0]))
+
+
+def _emphases(keys: str) -> str:
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    return f"""c AS (SELECT {keys}, g, size, count(*) AS n FROM z GROUP BY ALL),
+e AS (SELECT {keys}, sum(n / (size * size)) AS small, sum(n * size * size) AS large, sum(n / (g * g)) AS low, sum(n * g * g) AS high, sum(n) AS al, sum(n * size) AS px FROM c GROUP BY ALL),
+ug AS (SELECT {keys}, sum(n * n) AS ug FROM (SELECT {keys}, g, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL),
+us AS (SELECT {keys}, sum(n * n) AS us FROM (SELECT {keys}, size, sum(n) AS n FROM c GROUP BY ALL) GROUP BY ALL)
+SELECT {", ".join(f"a.{k} AS {k}" for k in keys.split(", "))}, round(small / al + 1e-9, 6) AS small_emphasis, round(large / al + 1e-9, 6) AS large_emphasis, round(low / al + 1e-9, 6) AS low_level_emphasis, round(high / al + 1e-9, 6) AS high_level_emphasis,
+  round(ug / al + 1e-9, 6) AS level_nonuniformity, round(us / al + 1e-9, 6) AS size_nonuniformity, round(al / px + 1e-9, 6) AS percentage FROM e AS a JOIN ug AS b ON {on} JOIN us AS d ON {on.replace("b.", "d.")}"""
+
+
+_LINES = """, ln AS (SELECT image, label, g, unnest([{'angle': 0, 'line': y, 'pos': x}, {'angle': 45, 'line': y + x, 'pos': x}, {'angle': 90, 'line': x, 'pos': y}, {'angle': 135, 'line': y - x, 'pos': x}]) AS o FROM tn),
+lp AS (SELECT image, label, g, o.angle AS angle, o.line AS line, o.pos AS pos FROM ln),
+ch AS (SELECT *, CASE WHEN pos = lag(pos) OVER w + 1 AND g = lag(g) OVER w THEN 0 ELSE 1 END AS fresh FROM lp WINDOW w AS (PARTITION BY image, label, angle, line ORDER BY pos)),
+nr AS (SELECT *, sum(fresh) OVER (PARTITION BY image, label, angle, line ORDER BY pos) AS k FROM ch),
+z AS (SELECT image, label, angle, g, count(*) AS size FROM nr GROUP BY image, label, angle, line, k, g), """
+
+
+@plans.add("texture_runs", _BLOCKS + _TONES + _LINES + _emphases("image, label, angle"))
+def texture_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(textures.emphases(textures.runs(_tones(spark, sf_dir)[0]), ["image", "label", "angle"]))
+
+
+_ZONES = """, th AS (SELECT *, y * 100000 + x AS id FROM tn),
+rc(image, label, g, id, seed) AS (SELECT image, label, g, id, id FROM th UNION SELECT b.image, b.label, b.g, b.id, rc.seed FROM rc JOIN th AS a ON a.image = rc.image AND a.id = rc.id JOIN th AS b ON b.image = a.image AND b.label = a.label AND b.g = a.g AND abs(b.y - a.y) <= 1 AND abs(b.x - a.x) <= 1 AND rc.seed < b.id),
+zo AS (SELECT image, label, g, id, min(seed) AS zone FROM rc GROUP BY image, label, g, id),
+z AS (SELECT image, label, g, count(*) AS size FROM zo GROUP BY image, label, g, zone), """
+
+
+@plans.add("texture_zones", _BLOCKS + _TONES + _ZONES + _emphases("image, label"))
+def texture_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tones, side = _tones(spark, sf_dir)
+    return _rounded(textures.emphases(textures.zones(tones, side), ["image", "label"]))
