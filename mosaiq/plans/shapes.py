@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.operators import flows, objects, shapes, textures, watershed
-from mosaiq.plans.common import GROWN, Plans, grown_raster
+from mosaiq.operators import flows, objects, raster, registration, shading, shapes, textures, watershed
+from mosaiq.plans.common import GROWN, Plans, grown_raster, table
 
 plans = Plans()
 
@@ -182,3 +182,57 @@ z AS (SELECT image, label, g, count(*) AS size FROM zo GROUP BY image, label, g,
 def texture_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     tones, side = _tones(spark, sf_dir)
     return _rounded(textures.emphases(textures.zones(tones, side), ["image", "label"]))
+
+
+_CHANNELS = f"""WITH {GROWN}, ch AS (SELECT CASE image WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS c, y, x, v::DOUBLE AS v FROM px),
+o AS (SELECT a.range - 1 AS dy, b.range - 1 AS dx FROM range(3) AS a, range(3) AS b), t AS (SELECT range AS target FROM range(3)),
+ft AS (SELECT target, p.y AS y, p.x AS x, 1 + (q.c - CASE WHEN q.c > target THEN 1 ELSE 0 END) * 9 + (dy + 1) * 3 + dx + 1 AS i, q.v AS v FROM t CROSS JOIN o JOIN ch AS p ON p.c = target JOIN ch AS q ON q.c <> target AND q.y = p.y + dy AND q.x = p.x + dx, sd WHERE p.y BETWEEN 1 AND side - 2 AND p.x BETWEEN 1 AND side - 2
+  UNION ALL SELECT c, y, x, 0, 1 FROM ch, sd WHERE y BETWEEN 1 AND side - 2 AND x BETWEEN 1 AND side - 2 UNION ALL SELECT c, y, x, 19, v FROM ch, sd WHERE y BETWEEN 1 AND side - 2 AND x BETWEEN 1 AND side - 2)"""
+
+
+def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, _ = grown_raster(spark, sf_dir)
+    channel = F.when(F.col("image") == "A", 0).when(F.col("image") == "N", 1).otherwise(2)
+    return pixels.select(F.lit(0).alias("image"), "y", "x", channel.alias("channel"), "v")
+
+
+@plans.add("bleed_through_sums", _CHANNELS + " SELECT a.target AS target, a.i AS i, b.i AS j, sum(a.v * b.v) AS s, count(*) AS n FROM ft AS a JOIN ft AS b ON a.target = b.target AND a.y = b.y AND a.x = b.x AND a.i <= b.i GROUP BY ALL")
+def bleed_through_sums(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shading.normal_equations(_channels(spark, sf_dir), [0, 1, 2])
+
+
+@plans.add("bleed_through")
+def bleed_through(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The solution of the sums above; the tests find a mixing that was put in."""
+    found = shading.bleed_through(_channels(spark, sf_dir), [0, 1, 2])
+    rows = [(t, k, float(v)) for t, x in found.items() for k, v in enumerate(x)]
+    return spark.createDataFrame(rows, "target long, term long, share double")
+
+
+@plans.add("flat_field")
+def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fit by turns, which SQL cannot say; the tests find a shading that was put in."""
+    side = 8
+    keys = [(F.col(c) % n).alias(k) for c, n, k in (("l_suppkey", 40, "image"), ("l_orderkey", side, "y"), ("l_partkey", side, "x"))]
+    images = raster.dense(table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.sum("l_quantity").cast("double").alias("v")), side, side)
+    return shading.field_table(images, shading.flat_field(images, side, side)[0], "shading")
+
+
+#: Line items as matches: where a fixed map puts them, but for two of five, which are put anywhere.
+_MOVED = [1.02, 0.05, 12.0, -0.04, 0.97, -7.0, 1e-5, -2e-5, 1.0]
+_MATCHES = """WITH m AS (SELECT l_returnflag AS pair, (l_partkey * 7 % 1000)::DOUBLE AS x, (l_orderkey * 13 % 997)::DOUBLE AS y, l_orderkey * 10 + l_linenumber AS m, (l_orderkey + l_linenumber) % 5 < 2 AS wrong, l_suppkey * 31 % 1000 AS u, l_partkey * 17 % 1000 AS w FROM lineitem),
+h AS (SELECT *, 1e-5 * x - 2e-5 * y + 1 AS d FROM m), p AS (SELECT *, (1.02 * x + 0.05 * y + 12) / d AS gx, (-0.04 * x + 0.97 * y - 7) / d AS gy FROM h)"""
+
+
+@plans.add("registration", _MATCHES + " SELECT pair, count(*) AS n, count(*) FILTER (NOT wrong OR sqrt((u - gx) ** 2 + (w - gy) ** 2) <= 2) AS agreeing FROM p GROUP BY pair")
+def registration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many matches agree with the map that is found as with the one that was put in."""
+    lines = table(spark, sf_dir, "lineitem")
+    a, b, c, d, e, f, g, k, _ = _MOVED
+    x, y = (F.col("l_partkey") * 7 % 1000).cast("double"), (F.col("l_orderkey") * 13 % 997).cast("double")
+    wrong = (F.col("l_orderkey") + F.col("l_linenumber")) % 5 < 2
+    w = x * g + y * k + 1
+    u = F.when(wrong, F.col("l_suppkey") * 31 % 1000).otherwise((x * a + y * b + c) / w)
+    v = F.when(wrong, F.col("l_partkey") * 17 % 1000).otherwise((x * d + y * e + f) / w)
+    matches = lines.select(F.col("l_returnflag").alias("pair"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("m"), x.alias("x1"), y.alias("y1"), u.alias("x2"), v.alias("y2"))
+    return registration.homographies(matches).select("pair", "n", "agreeing")
