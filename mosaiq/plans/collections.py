@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.functions import distances, distogram, patterns, special
-from mosaiq.operators import clustering, density, features, neighbours, reshape, tables, vectors
+from mosaiq.operators import clustering, density, features, layout, neighbours, reshape, tables, vectors
 from mosaiq.plans.common import Plans, table
 from mosaiq.sources import files
 from mosaiq.sources import vectors as stitching
@@ -206,6 +206,14 @@ def fuzzy_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.fuzzy_union(weights).withColumn("weight", F.round("weight", 4))
 
 
+@plans.add("layout")
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Steps along drawn edges, which SQL cannot say; the tests see that groups stay together."""
+    near = neighbours.neighbour_graph(table(spark, sf_dir, "embeddings"), 5)
+    weights = vectors.fuzzy_union(near.select("query", "item", (1 / F.col("rank")).alias("weight")))
+    return layout.laid_out(weights, layout.Layout(epochs=20)).select("v", F.get("at", F.lit(0)).alias("x"), F.get("at", F.lit(1)).alias("y"))
+
+
 @plans.add("covariance", "WITH e AS (SELECT vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(64)) AS i FROM embeddings) SELECT a.i AS i, b.i AS j, round(covar_samp(a.x, b.x), 6) AS cov FROM e AS a JOIN e AS b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL")
 def covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.covariance(table(spark, sf_dir, "embeddings")).withColumn("cov", F.round("cov", 6))

@@ -209,8 +209,8 @@ def bleed_through(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "target long, term long, share double")
 
 
-@plans.add("flat_field")
-def flat_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+@plans.add("flat_field_estimate")
+def flat_field_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fit by turns, which SQL cannot say; the tests find a shading that was put in."""
     side = 8
     keys = [(F.col(c) % n).alias(k) for c, n, k in (("l_suppkey", 40, "image"), ("l_orderkey", side, "y"), ("l_partkey", side, "x"))]
