@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators import flows, objects, raster, registration, shading, shapes, textures, watershed
 from mosaiq.plans.common import GROWN, Plans, grown_raster, table
+from mosaiq.sources import chunks
 
 plans = Plans()
 
@@ -236,3 +239,20 @@ def registration_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.when(wrong, F.col("l_partkey") * 17 % 1000).otherwise((x * d + y * e + f) / w)
     matches = lines.select(F.col("l_returnflag").alias("pair"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("m"), x.alias("x1"), y.alias("y1"), u.alias("x2"), v.alias("y2"))
     return registration.homographies(matches).select("pair", "n", "agreeing")
+
+
+@plans.add(
+    "chunked_pyramid",
+    f"WITH {GROWN}, h AS (SELECT image, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM px GROUP BY ALL), q AS (SELECT image, y // 2 AS y, x // 2 AS x, CAST(floor(avg(v)) AS BIGINT) AS v FROM h GROUP BY ALL) "
+    "SELECT image, 0 AS level, y, x, v FROM px UNION ALL SELECT image, 1, y, x, v FROM h UNION ALL SELECT image, 2, y, x, v FROM q",
+)
+def chunked_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image and its halves as stored chunks, read back; each level is made from what the one before has stored."""
+    folder = f"{(spark.conf.get('spark.checkpoint.dir', None) or spark.conf.get('spark.sql.warehouse.dir')).rstrip('/')}/chunks-{uuid.uuid4().hex}"
+    now, found = grown_raster(spark, sf_dir)[0], None
+    for level in range(3):
+        chunks.write_chunks(chunks.chunked(now, 16, level), f"{folder}/{level}", 16)
+        stored = chunks.read_chunks(spark, f"{folder}/{level}")
+        found = stored if found is None else found.unionByName(stored)
+        now = raster.pyramid_mean(stored)
+    return found
