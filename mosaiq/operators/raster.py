@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mosaiq.operators.iteration import saved
+
 AT = ["image", "y", "x"]
 
 OPERATIONS = {
@@ -173,7 +175,7 @@ def pyramid(pixels: DataFrame, levels: int, tile: int) -> DataFrame:
     for level in range(levels):
         tiled = now.select(F.lit(level).cast("long").alias("level"), F.floor(F.col("y") / tile).alias("ty"), F.floor(F.col("x") / tile).alias("tx"), *AT, "v")
         out = tiled if out is None else out.unionByName(tiled)
-        now = pyramid_mean(now)
+        now = saved(pyramid_mean(now))  # each level is made once, from the one before
     return out
 
 

@@ -157,9 +157,11 @@ def _wells(spark: SparkSession) -> DataFrame:
 _add("well_intensity", P + _WELL + ", pa AS (SELECT image, well, list_sort(list(v)) AS vs FROM px JOIN ws ON y >= cy - r AND y < cy + r AND x >= cx - r AND x < cx + r GROUP BY ALL) SELECT image, well, CAST(trunc(list_aggregate(vs, 'avg') - list_aggregate(vs[:CAST(floor(len(vs) * 0.05) AS BIGINT)], 'median')) AS BIGINT) AS intensity FROM pa", lambda d: filters.well_intensity(d, _wells(d.sparkSession)))
 
 
-@plans.add("well_disks", f"WITH ws AS (SELECT * FROM (VALUES {', '.join(map(str, _WELLS))}) AS w(well, cy, cx, r)), g AS (SELECT a.range - 1 AS y, b.range - 1 AS x FROM range(30) AS a, range(30) AS b) SELECT CAST(y AS BIGINT) AS y, CAST(x AS BIGINT) AS x, min(well) AS well FROM g JOIN ws ON (y - cy) ** 2 + (x - cx) ** 2 < r * r GROUP BY y, x")
+@plans.add("well_disks", P + _WELL + ", dk AS (SELECT px.image AS image, px.y AS y, px.x AS x, min(well) AS well, px.v AS v FROM px JOIN ws ON (y - cy) ** 2 + (x - cx) ** 2 < r * r GROUP BY ALL) SELECT image, well, count(*) AS pixels, CAST(sum(v) AS BIGINT) AS total FROM dk GROUP BY image, well")
 def well_disks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return filters.disks(_wells(spark))
+    """What lies within the disk of each well, in every image."""
+    inside = lines_raster(spark, sf_dir).join(filters.disks(_wells(spark)), ["y", "x"])
+    return inside.groupBy("image", "well").agg(F.count(F.lit(1)).alias("pixels"), F.sum("v").alias("total"))
 
 
 _FLAT = ", ff AS (SELECT y, x, sum(v) + 1 AS b FROM px WHERE image = 'A' GROUP BY y, x)"

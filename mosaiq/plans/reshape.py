@@ -171,9 +171,9 @@ def split_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reshape.planes(images, ["c", "z"])
 
 
-@plans.add("recycle_vector", "WITH v AS (SELECT p_partkey AS k, p_partkey * 10 AS pos_x, p_size * 10 AS pos_y FROM part WHERE p_partkey < 50) SELECT c + 1 AS vector, 'k' || k || '_c' || c || '.tif' AS file, 0.0::DOUBLE AS corr, pos_x, pos_y, k AS grid_x, 0 AS grid_y FROM v, (SELECT range AS c FROM range(3))")
+@plans.add("recycle_vector", "WITH v AS (SELECT p_partkey AS k, p_partkey * 10 AS pos_x, p_size * 10 AS pos_y FROM part) SELECT c + 1 AS vector, 'k' || k || '_c' || c || '.tif' AS file, 0.0::DOUBLE AS corr, pos_x, pos_y, k AS grid_x, 0 AS grid_y FROM v, (SELECT range AS c FROM range(3))")
 def recycle_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = table(spark, sf_dir, "part").filter("p_partkey < 50")
+    parts = table(spark, sf_dir, "part")
     k = F.col("p_partkey").cast("long")
     vector = parts.select(k.alias("k"), F.lit(0.0).alias("corr"), (k * 10).alias("pos_x"), (F.col("p_size") * 10).cast("long").alias("pos_y"), k.alias("grid_x"), F.lit(0).cast("long").alias("grid_y"))
     files = parts.select(k.alias("k"), F.explode(F.sequence(F.lit(0), F.lit(2))).alias("c"))
@@ -243,11 +243,10 @@ def distance_standardised_euclidean(spark: SparkSession, sf_dir: str) -> DataFra
     return _pairs(spark, sf_dir).select("vec_id", F.round(distances.standardised_euclidean(F.col("a"), F.col("b"), variances), 6).alias("distance"))
 
 
-@plans.add("distance_mahalanobis", _UNNEST + ", d AS (SELECT vec_id, i, x - y AS d FROM z WHERE i < 8) SELECT p.vec_id AS vec_id, round(sqrt(sum(p.d * q.d * CASE WHEN p.i = q.i THEN 2.0 WHEN abs(p.i - q.i) = 1 THEN -0.5 ELSE 0 END)), 6) AS distance FROM d AS p JOIN d AS q ON p.vec_id = q.vec_id GROUP BY p.vec_id")
+@plans.add("distance_mahalanobis", _UNNEST + ", d AS (SELECT vec_id, i, x - y AS d FROM z) SELECT p.vec_id AS vec_id, round(sqrt(sum(p.d * q.d * CASE WHEN p.i = q.i THEN 2.0 WHEN abs(p.i - q.i) = 1 THEN -0.5 ELSE 0 END)), 6) AS distance FROM d AS p JOIN d AS q ON p.vec_id = q.vec_id GROUP BY p.vec_id")
 def distance_mahalanobis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inverse = [[2.0 if i == j else -0.5 if abs(i - j) == 1 else 0.0 for j in range(8)] for i in range(8)]
-    first = lambda c: F.slice(c, 1, 8)
-    return _pairs(spark, sf_dir).select("vec_id", F.round(distances.mahalanobis(first("a"), first("b"), inverse), 6).alias("distance"))
+    inverse = [[2.0 if i == j else -0.5 if abs(i - j) == 1 else 0.0 for j in range(64)] for i in range(64)]
+    return _pairs(spark, sf_dir).select("vec_id", F.round(distances.mahalanobis(F.col("a"), F.col("b"), inverse), 6).alias("distance"))
 
 
 _SERIES = "(CASE WHEN {x} - 1 < 1e-6 THEN 0 ELSE {x} * ln({x}) - {x} + 0.5 * ln(2 * pi() / {x}) + 1 / (12 * {x}) END)"
@@ -289,11 +288,11 @@ def distance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("p_partkey", F.round(special.count_distance(F.col("a"), F.col("b"), rate=2.0), 6).alias("distance"))
 
 
-@plans.add("curve_fit", "SELECT 1.0::DOUBLE AS spread, 0.1::DOUBLE AS least, true AS near")
+@plans.add("curve_fit", _KNN + " SELECT query, item, round(1 / (1 + 1.5769 * distance ** (2 * 0.8951)), 3) AS weight FROM k WHERE rank <= 5")
 def curve_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fit for the usual spread; the published values are a = 1.577, b = 0.895."""
+    """Weights of neighbours by the curve that is fitted for the usual spread; in SQL with its published numbers."""
     a, b = special.curve(1.0, 0.1)
-    return spark.createDataFrame([(1.0, 0.1, abs(a - 1.577) < 0.01 and abs(b - 0.895) < 0.005)], "spread double, least double, near boolean")
+    return _neighbours(spark, sf_dir).select("query", "item", F.round(1 / (1 + a * F.pow("distance", 2 * b)), 3).alias("weight"))
 
 
 @plans.add("memberships", _KNN + ", r AS (SELECT query, min(distance) AS rho FROM k WHERE rank <= 5 AND distance > 0 GROUP BY query) SELECT k.query AS query, item, round(CASE WHEN distance <= rho THEN 1 ELSE exp(-(distance - rho) / 0.7) END, 4) AS weight FROM k JOIN r ON k.query = r.query WHERE rank <= 5")

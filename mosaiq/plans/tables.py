@@ -262,12 +262,12 @@ def region_metrics_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plans.add(
     "over_under_segmentation",
-    """WITH p AS (SELECT DISTINCT l_partkey % 50 AS gt, l_suppkey % 40 AS pred FROM lineitem WHERE l_quantity > 45),
+    """WITH p AS (SELECT DISTINCT l_partkey AS gt, l_suppkey * 100 + l_partkey % 7 AS pred FROM lineitem),
 g AS (SELECT *, count(*) OVER (PARTITION BY gt) AS a, count(*) OVER (PARTITION BY pred) AS b FROM p)
 SELECT count(DISTINCT gt) FILTER (a > 1) AS over, count(DISTINCT pred) FILTER (b > 1) AS under FROM g""",
 )
 def over_under_segmentation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select((F.col("l_partkey") % 50).alias("gt"), (F.col("l_suppkey") % 40).alias("pred")).distinct()
+    pairs = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("gt"), (F.col("l_suppkey") * 100 + F.col("l_partkey") % 7).alias("pred")).distinct()
     over = pairs.groupBy("gt").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("over"))
     under = pairs.groupBy("pred").agg(F.count(F.lit(1)).alias("n")).agg(F.count_if(F.col("n") > 1).alias("under"))
     return over.select(F.lit(1).alias("k"), "over").join(under.select(F.lit(1).alias("k"), "under"), "k").drop("k")
@@ -296,11 +296,11 @@ def match_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.unmatched(table(spark, sf_dir, "customer").select("c_custkey"), table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), ["c_custkey"])
 
 
-@plans.add("match_substring", "WITH n AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 5) AS name FROM part WHERE p_partkey % 3 = 0) SELECT name, min(p_partkey) AS p_partkey FROM n JOIN part ON contains(p_name, name) GROUP BY name")
+@plans.add("match_substring", "WITH n AS (SELECT DISTINCT substr(p_name, 1 + p_partkey % 4, 2 + p_partkey % 5) AS name FROM part) SELECT name, min(p_partkey) AS p_partkey FROM n JOIN part ON contains(p_name, name) GROUP BY name")
 def match_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     name = F.substring("p_name", (1 + F.col("p_partkey") % 4).cast("int"), (2 + F.col("p_partkey") % 5).cast("int"))
-    return matching.by_substring(parts.filter("p_partkey % 3 = 0").select(name.alias("name")).distinct(), parts, "name", "p_name", "p_partkey")
+    return matching.by_substring(parts.select(name.alias("name")).distinct(), parts, "name", "p_name", "p_partkey")
 
 
 @plans.add(
