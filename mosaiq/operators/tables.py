@@ -115,12 +115,18 @@ def gap_groups(df: DataFrame, keys: list[str], position: str, radius: float) ->
 def merged_positions(df: DataFrame, keys: list[str], position: str, radius: float) -> DataFrame:
     """``keys``, ``position``, ``n``: sorted positions made one as long as each lies within ``radius`` of the mean of those
     before it.  A group is the few positions of one image, such as the centres of its wells."""
+    return merged_within(df.withColumn("_within", F.lit(radius)), keys, position, "_within")
+
+
+def merged_within(df: DataFrame, keys: list[str], position: str, within: str) -> DataFrame:
+    """As ``merged_positions``, the radius of each group being a column."""
     sorted_list = F.array_sort(F.collect_list(F.col(position).cast("double")))
     start = F.struct(F.array().cast("array<struct<position:double,n:bigint>>").alias("done"), F.lit(0.0).alias("s"), F.lit(0).cast("bigint").alias("n"))
     closed = lambda z: F.when(z["n"] > 0, F.concat(z["done"], F.array(F.struct((z["s"] / z["n"]).alias("position"), z["n"].alias("n"))))).otherwise(z["done"])
 
     def step(z: Column, x: Column) -> Column:
-        near = (z["n"] > 0) & (x - z["s"] / F.greatest(z["n"], F.lit(1)) < radius)
+        near = (z["n"] > 0) & (x - z["s"] / F.greatest(z["n"], F.lit(1)) < F.col("_r"))
         return F.struct(F.when(near, z["done"]).otherwise(closed(z)).alias("done"), F.when(near, z["s"] + x).otherwise(x).alias("s"), F.when(near, z["n"] + 1).otherwise(F.lit(1).cast("bigint")).alias("n"))
 
-    return df.groupBy(*keys).agg(F.aggregate(sorted_list, start, step, closed).alias("a")).select(*keys, F.inline("a"))
+    each = df.groupBy(*keys).agg(sorted_list.alias("_l"), F.max(within).alias("_r"))
+    return each.select(*keys, F.inline(F.aggregate("_l", start, step, closed)))

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mosaiq.operators import flows, objects, raster, registration, shading, shapes, textures, watershed
+from mosaiq.operators import flows, objects, plates, raster, registration, shading, shapes, textures, watershed
 from mosaiq.plans.common import GROWN, Plans, grown_raster, table
 from mosaiq.sources import chunks
 
@@ -256,3 +256,26 @@ def chunked_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = stored if found is None else found.unionByName(stored)
         now = raster.pyramid_mean(stored)
     return found
+
+
+@plans.add(
+    "rotate_raster",
+    f"""WITH {GROWN}, an(image, a) AS (VALUES ('A', radians(30.0)), ('N', radians(-45.0)), ('R', radians(90.0))),
+sr AS (SELECT px.image AS image, y, x, round((x - (side - 1) / 2) * sin(a) + (y - (side - 1) / 2) * cos(a) + (side - 1) / 2, 9) AS sy, round((x - (side - 1) / 2) * cos(a) - (y - (side - 1) / 2) * sin(a) + (side - 1) / 2, 9) AS sx FROM px JOIN an ON an.image = px.image, sd),
+co AS (SELECT image, y, x, CAST(floor(sy) AS BIGINT) + i AS cy, CAST(floor(sx) AS BIGINT) + j AS cx, (CASE i WHEN 1 THEN sy - floor(sy) ELSE 1 - sy + floor(sy) END) * (CASE j WHEN 1 THEN sx - floor(sx) ELSE 1 - sx + floor(sx) END) AS w FROM sr, (SELECT range AS i FROM range(2)), (SELECT range AS j FROM range(2)))
+SELECT co.image AS image, co.y AS y, co.x AS x, round(sum(w * coalesce(px.v, 0)) + 1e-9, 5) AS v FROM co LEFT JOIN px ON px.image = co.image AND px.y = cy AND px.x = cx GROUP BY co.image, co.y, co.x""",
+)
+def rotate_raster(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pixels, side = grown_raster(spark, sf_dir)
+    angles = spark.createDataFrame([("A", 30), ("N", -45), ("R", 90)], "image string, degrees int")
+    return plates.rotated(pixels, angles, side, side).withColumn("v", F.round(F.col("v") + 1e-9, 5))
+
+
+@plans.add("plate_wells")
+def plate_wells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Plates of 24 wells that are brighter than what the table has counted there; the tests draw plates and find them."""
+    height, width, at = 72, 104, lambda c: (F.col(c) % 16 - 8) * (F.col(c) % 16 - 8)
+    keys = [F.col("l_returnflag").alias("image"), (F.col("l_orderkey") % height).alias("y"), (F.col("l_partkey") % width).alias("x")]
+    pixels = raster.dense(table(spark, sf_dir, "lineitem").groupBy(*keys).agg(F.count(F.lit(1)).alias("v")), height, width)
+    well = (at("y") + at("x") <= 26) & (F.col("y") < 64) & (F.col("x") < 96)
+    return plates.plates(pixels.withColumn("v", F.least("v", F.lit(50)) + F.when(well, 100).otherwise(0)), height, width)
