@@ -25,6 +25,8 @@ class Fit:
     softness: float = 0.005
     settled: float = 1e-5
     rounds: int = 100
+    #: Rounds after which the terms that the field is made of stay the same, so that it can settle.
+    choosing: int = 10
 
 
 def cosines(n: int) -> np.ndarray:
@@ -35,19 +37,20 @@ def cosines(n: int) -> np.ndarray:
     return c
 
 
-def smoothed(field: np.ndarray, share: float, order: int | None = None) -> np.ndarray:
-    """The field by its large cosine terms only, or by those up to an order."""
+def large_terms(field: np.ndarray, share: float) -> np.ndarray:
+    """Which cosine terms of a field have at least a share of the greatest; the constant one always counts."""
     rows, columns = (cosines(n) for n in field.shape)
-    terms = rows @ field @ columns.T
-    if order is None:
-        rest = np.abs(terms)
-        rest[0, 0] = 0
-        out = rest < share * rest.max() if rest.any() else rest == 0
-        out[0, 0] = False
-    else:
-        out = np.add.outer(np.arange(field.shape[0]), np.arange(field.shape[1])) > order
-    terms[out] = 0
-    return rows.T @ terms @ columns
+    size = np.abs(rows @ field @ columns.T)
+    size[0, 0] = 0
+    kept = size >= share * size.max() if size.any() else np.zeros(field.shape, bool)
+    kept[0, 0] = True
+    return kept
+
+
+def smoothed(field: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """The field by some of its cosine terms."""
+    rows, columns = (cosines(n) for n in field.shape)
+    return rows.T @ np.where(kept, rows @ field @ columns.T, 0) @ columns
 
 
 def averaged(pixels: DataFrame, height: int, width: int, size: int) -> tuple[DataFrame, tuple[int, int]]:
@@ -70,7 +73,8 @@ def flat_field(pixels: DataFrame, height: int, width: int, dark: bool = False, h
     """
     rows, shape = averaged(pixels, height, width, how.size)
     rows = saved(rows)
-    s, d, order = np.ones(shape), np.zeros(shape), how.order_with_dark if dark else None
+    s, d = np.ones(shape), np.zeros(shape)
+    kept = np.add.outer(np.arange(shape[0]), np.arange(shape[1])) <= how.order_with_dark
     if rows.isEmpty():
         raise ValueError("there is no whole image")
 
@@ -86,17 +90,18 @@ def flat_field(pixels: DataFrame, height: int, width: int, dark: bool = False, h
                 total += weight * np.stack([np.ones(s.size), np.full(s.size, b), np.full(s.size, b * b), v, b * v])
         yield pd.DataFrame({"place": np.arange(s.size), **{c: total[i] for i, c in enumerate(("w", "wb", "wbb", "wv", "wbv"))}})
 
-    for _ in range(how.rounds):
+    for turn in range(how.rounds):
         found = rows.select("v").mapInPandas(sums, "place long, w double, wb double, wbb double, wv double, wbv double")
         met = found.groupBy("place").agg(*[F.sum(c).alias(c) for c in ("w", "wb", "wbb", "wv", "wbv")]).toPandas().sort_values("place")
         w, wb, wbb, wv, wbv = (met[c].to_numpy().reshape(shape) for c in ("w", "wb", "wbb", "wv", "wbv"))
         if dark:
             spread = np.maximum(w * wbb - wb * wb, 1e-12)
             slope = (w * wbv - wb * wv) / spread
-            base = smoothed((wv - slope * wb) / w, how.smooth, order)
+            base = smoothed((wv - slope * wb) / w, kept)
         else:
             slope, base = wbv / np.maximum(wbb, 1e-300), d
-        slope = smoothed(slope, how.smooth, order)
+            kept = large_terms(slope, how.smooth) if turn < how.choosing else kept
+        slope = smoothed(slope, kept)
         if not slope.mean() > 0:
             raise ValueError("the images have no light in common")
         new = slope / slope.mean()

@@ -288,11 +288,11 @@ def distance_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("p_partkey", F.round(special.count_distance(F.col("a"), F.col("b"), rate=2.0), 6).alias("distance"))
 
 
-@plans.add("curve_fit", _KNN + " SELECT query, item, round(1 / (1 + 1.5769 * distance ** (2 * 0.8951)), 3) AS weight FROM k WHERE rank <= 5")
+@plans.add("curve_fit", _KNN + " SELECT query, item, round(1 / (1 + 1.57694206 * distance ** (2 * 0.89506178)) + 1e-7, 4) AS weight FROM k WHERE rank <= 5")
 def curve_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weights of neighbours by the curve that is fitted for the usual spread; in SQL with its published numbers."""
     a, b = special.curve(1.0, 0.1)
-    return _neighbours(spark, sf_dir).select("query", "item", F.round(1 / (1 + a * F.pow("distance", 2 * b)), 3).alias("weight"))
+    return _neighbours(spark, sf_dir).select("query", "item", F.round(1 / (1 + a * F.pow("distance", 2 * b)) + 1e-7, 4).alias("weight"))
 
 
 @plans.add("memberships", _KNN + ", r AS (SELECT query, min(distance) AS rho FROM k WHERE rank <= 5 AND distance > 0 GROUP BY query) SELECT k.query AS query, item, round(CASE WHEN distance <= rho THEN 1 ELSE exp(-(distance - rho) / 0.7) END, 4) AS weight FROM k JOIN r ON k.query = r.query WHERE rank <= 5")
