@@ -1,6 +1,10 @@
 """Steps whose work must not grow faster than their tables."""
 
-from mosaiq.operators import matching
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from mosaiq.operators import matching, vectors
 
 
 def test_substrings_meet_without_a_broadcast(spark, tmp_path):
@@ -13,3 +17,17 @@ def test_substrings_meet_without_a_broadcast(spark, tmp_path):
     assert "Broadcast" not in plan
     hits = {n: [k for k, t in texts if t is not None and n in t] for n in names}
     assert {r["name"]: r["k"] for r in got.collect()} == {n: min((k for k in ks if k is not None), default=None) for n, ks in hits.items() if ks}
+
+
+def test_centres_settle_however_many_rounds_it_takes(spark, monkeypatch):
+    """Even points on a line, whose centres took more than 300 rounds."""
+    seen = []
+    monkeypatch.setattr(vectors.np, "allclose", lambda a, b, plain=np.allclose: seen.append(1) or plain(a, b))
+    x = np.arange(10_000) / 10_000
+    df = spark.range(len(x)).select(F.col("id").alias("vec_id"), F.array(F.col("id") / 10_000).alias("embedding")).coalesce(1)
+    centres = np.array(vectors.k_means(df, 30))[:, 0]
+    assert len(seen) > 300
+    near = np.abs(x[:, None] - centres[None]).argmin(axis=1)
+    assert np.abs(np.array([x[near == c].mean() for c in range(30)]) - centres).max() < 1e-4
+    with pytest.raises(RuntimeError, match="did not settle"):
+        vectors.k_means(df, 30, rounds=3)
