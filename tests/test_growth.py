@@ -1,10 +1,13 @@
 """Steps whose work must not grow faster than their tables."""
 
+import math
+from fractions import Fraction
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import matching, vectors
+from mosaiq.operators import matching, thresholds, vectors
 
 
 def test_substrings_meet_without_a_broadcast(spark, tmp_path):
@@ -31,3 +34,18 @@ def test_centres_settle_however_many_rounds_it_takes(spark, monkeypatch):
     assert np.abs(np.array([x[near == c].mean() for c in range(30)]) - centres).max() < 1e-4
     with pytest.raises(RuntimeError, match="did not settle"):
         vectors.k_means(df, 30, rounds=3)
+
+
+def test_minimum_error_is_that_of_exact_fractions(spark):
+    """One value alone above a candidate has no spread, however its sums are rounded."""
+    hist = [("A", v, n) for v, n in [(0, 490), *[(v, 1 + v % 3) for v in range(262, 391, 2)], (394, 1), (397, 2)]]
+    total, best = sum(n for *_, n in hist), []
+    for cut in range(1, len(hist)):
+        score = 1.0
+        for part in (hist[:cut], hist[cut:]):
+            n, s, q = (sum(c * v**k for _, v, c in part) for k in range(3))
+            spread = Fraction(q, n) - Fraction(s, n) ** 2
+            score += n / total * (math.log(spread) - 2 * math.log(n / total)) if spread else math.inf
+        best.append((round(score, 9), hist[cut - 1][1]))
+    got = thresholds.min_error(spark.createDataFrame(hist, "image string, v long, n long")).first()
+    assert got["threshold"] == min(best)[1]
