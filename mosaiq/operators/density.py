@@ -101,18 +101,39 @@ def _apart(low_a, high_a, low_b, high_b):
     return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda a, x: a + x * x)) * (1 - 1e-12)
 
 
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.sqrt(((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2))
+def _squares(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squares of all distances by one product, and a bound of what rounding may take two of them, or of those that
+    ``_lengths`` gives, apart."""
+    own, other = (a * a).sum(axis=1), (b * b).sum(axis=1)
+    slack = 4e-15 * (a.shape[1] + 10) * (own.max() + other.max())
+    if not np.isfinite(slack):
+        return np.zeros((len(a), len(b))), np.inf
+    found = a @ (-2 * b.T)
+    found += own[:, None]
+    found += other[None, :]
+    return found, slack
+
+
+def _lengths(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Distances of the rows of ``a`` to those of ``b`` at the same places."""
+    width = max(1, 4_000_000 // max(1, a.shape[1]))
+    return np.concatenate([np.sqrt(((a[s : s + width] - b[s : s + width]) ** 2).sum(axis=1)) for s in range(0, max(1, len(a)), width)])
 
 
 def _kth(a: np.ndarray, b: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each of ``a`` the distances to the nearest of ``b`` and their weights, k points or more in sum if there are."""
-    width = max(1, 4_000_000 // max(1, b.size))
+    """For each of ``a`` the distances to the nearest of ``b`` and their weights, k points or more in sum if there are.  Only pairs
+    that can be among these are measured by their differences."""
+    width = max(1, 1_000_000 // len(b))
     for s in range(0, len(a), width):
-        d = _distances(a[s : s + width], b)
-        order = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
-        for i, row in enumerate(order):
-            yield s + i, d[i, row], weights[row]
+        part = a[s : s + width]
+        squares, slack = _squares(part, b)
+        most = np.partition(squares, k, axis=1)[:, k] if len(b) > k else np.full(len(part), np.inf)
+        i, j = np.nonzero(squares <= most[:, None] + slack)
+        d = _lengths(part[i], b[j])
+        order, starts = np.lexsort((j, d, i)), np.searchsorted(i, np.arange(len(part) + 1))
+        for r in range(len(part)):
+            pick = order[starts[r] : min(starts[r + 1], starts[r] + k + 1)]
+            yield s + r, d[pick], weights[j[pick]]
 
 
 def cores(placed: DataFrame, size: int, least: int, n_points: int) -> DataFrame:
@@ -152,20 +173,26 @@ def _least_out(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     if len(a) and len(b):
         xa, xb = np.stack(a["v"].to_numpy()), np.stack(b["v"].to_numpy())
         pa, pb, ca, cb, ka, kb = (f[c].to_numpy() for c in ("p", "comp", "core") for f in (a, b))
-        width = max(1, 4_000_000 // max(1, xb.size))
+        # by number, so that the least of each component can be summed up
+        _, numbers = np.unique(np.concatenate([ca, cb]), return_inverse=True)
+        na, nb = numbers[: len(ca)], numbers[len(ca) :]
+        width = max(1, 1_000_000 // len(xb))
         for s in range(0, len(xa), width):
             e = slice(s, s + width)
-            w = np.maximum(_distances(xa[e], xb), np.maximum(ka[e, None], kb[None, :]))
-            w[ca[e, None] == cb[None, :]] = np.inf
-            for axis, own, comps in ((1, pa[e], ca[e]), (0, pb, cb)):
-                best = w.min(axis=axis)
-                # all ends of equal length, as ties are broken by ends
-                i, j = np.nonzero(w == (best[:, None] if axis else best[None, :]))
-                keep = np.isfinite(w[i, j])
-                i, j = i[keep], j[keep]
-                u, v = pa[e][i], pb[j]
-                mine, other = (ca[e][i], cb[j]) if axis else (cb[j], ca[e][i])
-                found.append(pd.DataFrame({"comp": mine, "w": w[i, j], "lo": np.minimum(u, v), "hi": np.maximum(u, v), "other": other}))
+            squares, slack = _squares(xa[e], xb)
+            np.maximum(squares, np.maximum(ka[e, None], kb[None, :]) ** 2, out=squares)
+            apart = na[e, None] != nb[None, :]
+            squares[~apart] = np.inf
+            least = np.full(numbers.max() + 1, np.inf)
+            np.minimum.at(least, na[e], squares.min(axis=1))
+            np.minimum.at(least, nb, squares.min(axis=0))
+            # what can be the least edge of either end's component, or as long as that, is measured by its differences
+            i, j = np.nonzero(apart & (squares <= np.maximum(least[na[e], None], least[None, nb]) + slack))
+            w = np.maximum(_lengths(xa[e][i], xb[j]), np.maximum(ka[e][i], kb[j]))
+            u, v = pa[e][i], pb[j]
+            for mine, other in ((ca[e][i], cb[j]), (cb[j], ca[e][i])):
+                every = pd.DataFrame({"comp": mine, "w": w, "lo": np.minimum(u, v), "hi": np.maximum(u, v), "other": other})[np.isfinite(w)]
+                found.append(every.sort_values(["w", "lo", "hi"], kind="stable").drop_duplicates("comp"))
     if not found:
         return pd.DataFrame({c: np.zeros(0, t) for c, t in (("comp", np.int64), ("w", float), ("lo", np.int64), ("hi", np.int64), ("other", np.int64))})
     every = pd.concat(found).sort_values(["w", "lo", "hi"], kind="stable")

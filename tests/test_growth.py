@@ -4,10 +4,11 @@ import math
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import matching, thresholds, vectors
+from mosaiq.operators import density, matching, thresholds, vectors
 
 
 def test_substrings_meet_without_a_broadcast(spark, tmp_path):
@@ -49,3 +50,23 @@ def test_minimum_error_is_that_of_exact_fractions(spark):
         best.append((round(score, 9), hist[cut - 1][1]))
     got = thresholds.min_error(spark.createDataFrame(hist, "image string, v long, n long")).first()
     assert got["threshold"] == min(best)[1]
+
+
+def test_only_pairs_that_can_be_nearest_are_measured(monkeypatch):
+    """The nearest of each point and the least edges of components, as by all differences, from few of them."""
+    seen = []
+    monkeypatch.setattr(density, "_lengths", lambda a, b, plain=density._lengths: seen.append(len(a)) or plain(a, b))
+    rng = np.random.default_rng(3)
+    a, b = rng.normal(size=(2, 400, 64))
+    d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+    for i, near, weights in density._kth(a, b, np.arange(400), 5):
+        order = np.argsort(d[i], kind="stable")[:6]
+        assert np.array_equal(near, d[i, order]) and np.array_equal(weights, order)
+    frames = [pd.DataFrame({"p": np.arange(400) + s, "v": list(x), "comp": np.arange(400) % 7 + c, "core": 0.0}) for x, s, c in ((a, 0, 0), (b, 400, 4))]
+    got = density._least_out(*frames)
+    comps = [f["comp"].to_numpy() for f in frames]
+    open_ = np.where(comps[0][:, None] == comps[1][None], np.inf, d)
+    for r in got.itertuples():
+        want = min(open_[comps[0] == r.comp].min(initial=np.inf), open_[:, comps[1] == r.comp].min(initial=np.inf))
+        assert r.w == want == d[r.lo, r.hi - 400]
+    assert len(got) == 11 and sum(seen) < 0.05 * 2 * d.size
