@@ -1,14 +1,16 @@
 """Steps whose work must not grow faster than their tables."""
 
 import math
+import tracemalloc
 from fractions import Fraction
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import density, matching, thresholds, vectors
+from mosaiq.operators import density, matching, neighbours, thresholds, vectors
 
 
 def test_substrings_meet_without_a_broadcast(spark, tmp_path):
@@ -70,3 +72,26 @@ def test_only_pairs_that_can_be_nearest_are_measured(monkeypatch):
         want = min(open_[comps[0] == r.comp].min(initial=np.inf), open_[:, comps[1] == r.comp].min(initial=np.inf))
         assert r.w == want == d[r.lo, r.hi - 400]
     assert len(got) == 11 and sum(seen) < 0.05 * 2 * d.size
+
+
+def test_pairs_of_many_groups_leave_a_task_piece_by_piece():
+    """A batch of groups is not held as all of its pairs, and the pairs are those of all differences."""
+    rng = np.random.default_rng(4)
+    groups, size = 3000, 40
+    x = rng.normal(size=(groups * size, 8)).astype(np.float32)
+    fresh = np.tile(np.arange(size) % 3 == 0, groups)
+    bound = np.where(np.arange(groups * size) % 5 > 0, np.inf, 4.0)
+    rows = [pa.array(np.arange(groups * size)), pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 8, dtype=np.int32)), pa.array(x.ravel())), pa.array(fresh), pa.array(bound)]
+    near = pa.ListArray.from_arrays(pa.array(np.arange(0, groups * size + 1, size, dtype=np.int32)), pa.StructArray.from_arrays(rows, ["c", "v", "fresh", "bound"]))
+    tracemalloc.start()
+    seen, first = 0, None
+    for found in neighbours._joined(iter([pa.RecordBatch.from_arrays([near], ["near"])])):
+        first = found.to_pandas() if first is None else first
+        seen += found.num_rows
+    assert tracemalloc.get_traced_memory()[1] < 25e6 < 24 * seen / 2
+    tracemalloc.stop()
+    d = np.sqrt(((x[:size, None].astype(float) - x[None, :size]) ** 2).sum(axis=2))
+    want = {(i, j): d[i, j] for i in range(size) for j in range(size) if i != j and (fresh[i] or fresh[j]) and d[i, j] < bound[i]}
+    got = first[first["query"] < size]
+    assert {(r.query, r.item) for r in got[["query", "item"]].itertuples()} == set(want)
+    assert all(abs(r.distance - want[r.query, r.item]) < 1e-9 for r in got.itertuples())
