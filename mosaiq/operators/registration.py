@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,6 +26,8 @@ class Consensus:
     tolerance: float = 2.0
     #: Times that the best map is fitted anew to all matches that agree with it.
     refits: int = 3
+    #: Matches of a pair that meet its maps as one row.
+    block: int = 256
 
 
 def equations(p: np.ndarray) -> np.ndarray:
@@ -55,8 +57,8 @@ def homographies(matches: DataFrame, how: Consensus = Consensus()) -> DataFrame:
     """``pair, h, agreeing, n``: for each pair of images the nine numbers (row by row, the last is 1) of the map that most matches agree with,
     how many do, and how many there are.
 
-    ``matches`` are ``pair, m, x1, y1, x2, y2``.  Each pair's trial maps are one row; all matches meet them by a join that splits pairs
-    with many matches off, and each task counts for each map before the counts meet.  The best (of equals the first) is fitted anew
+    ``matches`` are ``pair, m, x1, y1, x2, y2``.  Each pair's trial maps are one row; all matches meet them in blocks, by a join that
+    splits pairs with many matches off, and each task counts for each map before the counts meet.  The best (of equals the first) is fitted anew
     by sums of squares, whose size is fixed.  Pairs with fewer than four matches are left out, as are matches with a null.
     """
     keep = saved(matches.select("pair", "m", *[F.col(c).cast("double") for c in POINTS]).dropna())
@@ -89,23 +91,47 @@ def homographies(matches: DataFrame, how: Consensus = Consensus()) -> DataFrame:
 
     maps = saved(drawn.groupBy("pair").applyInPandas(tries, f"pair {kind}, maps array<double>"))
 
-    def each(frames: Iterator[pd.DataFrame]):
+    def in_blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for pair, part in frame.groupby("pair", sort=False):
-                yield pair, part, np.asarray(part["maps"].iloc[0]).reshape(-1, 9)
-
-    def counted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pair, part, tried in each(frames):
-            near = (errors(tried, part[POINTS].to_numpy()) <= how.tolerance).sum(axis=1)
-            yield pd.DataFrame({"pair": pair, "k": np.arange(len(tried)), "n": near})
-
-    def summed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pair, part, now in each(frames):
-            part = part[errors(now, part[POINTS].to_numpy())[0] <= how.tolerance]
-            q = equations(even(part)) if len(part) else np.zeros((1, 9))
-            yield pd.DataFrame({"pair": pair, "k": np.arange(81), "s": (q.T @ q).ravel()})
-
-    counts = looked_up(keep, maps, "pair").mapInPandas(counted, f"pair {kind}, k long, n long").groupBy("pair", "k").agg(F.sum("n").alias("n"))
+                rows = [part[POINTS].to_numpy()[a : a + how.block].ravel() for a in range(0, len(part), how.block)]
+                yield pd.DataFrame({"pair": [pair] * len(rows), "points": pd.Series(rows, dtype=object)})
+
+    # the trial maps of a pair are larger than a match by far, so they meet blocks of matches
+    blocks = saved(keep.select("pair", *POINTS).mapInPandas(in_blocks, f"pair {kind}, points array<double>"))
+
+    def added(one: Callable[[pd.Series, np.ndarray, np.ndarray], np.ndarray], value: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """What ``one`` gives for the blocks of each pair, summed within a task: a row for each number."""
+
+        def told(sums: dict) -> Iterator[pd.DataFrame]:
+            for pair, s in sums.items():
+                yield pd.DataFrame({"pair": pair, "k": np.arange(len(s)), value: s})
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            sums: dict = {}
+            for frame in frames:
+                for _, row in frame.iterrows():
+                    s = one(row, row["points"].reshape(-1, 4), row["maps"].reshape(-1, 9))
+                    sums[row["pair"]] = sums[row["pair"]] + s if row["pair"] in sums else s
+                    if len(sums) >= 1000:
+                        yield from told(sums)
+                        sums = {}
+            yield from told(sums)
+
+        return run
+
+    def near(_: pd.Series, p: np.ndarray, tried: np.ndarray) -> np.ndarray:
+        return (errors(tried, p) <= how.tolerance).sum(axis=1)
+
+    def squares(row: pd.Series, p: np.ndarray, now: np.ndarray) -> np.ndarray:
+        p = p[errors(now, p)[0] <= how.tolerance]
+        if not len(p):
+            return np.zeros(81)
+        q = equations(np.stack([(p[:, k] - row[f"m_{c}"]) / row[f"s_{c}"] for k, c in enumerate(POINTS)], axis=1))
+        return (q.T @ q).ravel()
+
+    counted, summed = added(near, "n"), added(squares, "s")
+    counts = looked_up(blocks, maps, "pair").mapInPandas(counted, f"pair {kind}, k long, n long").groupBy("pair", "k").agg(F.sum("n").alias("n"))
     best = counts.groupBy("pair").agg(F.max_by("k", F.struct("n", -F.col("k"))).alias("k"))
     best = saved(maps.join(best, "pair").select("pair", F.expr("slice(maps, cast(9 * k + 1 as int), 9)").alias("maps")))
 
@@ -114,9 +140,9 @@ def homographies(matches: DataFrame, how: Consensus = Consensus()) -> DataFrame:
             yield pd.DataFrame({"pair": frame["pair"], "maps": pd.Series([back(_least(np.reshape(row["s"], (9, 9))), row) for _, row in frame.iterrows()], frame.index, object)})
 
     for _ in range(how.refits):
-        sums = looked_up(keep, best.join(scale, "pair"), "pair").mapInPandas(summed, f"pair {kind}, k long, s double").groupBy("pair", "k").agg(F.sum("s").alias("s"))
+        sums = looked_up(blocks, best.join(scale, "pair"), "pair").mapInPandas(summed, f"pair {kind}, k long, s double").groupBy("pair", "k").agg(F.sum("s").alias("s"))
         whole = sums.groupBy("pair").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]).alias("s"))
         best = saved(whole.join(scale, "pair").select("pair", "s", *scales).mapInPandas(fitted, f"pair {kind}, maps array<double>"))
-    agreeing = looked_up(keep, best, "pair").mapInPandas(counted, f"pair {kind}, k long, n long").groupBy("pair").agg(F.sum("n").alias("agreeing"))
+    agreeing = looked_up(blocks, best, "pair").mapInPandas(counted, f"pair {kind}, k long, n long").groupBy("pair").agg(F.sum("n").alias("agreeing"))
     out = best.join(agreeing, "pair").join(scale.select("pair", "n"), "pair")
     return out.select("pair", F.transform("maps", lambda x: x / F.get("maps", F.lit(8))).alias("h"), "agreeing", "n")
