@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mosaiq.operators import density, matching, neighbours, thresholds, vectors
+from mosaiq.plans import reshape as tables_in_pairs
 
 
 def test_substrings_meet_without_a_broadcast(spark, tmp_path):
@@ -95,3 +96,10 @@ def test_pairs_of_many_groups_leave_a_task_piece_by_piece():
     got = first[first["query"] < size]
     assert {(r.query, r.item) for r in got[["query", "item"]].itertuples()} == set(want)
     assert all(abs(r.distance - want[r.query, r.item]) < 1e-9 for r in got.itertuples())
+
+
+def test_pairs_of_few_keys_are_made_in_many_tasks(spark):
+    """A table in one file was one task, which made all pairs."""
+    got = tables_in_pairs.many_to_many_match(spark, "/root/testdata/sf0.001")
+    made = got.groupBy(F.spark_partition_id()).count().collect()
+    assert len(made) > 4 and max(r["count"] for r in made) < got.count() / 4
