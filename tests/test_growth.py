@@ -103,3 +103,27 @@ def test_pairs_of_few_keys_are_made_in_many_tasks(spark):
     got = tables_in_pairs.many_to_many_match(spark, "/root/testdata/sf0.001")
     made = got.groupBy(F.spark_partition_id()).count().collect()
     assert len(made) > 4 and max(r["count"] for r in made) < got.count() / 4
+
+
+def test_one_job_serves_many_rounds_of_centres(spark, monkeypatch):
+    """Each round was a job; the centres are those of plain rounds over all rows."""
+    rounds = []
+    monkeypatch.setattr(vectors.np, "allclose", lambda a, b, plain=np.allclose: rounds.append(1) or plain(a, b))
+    x = np.random.default_rng(4).normal(size=(20_000, 2))
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    spark.sparkContext.setJobGroup("centres", "")
+    starts = np.array([r[0] for r in df.select("embedding").orderBy(F.xxhash64("vec_id")).limit(64 * 4).collect()])
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup("centres"))
+    centres = np.array(vectors.k_means(df, 4))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("centres")) - before
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(rounds) > 30 and jobs < len(rounds) / 2
+    chance, picked = np.random.default_rng(0), [0]
+    while len(picked) < 4:
+        far = ((starts[:, None] - starts[picked][None]) ** 2).sum(axis=2).min(axis=1)
+        picked.append(int(chance.choice(len(starts), p=far / far.sum())))
+    plain = starts[picked]
+    for _ in rounds:
+        near = ((x[:, None] - plain[None]) ** 2).sum(axis=2).argmin(axis=1)
+        plain = np.array([x[near == c].mean(axis=0) for c in range(4)])
+    assert np.abs(plain - centres).max() < 1e-9
