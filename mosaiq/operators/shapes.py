@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,49 +18,105 @@ OBJECT = ["image", "label"]
 AROUND = [(-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1)]
 
 
-def _sides(labels: DataFrame) -> DataFrame:
-    """Each side of a pixel that no pixel of its object is behind, as ``e`` (y, x, side clockwise from above), and the side
-    that follows it clockwise around the object; pixels that only touch at a corner are apart."""
-    own = labels.filter("label > 0").select(*OBJECT, "y", "x")
-    steps = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"), F.lit(1 << k).alias("bit")) for k, (dy, dx) in enumerate(AROUND)], F.struct(F.lit(0).alias("dy"), F.lit(0).alias("dx"), F.lit(256).alias("bit")))
-    seen = own.select(*OBJECT, F.col("y").alias("b"), F.col("x").alias("a"), F.explode(steps).alias("o"))
-    seen = seen.groupBy(*OBJECT, (F.col("b") - F.col("o.dy")).alias("y"), (F.col("a") - F.col("o.dx")).alias("x")).agg(F.sum("o.bit").alias("m")).filter("m >= 256")
-    has = lambda k: F.col("m").bitwiseAND(1 << (k % 8)) != 0
-    edge = lambda y, x, s: F.struct(y.cast("long").alias("y"), x.cast("long").alias("x"), F.lit(s % 4).alias("s"))
+#: Rows and columns of a tile, in which outlines are followed by arrays.
+TILE = 256
+
+
+def _tiled(labels: DataFrame) -> DataFrame:
+    """Pixels of objects by tile (``ty, tx``), each tile with the pixels around it."""
+    tiles = lambda c: F.explode(F.array_distinct(F.array(*[F.floor((F.col(c) + d) / TILE) for d in (-1, 0, 1)])))
+    own = labels.filter("label > 0").select(*OBJECT, F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"))
+    return own.withColumn("ty", tiles("y")).withColumn("tx", tiles("x"))
+
+
+def _traced(pixels: pd.DataFrame) -> pd.DataFrame:
+    """Sides of a tile's pixels that no pixel of their object is behind, each followed clockwise around the object (pixels that only
+    touch at a corner are apart), as corners of outlines that are closed here (``kind`` 0; ``name`` the least side, ``at`` the
+    corner's number), corners of pieces that go on in another tile (1; ``name`` their first side, ``at`` the steps from it), and
+    these pieces (2; ``n`` sides, ``next`` the first side after them, ``least`` the least one, ``at`` steps from the first).  Sides
+    are numbers in the order of rows, columns and sides."""
+    width = TILE + 2
+    y0, x0 = int(pixels["ty"].iloc[0]) * TILE - 1, int(pixels["tx"].iloc[0]) * TILE - 1
+    numbers, code = np.unique(pixels["label"].to_numpy(), return_inverse=True)
+    cells = np.unique((code * width + pixels["y"].to_numpy() - y0) * width + pixels["x"].to_numpy() - x0)
+    row, column = cells // width % width, cells % width
+    own = cells[(row > 0) & (row <= TILE) & (column > 0) & (column <= TILE)]
+    steps = [dy * width + dx for dy, dx in AROUND]
+    has = [cells[np.minimum(np.searchsorted(cells, own + step), len(cells) - 1)] == own + step for step in steps]
     found = []
     for s in range(4):
-        ahead, across = AROUND[(2 * s + 2) % 8], AROUND[(2 * s + 1) % 8]
-        moved = lambda step, k: edge(F.col("y") + step[0], F.col("x") + step[1], k)
-        after = F.when(~has(2 * s + 2), moved((0, 0), s + 1)).when(~has(2 * s + 1), moved(ahead, s)).otherwise(moved(across, s + 3))
-        found.append(F.when(~has(2 * s), F.struct(moved((0, 0), s).alias("e"), after.alias("next"))))
-    return seen.select(*OBJECT, F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("z")).select(*OBJECT, "z.e", "z.next")
+        ahead, across, back = has[(2 * s + 2) % 8], has[2 * s + 1], has[2 * s - 2] & ~has[2 * s - 1]
+        after = np.where(~ahead, own * 4 + (s + 1) % 4, np.where(~across, (own + steps[(2 * s + 2) % 8]) * 4 + s, (own + steps[2 * s + 1]) * 4 + (s + 3) % 4))
+        found.append(np.stack([own * 4 + s, after, ~back])[:, ~has[2 * s]])  # a side that goes on as the one before it begins at no corner
+    side, after, corner = np.concatenate(found, axis=1)
+    order = np.argsort(side)
+    side, after, corner = side[order], after[order], corner[order].astype(bool)
+    go = np.minimum(np.searchsorted(side, after), len(side) - 1)
+    stays = side[go] == after
+    to, far, least = np.where(stays, go, np.arange(len(side))), np.zeros(len(side), np.int64), np.arange(len(side))
+    ahead = stays.astype(np.int64)
+    for _ in range(len(side).bit_length() + 1):  # each side learns the least within 1, 2, 4, ... steps
+        better = least[to] < least
+        far, least = np.where(better, far[to] + ahead, far), np.where(better, least[to], least)
+        ahead, to = ahead + ahead[to], to[to]
+
+    def named(c: np.ndarray) -> np.ndarray:
+        cell = c >> 2
+        return ((((cell // width % width + y0) << 31) + cell % width + x0 + (1 << 30)) << 2) + (c & 3)
+
+    def rows(kind: int, of: np.ndarray, **columns: np.ndarray) -> pd.DataFrame:
+        cell, s = side[of] >> 2, side[of] & 3
+        place = {"y": cell // width % width + y0 + (s >= 2), "x": cell % width + x0 + ((s == 1) | (s == 2))}
+        return pd.DataFrame({"image": pixels["image"].iloc[0], "label": numbers[cell // width // width], "kind": kind, **place, "next": 0, "least": 0, **columns})
+
+    open_ = ~stays[to]
+    at = np.flatnonzero(~open_ & corner)
+    long = np.bincount(least[~open_], minlength=len(side))
+    at = at[np.lexsort(((long[least[at]] - far[at]) % long[least[at]], least[at]))]
+    turn = np.arange(len(at)) - np.searchsorted(least[at], least[at])
+    closed = rows(0, at, name=named(side[least[at]]), n=long[least[at]], at=turn)
+    begun = np.zeros(len(side), bool)
+    begun[go[stays]] = True
+    first = np.flatnonzero(open_ & ~begun)
+    firsts = np.zeros(len(side), np.int64)
+    firsts[to[first]] = first
+    at = np.flatnonzero(open_ & corner)
+    begin = firsts[to[at]]
+    loose = rows(1, at, name=named(side[begin]), n=0, at=ahead[begin] - ahead[at])
+    pieces = rows(2, first, name=named(side[first]), n=ahead[first] + 1, at=far[first], next=named(after[to[first]]), least=named(side[least[first]]))
+    return pd.concat([closed, loose, pieces])
 
 
 def contours(labels: DataFrame, rounds: int = 60) -> DataFrame:
     """``image, label, ring, k, y, x``: the corners of each outline in order, clockwise around an object and the other way round its
     holes; ``ring`` numbers an object's outlines by their first sides (row by row), from which ``k`` counts the corners.
 
-    The sides of an outline are a cycle.  Each side learns the least side within 1, 2, 4, ... steps ahead and how far it is, until
-    nothing changes; that names the outline and ranks its sides in as many rounds as the logarithm of its length."""
-    sides = saved(_sides(labels).select(*OBJECT, "e", "next", F.col("e").alias("least"), F.lit(0).cast("long").alias("far")))
-    for k in range(rounds):
-        ahead = sides.select(*OBJECT, F.col("e").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"), (F.col("far") + (1 << k)).alias("far2"))
-        better = F.col("least2") < F.col("least")
-        both = sides.join(ahead, [*OBJECT, "next"])
-        sides = saved(both.select(*OBJECT, "e", F.col("next2").alias("next"), F.when(better, F.col("least2")).otherwise(F.col("least")).alias("least"), F.when(better, F.col("far2")).otherwise(F.col("far")).alias("far"), better.alias("changed")))
-        if sides.filter("changed").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"outlines are longer than 2 ** {rounds}")
-    lengths = sides.groupBy(*OBJECT, "least").agg(F.count(F.lit(1)).alias("n"))
-    lengths = lengths.withColumn("ring", F.row_number().over(Window.partitionBy(*OBJECT).orderBy("least")).cast("long") - 1)
-    placed = sides.join(lengths, [*OBJECT, "least"]).select(*OBJECT, "ring", "n", F.pmod(F.col("n") - F.col("far"), F.col("n")).alias("at"), "e")
-    # a side that goes on as the one before it begins at no corner
-    before = placed.select(*OBJECT, "ring", F.pmod(F.col("at") + 1, F.col("n")).alias("at"), F.col("e.s").alias("came"))
-    turns = placed.join(before, [*OBJECT, "ring", "at"]).filter(F.col("e.s") != F.col("came"))
-    y, x = F.col("e.y") + F.when(F.col("e.s") >= 2, 1).otherwise(0), F.col("e.x") + F.when(F.col("e.s").isin(1, 2), 1).otherwise(0)
-    k = F.row_number().over(Window.partitionBy(*OBJECT, "ring").orderBy("at")).cast("long") - 1
-    return turns.select(*OBJECT, "ring", k.alias("k"), y.cast("long").alias("y"), x.cast("long").alias("x"))
+    Outlines are followed in tiles.  Pieces of those that cross tiles learn the least side within 1, 2, 4, ... pieces ahead and how
+    far it is, until nothing changes; that names the outline and ranks its pieces in as many rounds as the logarithm of their number."""
+    kind, number = (labels.schema[c].dataType.simpleString() for c in OBJECT)
+    schema = f"image {kind}, label {number}, kind int, y long, x long, next long, least long, name long, n long, at long"
+    found = saved(_tiled(labels).groupBy("image", "ty", "tx").applyInPandas(lambda p: _traced(p)[[c.split()[0] for c in schema.split(", ")]], schema))
+    turns = found.filter("kind = 0").select(*OBJECT, F.col("name").alias("least"), F.col("at").alias("k"), "y", "x")
+    outlines = turns.filter("k = 0").select(*OBJECT, "least")
+    pieces = saved(found.filter("kind = 2").select(*OBJECT, "name", "next", "least", F.col("at").alias("far"), F.col("n").alias("span"), "n"))
+    if not pieces.isEmpty():
+        for _ in range(rounds):
+            ahead = pieces.select(*OBJECT, F.col("name").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"), F.col("far").alias("far2"), F.col("span").alias("span2"))
+            better = F.col("least2") < F.col("least")
+            both = pieces.join(ahead, [*OBJECT, "next"])
+            pieces = saved(both.select(*OBJECT, "name", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), F.when(better, F.col("span") + F.col("far2")).otherwise(F.col("far")).alias("far"), (F.col("span") + F.col("span2")).alias("span"), "n", better.alias("changed")))
+            if pieces.filter("changed").isEmpty():
+                break
+        else:
+            raise RuntimeError(f"outlines are in more than 2 ** {rounds} pieces")
+        lengths = pieces.groupBy(*OBJECT, "least").agg(F.sum("n").alias("n"))
+        placed = pieces.select(*OBJECT, "name", "least", "far").join(lengths, [*OBJECT, "least"])
+        loose = found.filter("kind = 1").select(*OBJECT, "name", "at", "y", "x").join(placed, [*OBJECT, "name"])
+        k = F.row_number().over(Window.partitionBy(*OBJECT, "least").orderBy(F.pmod(F.col("at") - F.col("far"), F.col("n")))).cast("long") - 1
+        turns = turns.unionByName(loose.select(*OBJECT, "least", k.alias("k"), "y", "x"))
+        outlines = outlines.unionByName(lengths.select(*OBJECT, "least"))
+    outlines = outlines.withColumn("ring", F.row_number().over(Window.partitionBy(*OBJECT).orderBy("least")).cast("long") - 1)
+    return turns.join(outlines, [*OBJECT, "least"]).select(*OBJECT, "ring", "k", "y", "x")
 
 
 def areas(outlines: DataFrame) -> DataFrame:

@@ -77,3 +77,18 @@ def test_regular_polygons_score_most(spark):
 def test_no_objects(spark):
     none = table(spark, made()).filter(F.lit(False))
     assert shapes.contours(none).count() == 0 == shapes.hulls(none).count()
+
+
+def test_outlines_over_tiles_equal_those_within_one_and_need_no_rounds_there(spark):
+    """All sides met in joins, round by round, wherever they were."""
+    one = table(spark, [*made(), np.ones((1, 700), bool), np.arange(40)[:, None] % 2 + np.zeros((1, 40)) + (np.arange(40) == 0) > 0])
+    spark.sparkContext.setJobGroup("outlines", "")
+    small = shapes.contours(one.filter("label <> 7"))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("outlines"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs < 12
+    want = sorted((r.label, r.ring, r.k, r.y + 250, r.x + 507) for r in small.collect())
+    moved = one.withColumn("y", F.col("y") + 250).withColumn("x", F.col("x") + 507)
+    got = sorted((r.label, r.ring, r.k, r.y, r.x) for r in shapes.contours(moved).collect())
+    assert [r for r in got if r[0] != 7] == want
+    assert [r[3:] for r in got if r[0] == 7] == [(250, 507), (250, 1207), (251, 1207), (251, 507)]
