@@ -92,3 +92,15 @@ def test_outlines_over_tiles_equal_those_within_one_and_need_no_rounds_there(spa
     got = sorted((r.label, r.ring, r.k, r.y, r.x) for r in shapes.contours(moved).collect())
     assert [r for r in got if r[0] != 7] == want
     assert [r[3:] for r in got if r[0] == 7] == [(250, 507), (250, 1207), (251, 1207), (251, 507)]
+
+
+def test_areas_of_objects_over_tiles_are_their_pixels(spark):
+    """A disc with holes over four tiles, in few jobs."""
+    y, x = np.mgrid[:60, :60]
+    disc = ((y - 30) ** 2 + (x - 30) ** 2 < 800) & ~((y % 9 == 4) & (x % 7 == 3))
+    moved = table(spark, [disc, ~disc]).withColumn("y", F.col("y") + 226).withColumn("x", F.col("x") + 226)
+    spark.sparkContext.setJobGroup("areas", "")
+    got = shapes.areas(shapes.contours(moved)).groupBy("label").agg(F.sum("area").alias("a")).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("areas"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.label: r.a for r in got} == {1: disc.sum(), 2: (~disc).sum()} and jobs < 70
