@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators import objects
@@ -195,12 +195,14 @@ def solidity(labels: DataFrame) -> DataFrame:
     return found.withColumn("solidity", F.col("area") / F.col("convex_area"))
 
 
-def _agreement(values: list[Column]) -> tuple[Column, Column]:
-    """Mean and sample variance of 1 - |1 - a / b| over all values a, each with all b behind it."""
-    pairs = F.array(*[1 - F.abs(1 - a / b) for i, a in enumerate(values) for b in values[i + 1 :]])
-    n = len(values) * (len(values) - 1) // 2
-    mean = F.aggregate(pairs, F.lit(0.0), lambda s, x: s + x) / n
-    return mean, F.aggregate(F.transform(pairs, lambda x: (x - mean) * (x - mean)), F.lit(0.0), lambda s, x: s + x) / (n - 1)
+def _agreement(df: DataFrame, values: str) -> DataFrame:
+    """Mean and sample variance (``{values}_mean``, ``{values}_var``) of 1 - |1 - a / b| over all values a, each with all b behind it.
+    Each step is a column of its own, or all pairs would be made anew for each pair."""
+    total = lambda x: F.aggregate(x, F.lit(0.0), lambda s, v: s + v)
+    df = df.withColumn("_p", F.flatten(F.transform(values, lambda a, i: F.transform(F.slice(values, i + 2, F.size(values)), lambda b: 1 - F.abs(1 - a / b)))))
+    df = df.withColumn(f"{values}_mean", total("_p") / F.size("_p"))
+    spread = F.transform("_p", lambda x: (x - F.col(f"{values}_mean")) * (x - F.col(f"{values}_mean")))
+    return df.withColumn(f"{values}_var", total(spread) / (F.size("_p") - 1)).drop("_p")
 
 
 def polygonality(shapes: DataFrame) -> DataFrame:
@@ -223,10 +225,10 @@ def polygonality(shapes: DataFrame) -> DataFrame:
     apothems = {"rim": root * rim / 12, "wide": root * wide / 4, "narrow": narrow / 2, "hull": root * hull_rim / 12, "area": F.sqrt(4 * hull / (4.5 * root))}
     regular = [1.5 * root * sides[k] * sides[k] for k in ("rim", "wide", "narrow")]
     mixed = [3 * sides[s] * apothems[a] for s, a in (("rim", "wide"), ("rim", "narrow"), ("wide", "narrow"), ("hull", "rim"), ("hull", "wide"), ("hull", "narrow"))]
-    of_area, var_area = _agreement([*regular, *mixed, hull, area])
     rims = [F.sqrt(24 * area / root), F.sqrt(24 * hull / root), rim, hull_rim, 3 * wide, 6 * narrow / root]
     rims += [2 * area / apothems[k] for k in ("rim", "wide", "narrow", "hull", "area")] + [2 * hull / apothems[k] for k in ("rim", "wide", "narrow")]
-    of_size, var_size = _agreement(rims)
     known = (n > 2) & (rim > 0)
-    scores = {"polygonality": 10 * (size_ratio + area_ratio) / 2, "hexagonality": 10 * (of_area + of_size) / 2, "hexagonality_sd": F.sqrt((var_area + var_size) / 2)}
-    return shapes.select(*OBJECT, *[F.when(known, c).alias(k) for k, c in scores.items()])
+    estimates = F.array(*regular, *mixed, hull, area)
+    found = shapes.select(*OBJECT, *[F.when(known, c).alias(k) for k, c in {"polygonality": 10 * (size_ratio + area_ratio) / 2, "areas": estimates, "sizes": F.array(*rims)}.items()])
+    found = _agreement(_agreement(found, "areas"), "sizes")
+    return found.select(*OBJECT, "polygonality", (10 * (F.col("areas_mean") + F.col("sizes_mean")) / 2).alias("hexagonality"), F.sqrt((F.col("areas_var") + F.col("sizes_var")) / 2).alias("hexagonality_sd"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mosaiq.operators import flows, objects, plates, raster, registration, shading, shapes, textures, watershed
+from mosaiq.operators.iteration import saved
 from mosaiq.plans.common import GROWN, Plans, grown_raster, table
 from mosaiq.sources import chunks
 
@@ -101,7 +102,7 @@ sc AS (SELECT image, label, 10 * (1 - abs(1 - rim / n / sqrt(4 * area / (n * cot
 
 @plans.add("region_polygonality", _BLOCKS + _HULL + _POLYGONALITY + " SELECT al.image AS image, al.label AS label, round(polygonality, 4) AS polygonality, round(hexagonality, 4) AS hexagonality, round(hexagonality_sd, 4) AS hexagonality_sd FROM al LEFT JOIN sc ON sc.image = al.image AND sc.label = al.label")
 def region_polygonality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = _blocks(spark, sf_dir)
+    labels = saved(_blocks(spark, sf_dir))  # each part reads them, some twice
     on = ["image", "label"]
     parts = shapes.solidity(labels).join(objects.perimeter(labels), on).join(objects.neighbours(labels, 1), on).join(objects.feret(labels), on)
     return shapes.polygonality(parts).select(*on, *[F.round(c, 4).alias(c) for c in ("polygonality", "hexagonality", "hexagonality_sd")])

@@ -104,3 +104,11 @@ def test_areas_of_objects_over_tiles_are_their_pixels(spark):
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("areas"))
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert {r.label: r.a for r in got} == {1: disc.sum(), 2: (~disc).sum()} and jobs < 70
+
+
+def test_scores_of_many_objects_do_not_make_all_pairs_for_each_pair(spark):
+    """Each of 91 differences from the mean made that mean, and so all pairs, anew: 2,000 objects took minutes."""
+    df = spark.range(2000).selectExpr("'i' AS image", "id AS label", "90.0 + id AS area", "40.0D AS perimeter", "6L AS neighbours", "0.9D AS solidity", "9.0D AS feret_min", "12.0D AS feret_max")
+    tree = shapes.polygonality(df)._jdf.queryExecution().optimizedPlan().treeString()
+    assert len(tree) < 10_000
+    assert shapes.polygonality(df).filter("hexagonality_sd > 0").count() == 2000
