@@ -74,6 +74,21 @@ def peaks(distances: DataFrame, width: int, radius: int = 1) -> DataFrame:
     return objects.components(top.select(*AT, ((F.col("d2") > 0) & (F.col("d2") == F.col("m"))).cast("long").alias("v")), width, connectivity=2)
 
 
+def _led(best: DataFrame, rounds: int = 60) -> DataFrame:
+    """``image, node, least``: where each part ``a`` comes by going on along its one edge to ``b``: to a part that has none, or to the
+    lesser of two that have the same edge.  Each learns where it comes in 1, 2, 4, ... steps."""
+    back = best.select("image", F.col("a").alias("b"), F.col("b").alias("c"))
+    both = best.join(back, ["image", "b"], "left")
+    to = saved(both.select("image", F.col("a").alias("node"), F.when((F.col("c") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("least")))
+    for _ in range(rounds):
+        ahead = to.select("image", F.col("node").alias("least"), F.col("least").alias("further"))
+        now = to.join(ahead, ["image", "least"], "left")
+        to = saved(now.select("image", "node", F.coalesce("further", "least").alias("least"), F.coalesce(F.col("further") != F.col("least"), F.lit(False)).alias("moved")))
+        if to.filter("moved").isEmpty():
+            return to.drop("moved")
+    raise RuntimeError(f"parts are tied in a row of more than 2 ** {rounds}")
+
+
 def flood(heights: DataFrame, seeds: DataFrame, width: int, connectivity: int = 1, rounds: int = 60) -> DataFrame:
     """``image, y, x, label``: every pixel of ``heights`` (``h``; only pixels that may be flooded) goes to the seed (``label``) from which
     the least of the largest heights on the way reaches it.
@@ -100,8 +115,8 @@ def flood(heights: DataFrame, seeds: DataFrame, width: int, connectivity: int =
         best = saved(both.filter("a >= 0").groupBy("image", "a").agg(F.min(F.struct("e", "b")).alias("m")).select("image", "a", F.col("m.b").alias("b")))
         if best.isEmpty():
             return parts.filter("part < 0").select("image", F.floor(F.col("p") / width).cast("long").alias("y"), (F.col("p") % width).alias("x"), (-F.col("part") - 1).alias("label"))
-        # parts tied together: the seed is the least name of all, and there is one at most
-        moved = saved(objects.least_linked(best.select("image", F.col("a").alias("u"), F.col("b").alias("v"))))
+        # parts tied together: there is one seed at most
+        moved = _led(best, rounds)
         parts = saved(parts.join(moved.withColumnRenamed("node", "part"), ["image", "part"], "left").select("image", "p", F.coalesce("least", "part").alias("part")))
         for end in "ab":
             edges = edges.join(moved.select("image", F.col("node").alias(end), "least"), ["image", end], "left").withColumn(end, F.coalesce("least", end)).drop("least")

@@ -89,3 +89,12 @@ def test_touching_discs_are_split(spark):
 def test_empty(spark):
     none = table(spark, masks()).limit(0)
     assert watershed.squared_distance(none).count() == 0 == watershed.split_touching(none, W).count()
+
+
+def test_parts_find_where_their_edges_lead_in_few_jobs(spark):
+    """A row of 5,000 parts that ends in a seed, and one that ends in a pair: each was tied by stars, of several jobs and joins a round."""
+    rows = [("i", k, k - 1 if k else -7) for k in range(5000)] + [("j", k, k + 1 if k < 4999 else 4998) for k in range(5000)]
+    best = spark.createDataFrame(rows, "image string, a long, b long")
+    got = watershed._led(best)
+    seen = {(r.image, r.least) for r in got.collect()}
+    assert got.count() == 10_000 and seen == {("i", -7), ("j", 4998)}
