@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mosaiq.operators import density, matching, neighbours, thresholds, vectors
+from mosaiq.operators import density, layout, matching, neighbours, thresholds, vectors
 from mosaiq.plans import reshape as tables_in_pairs
 
 
@@ -127,3 +127,43 @@ def test_one_job_serves_many_rounds_of_centres(spark, monkeypatch):
         near = ((x[:, None] - plain[None]) ** 2).sum(axis=2).argmin(axis=1)
         plain = np.array([x[near == c].mean(axis=0) for c in range(4)])
     assert np.abs(plain - centres).max() < 1e-9
+
+
+def test_graph_of_all_rows_is_exact_in_parts(spark, monkeypatch):
+    """Lists of descent lacked some neighbours and moved vectors in each round; equal vectors meet by their ids."""
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.normal(size=(700, 24)), np.repeat(rng.normal(size=(4, 24)), 40, axis=0) + 3, rng.normal(size=(60, 24)) * 1e-3 + 50]).astype(np.float32)
+    ids = rng.permutation(5000)[: len(x)]
+    rows = spark.createDataFrame([(int(i), v) for i, v in zip(ids, x.tolist(), strict=True)] + [(9999, [float("nan")] * 24)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(neighbours, "ROWS", 150)
+    got = {}
+    for r in neighbours.neighbour_graph(rows, 6).orderBy("query", "rank").collect():
+        got.setdefault(r.query, []).append((r.item, r.distance))
+    d = np.sqrt(((x[:, None].astype(float) - x[None].astype(float)) ** 2).sum(axis=2))
+    np.fill_diagonal(d, np.inf)
+    for i, q in enumerate(ids.tolist()):
+        order = np.lexsort((ids, d[i]))[:6]
+        assert [k for k, _ in got.pop(q)] == ids[order].tolist()
+    assert not got
+
+
+def test_descent_finds_nine_of_ten(spark):
+    """The way beyond the rows that are met exactly."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    exact = neighbours.nearest(rows.filter("vec_id % 50 = 0"), rows, 5).select("query", "item")
+    graph = neighbours.neighbour_graph(rows, 5, how=neighbours.Descent())
+    assert exact.join(graph, ["query", "item"]).count() >= 0.9 * exact.count()
+
+
+def test_edges_of_a_layout_are_made_once(spark):
+    """They were made anew for the vertices, the greatest weight and the edges."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(frames):
+        for frame in frames:
+            seen.add(len(frame))
+            yield frame
+
+    edges = spark.range(300).select(F.explode(F.array(F.struct(F.col("id").alias("query"), ((F.col("id") + 1) % 300).alias("item")), F.struct(((F.col("id") + 1) % 300).alias("query"), F.col("id").alias("item")))).alias("e")).select("e.query", "e.item", F.lit(1.0).alias("weight"))
+    got = layout.laid_out(edges.mapInPandas(counted, edges.schema), layout.Layout(epochs=1))
+    assert got.count() == 300 and seen.value == 600
