@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -35,45 +37,88 @@ class Diffusion:
     every: int = 10
 
 
-def diffused(inside: np.ndarray, middle: tuple[int, int], how: Diffusion = Diffusion()) -> np.ndarray:
-    """Heat of an object's pixels, each step the mean of 3 x 3, until all are warm or, at a look, no new one is."""
-    heat = np.zeros(np.add(inside.shape, 2))
-    core = heat[1:-1, 1:-1]
-    warmed, step = np.zeros(inside.shape, bool), 0
+def diffused(inside: np.ndarray, middles: np.ndarray, how: Diffusion = Diffusion()) -> np.ndarray:
+    """Heat of the pixels of objects in boxes of one size (``inside`` has a box for each), each step the mean of 3 x 3; an object's heat
+    stands still once all of its pixels are warm or, at a look, no new one is."""
+    n, height, width = inside.shape
+    found, open_ = np.zeros(inside.shape), np.arange(n)
+    heat, warmed, step = np.zeros((n, height + 2, width + 2)), np.zeros(inside.shape, bool), 0
     while True:
-        core[middle] += how.fuel
-        rows = heat[:-2] + heat[1:-1] + heat[2:]
-        core[:] = np.where(inside, (rows[:, :-2] + rows[:, 1:-1] + rows[:, 2:]) / 9, 0)
+        core = heat[:, 1:-1, 1:-1]
+        core[np.arange(len(open_)), middles[:, 0], middles[:, 1]] += how.fuel
+        rows = heat[:, :-2] + heat[:, 1:-1] + heat[:, 2:]
+        core[:] = np.where(inside, (rows[:, :, :-2] + rows[:, :, 1:-1] + rows[:, :, 2:]) / 9, 0)
         if step % how.every == 0:
             warm = core > how.smoulder
-            if (warm == inside).all() or warmed[warm].all():
-                return core
+            done = (warm == inside).all(axis=(1, 2)) | (warmed | ~warm).all(axis=(1, 2))
+            found[open_[done]] = core[done]
+            if done.all():
+                return found
             core[:] = np.where(warm, core + how.shock, 0)
             warmed |= warm
+            if done.any():
+                open_, inside, middles, heat, warmed = (y[~done] for y in (open_, inside, middles, heat, warmed))
         step += 1
 
 
+#: Pixels of boxes that are diffused at once (a larger box goes alone), and pixels that are gathered for them.
+BOXES, GATHERED = 1 << 16, 1 << 17
+
+
+def _directions(y: np.ndarray, x: np.ndarray, own: np.ndarray, middle: np.ndarray, how: Diffusion) -> np.ndarray:
+    """``vy, vx`` of pixels, of which each object (numbered by ``own``, in order) has all; those in boxes of like size go together."""
+    begins = np.searchsorted(own, np.arange(own[-1] + 1))
+    low = np.stack([np.minimum.reduceat(c, begins) for c in (y, x)], axis=1) - 1
+    sides = np.stack([np.maximum.reduceat(c, begins) for c in (y, x)], axis=1) + 2 - low
+    sides = -(-sides // 8) * 8
+    found = np.zeros((len(y), 2))
+    kinds, which = np.unique(sides, axis=0, return_inverse=True)
+    for kind, (height, width) in enumerate(kinds.tolist()):
+        like, most = np.flatnonzero(which.ravel() == kind), max(1, BOXES // (height * width))
+        for a in range(0, len(like), most):
+            some = like[a : a + most]
+            place = np.full(len(begins), -1)
+            place[some] = np.arange(len(some))
+            rows = np.flatnonzero(place[own] >= 0)
+            at = place[own[rows]], y[rows] - low[own[rows], 0], x[rows] - low[own[rows], 1]
+            inside = np.zeros((len(some), height, width), bool)
+            inside[at] = True
+            heat = diffused(inside, middle[begins[some]] - low[some], how)
+            k, i, j = at  # boxes have a margin, so all differences are of both sides
+            v = np.stack([(heat[k, i + 1, j] - heat[k, i - 1, j]) / 2, (heat[k, i, j + 1] - heat[k, i, j - 1]) / 2], axis=1)
+            size = np.hypot(v[:, 0], v[:, 1])
+            level = size <= 1e-9 * heat.max(axis=(1, 2))[k]  # what differs by rounding only has no direction
+            v[level], size[level] = 0, 1
+            found[rows] = v / size[:, None]
+    return found
+
+
 def flow_fields(labels: DataFrame, how: Diffusion = Diffusion()) -> DataFrame:
     """``image, y, x, label, vy, vx`` of every pixel of an object: the direction in which heat from its middle pixel grows, of length 1
-    (0 where it is level).  An object meets in one task, in an array as large as the box around it."""
+    (0 where it is level).  An object meets in one task, in an array as large as the box around it, beside others of like size."""
+    labels = saved(labels.filter("label > 0").select(*AT, "label"))
     middles = median_pixels(labels).select(*OBJECT, F.col("y").alias("my"), F.col("x").alias("mx"))
-    own = labels.filter("label > 0").select(*AT, "label").join(middles, OBJECT)
-
-    def run(pixels: pd.DataFrame) -> pd.DataFrame:
-        y, x = pixels["y"].to_numpy(), pixels["x"].to_numpy()
-        y0, x0 = int(y.min()) - 1, int(x.min()) - 1
-        inside = np.zeros((int(y.max()) - y0 + 2, int(x.max()) - x0 + 2), bool)
-        inside[y - y0, x - x0] = True
-        heat = diffused(inside, (int(pixels["my"].iloc[0]) - y0, int(pixels["mx"].iloc[0]) - x0), how)
-        vy, vx = (g[y - y0, x - x0] for g in np.gradient(heat))
-        size = np.hypot(vy, vx)
-        level = size <= 1e-9 * heat.max()  # what differs by rounding only has no direction
-        vy[level] = vx[level] = 0
-        size[level] = 1
-        return pixels[[*AT, "label"]].assign(vy=vy / size, vx=vx / size)
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept, most = [], GATHERED
+        for frame in chain(frames, [None]):
+            if frame is not None and len(frame):
+                kept.append(frame)
+            if not kept or (frame is not None and sum(map(len, kept)) < most):
+                continue
+            pixels = pd.concat(kept, ignore_index=True)
+            new = (pixels[OBJECT] != pixels[OBJECT].shift()).any(axis=1).to_numpy()
+            end = len(pixels) if frame is None else int(np.flatnonzero(new)[-1])  # the last object may go on
+            kept, most = [pixels[end:]], max(GATHERED, 2 * (len(pixels) - end))
+            if end:
+                whole = pixels[:end]
+                v = _directions(*(whole[c].to_numpy() for c in ("y", "x")), np.cumsum(new[:end]) - 1, whole[["my", "mx"]].to_numpy(), how)
+                yield whole[[*AT, "label"]].assign(vy=v[:, 0], vx=v[:, 1])
+
+    # tasks by cores, as few bytes take long
+    own = labels.join(middles, OBJECT).repartition(4 * labels.sparkSession.sparkContext.defaultParallelism, *OBJECT).sortWithinPartitions(*OBJECT)
     kind, number = (labels.schema[c].dataType.simpleString() for c in OBJECT)
-    return own.groupBy(*OBJECT).applyInPandas(run, f"image {kind}, y long, x long, label {number}, vy double, vx double")
+    return own.select(*AT, "label", "my", "mx").mapInPandas(run, f"image {kind}, y long, x long, label {number}, vy double, vx double")
 
 
 def _bilinear(points: DataFrame, field: DataFrame, height: int, width: int) -> DataFrame:

@@ -67,3 +67,39 @@ def test_labels_come_back(spark):
 def test_nothing_gives_nothing(spark):
     none = table(spark, discs()).limit(0)
     assert flows.flow_fields(none).count() == 0 == flows.labels_of_flows(flows.flow_fields(none), H, W).count()
+
+
+def test_objects_of_like_boxes_go_together_in_many_tasks(spark, monkeypatch):
+    """Each object was diffused alone, and all of a small table in one task."""
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(1)
+    a = np.zeros((90, 90), int)
+    for k in range(1, 82):
+        y, x = (k - 1) // 9 * 10, (k - 1) % 9 * 10
+        a[y : y + 3 + k % 7, x : x + 2 + k % 8] = k
+    a[rng.random(a.shape) < 0.1] = 0
+    labels = table(spark, a)
+    want = flows.flow_fields(labels)
+    assert want.select(F.spark_partition_id()).distinct().count() > 4
+    want = {(r.y, r.x): (r.label, r.vy, r.vx) for r in want.collect()}
+    calls = []
+    monkeypatch.setattr(flows, "diffused", lambda *x, plain=flows.diffused: calls.append(1) or plain(*x))
+    middles = {r.label: (r.y, r.x) for r in flows.median_pixels(labels).collect()}
+    own, y, x = (c[np.argsort(a[a > 0], kind="stable")] for c in (a[a > 0], *np.nonzero(a)))
+    number = np.unique(own, return_inverse=True)[1]
+    middle = np.array([middles[k] for k in own.tolist()])
+    together = flows._directions(y, x, number, middle, flows.Diffusion())
+    assert len(calls) <= 4
+    for k in np.unique(own).tolist():  # alone it is the same to the last bit
+        one = own == k
+        assert np.array_equal(together[one], flows._directions(y[one], x[one], number[one] * 0, middle[one], flows.Diffusion()))
+    assert want == {(int(j), int(i)): (int(k), *map(float, v)) for j, i, k, v in zip(y, x, own, together, strict=True)}
+    # frames that end within an object
+    monkeypatch.undo()
+    monkeypatch.setattr(flows, "GATHERED", 30)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert want == {(r.y, r.x): (r.label, r.vy, r.vx) for r in flows.flow_fields(labels).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
