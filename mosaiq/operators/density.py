@@ -5,6 +5,10 @@
 3. Rounds: each component looks for its least edge out (the larger of distance and both core distances; of equal ones the least
    ends).  First each cell meets the nearest cell that holds another component, which bounds all components; then all pairs of
    cells whose boxes are within a bound meet.  Components tied by their edges become one.
+   In more than a few dimensions all boxes overlap, so there all pairs of points meet once only, in large parts, for lists of each
+   point's nearest.  A component's least edge is in these lists unless it is longer than what they leave out; the components that
+   do not know theirs wait for others to join them, and once they are most of all, their points look for it among all others, but
+   those of the largest, which the others come to.
 4. Components below ``least`` points that point along their least edges to a larger one leave the tree there; pairs that
    point at each other become one.  What is left are the clusters that are born, and the edges between them.
 5. The tree of these births and merges is a few numbers for each cluster, in one place; how long points stay in each is summed in
@@ -23,10 +27,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mosaiq.operators import neighbours
 from mosaiq.operators.iteration import saved
 from mosaiq.operators.objects import least_linked
 
 
+#: Dimensions up to which the boxes of small cells rule out most pairs.
+NARROW = 3
+
+
 @dataclass(frozen=True)
 class Spread:
     #: Points that a cell holds by the sample, and cells at most.
@@ -34,6 +43,9 @@ class Spread:
     most_cells: int = 1_024
     #: Rows that the cells are cut by; every row is put into a cell.
     sample: int = 20_000
+    #: In more than NARROW dimensions, points that a cell holds by the sample, and the nearest that each point lists at least.
+    wide: int = 32_768
+    listed: int = 16
     #: Clusters that are born anywhere; their tree is held in one place, so more are an error.
     most_clusters: int = 2_000_000
 
@@ -73,12 +85,12 @@ def _placed(points: np.ndarray, tree: list[tuple[int, float, int, int]]) -> np.n
     return -1 - at
 
 
-def in_cells(points: DataFrame, n: int, how: Spread) -> DataFrame:
+def in_cells(points: DataFrame, n: int, how: Spread, cell: int | None = None) -> DataFrame:
     """``p, weight, v`` with ``cell``."""
     share = how.sample / max(n, 1)
     drawn = points.filter(F.pmod(F.xxhash64("p"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1).select("v").limit(2 * how.sample)
     sample = np.array([r[0] for r in drawn.collect()], float)
-    cells = max(1, min(how.most_cells, -(-n // how.cell)))
+    cells = max(1, min(how.most_cells, -(-n // (cell or how.cell))))
     tree = _cuts(sample.reshape(len(sample), -1), cells) if len(sample) else []
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -199,6 +211,9 @@ def _least_out(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
     return every.drop_duplicates("comp")
 
 
+EDGE = "comp long, w double, lo long, hi long, other long"
+
+
 def spanning_edges(points: DataFrame, size: int, rounds: int = 60) -> DataFrame:
     """``lo, hi, w``: a least spanning tree of ``p, v, cell, core`` over the larger of distance and both core distances."""
     info = saved(boxes(points, size, ["core"]))
@@ -207,12 +222,11 @@ def spanning_edges(points: DataFrame, size: int, rounds: int = 60) -> DataFrame:
     reach = F.when(F.col("cell_a") == F.col("cell_b"), 0.0).otherwise(_apart(F.col("low_a"), F.col("high_a"), F.col("low_b"), F.col("high_b")))
     pairs = saved(a.join(F.broadcast(b), F.col("cell_a") <= F.col("cell_b")).select("cell_a", "cell_b", F.greatest(reach, "core_a", "core_b").alias("apart")))
     tied = saved(points.select("p", F.col("p").alias("comp")))
-    schema = "comp long, w double, lo long, hi long, other long"
     edges = None
 
     def meet(state: DataFrame, which: DataFrame) -> DataFrame:
         side = lambda s: state.join(which.select(F.col(f"cell_{s}").alias("cell"), "cell_a", "cell_b"), "cell").select(*[F.col(c).alias(c) for c in ("cell_a", "cell_b", "p", "v", "core", "comp")])
-        found = side("a").groupBy("cell_a", "cell_b").cogroup(side("b").groupBy("cell_a", "cell_b")).applyInPandas(_least_out, schema)
+        found = side("a").groupBy("cell_a", "cell_b").cogroup(side("b").groupBy("cell_a", "cell_b")).applyInPandas(_least_out, EDGE)
         return found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*")
 
     for _ in range(rounds):
@@ -238,6 +252,77 @@ def spanning_edges(points: DataFrame, size: int, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"the tree did not close within {rounds} rounds")
 
 
+def lists(points: DataFrame, size: int, least: int, n_points: int, n: int, how: Spread) -> tuple[DataFrame, DataFrame]:
+    """``points`` in cells with ``core`` (as ``cores``) and ``beyond``, below which no edge is that the lists leave out; and the edges
+    ``lo, hi, w`` of the lists."""
+    k = min(least, n_points - 1)
+    near = neighbours.exact_graph(points.select(F.col("p").alias("c"), "v"), n, size, max(how.listed, k))
+    weighed = near.withColumn("weight", F.lit(1).cast("long")) if n == n_points else near.join(points.select(F.col("p").alias("item"), "weight"), "item")
+    each = weighed.groupBy(F.col("query").alias("p")).agg(F.array_sort(F.collect_list(F.struct("distance", "weight"))).alias("near"))
+    start = F.struct(F.col("weight").alias("n"), F.lit(0.0).alias("d"))
+    reach = F.aggregate("near", start, lambda a, x: F.when(a["n"] > k, a).otherwise(F.struct((a["n"] + x["weight"]).alias("n"), x["distance"].alias("d"))))["d"]
+    last = F.when(F.size("near") < n - 1, F.greatest(F.element_at("near", -1)["distance"], "core")).otherwise(float("inf"))
+    placed = in_cells(points, n, how, max(1, min(how.wide, neighbours.NUMBERS // size)))
+    placed = placed.join(each, "p", "left").withColumn("core", F.coalesce(reach, F.lit(0.0)))
+    placed = saved(placed.select("p", "weight", "v", "cell", "core", F.coalesce(last, F.lit(float("inf"))).alias("beyond")))
+    known = near.select(F.least("query", "item").alias("lo"), F.greatest("query", "item").alias("hi"), "distance").distinct()
+    for end in ("lo", "hi"):
+        known = known.join(placed.select(F.col("p").alias(end), F.col("core").alias(f"core_{end}")), end)
+    return placed, saved(known.select("lo", "hi", F.greatest("distance", "core_lo", "core_hi").alias("w")))
+
+
+def _looked_for(points: DataFrame, size: int, tied: DataFrame, unsure: DataFrame, how: Spread) -> DataFrame:
+    """The least edge out of each component ``comp`` of ``unsure`` that is shorter than its ``bound``, if there is one: its points that can
+    have such an edge meet the cells within the bound."""
+    who = tied.join(unsure, "comp").filter("beyond < bound").select("p", "comp", "bound")
+    open_ = points.select("p", "v", "cell", "core").join(who, "p")
+    # a few meet each cell once
+    open_ = saved(open_.withColumn("block", F.lit(0) if who.count() <= how.wide else F.col("cell").cast("int")).drop("cell"))
+    blocks = boxes(open_.withColumnRenamed("block", "cell").withColumn("bound", -F.col("bound")), size, ["bound"])
+    blocks = blocks.select(F.col("cell").alias("block"), F.col("low").alias("low_b"), F.col("high").alias("high_b"), (-F.col("bound")).alias("bound"))
+    near = boxes(points, size, ["core"]).join(F.broadcast(blocks), F.greatest(_apart(F.col("low"), F.col("high"), F.col("low_b"), F.col("high_b")), "core") <= F.col("bound"))
+    near = saved(near.select("block", "cell"))
+    on = ["block", "cell"]
+    asked = open_.join(F.broadcast(near), "block").select(*on, "p", "v", "core", "comp").groupBy(*on)
+    there = points.select("p", "v", "cell", "core").join(tied.select("p", "comp"), "p").join(F.broadcast(near), "cell").select(*on, "p", "v", "core", "comp").groupBy(*on)
+    found = asked.cogroup(there).applyInPandas(_least_out, EDGE).join(unsure, "comp").filter("w < bound")
+    return saved(found.groupBy("comp").agg(F.min(F.struct("w", "lo", "hi", "other")).alias("e")).select("comp", "e.*"))
+
+
+def spanning_of_lists(points: DataFrame, known: DataFrame, size: int, how: Spread, rounds: int = 200) -> DataFrame:
+    """As ``spanning_edges``, of ``p, v, cell, core, beyond`` and the edges of their lists.  Of equally long edges those known come first."""
+    tied = points.select("p", "beyond", F.col("p").alias("comp"))
+    known = known.select(F.col("lo").alias("a"), F.col("hi").alias("b"), "w", "lo", "hi")
+    edges = points.sparkSession.createDataFrame([], "lo long, hi long, w double")
+    for _ in range(rounds):
+        both = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b"), "w", "lo", "hi"))
+        best = both.groupBy(F.col("a").alias("comp")).agg(F.min(F.struct("w", "lo", "hi", F.col("b").alias("other"))).alias("e")).select("comp", "e.*")
+        comps = tied.groupBy("comp").agg(F.min("beyond").alias("beyond"), F.count(F.lit(1)).alias("n"))
+        state = saved(comps.join(best, "comp", "left").withColumn("sure", F.coalesce(F.col("w") <= F.col("beyond"), F.lit(False))))
+        count, sure, largest = state.agg(F.count(F.lit(1)), F.count_if("sure"), F.max_by("comp", F.struct("n", "comp"))).first()
+        if count <= 1:
+            return edges
+        step = state.filter("sure").select("comp", "w", "lo", "hi", "other")
+        if 4 * sure < count:
+            unsure = state.filter(~F.col("sure") & (F.col("comp") != largest))
+            found = _looked_for(points, size, tied, unsure.select("comp", F.coalesce("w", F.lit(float("inf"))).alias("bound")), how)
+            same = unsure.select("comp", "w", "lo", "hi", "other").filter("w is not null").join(found, "comp", "left_anti")
+            step = step.unionByName(found).unionByName(same)
+        step = saved(step)
+        if step.isEmpty():
+            break
+        edges = saved(edges.unionByName(step.select("lo", "hi", "w").distinct()))
+        roots = least_linked(step.select(F.lit(0).alias("image"), F.col("comp").alias("u"), F.col("other").alias("v")))
+        roots = saved(roots.select("node", "least"))
+        tied = saved(tied.join(roots.withColumnRenamed("node", "comp"), "comp", "left").select("p", "beyond", F.coalesce("least", "comp").alias("comp")))
+        for end in "ab":
+            known = known.join(roots.withColumnRenamed("node", end), end, "left").withColumn(end, F.coalesce("least", end)).drop("least")
+        ends = [f("a", "b").alias(c) for f, c in ((F.least, "a"), (F.greatest, "b"))]
+        known = known.filter("a <> b").select(*ends, "w", "lo", "hi").groupBy("a", "b").agg(F.min(F.struct("w", "lo", "hi")).alias("e"))
+        known = saved(known.select("a", "b", "e.*"))
+    raise RuntimeError(f"the tree did not close within {rounds} rounds")
+
+
 def births(points: DataFrame, edges: DataFrame, least: int, rounds: int = 10_000) -> tuple[DataFrame, DataFrame, DataFrame]:
     """What is born and what leaves: ``leaving`` (``p, weight, w, anchor``: at which length a point stops being a cluster of its own
     kin and becomes part of the cluster that ``anchor`` is in), ``born`` (``c, w``) and the edges between those born."""
@@ -386,8 +471,13 @@ def spread_labels(df: DataFrame, columns: list[str], least: int, id_column: str,
     n, distinct = points.agg(F.sum("weight"), F.count(F.lit(1))).first()
     if not n or n <= least:
         return rows.select(F.col("id").alias(id_column), F.lit(-1).cast("long").alias("cluster"))
-    reached = cores(in_cells(points, distinct, how), len(columns), least, n)
-    leaving, born, tree = births(reached, spanning_edges(reached, len(columns)), least)
+    if len(columns) <= NARROW:
+        reached = cores(in_cells(points, distinct, how), len(columns), least, n)
+        edges = spanning_edges(reached, len(columns))
+    else:
+        reached, known = lists(points, len(columns), least, n, distinct, how)
+        edges = spanning_of_lists(reached, known, len(columns), how)
+    leaving, born, tree = births(reached, edges, least)
     if born.count() > how.most_clusters:
         raise ValueError(f"more than {how.most_clusters} clusters are born")
     started = born.orderBy("c").toPandas()

@@ -104,3 +104,38 @@ def test_few_rows_are_noise(spark):
     df = spark.createDataFrame([(i, float(i)) for i in range(4)], "id long, x double")
     assert {r.cluster for r in density.spread_labels(df, ["x"], 5, "id").collect()} == {-1}
     assert density.spread_labels(df.limit(0), ["x"], 5, "id").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["groups", "copies"])
+def test_points_in_many_dimensions_meet_once_for_their_lists(spark, monkeypatch, kind):
+    """All cells met each other in every round; now only what its lists do not tell looks for its least edge."""
+    r = np.random.default_rng(7)
+    if kind == "groups":  # far apart, so that no list leaves its group
+        x = np.vstack([r.normal(c, 0.3, (m, 6)) for c, m in ((0, 40), (8, 30), (-7, 30))])
+    else:  # copies, and ties everywhere
+        x = np.vstack([np.repeat(r.normal(size=(3, 4)) * 10, 8, axis=0), np.array(list(np.ndindex(3, 3, 3, 2)), float), [[30.0] * 4] * 5])
+    x = r.permutation(x)
+    looked = []
+    monkeypatch.setattr(density, "_looked_for", lambda *a, plain=density._looked_for: looked.append(plain(*a)) or looked[-1])
+    monkeypatch.setattr(density, "spanning_edges", lambda *a: pytest.fail("cells met in a round"))
+    columns = [f"x{i}" for i in range(x.shape[1])]
+    df = spark.createDataFrame([(i, *map(float, v)) for i, v in enumerate(x)], ", ".join(["id long", *(f"{c} double" for c in columns)])).repartition(3)
+    got = {r.id: r.cluster for r in density.spread_labels(df, columns, 4, "id", density.Spread(most_cells=8, sample=90, wide=15, listed=4)).collect()}
+    assert [got[i] for i in range(len(x))] == top_down(x, 4).tolist()
+    assert kind == "copies" or any(f.count() for f in looked)
+
+
+def test_least_tree_of_lists_is_that_of_all_pairs(spark):
+    r = np.random.default_rng(9)
+    x = np.vstack([r.normal(c, 1.0, (40, 5)) for c in (0, 30, 31, 90)])
+    df = spark.createDataFrame([(i, 1, v.tolist()) for i, v in enumerate(x)], "p long, weight long, v array<double>")
+    how = density.Spread(wide=30, listed=5)
+    points, known = density.lists(df, 5, 4, len(x), len(x), how)
+    got = sorted(e.w for e in density.spanning_of_lists(points, known, 5, how).collect())
+    w, inside, best, want = reach(x, 4), {0}, {}, []
+    while len(inside) < len(x):
+        best = {j: min(w[i, j] for i in inside) for j in range(len(x)) if j not in inside}
+        j = min(best, key=best.get)
+        want.append(best[j])
+        inside.add(j)
+    assert np.allclose(got, sorted(want), rtol=1e-12) and len(got) == len(x) - 1
