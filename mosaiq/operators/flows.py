@@ -11,8 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mosaiq.operators import objects, tables
-from mosaiq.operators.iteration import saved
+from mosaiq.operators import objects
+from mosaiq.operators.iteration import by_rows, saved
 from mosaiq.operators.raster import AT
 
 OBJECT = ["image", "label"]
@@ -22,9 +22,9 @@ def median_pixels(labels: DataFrame) -> DataFrame:
     """``image, label, y, x``: the pixel of each object that is nearest to the medians of its rows and columns; of equally near ones
     the first, row by row."""
     own = saved(labels.filter("label > 0").select(*OBJECT, "y", "x"))
-    middle = tables.quantile(own, OBJECT, "y", {"my": 0.5}).join(tables.quantile(own, OBJECT, "x", {"mx": 0.5}), OBJECT)
+    middle = own.groupBy(*OBJECT).agg(F.median("y").alias("my"), F.median("x").alias("mx"))
     far = (F.col("y") - F.col("my")) * (F.col("y") - F.col("my")) + (F.col("x") - F.col("mx")) * (F.col("x") - F.col("mx"))
-    best = own.join(middle, OBJECT).groupBy(*OBJECT).agg(F.min(F.struct(far.alias("d"), "y", "x")).alias("b"))
+    best = own.join(by_rows(middle), OBJECT).groupBy(*OBJECT).agg(F.min(F.struct(far.alias("d"), "y", "x")).alias("b"))
     return best.select(*OBJECT, F.col("b.y").alias("y"), F.col("b.x").alias("x"))
 
 
@@ -116,7 +116,7 @@ def flow_fields(labels: DataFrame, how: Diffusion = Diffusion()) -> DataFrame:
                 yield whole[[*AT, "label"]].assign(vy=v[:, 0], vx=v[:, 1])
 
     # tasks by cores, as few bytes take long
-    own = labels.join(middles, OBJECT).repartition(4 * labels.sparkSession.sparkContext.defaultParallelism, *OBJECT).sortWithinPartitions(*OBJECT)
+    own = labels.join(by_rows(middles), OBJECT).repartition(4 * labels.sparkSession.sparkContext.defaultParallelism, *OBJECT).sortWithinPartitions(*OBJECT)
     kind, number = (labels.schema[c].dataType.simpleString() for c in OBJECT)
     return own.select(*AT, "label", "my", "mx").mapInPandas(run, f"image {kind}, y long, x long, label {number}, vy double, vx double")
 
@@ -127,7 +127,7 @@ def _bilinear(points: DataFrame, field: DataFrame, height: int, width: int) -> D
     part = [F.col(c) - F.floor(c) for c in ("py", "px")]
     corners = [F.struct((low[0] + i).alias("y"), (low[1] + j).alias("x"), ((part[0] if i else 1 - part[0]) * (part[1] if j else 1 - part[1])).alias("w")) for i in (0, 1) for j in (0, 1)]
     each = points.select("image", "oy", "ox", "py", "px", F.explode(F.array(*corners)).alias("c")).filter("c.w > 0").select("image", "oy", "ox", "py", "px", F.col("c.y").alias("y"), F.col("c.x").alias("x"), "c.w")
-    each = each.join(field.select(*AT, "vy", "vx"), AT, "left")
+    each = each.join(by_rows(field.select(*AT, "vy", "vx")), AT, "left")
     moved = each.groupBy("image", "oy", "ox").agg(F.first("py").alias("py"), F.first("px").alias("px"), *[F.coalesce(F.sum(F.col("w") * F.col(c)), F.lit(0.0)).alias(c) for c in ("vy", "vx")])
     within = lambda c, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), c))
     return moved.select("image", "oy", "ox", within(F.col("py") + F.col("vy"), height).alias("py"), within(F.col("px") + F.col("vx"), width).alias("px"))
@@ -137,12 +137,12 @@ def _resolved(points: DataFrame, known: DataFrame, rounds: int = 40) -> DataFram
     """``image, oy, ox, label`` of points whose pixel has a label, or is where another point with a label began (and so on)."""
     to = points.select("image", "oy", "ox", F.rint("py").cast("long").alias("y"), F.rint("px").cast("long").alias("x"))
     begun = to.select("image", F.col("oy").alias("y"), F.col("ox").alias("x"), F.lit(True).alias("open"))
-    at = to.join(known, AT, "left").join(begun, AT, "left")
+    at = to.join(by_rows(known), AT, "left").join(by_rows(begun), AT, "left")
     # what is neither known nor begun is background
     at = saved(at.select("image", "oy", "ox", "y", "x", F.when(F.col("open"), None).otherwise(F.coalesce("label", F.lit(0))).alias("label")))
     for _ in range(rounds):
         ahead = at.select("image", F.col("oy").alias("y"), F.col("ox").alias("x"), F.col("y").alias("y2"), F.col("x").alias("x2"), F.col("label").alias("l2"))
-        now = saved(at.join(ahead, AT, "left").select("image", "oy", "ox", F.when(F.col("label").isNull(), F.coalesce("y2", "y")).otherwise(F.col("y")).alias("y"), F.when(F.col("label").isNull(), F.coalesce("x2", "x")).otherwise(F.col("x")).alias("x"), F.coalesce("label", "l2").alias("label"), (F.col("label").isNull() & F.col("l2").isNotNull()).alias("new")))
+        now = saved(at.join(by_rows(ahead), AT, "left").select("image", "oy", "ox", F.when(F.col("label").isNull(), F.coalesce("y2", "y")).otherwise(F.col("y")).alias("y"), F.when(F.col("label").isNull(), F.coalesce("x2", "x")).otherwise(F.col("x")).alias("x"), F.coalesce("label", "l2").alias("label"), (F.col("label").isNull() & F.col("l2").isNotNull()).alias("new")))
         at = now.drop("new")
         if now.filter("new").isEmpty():
             break
@@ -172,7 +172,7 @@ def labels_of_flows(field: DataFrame, height: int, width: int, radius: int = 2,
         beside = lambda k: F.when(F.lag(axis, k).over(w) == F.col(axis) - k, F.lag(c, k).over(w)).otherwise(0.0)
         return F.when(F.col(axis) == 0, beside(-1) - F.col(c)).when(F.col(axis) == n - 1, F.col(c) - beside(1)).otherwise((beside(-1) - beside(1)) / 2)
 
-    parts = field.withColumn("d", slope("vy", "y", height, down)).withColumn("d", F.col("d") + slope("vx", "x", width, across)).join(mean, AT)
+    parts = field.withColumn("d", slope("vy", "y", height, down)).withColumn("d", F.col("d") + slope("vx", "x", width, across)).join(by_rows(mean), AT)
     core = (F.col("d") < 0) | (F.col("vy") * F.col("my") + F.col("vx") * F.col("mx") >= 0.8)
     parts = saved(parts.select(*AT, "vy", "vx", core.alias("core")))
     cells = saved(objects.components(parts.select(*AT, F.col("core").cast("long").alias("v")), width, connectivity=2))
@@ -186,7 +186,7 @@ def labels_of_flows(field: DataFrame, height: int, width: int, radius: int = 2,
             points = saved(points)
         found = _resolved(points, known)
         known = saved(known.unionByName(found.select("image", F.col("oy").alias("y"), F.col("ox").alias("x"), "label")))
-        points = saved(points.join(found, ["image", "oy", "ox"], "left_anti"))
+        points = saved(points.join(by_rows(found), ["image", "oy", "ox"], "left_anti"))
         if points.isEmpty():
             break
     return known.filter("label > 0")

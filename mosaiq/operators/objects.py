@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mosaiq.operators import tables
-from mosaiq.operators.iteration import written
+from mosaiq.operators.iteration import by_rows, written
 
 
 def runs(mask: DataFrame) -> DataFrame:
@@ -27,9 +27,9 @@ def components(mask: DataFrame, width: int, connectivity: int = 1, rounds: int =
     if not r.filter((F.col("x0") < 0) | (F.col("x1") >= width)).isEmpty():
         raise ValueError(f"the raster is wider than {width}")
     below = r.select("image", (F.col("y") - 1).alias("y"), F.col("x0").alias("b0"), F.col("x1").alias("b1"), F.col("id").alias("v"))
-    touch = r.join(below, ["image", "y"]).filter((F.col("b0") <= F.col("x1") + reach) & (F.col("b1") >= F.col("x0") - reach))
+    touch = r.join(by_rows(below), ["image", "y"]).filter((F.col("b0") <= F.col("x1") + reach) & (F.col("b1") >= F.col("x0") - reach))
     labels = least_linked(touch.select("image", F.col("id").alias("u"), "v"), rounds)
-    placed = r.join(labels.select("image", F.col("node").alias("id"), "least"), ["image", "id"], "left")
+    placed = r.join(by_rows(labels.select("image", F.col("node").alias("id"), "least")), ["image", "id"], "left")
     return placed.select("image", "y", F.explode(F.sequence("x0", "x1")).alias("x"), F.coalesce("least", "id").alias("label"))
 
 
@@ -40,7 +40,7 @@ def _star(edges: DataFrame, larger: bool) -> DataFrame:
     else:
         both = edges.select("image", F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = both.groupBy("image", "u").agg(F.min("v").alias("m")).select("image", "u", F.least("u", "m").alias("m"))
-    tied = both.join(least, ["image", "u"])
+    tied = both.join(by_rows(least), ["image", "u"])
     if larger:
         out = tied.filter("v > u").select("image", F.col("v").alias("u"), F.col("m").alias("v"))
     else:

@@ -103,3 +103,19 @@ def test_objects_of_like_boxes_go_together_in_many_tasks(spark, monkeypatch):
         assert want == {(r.y, r.x): (r.label, r.vy, r.vx) for r in flows.flow_fields(labels).collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_pixels_are_not_sent_to_the_driver(spark, monkeypatch):
+    """Files of a few bytes are many pixels, which all came to the driver to be sent to all tasks."""
+    from mosaiq.operators import objects
+
+    plans = []
+
+    def seen(plain):
+        return lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or plain(df)
+
+    monkeypatch.setattr(flows, "saved", seen(flows.saved))
+    monkeypatch.setattr(objects, "written", seen(objects.written))
+    back = flows.labels_of_flows(flows.flow_fields(table(spark, discs())), H, W)
+    plans.append(back._jdf.queryExecution().executedPlan().toString())
+    assert sum("Join" in p for p in plans) > 8 and not any("Broadcast" in p for p in plans)
