@@ -105,6 +105,18 @@ def test_pairs_of_few_keys_are_made_in_many_tasks(spark):
     assert len(made) > 4 and max(r["count"] for r in made) < got.count() / 4
 
 
+def test_pairs_of_few_keys_take_few_bytes_where_they_are_written(spark, tmp_path):
+    """Customers of all nations met all suppliers in turn, so each row took its own bytes; the pairs are all there, once."""
+    nation = (F.col("id") % 5).alias
+    spark.range(400).select(F.col("id").alias("c_custkey"), nation("c_nationkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(20_000).select(F.col("id").alias("s_suppkey"), nation("s_nationkey")).write.parquet(f"{tmp_path}/supplier.parquet")
+    got = tables_in_pairs.many_to_many_match(spark, str(tmp_path))
+    assert got.filter("c_custkey % 5 <> s_suppkey % 5").isEmpty() and got.count() == 400 * 4000 == got.distinct().count()
+    got = tables_in_pairs.many_to_many_match(spark, "/root/testdata/sf0.1")
+    got.write.parquet(f"{tmp_path}/pairs")
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 0.5 * got.count()
+
+
 def test_one_job_serves_many_rounds_of_centres(spark, monkeypatch):
     """Each round was a job; the centres are those of plain rounds over all rows."""
     rounds = []
